@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_fingerprint, license_scan, mixing, near_dup, quality, secret_scan, substring_dedup
+from . import edit_fingerprint, license_scan, mixing, near_dup, nearest, pieces, quality, secret_scan, substring_dedup
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_fingerprints": edit_fingerprint.op2_fingerprints,
         "op3_mixing": mixing.op3_mixing,
+        "op4_nearest": nearest.op4_nearest,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_secret_scan": secret_scan.op7_secret_scan,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_near_dup": near_dup.op9_near_dup,
         "op10_quality": quality.op10_quality,
     }
