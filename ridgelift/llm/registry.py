@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_fingerprint, license_scan, mixing, near_dup, nearest, pieces, quality, secret_scan, substring_dedup
+from . import edit_fingerprint, katz, license_scan, mixing, near_dup, nearest, pieces, quality, secret_scan, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_fingerprints": edit_fingerprint.op2_fingerprints,
         "op3_mixing": mixing.op3_mixing,
         "op4_nearest": nearest.op4_nearest,
+        "op5_katz": katz.op5_katz,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_sentencepiece": pieces.op8_sentencepiece,
