@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import station
+
+MODULES = (station,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.R.sql.items()}
