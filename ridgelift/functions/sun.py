@@ -28,26 +28,36 @@ def observed_transmittance(ghi: Column, cosz: Column) -> Column:
     return F.when((cosz >= 0.15) & (ghi >= 0), F.least(F.lit(1.5), ghi / clear_sky_ghi(cosz)))
 
 
+def _let(x: Column, body) -> Column:
+    """body(x) with x computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def _event(day: Column, lat: Column, lon: Column, sign: float, at: Column) -> Column:
     """Hours after 00 UTC of `day` of the sunrise (sign -1) or sunset (+1), with the sun's place `at` days into it."""
-    c = (F.datediff(day, F.lit("2000-01-01").cast("date")) - 0.5 + at) / 36525.0
-    mean_long = F.pmod(280.46646 + c * (36000.76983 + c * 0.0003032), F.lit(360.0))
-    anomaly = (357.52911 + c * (35999.05029 - c * 0.0001537)) * RAD
-    ecc = 0.016708634 - c * (0.000042037 + c * 0.0000001267)
-    centre = F.sin(anomaly) * (1.914602 - c * (0.004817 + c * 0.000014)) + F.sin(anomaly * 2) * (0.019993 - c * 0.000101) + F.sin(anomaly * 3) * 0.000289
-    node = (125.04 - c * 1934.136) * RAD
-    apparent = (mean_long + centre - 0.00569 - F.sin(node) * 0.00478) * RAD
-    tilt = (23 + (26 + (21.448 - c * (46.815 + c * (0.00059 - c * 0.001813))) / 60) / 60 + F.cos(node) * 0.00256) * RAD
-    dec = F.asin(F.sin(tilt) * F.sin(apparent))
-    y = F.pow(F.tan(tilt / 2), F.lit(2.0))
-    m = mean_long * RAD
-    eot = (y * F.sin(m * 2) - ecc * 2 * F.sin(anomaly) + ecc * y * 4 * F.sin(anomaly) * F.cos(m * 2) - y * y * 0.5 * F.sin(m * 4) - ecc * ecc * 1.25 * F.sin(anomaly * 2)) / RAD * 4
-    cos_h = F.cos(F.lit(90.833 * RAD)) / (F.cos(lat * RAD) * F.cos(dec)) - F.tan(lat * RAD) * F.tan(dec)
-    hour = F.when(F.abs(cos_h) <= 1, F.acos(cos_h) / RAD)
-    return (720 - (lon - hour * sign) * 4 - eot) / 60
+
+    def of_century(c: Column) -> Column:
+        mean_long = F.pmod(c * (c * 0.0003032 + 36000.76983) + 280.46646, F.lit(360.0))
+        anomaly = (c * (35999.05029 - c * 0.0001537) + 357.52911) * RAD
+        ecc = F.lit(0.016708634) - c * (c * 0.0000001267 + 0.000042037)
+        centre = F.sin(anomaly) * (1.914602 - c * (c * 0.000014 + 0.004817)) + F.sin(anomaly * 2) * (0.019993 - c * 0.000101) + F.sin(anomaly * 3) * 0.000289
+        node = (125.04 - c * 1934.136) * RAD
+        tilt = (((21.448 - c * (c * (0.00059 - c * 0.001813) + 46.815)) / 60 + 26) / 60 + 23 + F.cos(node) * 0.00256) * RAD
+        return F.struct((mean_long * RAD).alias("m"), anomaly.alias("a"), ecc.alias("e"), ((mean_long + centre - 0.00569 - F.sin(node) * 0.00478) * RAD).alias("apparent"), tilt.alias("tilt"))
+
+    def hours(s: Column) -> Column:
+        dec = F.asin(F.sin(s["tilt"]) * F.sin(s["apparent"]))
+        y = F.pow(F.tan(s["tilt"] / 2), F.lit(2.0))
+        eot = (y * F.sin(s["m"] * 2) - s["e"] * 2 * F.sin(s["a"]) + s["e"] * y * 4 * F.sin(s["a"]) * F.cos(s["m"] * 2) - y * y * 0.5 * F.sin(s["m"] * 4) - s["e"] * s["e"] * 1.25 * F.sin(s["a"] * 2)) / RAD * 4
+        cos_h = F.cos(F.lit(90.833 * RAD)) / (F.cos(lat * RAD) * F.cos(dec)) - F.tan(lat * RAD) * F.tan(dec)
+        angle = F.when(F.abs(cos_h) <= 1, F.acos(cos_h) / RAD)
+        return (720 - (lon - angle * sign) * 4 - eot) / 60
+
+    century = (F.datediff(day, F.lit("2000-01-01").cast("date")) - 0.5 + at) / 36525.0
+    return _let(_let(century, of_century), hours)
 
 
 def sun_event(day: Column, lat: Column, lon: Column, sunset: bool) -> Column:
     """Hours after 00 UTC of the day; null under a polar sky. The second pass uses the sun's place at the first's time."""
     sign = 1.0 if sunset else -1.0
-    return _event(day, lat, lon, sign, _event(day, lat, lon, sign, F.lit(0.0)) / 24)
+    return _let(_event(day, lat, lon, sign, F.lit(0.0)) / 24, lambda at: _event(day, lat, lon, sign, at))

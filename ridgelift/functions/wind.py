@@ -68,7 +68,8 @@ def sector(deg: Column, sectors: int) -> Column:
 
 
 def compass(deg: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in COMPASS]), sector(deg, 16) + 1)
+    # element_at of a literal array does not give null for a null place
+    return F.when(deg.isNotNull(), F.element_at(F.array(*[F.lit(c) for c in COMPASS]), sector(deg, 16) + 1))
 
 
 def in_arc(deg: Column, start: float | Column, end: float | Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import station
+from . import findings, forecast, station
 
-MODULES = (station,)
+MODULES = (station, forecast, findings)
 
 
 def queries() -> dict:
