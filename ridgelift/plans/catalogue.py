@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import findings, forecast, station
+from . import compare, findings, forecast, station
 
-MODULES = (station, forecast, findings)
+MODULES = (station, forecast, findings, compare)
 
 
 def queries() -> dict:

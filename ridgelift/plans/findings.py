@@ -17,7 +17,7 @@ PROFILES = 250
 
 def profile_hours(spark, d):
     at = (F.col("valid_at").cast("timestamp") + F.make_interval(hours=(F.col("hour_id") % 24).cast("int"))).alias("valid_at")
-    h = derived_hours(spark, d).select((F.col("site_id") % PROFILES).alias("profile_id"), "hour_id", at, F.col("model_elevation_m").alias("launch_m"), "levels", "cloud_base_m", "boundary_layer_top_m", "thermal_velocity_mps", "usable_lift_top_m", (F.col("hour_id") * 7 % 400).cast("double").alias("cape_jkg"), (-(F.col("hour_id") * 13 % 60)).cast("double").alias("cin_jkg"), (200.0 + F.col("site_id") % PROFILES * 7 % 900).alias("profile_elevation_m"))
+    h = derived_hours(spark, d).select((F.col("site_id") % PROFILES).alias("profile_id"), "hour_id", at, (200.0 + F.col("site_id") % PROFILES * 13 % 1200).alias("launch_m"), "levels", "cloud_base_m", "boundary_layer_top_m", "thermal_velocity_mps", "usable_lift_top_m", (F.col("hour_id") * 7 % 400).cast("double").alias("cape_jkg"), (-(F.col("hour_id") * 13 % 60)).cast("double").alias("cin_jkg"), (200.0 + F.col("site_id") % PROFILES * 7 % 900).alias("profile_elevation_m"))
     h = h.withColumn("day", times.local_day(F.col("valid_at"), ZONE)).withColumn("local_hour", times.local_hour(F.col("valid_at"), ZONE))
     return findings.prepared(h)
 
@@ -29,7 +29,7 @@ def at_utc(df, *names):
     return df
 
 
-PROFILE = f"""{DERIVED}, ph as (select site_id % {PROFILES} as profile_id, hour_id, valid_at + (hour_id % 24)::int * interval 1 hour as valid_at, model_elevation_m as launch_m, base as cloud_base_m, bl_top, w, lift_top,
+PROFILE = f"""{DERIVED}, ph as (select site_id % {PROFILES} as profile_id, hour_id, valid_at + (hour_id % 24)::int * interval 1 hour as valid_at, (200.0 + (site_id % {PROFILES} * 13) % 1200)::double as launch_m, base as cloud_base_m, bl_top, w, lift_top,
   ((hour_id * 7) % 400)::double as cape, (-((hour_id * 13) % 60))::double as cin, (200.0 + (site_id % {PROFILES} * 7) % 900)::double as profile_elevation_m from f),
 pi_ as (select *, row_number() over o - 1 as i, lag(valid_at) over o as pv, lead(valid_at) over o as nv, strftime(valid_at at time zone 'UTC' at time zone '{ZONE}', '%Y-%m-%d') as day, hour(valid_at at time zone 'UTC' at time zone '{ZONE}') as local_hour from ph window o as (partition by profile_id order by valid_at, hour_id)),
 pg as (select *, greatest(1.0, floor((epoch_us(nv) - epoch_us(valid_at)) / 3.6e9 + 0.5)) as ga, greatest(1.0, floor((epoch_us(valid_at) - epoch_us(pv)) / 3.6e9 + 0.5)) as gb from pi_),
@@ -37,8 +37,8 @@ hp as (select *, case when nv is not null then ga when pv is not null then gb el
 ok as (select * from hp where w >= 0.9 and lift_top - launch_m >= 300),
 wn as (select *, case when i = lag(i) over (partition by profile_id order by i) + 1 then 0 else 1 end as brk from ok),
 wh as (select *, sum(brk) over (partition by profile_id order by i rows unbounded preceding) - 1 as window_id from wn)"""
-R1 = "floor({} * 10 + 0.5) / 10"
-R2 = "floor({} * 100 + 0.5) / 100"
+R1 = "floor(({}) * 10 + 0.5) / 10"
+R2 = "floor(({}) * 100 + 0.5) / 100"
 
 
 @R.add("w01_hour_steps", f"with {PROFILE} select profile_id, hour_id, i as hour_index, before_h, after_h, day, local_hour::int as local_hour from hp")
