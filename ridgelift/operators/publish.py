@@ -51,7 +51,7 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 def ascii_json(value: Column) -> Column:
     """Compact JSON in which only ASCII is left: other characters become \\u escapes, as surrogate pairs beyond the first plane."""
     text = F.to_json(value)
-    units = F.transform(F.split(text, ""), lambda c: F.when(F.octet_length(c) > 1, F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\\\u$1")).otherwise(c))
+    units = F.transform(F.split(text, ""), lambda c: F.when(F.octet_length(c) > 1, F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")).otherwise(c))
     return F.when(text.isNotNull(), F.array_join(units, ""))
 
 

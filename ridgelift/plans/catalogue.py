@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare, findings, forecast, station
+from . import compare, findings, forecast, live, station
 
-MODULES = (station, forecast, findings, compare)
+MODULES = (station, forecast, findings, compare, live)
 
 
 def queries() -> dict:
