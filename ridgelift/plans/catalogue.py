@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare, findings, forecast, live, station
+from . import compare, findings, forecast, live, series, station
 
-MODULES = (station, forecast, findings, compare, live)
+MODULES = (station, forecast, findings, compare, live, series)
 
 
 def queries() -> dict:
