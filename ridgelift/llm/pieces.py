@@ -32,7 +32,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
 MARK = "▁"
 #: Distinct segments that a task keeps before it starts its table again.
-MOST_SEGMENTS = 400_000
+MOST_SEGMENTS = 300_000
+#: Segments that are encoded at once, and bytes of text that are cut at once.
+AT_ONCE = 4_000
+TEXT_AT_ONCE = 1 << 20
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -156,6 +159,7 @@ class Encoder:
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # beside other tasks, more threads only wait for each other
         m = parse(data)
         self.tokenizer, self.own = build(m, whole=False), sentencepiece.SentencePieceProcessor(model_proto=m.plain)
         self.norm = normalizer(m)
@@ -179,15 +183,17 @@ class Encoder:
         return text.replace(" ", MARK) if self.escape else text
 
     def learn(self, fresh: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-        want = self.own.encode(fresh)
-        ok = np.array([a == b for a, b in zip(got, want, strict=True)], bool)
-        for s, w in zip(fresh, want, strict=True):
-            self.place[s] = len(self.place)
-            self.flat.append(np.array(w, np.int32))
-        self.decoded += self.tokenizer.decode_batch(want, skip_special_tokens=False)
-        self.size = np.concatenate([self.size, [len(w) for w in want]]).astype(np.int64)
-        self.ok = np.concatenate([self.ok, ok])
+        sizes, ok = [self.size], [self.ok]
+        for at in range(0, len(fresh), AT_ONCE):
+            part = fresh[at : at + AT_ONCE]
+            want = self.own.encode(part)
+            ok.append(np.array([e.ids == w for e, w in zip(self.tokenizer.encode_batch_fast(part, add_special_tokens=False), want, strict=True)], bool))
+            sizes.append(np.array([len(w) for w in want], np.int64))
+            self.flat.append(np.array([i for w in want for i in w], np.int32))
+            self.decoded += self.tokenizer.decode_batch(want, skip_special_tokens=False)
+            for s in part:
+                self.place[s] = len(self.place)
+        self.size, self.ok = np.concatenate(sizes), np.concatenate(ok)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[bool]]:
         """Ids, decoded text and parity of each text."""
@@ -226,7 +232,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
 
     def run(batches):
         encoder = Encoder(data)
-        for b in words.slices(batches):
+        for b in words.slices(batches, at_most=TEXT_AT_ONCE):
             ids, decoded, parity = encoder.encode(b.column("text").to_pylist())
             ends = np.cumsum([0, *map(len, ids)])
             array = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
@@ -258,7 +264,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         encoder = Encoder(data)
-        for b in words.slices(batches):
+        for b in words.slices(batches, at_most=TEXT_AT_ONCE):
             texts = b.column("text").to_pylist()
             ids, decoded, parity = encoder.encode(texts)
             yield pa.RecordBatch.from_arrays(
