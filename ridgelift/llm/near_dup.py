@@ -6,10 +6,12 @@ is missed with a probability of at most `MISS`. The same k values, folded into a
 population count of two sketches' XOR estimates the similarity, precisely for similar sets, and drops candidates that
 lie `SIGMAS` standard deviations below the threshold. What is left is confirmed on full sets.
 
-Inside a bucket no task emits all pairs. Round one links members to a pivot, the member nearest to the bucket's centre;
-members too far from it start again among themselves. After confirmation and components, round two compares only members of one bucket
-that lie in different components. A bucket with more than `BLOCK` members is split into blocks of pairs of
-salts, so that each pair meets in one block and memory stays bounded.
+Inside a bucket no task emits all pairs: a search through the members with near sketches gives a tree of candidate links, one link
+fewer than members. Trees join into families, which can only be larger than the true groups. Each family's full sets are
+gathered once, and a search through them by exact similarity gives the groups: nothing is emitted but a label per member. A bucket
+with more than `BLOCK` members is split into blocks of pairs of salts, so that each pair meets in one block. A family with more than
+`FAMILY` members is not gathered: its candidate links are confirmed pair by pair, then members of one bucket in
+different groups are compared, and the new links confirmed in turn.
 
 Nulls: a null text, an empty one and one without words have the empty set and are linked with nothing: a component of their own,
 kept. Null ids: such a row joins components by its text, and the component's id is its smallest non-null id, or null if
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,10 @@ ROWS = 5  # MinHash values in a band
 MISS = 1e-7
 SIGMAS = 5
 BITS = 1024
+#: Bytes of text that a task holds as hashes at once.
+TEXT_AT_ONCE = 1 << 20
 BLOCK = 20_000
+FAMILY = 10_000
 SEED = 1_618_033
 
 
@@ -77,7 +83,7 @@ def prints(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """_id, _th, n_shingles, node (digest of the shingle set, null if empty), keys (of its bands), sketch."""
 
     def run(batches):
-        for b in words.slices(batches):
+        for b in words.slices(batches, at_most=TEXT_AT_ONCE):
             sets = words.shingle_sets(b.column("text"), scheme.shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             node: list = [None] * len(sets)
@@ -93,22 +99,25 @@ def prints(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return docs.select(*common.row_key(), "text").mapInArrow(run, f"_id {kind}, _th bigint, n_shingles bigint, node binary, keys array<bigint>, sketch binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by key and block, as one table a group."""
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that are sorted by some columns, as one table a group."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
-        if not b.num_rows:
+        n = b.num_rows
+        if not n:
             continue
-        k = np.stack([b.column("key").to_numpy(), b.column("block").to_numpy()], 1)
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        changes = np.zeros(n - 1, bool)
+        for c in by:
+            changes |= pc.not_equal(b.column(c).slice(1), b.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), n]
         for at, to in zip(cuts, cuts[1:], strict=False):
-            now = tuple(k[at])
-            if held and now != last:
+            now = tuple(b.column(c)[at].as_py() for c in by) if at == 0 else None
+            if held and (at > 0 or now != last):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(b.slice(at, to - at))
-            last = now
+        last = tuple(b.column(c)[n - 1].as_py() for c in by)
     if held:
         yield pa.Table.from_batches(held)
 
@@ -129,33 +138,69 @@ def _pairs_out(pairs: Iterator[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def _to_pivots(most: int):
+def _trees(most: int):
+    """A tree of links through each set of members whose sketches are near, directly or by way of others."""
+
     def run(batches):
         def pairs():
-            for t in _groups(batches):
+            for t in _groups(batches, ("key", "block")):
                 if t.num_rows < 2:
                     continue
                 node, s = t.column("node").to_pylist(), _bits(t)
                 left = np.arange(len(s))
                 while len(left) > 1:
-                    own = s[left]
-                    ones = np.unpackbits(own.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-                    centre = np.packbits(ones * 2 > len(left)).view(np.uint64)
-                    p = int(np.bitwise_count(own ^ centre).sum(1).argmin())
-                    near = np.bitwise_count(own ^ own[p]).sum(1) <= most
-                    near[p] = True
-                    yield from ((node[left[p]], node[i]) for i in left[near] if i != left[p])
-                    left = left[~near]
+                    waiting, left = [left[0]], left[1:]
+                    while waiting and len(left):
+                        p = waiting.pop()
+                        near = np.bitwise_count(s[left] ^ s[p]).sum(1) <= most
+                        yield from ((node[p], node[i]) for i in left[near])
+                        waiting += left[near].tolist()
+                        left = left[~near]
 
         yield from _pairs_out(pairs())
 
     return run
 
 
+def _groups_of_families(percent: int):
+    """Of each family's full sets, the label (smallest node) of each member's group, by exact similarity."""
+
+    def run(batches):
+        for t in _groups(batches, ("family",)):
+            t = t.sort_by("node")
+            node = t.column("node").to_pylist()
+            sets = [np.frombuffer(m, np.uint64) for m in t.column("members").to_pylist()]
+            size = np.array([len(s) for s in sets])
+            flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            own = np.split(flat, np.cumsum(size)[:-1])
+            label: list = [None] * len(node)
+            mark = np.zeros(flat.max() + 1, np.int32)
+            left = np.arange(len(node))
+            while len(left):
+                first = left[0]
+                waiting, fresh = [first], np.zeros(len(left), bool)
+                fresh[0] = True
+                while True:  # left and flat hold what no group has taken yet
+                    for i in left[fresh]:
+                        label[i] = node[first]
+                    flat, left = flat[~np.repeat(fresh, size[left])], left[~fresh]
+                    if not waiting or not len(left):
+                        break
+                    p = waiting.pop()
+                    mark[own[p]] = 1
+                    both = np.add.reduceat(mark[flat], np.cumsum(size[left]) - size[left])
+                    mark[own[p]] = 0
+                    fresh = 100 * both >= percent * (size[left] + size[p] - both)
+                    waiting += left[fresh].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(label, pa.binary())], ["node", "label"])
+
+    return run
+
+
 def _across(most: int):
     def run(batches):
         def pairs():
-            for t in _groups(batches):
+            for t in _groups(batches, ("key", "block")):
                 node, s = t.column("node").to_pylist(), _bits(t)
                 label = np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
                 if label.max() == 0:
@@ -170,18 +215,26 @@ def _across(most: int):
     return run
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Only the sets of documents in a pair are gathered."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = common.stored(asked.join(reps.select("node", "_id", "_th"), "node"))
+def full_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """nodes with `members`, the full set as packed hashes. Only texts of these nodes are gathered."""
+    wanted = common.stored(nodes.join(reps.select("node", "_id", "_th"), "node"))
+    kept = [c for c in nodes.columns if c != "node"]
     texts = docs.select(*common.row_key(), "text")
-    texts = texts.join(wanted, common.same_key(texts, wanted)).select("node", "text").dropDuplicates(["node"])
+    # sorted and merged whatever the size of wanted: it grows with the corpus, and so the plan is the same at every scale
+    texts = texts.join(wanted.hint("merge"), common.same_key(texts, wanted)).select("node", *kept, "text")
 
     def sets(batches):
-        for b in words.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in words.shingle_sets(b.column("text"), scheme.shingle)], pa.binary())], ["node", "members"])
+        for b in words.slices(batches, at_most=TEXT_AT_ONCE):
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", *kept)), pa.array([s.tobytes() for s in words.shingle_sets(b.column("text"), scheme.shingle)], pa.binary())], ["node", *kept, "members"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.select("node", *kept).schema)
+    return texts.mapInArrow(sets, f"{fields}, members binary")
 
-    full = common.stored(texts.mapInArrow(sets, "node binary, members binary"))
+
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    full = common.stored(full_sets(asked, reps, docs, scheme).dropDuplicates(["node"]))
 
     def check(batches):
         for b in batches:
@@ -197,6 +250,29 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme
     return common.stored(pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"))
 
 
+def _distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by family and node, repeated nodes (of repeated rows) left out."""
+    last = None
+    for b in batches:
+        nodes = b.column("node").to_pylist()
+        keep = [x != y for x, y in zip(nodes, [last, *nodes[:-1]], strict=True)] if nodes else []
+        last = nodes[-1] if nodes else last
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def _of_large(nodes: DataFrame, links: DataFrame, members: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme, by_bucket) -> DataFrame:
+    """node, label of families too large to gather, by confirmed pairs."""
+    nodes = common.stored(nodes.select("node"))
+    pairs = common.stored(links.join(nodes.withColumnRenamed("node", "a"), "a"))
+    sure = confirmed(pairs, reps, docs, scheme)
+    found = components(sure)
+    labelled = members.join(nodes, "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    more = by_bucket(labelled.join(mixed, "key")).mapInArrow(_across(scheme.most_bits), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = common.stored(more.join(pairs, ["a", "b"], "left_anti"))
+    return components(sure.unionByName(confirmed(more, reps, docs, scheme))) if more.head(1) else found
+
+
 def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """One row per row of docs: _id, _th, n_shingles, component (smallest non-null id reachable), label (of the component; null for the empty set)."""
     scheme = Scheme(percent, shingle)
@@ -215,16 +291,15 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition(common.partitions(df.sparkSession), "key", "block").sortWithinPartitions("key", "block")
 
-    pairs = common.stored(by_bucket(members).mapInArrow(_to_pivots(scheme.most_bits), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = confirmed(pairs, reps, docs, scheme)
-    found = components(links)
-
-    labelled = members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    more = common.stored(by_bucket(labelled.join(mixed, "key")).mapInArrow(_across(scheme.most_bits), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if more.head(1):
-        links = links.unionByName(confirmed(more, reps, docs, scheme))
-        found = components(links)
+    links = common.stored(by_bucket(members).mapInArrow(_trees(scheme.most_bits), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    families = components(links).withColumnRenamed("label", "family")
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    large = common.stored(sizes.where(F.col("n") > FAMILY).select("family"))
+    of_small = full_sets(families.join(large, "family", "left_anti"), reps, docs, scheme)
+    of_small = of_small.repartition(common.partitions(docs.sparkSession), "family").sortWithinPartitions("family", "node")
+    found = of_small.mapInArrow(_distinct_nodes, of_small.schema).mapInArrow(_groups_of_families(percent), "node binary, label binary")
+    if large.head(1):
+        found = found.unionByName(_of_large(families.join(large, "family"), links, members, reps, docs, scheme, by_bucket))
 
     label = common.stored(reps.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
     smallest = label.groupBy("label").agg(F.min("least").alias("component"))

@@ -32,7 +32,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
 MARK = "▁"
 #: Distinct segments that a task keeps before it starts its table again.
-MOST_SEGMENTS = 300_000
+MOST_SEGMENTS = 150_000
 #: Segments that are encoded at once, and bytes of text that are cut at once.
 AT_ONCE = 4_000
 TEXT_AT_ONCE = 1 << 20

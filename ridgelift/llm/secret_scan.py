@@ -133,7 +133,7 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 class SegmentIndex:
     """The posting lists of a batch of texts, for the trigrams that the rules ask for."""
 
-    STEP = 1 << 22
+    STEP = 1 << 20
 
     def __init__(self, wanted: dict[str, int]):
         self.wanted = wanted
@@ -196,7 +196,7 @@ def _prepared(rules: tuple[Rule, ...]):
     return queries, SegmentIndex(wanted)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], text: str, at_most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _batches(batches: Iterator[pa.RecordBatch], text: str, at_most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about at_most bytes of text, or one text."""
     for b in batches:
         column = b.column(text)

@@ -11,7 +11,9 @@ bytes that follow. For any two tied suffixes the cover names a shift at which bo
 close the gap between the first and the last v bytes. A task's memory is bounded by the block of buckets it sorts.
 
 Equal contexts are merged before buckets are gathered: strings of a context seen twice are all repeated. A bucket whose distinct
-contexts exceed `BUCKET` bytes is not gathered at all: its strings are counted by 128-bit digest in a shuffle instead.
+contexts exceed `BUCKET` bytes is not sorted: its strings' hashes are counted, each in one of as many tasks as the bucket
+has times `STREAM` bytes, which read the contexts one after the other. Beyond `MOST_TASKS` tasks a bucket's strings
+go through a shuffle by 128-bit digest, each once.
 
 Nulls: a null text is the empty text: 0 bytes. Texts shorter than the length have no such string and lose nothing. Repeated rows
 repeat each other, so all their strings are removed. Null ids are kept apart by their text. An empty table gives an empty result.
@@ -31,6 +33,8 @@ from . import common, words
 
 LENGTH = 400
 BUCKET = 2 << 20
+STREAM = 24 << 20
+MOST_TASKS = 8
 STEP = 2 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -204,8 +208,50 @@ def _sort_blocks(length: int):
     return run
 
 
-def _large_buckets(contexts: DataFrame, length: int) -> DataFrame:
-    """The exact way for buckets too large to gather: every string by its digest."""
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["h", "digest", "starts", "ends"])
+
+
+def _count_hashes(length: int):
+    """Rows sorted by (h, part): counts the strings whose hash belongs to the part, context by context."""
+
+    def solve(held):
+        values = np.concatenate([x[2] for x in held])
+        weight = np.concatenate([np.full(len(x[2]), min(x[4], 2)) for x in held])
+        _, back = np.unique(values, return_inverse=True)
+        again = np.bincount(back, weight)[back] > 1
+        out, at = [], 0
+        for h, digest, hashes, offsets, _, c in held:
+            which = np.zeros(c, bool)
+            which[offsets] = again[at : at + len(hashes)]
+            at += len(hashes)
+            a, b = _ranges(which, length)
+            if a:
+                out.append((h, digest, a, b))
+        return _batch_of(out)
+
+    def run(batches):
+        held: list[tuple] = []
+        last = None
+        for b in batches:
+            for h, part, parts, digest, context, n in zip(*(b.column(c).to_pylist() for c in ("h", "part", "parts", "digest", "context", "n")), strict=True):
+                if held and (h, part) != last:
+                    yield solve(held)
+                    held = []
+                last = (h, part)
+                hashes = rolling(np.frombuffer(context, np.uint8), length)
+                own = np.flatnonzero(hashes % np.uint64(parts) == np.uint64(part))
+                held.append((h, digest, hashes[own], own, n, len(hashes)))
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def _by_digest(contexts: DataFrame, length: int) -> DataFrame:
+    """Every string of the contexts by its digest, each string a row."""
 
     def strings(batches):
         for b in batches:
@@ -213,10 +259,25 @@ def _large_buckets(contexts: DataFrame, length: int) -> DataFrame:
                 c = len(context) - length + 1
                 yield pa.RecordBatch.from_arrays([pa.array([h] * c, pa.int64()), pa.array([digest] * c, pa.binary()), pa.array(range(c), pa.int64()), pa.array([hashlib.blake2b(context[i : i + length], digest_size=16).digest() for i in range(c)], pa.binary()), pa.array([n] * c, pa.int64())], ["h", "digest", "at", "string", "n"])
 
+    def join_up(batches):
+        for b in batches:
+            rows = []
+            for h, digest, at in zip(*(b.column(c).to_pylist() for c in ("h", "digest", "at")), strict=True):
+                which = np.zeros(max(at) + 1, bool)
+                which[at] = True
+                rows.append((h, digest, *_ranges(which, length)))
+            yield _batch_of(rows)
+
     every = contexts.mapInArrow(strings, "h bigint, digest binary, at bigint, string binary, n bigint")
     twice = every.groupBy("string").agg(F.sum("n").alias("seen")).where("seen > 1").select("string")
-    found = every.join(twice, "string").groupBy("h", "digest").agg(F.array_sort(F.collect_list("at")).alias("starts"))
-    return found.select("h", "digest", "starts", F.transform("starts", lambda s: s + length).alias("ends"))
+    return every.join(twice, "string").groupBy("h", "digest").agg(F.collect_list("at").alias("at")).mapInArrow(join_up, RANGES)
+
+
+def _large_buckets(contexts: DataFrame, length: int, tasks: int) -> DataFrame:
+    """contexts: of buckets too large to sort, with `parts`."""
+    streamed = contexts.where(F.col("parts") <= MOST_TASKS).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    streamed = streamed.repartition(tasks, "h", "part").sortWithinPartitions("h", "part").mapInArrow(_count_hashes(length), RANGES)
+    return streamed.unionByName(_by_digest(contexts.where(F.col("parts") > MOST_TASKS), length))
 
 
 def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -263,11 +324,11 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     with_text = keyed.join(of_text, common.same_key(keyed, of_text)).select(keyed["_id"], keyed["_th"], common.text_or_empty(F.col("text")).alias("text"), "runs")
     contexts = common.stored(with_text.mapInArrow(cut_contexts, f"_id {kind}, _th bigint, lo bigint, h bigint, digest binary, context binary"))
     distinct = common.stored(contexts.groupBy("h", "digest").agg(F.first("context", ignorenulls=True).alias("context"), F.count("*").alias("n")))
-    large = common.stored(distinct.groupBy("h").agg(F.sum(F.length("context")).alias("size")).where(F.col("size") > BUCKET).select("h"))
+    large = common.stored(distinct.groupBy("h").agg(F.sum(F.length("context")).alias("size")).where(F.col("size") > BUCKET).select("h", F.ceil(F.col("size") / STREAM).cast("int").alias("parts")))
     parts = common.partitions(docs.sparkSession)
     ranges = distinct.join(large, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length), RANGES)
     if large.head(1):
-        ranges = ranges.unionByName(_large_buckets(distinct.join(large, "h").repartition(parts), length))
+        ranges = ranges.unionByName(_large_buckets(distinct.join(large, "h"), length, parts))
     placed = contexts.select("_id", "_th", "lo", "h", "digest").join(ranges, ["h", "digest"])
     spans = placed.select("_id", "_th", F.explode(F.arrays_zip("starts", "ends")).alias("r"), "lo")
     return spans.groupBy("_id", "_th").agg(F.collect_set(F.struct((F.col("lo") + F.col("r.starts")).alias("start"), (F.col("lo") + F.col("r.ends")).alias("end"))).alias("spans"))

@@ -74,6 +74,13 @@ def test_near_dups_in_split_buckets(spark, monkeypatch):
     assert sorted((str(r["_id"]), str(r["component"])) for r in got) == sorted((str(d), str(c)) for (d, _), c in zip(rows, near_by_force(rows, 85, 3), strict=True))
 
 
+def test_near_dups_in_large_families(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "FAMILY", 2)
+    rows = some_documents(7)
+    got = near_dup.classes(docs(spark, rows), 85, 3).collect()
+    assert sorted((str(r["_id"]), str(r["component"])) for r in got) == sorted((str(d), str(c)) for (d, _), c in zip(rows, near_by_force(rows, 85, 3), strict=True))
+
+
 def test_keep_one_of_each_group(spark):
     rows = some_documents()
     df = docs(spark, rows).withColumnRenamed("source", "label")
@@ -144,8 +151,11 @@ def test_substrings_against_all_strings(spark, length):
     assert got == cut_by_force(rows, length)
 
 
-def test_substrings_in_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize(("stream", "most"), [(1 << 20, 8), (200, 1000), (200, 3), (200, 0)])
+def test_substrings_in_large_buckets(spark, monkeypatch, stream, most):
     monkeypatch.setattr(sd, "BUCKET", 300)
+    monkeypatch.setattr(sd, "STREAM", stream)
+    monkeypatch.setattr(sd, "MOST_TASKS", most)
     rows = repeats(5, 40)
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.remove(docs(spark, rows), 40).collect()), key=str)
     assert got == cut_by_force(rows, 40)
