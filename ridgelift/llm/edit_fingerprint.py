@@ -8,7 +8,7 @@ A fingerprint keeps 64 sampled times of each octave of the walk ([0, 64), [64, 1
 character written at that time, 0 after the text's end. Octaves do not depend on the text's length, so texts of any
 two lengths compare. The likeness of two fingerprints weighs each octave by its length: it estimates the share of
 times at which both walks wrote the same. Near pairs are found by banding: bits sampled from the
-fingerprint of each length class are hashed per band, and candidates are verified by their likeness.
+fingerprint of each length class are hashed per band, and all members of a bucket are compared by their likeness.
 
 Nulls: a null text is the empty text; its fingerprint is all zeros, and two of them have likeness 1. Equal texts have
 equal fingerprints. Ties of doc_id, and null ids (last), are ordered by the text. Texts are walked whole, in blocks, so
@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .near_dup import _groups
 
 SAMPLES = 64
 PERIOD = 1 << 12
 CLASSES = 64
 SEED = 20_240_229
 BLOCK = 1 << 16
+#: Members of a bucket that are compared in one task; a block of two salts holds about twice as many.
+MEMBERS = 10_000
 
 
 class Walk:
@@ -144,12 +147,39 @@ def with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str,
             held = None if donors[i].as_py() else row  # later donors, copies of the first, follow no row
 
 
+def unpacked(fp: str) -> np.ndarray:
+    """(octaves, SAMPLES) values of a fingerprint."""
+    v = np.frombuffer(bytes.fromhex(fp), np.uint8)
+    return np.stack([v >> 4, v & 15], 1).reshape(-1, SAMPLES)
+
+
+def likenesses(x: np.ndarray, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in others (octave, member, sample) of those with a likeness of `least` or more to x (octave, sample), and their likenesses.
+
+    From the heaviest octave down, a member is left out once even full agreement in the octaves to come cannot lift it to `least`.
+    """
+    weight = [1.0] + [2.0 ** (k - 1) for k in range(1, len(x))]
+    at = np.arange(others.shape[1])
+    same, either = np.zeros(len(at)), np.zeros(len(at))
+    for k in range(len(x) - 1, -1, -1):
+        y = others[k][at]
+        same += ((y == x[k]) & (y > 0)).sum(1) * weight[k]
+        either += ((y > 0) | (x[k] > 0)).sum(1) * weight[k]
+        rest = SAMPLES * sum(weight[:k])
+        can = same + rest >= (least - 1e-9) * (either + rest)
+        at, same, either = at[can], same[can], either[can]
+    found = np.divide(same, either, out=np.ones(len(at)), where=either > 0)
+    return at[found >= least], found[found >= least]
+
+
 def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int = 24) -> DataFrame:
     """Pairs of fingerprints with a likeness of `least` or more: columns fingerprint_a < fingerprint_b, likeness.
 
     prints: column fingerprint; equal fingerprints are one class and appear once, null ones not at all. Each of the bands hashes
-    `bits` bits, sampled from the octaves by their length. Every member of a bucket is paired with the bucket's smallest
-    fingerprint, so the pairs grow with the members, and each pair is verified by its likeness.
+    `bits` bits, sampled from the octaves by their length. All members of a bucket are compared with each other by their likeness, so
+    every pair that shares a bucket is found. A bucket with more than `MEMBERS` members is split into blocks of pairs of
+    salts, so that each pair meets in one block. Only banding can miss: a pair just at `least` shares no bucket with a probability of about
+    (1 - least ** (bits / 4)) ** bands, 7e-4 by default, and a nearer pair with less.
     """
     distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
 
@@ -157,8 +187,7 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
         for b in batches:
             fps, out = b.column("fingerprint").to_pylist(), []
             for fp in fps:
-                v = np.frombuffer(bytes.fromhex(fp), np.uint8)
-                v = np.stack([v >> 4, v & 15], 1).reshape(-1, SAMPLES)
+                v = unpacked(fp)
                 top = len(v)
                 each = []
                 for back in (0, 1):  # texts whose lengths fall on two sides of a power of two meet in the lower one
@@ -166,20 +195,51 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
                     rng = np.random.default_rng(SEED + k)
                     octave = k - 1 - np.minimum(rng.geometric(0.5, (bands, bits // 4)) - 1, k - 1)
                     picks = v[octave, rng.integers(0, SAMPLES, (bands, bits // 4))]
-                    each += [hashlib.blake2b(picks[i].tobytes() + bytes([k, i]), digest_size=8).hexdigest() for i in range(bands)]
-                out.append(each)
-            yield pa.RecordBatch.from_arrays([b.column("fingerprint"), pa.array(out, pa.list_(pa.string()))], ["fingerprint", "keys"])
-
-    keyed = distinct.mapInArrow(keys, "fingerprint string, keys array<string>").select("fingerprint", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(first, "key").where("fingerprint > a").select("a", F.col("fingerprint").alias("b")).distinct()
-
-    def verify(batches):
-        for p in batches:
-            a, b = p.column("a").to_pylist(), p.column("b").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([likeness(x, y) for x, y in zip(a, b, strict=True)], pa.float64())], ["fingerprint_a", "fingerprint_b", "likeness"])
-
-    return pairs.mapInArrow(verify, "fingerprint_a string, fingerprint_b string, likeness double").where(F.col("likeness") >= least)
+                    each += [hashlib.blake2b(picks[i].tobytes() + bytes([k, i]), digest_size=8).digest() for i in range(bands)]
+                out.append(list(dict.fromkeys(each)))
+            node = [hashlib.blake2b(fp.encode(), digest_size=16).digest() for fp in fps]
+            yield pa.RecordBatch.from_arrays([b.column("fingerprint"), pa.array(node, pa.binary()), pa.array(out, pa.list_(pa.binary()))], ["fingerprint", "node", "keys"])
+
+    every = common.stored(distinct.mapInArrow(keys, "fingerprint string, node binary, keys array<binary>"))
+    keyed = every.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    salts = F.ceil(F.col("n") / MEMBERS).cast("int")
+    salt = F.pmod(F.xxhash64("node"), salts).cast("int")
+    # side 0: alone in the block of its own salt; 1 and 2: the lower and the higher salt of a block of two
+    side = lambda t: F.when(t == salt, 0).when(t > salt, 1).otherwise(2)
+    blocks = F.transform(F.sequence(F.lit(0), salts - 1), lambda t: F.struct((F.least(salt, t).cast("long") * salts + F.greatest(salt, t)).alias("block"), side(t).alias("side")))
+    members = keyed.join(shared, "key").select("key", "node", F.explode(blocks).alias("b")).select("key", "node", "b.block", "b.side")
+    members = members.join(every.select("node", "fingerprint"), "node")
+    members = members.repartition(common.partitions(prints.sparkSession), "key", "block").sortWithinPartitions("key", "block")
+
+    def compare(batches):
+        names, out = ["x", "y", "likeness"], ([], [], [])
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names)
+
+        for t in _groups(batches, ("key", "block")):
+            t = t.sort_by("side")
+            node, fps, higher = t.column("node").to_pylist(), t.column("fingerprint").to_pylist(), np.array(t.column("side").to_pylist()) == 2
+            values = np.zeros((max(len(fp) for fp in fps) // SAMPLES, len(fps), SAMPLES), np.uint8)
+            for i, fp in enumerate(fps):
+                v = unpacked(fp)
+                values[: len(v), i] = v
+            start = int(np.argmax(higher)) if higher.any() else 0
+            for i in range(start or len(fps)):
+                first = start or i + 1
+                at, found = likenesses(values[:, i], values[:, first:], least)
+                for j, like in zip((at + first).tolist(), found.tolist(), strict=True):
+                    for column, v in zip(out, (*sorted((node[i], node[j])), like), strict=True):
+                        column.append(v)
+                if len(out[0]) >= 20_000:
+                    yield batch()
+                    out = ([], [], [])
+        yield batch()
+
+    pairs = members.mapInArrow(compare, "x binary, y binary, likeness double").distinct()
+    one, other = (every.select(F.col("node").alias(n), F.col("fingerprint").alias(f)) for n, f in (("x", "f"), ("y", "g")))
+    return pairs.join(one, "x").join(other, "y").select(F.least("f", "g").alias("fingerprint_a"), F.greatest("f", "g").alias("fingerprint_b"), "likeness")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

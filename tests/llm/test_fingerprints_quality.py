@@ -70,6 +70,35 @@ def test_near_pairs(spark):
     assert found == {frozenset((prints[i], prints[i + 30])) for i in range(30)}
 
 
+def test_near_pairs_beside_a_smaller_unlike_print(spark):
+    """{M, A, B}: M is smaller and shares each key of A, but is near neither; only A and B are."""
+    octaves, bands = 8, 24
+    rng = np.random.default_rng(2)
+    a = rng.integers(2, 15, (octaves, ef.SAMPLES)).astype(np.uint8)
+    picked = np.zeros(a.shape, bool)
+    for k in (octaves, octaves - 1):
+        r = np.random.default_rng(ef.SEED + k)
+        octave = k - 1 - np.minimum(r.geometric(0.5, (bands, 6)) - 1, k - 1)
+        picked[octave, r.integers(0, ef.SAMPLES, (bands, 6))] = True
+    b = np.where(rng.random(a.shape) < 0.05, 15, a).astype(np.uint8)
+    m = np.where(picked, a, 1).astype(np.uint8)
+    m, a, b = ("".join(f"{v:x}" for v in x.ravel()) for x in (m, a, b))
+    assert m < a < b and ef.likeness(m, a) < 0.8 and ef.likeness(m, b) < 0.8 <= ef.likeness(a, b)
+    df = spark.createDataFrame([(m,), (a,), (b,)], "fingerprint string")
+    assert [tuple(r) for r in ef.near_pairs(df).collect()] == [(a, b, ef.likeness(a, b))]
+
+
+def test_near_pairs_of_a_split_bucket(spark, monkeypatch):
+    """Short formulaic texts: few buckets, dealt in blocks; every pair is compared once and none is lost."""
+    monkeypatch.setattr(ef, "MEMBERS", 7)
+    rng = np.random.default_rng(8)
+    walk = ef.Walk()
+    prints = sorted({walk.fingerprint("dear customer, your order number " + "".join(rng.choice(list("01"), 6)) + " has shipped") for _ in range(60)})
+    want = {(p, q): ef.likeness(p, q) for i, p in enumerate(prints) for q in prints[i + 1 :] if ef.likeness(p, q) >= 0.9}
+    got = ef.near_pairs(spark.createDataFrame([(p,) for p in prints], "fingerprint string"), 0.9).collect()
+    assert len(got) == len(want) > 100 and {(r[0], r[1]): r[2] for r in got} == want
+
+
 def test_fingerprints_of_nothing(spark, tmp_path):
     assert ef.op2_fingerprints(spark, tables(spark, tmp_path, documents=spark.createDataFrame([], DOCS))).count() == 0
 
