@@ -5,8 +5,8 @@ dummy prefix), the metaspace marker, unigram scores or, for a BPE model, merges
 byte fallback. Batches are encoded by the library's own threads. Where no piece crosses the start of a run of markers,
 texts are cut there and each distinct segment of a task is encoded once; else the text is one segment.
 
-Parity is verified, not assumed: every distinct segment is also encoded by the sentencepiece library and decoded again;
-a text with a segment that differs says so in its row, and keeps sentencepiece's ids.
+The ids are those of the tokenizers library. Parity is verified, not assumed: every distinct segment is also encoded by the
+sentencepiece library; a segment that differs falls back to sentencepiece's ids, and its text says so in its row.
 
 The driver reads the model file from the path given, a parameter, and ships its bytes (refused above `MOST_MODEL_BYTES`).
 
@@ -186,11 +186,13 @@ class Encoder:
         sizes, ok = [self.size], [self.ok]
         for at in range(0, len(fresh), AT_ONCE):
             part = fresh[at : at + AT_ONCE]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             want = self.own.encode(part)
-            ok.append(np.array([e.ids == w for e, w in zip(self.tokenizer.encode_batch_fast(part, add_special_tokens=False), want, strict=True)], bool))
-            sizes.append(np.array([len(w) for w in want], np.int64))
-            self.flat.append(np.array([i for w in want for i in w], np.int32))
-            self.decoded += self.tokenizer.decode_batch(want, skip_special_tokens=False)
+            ok.append(np.array([g == w for g, w in zip(got, want, strict=True)], bool))
+            ids = [g if same else w for g, w, same in zip(got, want, ok[-1], strict=True)]
+            sizes.append(np.array([len(i) for i in ids], np.int64))
+            self.flat.append(np.array([i for own in ids for i in own], np.int32))
+            self.decoded += self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             for s in part:
                 self.place[s] = len(self.place)
         self.size, self.ok = np.concatenate(sizes), np.concatenate(ok)

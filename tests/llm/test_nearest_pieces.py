@@ -103,3 +103,25 @@ def test_other_models_are_rebuilt():
     texts = ["ab  abc a", " b", "cab xé", "", "a" * 20]
     ids, _, parity = pieces.Encoder(data).encode(texts)
     assert [i.tolist() for i in ids] == own.encode(texts) and all(parity)
+
+
+def test_ids_come_from_the_tokenizers_library():
+    """Sentencepiece's ids are replaced by wrong ones that compare equal to all: none of them may be given out."""
+
+    class Wrong(int):
+        __hash__ = int.__hash__
+
+        def __eq__(self, other):
+            return True
+
+    encoder = pieces.Encoder(pieces.model_bytes(pieces.MODEL_PATH))
+    text, own = "  some words, and 日本", encoder.own
+    want = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH).encode(text)
+
+    class Own:
+        def encode(self, texts, **_):
+            return [[Wrong(i + 1) for i in w] for w in own.encode(texts)]
+
+    encoder.own = Own()
+    (ids,), _, parity = encoder.encode([text])
+    assert parity == [True] and ids.tolist() == want
