@@ -5,8 +5,9 @@ dummy prefix), the metaspace marker, unigram scores or, for a BPE model, merges
 byte fallback. Batches are encoded by the library's own threads. Where no piece crosses the start of a run of markers,
 texts are cut there and each distinct segment of a task is encoded once; else the text is one segment.
 
-The ids are those of the tokenizers library. Parity is verified, not assumed: every distinct segment is also encoded by the
-sentencepiece library; a segment that differs falls back to sentencepiece's ids, and its text says so in its row.
+The ids are those of the tokenizers library. Parity is verified, not assumed: every raw text is also
+encoded whole by the sentencepiece library with the original model, so normaliser, cut and ids are all held to it; a text that
+differs falls back to sentencepiece's ids and says so in its row.
 
 The driver reads the model file from the path given, a parameter, and ships its bytes (refused above `MOST_MODEL_BYTES`).
 
@@ -78,13 +79,11 @@ class Model:
     dummy_prefix: bool = True
     squeeze: bool = True
     escape: bool = True
-    #: The model file with a normaliser that changes nothing, for texts that are normalised already.
-    plain: bytes = b""
 
 
 def parse(data: bytes) -> Model:
-    m, rest = Model(), []
-    for number, value, raw in _fields(data):
+    m = Model()
+    for number, value, _ in _fields(data):
         if number == 1:
             piece, score, kind = "", 0.0, NORMAL
             for n, v, _ in _fields(value):
@@ -105,10 +104,6 @@ def parse(data: bytes) -> Model:
                 m.dummy_prefix = bool(v) if n == 3 else m.dummy_prefix
                 m.squeeze = bool(v) if n == 4 else m.squeeze
                 m.escape = bool(v) if n == 5 else m.escape
-        if number != 3:
-            rest.append(raw)
-    identity = b"\x0a\x08identity" + b"\x18\x00\x20\x00\x28" + bytes([m.escape])
-    m.plain = b"".join(rest) + b"\x1a" + bytes([len(identity)]) + identity
     return m
 
 
@@ -140,7 +135,7 @@ def normalizer(m: Model):
 
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]  # spaces alone, no tabs or line ends
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if m.escape:
@@ -153,7 +148,7 @@ def segmentable(m: Model) -> bool:
 
 
 class Encoder:
-    """Encodes normalised texts by their distinct segments; lives for one task."""
+    """Encodes texts by their distinct normalised segments; lives for one task."""
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -161,7 +156,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", "2")  # beside other tasks, more threads only wait for each other
         m = parse(data)
-        self.tokenizer, self.own = build(m, whole=False), sentencepiece.SentencePieceProcessor(model_proto=m.plain)
+        self.tokenizer, self.own = build(m, whole=False), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.norm = normalizer(m)
         self.plain_norm = not m.charsmap and not m.squeeze
         self.dummy, self.escape = m.dummy_prefix, m.escape
@@ -174,7 +169,6 @@ class Encoder:
         self.decoded: list[str] = []
         self.flat: list[np.ndarray] = []
         self.size = np.zeros(0, np.int64)
-        self.ok = np.zeros(0, bool)
 
     def normalised(self, text: str) -> str:
         if not self.plain_norm:
@@ -183,19 +177,16 @@ class Encoder:
         return text.replace(" ", MARK) if self.escape else text
 
     def learn(self, fresh: list[str]) -> None:
-        sizes, ok = [self.size], [self.ok]
+        sizes = [self.size]
         for at in range(0, len(fresh), AT_ONCE):
             part = fresh[at : at + AT_ONCE]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            want = self.own.encode(part)
-            ok.append(np.array([g == w for g, w in zip(got, want, strict=True)], bool))
-            ids = [g if same else w for g, w, same in zip(got, want, ok[-1], strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             sizes.append(np.array([len(i) for i in ids], np.int64))
             self.flat.append(np.array([i for own in ids for i in own], np.int32))
             self.decoded += self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             for s in part:
                 self.place[s] = len(self.place)
-        self.size, self.ok = np.concatenate(sizes), np.concatenate(ok)
+        self.size = np.concatenate(sizes)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[bool]]:
         """Ids, decoded text and parity of each text."""
@@ -208,14 +199,16 @@ class Encoder:
             self.ids, self.at = np.concatenate(self.flat), np.concatenate([[0], np.cumsum(self.size)[:-1]])
             self.flat = [self.ids]
         ids, decoded, parity = [], [], []
-        for p in parts:
+        for p, want in zip(parts, self.own.encode(texts, num_threads=1), strict=True):
             c = np.fromiter(map(self.place.__getitem__, p), np.int64, len(p))
             n = self.size[c]
             ends = np.cumsum(n)
             ids.append(self.ids[np.repeat(self.at[c] - ends + n, n) + np.arange(ends[-1])] if len(c) else np.zeros(0, np.int32))
             text = "".join([self.decoded[i] for i in c.tolist()])
+            parity.append(ids[-1].tolist() == want)
+            if not parity[-1]:
+                ids[-1], text = np.array(want, np.int32), self.tokenizer.decode(want, skip_special_tokens=False)
             decoded.append(text.removeprefix(" ") if self.dummy else text)
-            parity.append(bool(self.ok[c].all()))
         return ids, decoded, parity
 
 

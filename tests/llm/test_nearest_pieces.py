@@ -125,3 +125,37 @@ def test_ids_come_from_the_tokenizers_library():
     encoder.own = Own()
     (ids,), _, parity = encoder.encode([text])
     assert parity == [True] and ids.tolist() == want
+
+
+def test_parity_holds_whole_raw_texts():
+    """A model with a character map and squeezed spaces; then one whose rebuilt normaliser is spoilt, and one whose cut is."""
+    import io
+
+    from tokenizers import normalizers
+
+    out = io.BytesIO()
+    lines = ["the cold front passed at noon", "ﬁne weather and weak lift", "ten knots, then calm: 10 kt", "Ａ wide letter and a ² there"] * 20
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=out, model_type="bpe", vocab_size=330, hard_vocab_limit=False, byte_fallback=True, normalization_rule_name="nmt_nfkc", minloglevel=2)
+    model, texts = out.getvalue(), ["  ﬁne  ² ", "\tＡ tab\n", "e\u0301 \u3000 x", "", "   ", "the lift"]
+    want = sentencepiece.SentencePieceProcessor(model_proto=model).encode(texts)
+    assert pieces.parse(model).charsmap
+    ids, _, parity = pieces.Encoder(model).encode(texts)
+    assert [i.tolist() for i in ids] == want and all(parity)
+
+    spoilt = pieces.Encoder(model)
+    spoilt.norm = normalizers.Sequence([spoilt.norm, normalizers.Replace("f", "g")])
+    ids, decoded, parity = spoilt.encode(texts)
+    assert [i.tolist() for i in ids] == want and parity == [False, True, True, True, True, False] and decoded[-1] == texts[-1]
+
+    cut = pieces.Encoder(model)
+    cut.cut = pieces.re.compile(r"(?s).")
+    ids, _, parity = cut.encode(texts)
+    assert [i.tolist() for i in ids] == want and not parity[-1]
+
+
+def test_only_spaces_are_squeezed():
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    data = own.serialized_model_proto() + b"\x1a\x02\x20\x01"  # merged into the normaliser: extra white space is removed
+    texts = [" \ta\n ", "a  b ", "\n"]
+    ids, _, parity = pieces.Encoder(data).encode(texts)
+    assert [i.tolist() for i in ids] == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts) and all(parity)
