@@ -10,7 +10,7 @@ Inside a bucket no task emits all pairs: a search through the members with near
 fewer than members. Trees join into families, which can only be larger than the true groups. Each family's full sets are
 gathered once, and a search through them by exact similarity gives the groups: nothing is emitted but a label per member. A bucket
 with more than `BLOCK` members is split into blocks of pairs of salts, so that each pair meets in one block. A family with more than
-`FAMILY` members is not gathered: its candidate links are confirmed pair by pair, then members of one bucket in
+`FAMILY` members or more than `FAMILY_HASHES` hashes in their sets is not gathered: its candidate links are confirmed pair by pair, then members of one bucket in
 different groups are compared, and the new links confirmed in turn.
 
 Nulls: a null text, an empty one and one without words have the empty set and are linked with nothing: a component of their own,
@@ -42,6 +42,8 @@ BITS = 1024
 TEXT_AT_ONCE = 1 << 20
 BLOCK = 20_000
 FAMILY = 10_000
+#: Shingle hashes of a family that are gathered at once: 8 bytes each, and about 70 with the copies that resolve them.
+FAMILY_HASHES = 5_000_000
 SEED = 1_618_033
 
 
@@ -277,7 +279,7 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """One row per row of docs: _id, _th, n_shingles, component (smallest non-null id reachable), label (of the component; null for the empty set)."""
     scheme = Scheme(percent, shingle)
     p = common.stored(prints(docs, scheme))
-    first = F.min_by(F.struct("_id", "_th", "keys", "sketch"), F.struct(F.col("_id").isNull(), "_id", "_th"))
+    first = F.min_by(F.struct("_id", "_th", "keys", "sketch", "n_shingles"), F.struct(F.col("_id").isNull(), "_id", "_th"))
     reps = common.stored(p.where("node is not null").groupBy("node").agg(F.min("_id").alias("least"), first.alias("r")).select("node", "least", "r.*"))
 
     keyed = reps.select("node", F.explode("keys").alias("key"))
@@ -293,8 +295,8 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
 
     links = common.stored(by_bucket(members).mapInArrow(_trees(scheme.most_bits), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     families = components(links).withColumnRenamed("label", "family")
-    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    large = common.stored(sizes.where(F.col("n") > FAMILY).select("family"))
+    sizes = families.join(reps.select("node", "n_shingles"), "node").groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
+    large = common.stored(sizes.where((F.col("n") > FAMILY) | (F.col("hashes") > FAMILY_HASHES)).select("family"))
     of_small = full_sets(families.join(large, "family", "left_anti"), reps, docs, scheme)
     of_small = of_small.repartition(common.partitions(docs.sparkSession), "family").sortWithinPartitions("family", "node")
     found = of_small.mapInArrow(_distinct_nodes, of_small.schema).mapInArrow(_groups_of_families(percent), "node binary, label binary")

@@ -81,6 +81,23 @@ def test_near_dups_in_large_families(spark, monkeypatch):
     assert sorted((str(r["_id"]), str(r["component"])) for r in got) == sorted((str(d), str(c)) for (d, _), c in zip(rows, near_by_force(rows, 85, 3), strict=True))
 
 
+def test_families_are_bounded_by_their_hashes(spark, monkeypatch):
+    """A few long documents go pair by pair, though their number is small."""
+    monkeypatch.setattr(near_dup, "FAMILY_HASHES", 2_000, raising=False)
+    asked, of_large = [], near_dup._of_large
+
+    def spy(nodes, *rest):
+        asked.extend(r["node"] for r in nodes.select("node").collect())
+        return of_large(nodes, *rest)
+
+    monkeypatch.setattr(near_dup, "_of_large", spy)
+    long = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join([*long[: 890 - i], f"end{i}"])) for i in range(3)] + [(7, "a few words here now"), (8, "a few words here now"), (9, " ".join(f"v{i}" for i in range(50)))]
+    got = near_dup.classes(docs(spark, rows), 85, 3).collect()
+    assert len(asked) == 3
+    assert sorted((r["_id"], r["component"]) for r in got) == [(0, 0), (1, 0), (2, 0), (7, 7), (8, 7), (9, 9)]
+
+
 def test_keep_one_of_each_group(spark):
     rows = some_documents()
     df = docs(spark, rows).withColumnRenamed("source", "label")
