@@ -61,16 +61,28 @@ def timing(windows: DataFrame) -> DataFrame:
 
 
 def widest_separation(directions: DataFrame, key: str) -> DataFrame:
-    """directions: key, ord, deg. The pair of directions furthest apart, the first in order of ties.
+    """directions: key, ord (unique in a group), deg. The pair of directions furthest apart, the first in order of ties.
 
-    The furthest pair of points on a circle is found among neighbours of the opposite bearing, but members are few:
-    each group's bearings become one small array, and pairs are formed inside it.
+    The furthest direction from a bearing is a neighbour of the opposite bearing: bearings and opposites are sorted together, and
+    each opposite takes the nearest bearing on either side. Rows grow with the members, not with their pairs.
     """
-    per = directions.where("deg is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "deg"))).alias("v"))
-    gap = lambda a, b: F.abs(F.abs(a["deg"] - b["deg"]) - 180)
-    pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["ord"] > a["ord"]), lambda b: F.struct(gap(a, b).alias("g"), a["ord"].alias("a"), b["ord"].alias("b")))))
-    best = F.array_min(pairs)
-    return per.select(key, (180 - best["g"]).alias("separation_deg"), best["a"].alias("first"), best["b"].alias("second")).where("separation_deg is not null")
+    first = Window.partitionBy(key, "deg").orderBy("ord")
+    two = directions.where("deg is not null").withColumn("_n", F.row_number().over(first)).where("_n <= 2")
+    per = two.groupBy(key, "deg").agg(F.min("ord").alias("a"), F.max(F.when(F.col("_n") == 2, F.col("ord"))).alias("second"))
+    here, turn = F.struct("deg", "a", "second"), F.pmod(F.col("deg"), F.lit(360.0))
+    points = per.select(key, F.explode(F.array(turn - 360, turn, turn + 360)).alias("at"), here.alias("p")).withColumn("q", F.lit(None).cast(per.select(here.alias("q")).schema["q"].dataType))
+    asked = per.select(key, F.pmod(F.col("deg") + 180, F.lit(360.0)).alias("at"), here.alias("q"))
+    every = points.unionByName(asked, allowMissingColumns=True)
+    by = Window.partitionBy(key)
+    below = F.last("p", ignorenulls=True).over(by.orderBy("at", F.col("q").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    above = F.last("p", ignorenulls=True).over(by.orderBy(F.col("at").desc(), F.col("q").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = every.select(key, "q", below.alias("below"), above.alias("above")).where("q is not null")
+    found = found.select(key, "q", F.explode(F.array("below", "above")).alias("p"))
+    other = F.when(F.col("p.deg") == F.col("q.deg"), F.col("q.second")).otherwise(F.col("p.a"))
+    pairs = found.withColumn("o", other).where("o is not null")
+    gap = F.abs(F.abs(F.col("q.deg") - F.col("p.deg")) - 180)
+    best = pairs.groupBy(key).agg(F.min(F.struct(gap.alias("g"), F.least("q.a", "o").alias("a"), F.greatest("q.a", "o").alias("b"))).alias("m"))
+    return best.select(key, (180 - F.col("m.g")).alias("separation_deg"), F.col("m.a").alias("first"), F.col("m.b").alias("second"))
 
 
 def weighted_direction(parts: DataFrame, key: str) -> DataFrame:

@@ -227,3 +227,22 @@ def test_first_arrivals_of_a_stream(spark, tmp_path):
     parts = some_samples()[:2]
     got = finished(live.first_arrivals(streamed(spark, tmp_path, parts)), tmp_path, "first")
     assert got.count() == 22 and got.where("seq = 100").count() == 0
+
+
+def test_widest_separation_without_all_pairs(spark):
+    import random
+
+    from ridgelift.operators import compare
+
+    r = random.Random(4)
+    rows = [(g, o, round(r.random() * 360, r.choice((0, 3)))) for g in range(12) for o in range(g + 1)]
+    rows += [(50, 3, 10.0), (50, 1, 10.0), (50, 2, 10.0), (51, 1, 0.0), (51, 2, 170.0), (51, 3, 190.0), (52, 1, None), (52, 2, 5.0)]
+    rows += [(60, o, float(o * 7 % 360)) for o in range(200)]
+    want = {}
+    for g, o, d in rows:
+        for h, q, e in rows:
+            if g == h and o < q and None not in (d, e):
+                want[g] = min(want.get(g, (999,)), (abs(abs(d - e) - 180), o, q))
+    df = compare.widest_separation(spark.createDataFrame(rows, "k long, ord long, deg double"), "k")
+    assert {x[0]: (180 - x[1], x[2], x[3]) for x in df.collect()} == {g: (180 - (180 - w[0]), w[1], w[2]) for g, w in want.items()}
+    assert "collect_list" not in df._jdf.queryExecution().toString()
