@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,19 @@ def order_quantile(values: Column, q: float) -> Column:
     return F.element_at(F.array_sort(values), F.least(n, F.floor(n * q) + 1).cast("int"))
 
 
+def at_place(rows: DataFrame, key: str, value: str, place: Callable[[Column], Column]) -> DataFrame:
+    """key, and as `value` the element at place(n), from 1, of each key's n sorted values; nulls do not count, keys without values are not listed.
+
+    Values are counted first and the place is found by a running sum over the counts: no array of a key's values is made.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    total = counts.groupBy(key).agg(F.sum("_c").alias("_all"))
+    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    at = place(F.col("_all"))
+    found = counts.withColumn("_upto", upto).join(total, key)
+    return found.where((F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at)).select(key, value)
+
+
 def class_shares(cells: DataFrame, key: str, code: str, nodata: int = 0) -> DataFrame:
     """Share of each class, without nodata; shares that round to 0 at three digits are left out. Ranked by count, then code."""
     per = cells.where(F.col(code) != nodata).groupBy(key, code).agg(F.count("*").alias("n"))

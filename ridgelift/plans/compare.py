@@ -183,8 +183,9 @@ def s30_history_since(spark, d):
 
 @R.add("a27_a30_a31_small_statistics", f"with {HISTORY} select station_id, list_sort(list(wind_avg_mps))[count(*) // 2 + 1] as upper_median, arg_min(wind_avg_mps, (abs(wind_avg_mps - 0.9), wind_avg_mps)) as nearest, case when count(*) >= 2 then round(max(wind_avg_mps) - min(wind_avg_mps), 6) end as spread from h group by station_id")
 def a27_a30_a31_small_statistics(spark, d):
-    from ridgelift.functions.numbers import upper_median
+    from ridgelift.operators.series import at_place
 
-    s = F.col("wind_avg_mps")
-    g = station_history(spark, d).groupBy("station_id").agg(F.collect_list(s).alias("v"), compare.nearest_to(s, 0.9).alias("nearest"), F.round(compare.spread(s), 6).alias("spread"))
-    return g.select("station_id", upper_median(F.col("v")).alias("upper_median"), "nearest", "spread")
+    s, h = F.col("wind_avg_mps"), station_history(spark, d)
+    g = h.groupBy("station_id").agg(compare.nearest_to(s, 0.9).alias("nearest"), F.round(compare.spread(s), 6).alias("spread"))
+    median = at_place(h, "station_id", "wind_avg_mps", lambda n: F.floor(n / 2) + 1).withColumnRenamed("wind_avg_mps", "upper_median")
+    return g.join(median, "station_id", "left").select("station_id", "upper_median", "nearest", "spread")

@@ -48,8 +48,10 @@ def w14_rate(spark, d):
 
 @R.add("a28_a32_quantiles", f"with {HISTORY} select station_id, round(100.0 * (count(*) filter (temperature_c < 10) + 0.5 * count(*) filter (temperature_c = 10)) / count(temperature_c), 6) as rank_of_10, (list_sort(list(wind_avg_mps)))[least(count(*), floor(0.9 * count(*)) + 1)::int] as p90 from h group by station_id")
 def a28_a32_quantiles(spark, d):
-    g = station_history(spark, d).groupBy("station_id").agg(F.round(series.percentile_rank(F.col("temperature_c"), 10.0), 6).alias("rank_of_10"), F.collect_list("wind_avg_mps").alias("v"))
-    return g.select("station_id", "rank_of_10", series.order_quantile(F.col("v"), 0.9).alias("p90"))
+    h = station_history(spark, d)
+    g = h.groupBy("station_id").agg(F.round(series.percentile_rank(F.col("temperature_c"), 10.0), 6).alias("rank_of_10"))
+    p90 = series.at_place(h, "station_id", "wind_avg_mps", lambda n: F.least(n, F.floor(n * 0.9) + 1)).withColumnRenamed("wind_avg_mps", "p90")
+    return g.join(p90, "station_id", "left").select("station_id", "rank_of_10", "p90")
 
 
 @R.add("a29_class_shares", f"with {HISTORY}, c as (select station_id, seq % 7 as code, count(*) as n from h where seq % 7 <> 0 group by all), s as (select *, n / sum(n) over (partition by station_id)::double as share, row_number() over (partition by station_id order by n desc, code) as rank from c) select station_id, code, round(share, 6) as share, rank::int as rank from s where share >= 0.0005")

@@ -246,3 +246,11 @@ def test_widest_separation_without_all_pairs(spark):
     df = compare.widest_separation(spark.createDataFrame(rows, "k long, ord long, deg double"), "k")
     assert {x[0]: (180 - x[1], x[2], x[3]) for x in df.collect()} == {g: (180 - (180 - w[0]), w[1], w[2]) for g, w in want.items()}
     assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_quantiles_make_no_array_of_a_stations_values(spark):
+    from ridgelift.plans import catalogue
+
+    for name in ("a27_a30_a31_small_statistics", "a28_a32_quantiles"):
+        df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+        assert "collect_list" not in df._jdf.queryExecution().toString()
