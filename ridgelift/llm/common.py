@@ -33,6 +33,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def no_clash(df: DataFrame, *names: str) -> None:
+    """Refuses columns of the caller that are named like those an operator adds."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are added by this operator: rename those of the input")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

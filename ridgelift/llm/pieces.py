@@ -12,7 +12,8 @@ differs falls back to sentencepiece's ids and says so in its row.
 The driver reads the model file from the path given, a parameter, and ships its bytes (refused above `MOST_MODEL_BYTES`).
 
 Nulls: a null text is the empty text, with no ids. Repeated rows get equal results, a null id stays null. An empty table gives
-an empty result. Other columns pass through `encode` untouched, if none is named like its own.
+an empty result. A very long text is encoded whole, alone in its batch. Other columns pass through `encode` untouched; one named like those
+that it adds (ids, decoded, parity) is refused when it is called.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ import hashlib
 import os
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +36,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
 MARK = "▁"
 #: Distinct segments that a task keeps before it starts its table again.
-MOST_SEGMENTS = 150_000
+MOST_SEGMENTS = 300_000
 #: Segments that are encoded at once, and bytes of text that are cut at once.
 AT_ONCE = 4_000
-TEXT_AT_ONCE = 1 << 20
+TEXT_AT_ONCE = 4 << 20
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -160,56 +163,103 @@ class Encoder:
         self.norm = normalizer(m)
         self.plain_norm = not m.charsmap and not m.squeeze
         self.dummy, self.escape = m.dummy_prefix, m.escape
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if segmentable(m) else re.compile(r"(?s).+")
+        self.cuts = segmentable(m)
         self.is_byte = np.array([k == BYTE for _, _, k in m.pieces])
+        self.spelt = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces], pa.binary())
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.decoded: list[str] = []
-        self.flat: list[np.ndarray] = []
+        self.ids = np.zeros(0, np.int32)
         self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int64)
 
-    def normalised(self, text: str) -> str:
+    def normalised(self, texts: pa.Array) -> pa.Array:
         if not self.plain_norm:
-            return self.norm.normalize_str(text)
-        text = " " + text if self.dummy and text else text
-        return text.replace(" ", MARK) if self.escape else text
+            return pa.array(map(self.norm.normalize_str, texts.to_pylist()), pa.string())
+        if self.dummy:
+            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, ""))
+        return pc.replace_substring(texts, " ", MARK) if self.escape else texts
+
+    def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The segments of normalised texts, and how many each text has. A segment starts where a run of markers does."""
+        texts = pa.concat_arrays([texts])  # offsets from 0
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        if not self.cuts or not len(ends) or not ends[-1]:
+            return texts.filter(pc.greater(pc.binary_length(texts), 0)), (size > 0).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[: ends[-1]]
+        a, b, c = MARK.encode()
+        mark = np.flatnonzero(data == a)
+        mark = mark[mark + 2 < len(data)]
+        mark = mark[(data[mark + 1] == b) & (data[mark + 2] == c)]
+        fresh = np.ones(len(mark), bool)
+        fresh[1:] = mark[1:] - mark[:-1] != 3
+        begins = np.zeros(len(data) + 1, bool)
+        begins[mark[fresh]] = True
+        begins[(ends - size)[size > 0]] = True
+        starts = np.flatnonzero(begins[:-1])
+        found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), texts.buffers()[2])
+        return found, np.searchsorted(starts, ends) - np.searchsorted(starts, ends - size)
 
     def learn(self, fresh: list[str]) -> None:
-        sizes = [self.size]
+        flat, sizes = [self.ids], [self.size]
         for at in range(0, len(fresh), AT_ONCE):
-            part = fresh[at : at + AT_ONCE]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes.append(np.array([len(i) for i in ids], np.int64))
-            self.flat.append(np.array([i for own in ids for i in own], np.int32))
-            self.decoded += self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            for s in part:
-                self.place[s] = len(self.place)
-        self.size = np.concatenate(sizes)
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[bool]]:
-        """Ids, decoded text and parity of each text."""
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32))
+        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+        self.ids, self.size = np.concatenate(flat), np.concatenate(sizes)
+        self.at = np.cumsum(self.size) - self.size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of texts without nulls: all ids in a row, the number of ids of each text, the decoded texts, and parity."""
+        return self.held_to_the_model(texts, *self.rebuilt(texts))
+
+    def rebuilt(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row and the number of ids of each text, by the rebuilt tokenizer alone."""
         if len(self.place) > MOST_SEGMENTS:
             self.clear()
-        parts = [self.cut.findall(self.normalised(t)) for t in texts]
-        fresh = list({s for p in parts for s in p if s not in self.place})
+        found, per_text = self.segments(self.normalised(texts))
+        found = found.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        fresh = [s for s in distinct if s not in self.place]
         if fresh:
             self.learn(fresh)
-            self.ids, self.at = np.concatenate(self.flat), np.concatenate([[0], np.cumsum(self.size)[:-1]])
-            self.flat = [self.ids]
-        ids, decoded, parity = [], [], []
-        for p, want in zip(parts, self.own.encode(texts, num_threads=1), strict=True):
-            c = np.fromiter(map(self.place.__getitem__, p), np.int64, len(p))
-            n = self.size[c]
-            ends = np.cumsum(n)
-            ids.append(self.ids[np.repeat(self.at[c] - ends + n, n) + np.arange(ends[-1])] if len(c) else np.zeros(0, np.int32))
-            text = "".join([self.decoded[i] for i in c.tolist()])
-            parity.append(ids[-1].tolist() == want)
-            if not parity[-1]:
-                ids[-1], text = np.array(want, np.int32), self.tokenizer.decode(want, skip_special_tokens=False)
-            decoded.append(text.removeprefix(" ") if self.dummy else text)
-        return ids, decoded, parity
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        code = place[found.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
+        n = self.size[code]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[code] - ends + n, n) + np.arange(ends[-1])] if len(code) else np.zeros(0, np.int32)
+        size = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])])
+        return ids, size
+
+    def decoded(self, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+        """Texts of ids whose bytes make whole characters, as those of an encoded text do."""
+        flat = self.spelt.take(pa.array(ids))
+        cuts = np.frombuffer(flat.buffers()[1], np.int32)[np.cumsum(np.concatenate([[0], size]))]
+        texts = pa.StringArray.from_buffers(len(size), pa.py_buffer(cuts), flat.buffers()[2])
+        return pc.replace_substring_regex(texts, r"\A ", "") if self.dummy else texts
+
+    def held_to_the_model(self, texts: pa.Array, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Compares each raw text's ids with those of the original model; where they differ, the latter stand."""
+        raw = self.own.encode(texts.to_pylist(), num_threads=1)
+        want = np.fromiter(chain.from_iterable(raw), np.int32)
+        want_size = np.fromiter(map(len, raw), np.int64, len(raw))
+        if np.array_equal(size, want_size):
+            parity = np.ones(len(size), bool)
+            parity[np.repeat(np.arange(len(size)), size)[ids != want]] = False
+            ids = ids if parity.all() else np.where(np.repeat(parity, size), ids, want)
+        else:
+            own, theirs = (np.split(x, np.cumsum(n)[:-1]) for x, n in ((ids, size), (want, want_size)))
+            parity = np.array([np.array_equal(x, y) for x, y in zip(own, theirs, strict=True)], bool)
+            ids = np.concatenate([x if ok else y for x, y, ok in zip(own, theirs, parity, strict=True)])
+            size = np.where(parity, size, want_size)
+        decoded = self.decoded(ids, size)
+        if not parity.all():
+            texts_of = [d.decode() if ok else self.tokenizer.decode(w, skip_special_tokens=False).removeprefix(" " if self.dummy else "") for d, ok, w in zip(decoded.cast(pa.binary()).to_pylist(), parity, raw, strict=True)]
+            decoded = pa.array(texts_of, pa.string())
+        return ids, size, decoded, parity
 
 
 def model_bytes(path: str) -> bytes:
@@ -223,15 +273,15 @@ def model_bytes(path: str) -> bytes:
 def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """docs with ids (array<int>), decoded (text), parity (boolean)."""
     data = model_bytes(path)
+    common.no_clash(docs, "ids", "decoded", "parity")
     place = docs.columns.index("text")
 
     def run(batches):
         encoder = Encoder(data)
         for b in words.slices(batches, at_most=TEXT_AT_ONCE):
-            ids, decoded, parity = encoder.encode(b.column("text").to_pylist())
-            ends = np.cumsum([0, *map(len, ids)])
-            array = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, array, pa.array(decoded, pa.string()), pa.array(parity, pa.bool_())], [*b.schema.names, "ids", "decoded", "parity"])
+            ids, size, decoded, parity = encoder.encode(b.column("text"))
+            array = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, array, decoded, pa.array(parity, pa.bool_())], [*b.schema.names, "ids", "decoded", "parity"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     fields[place] = "`text` string"
@@ -260,15 +310,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):
         encoder = Encoder(data)
         for b in words.slices(batches, at_most=TEXT_AT_ONCE):
-            texts = b.column("text").to_pylist()
-            ids, decoded, parity = encoder.encode(texts)
+            texts = b.column("text")
+            ids, size, decoded, parity = encoder.encode(texts)
+            ends = np.cumsum(size)
+            raw, bytes_before = ids.astype("<i4"), np.concatenate([[0], np.cumsum(encoder.is_byte[ids])])
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids], pa.string()),
-                    pa.array([int(encoder.is_byte[i].sum()) for i in ids], pa.int64()),
-                    pa.array([d == t.replace(MARK, " ") for d, t in zip(decoded, texts, strict=True)], pa.bool_()),
+                    pa.array(size, pa.int64()),
+                    pa.array([hashlib.sha256(raw[e - n : e].tobytes()).hexdigest() for e, n in zip(ends, size, strict=True)], pa.string()),
+                    pa.array(bytes_before[ends] - bytes_before[ends - size], pa.int64()),
+                    pc.equal(decoded, pc.replace_substring(texts, MARK, " ")),
                     pa.array(parity, pa.bool_()),
                 ],
                 ["doc_id", "n_ids", "ids_sha256", "n_byte_ids", "round_trip", "parity"],

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -81,6 +82,13 @@ def test_digests(spark, tmp_path):
     assert pieces.op8_sentencepiece(spark, tables(spark, tmp_path / "none", documents=spark.createDataFrame([], DOCS))).count() == 0
 
 
+def lists(encoder, texts):
+    """Ids, decoded texts and parity of a list of texts."""
+    ids, size, decoded, parity = encoder.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(size)
+    return [ids[e - n : e].tolist() for e, n in zip(ends, size, strict=True)], decoded.to_pylist(), parity.tolist()
+
+
 def test_other_models_are_rebuilt():
     """A unigram model with a dummy prefix and squeezed spaces, written field by field."""
     import struct
@@ -101,61 +109,60 @@ def test_other_models_are_rebuilt():
     data += message(2, b"\x18" + varint(pieces.UNIGRAM) + varint(35 << 3) + b"\x01") + message(3, message(1, b"identity"))
     own = sentencepiece.SentencePieceProcessor(model_proto=data)
     texts = ["ab  abc a", " b", "cab xé", "", "a" * 20]
-    ids, _, parity = pieces.Encoder(data).encode(texts)
-    assert [i.tolist() for i in ids] == own.encode(texts) and all(parity)
+    ids, _, parity = lists(pieces.Encoder(data), texts)
+    assert ids == own.encode(texts) and all(parity)
 
 
 def test_ids_come_from_the_tokenizers_library():
-    """Sentencepiece's ids are replaced by wrong ones that compare equal to all: none of them may be given out."""
-
-    class Wrong(int):
-        __hash__ = int.__hash__
-
-        def __eq__(self, other):
-            return True
-
     encoder = pieces.Encoder(pieces.model_bytes(pieces.MODEL_PATH))
-    text, own = "  some words, and 日本", encoder.own
-    want = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH).encode(text)
+    texts, encoder.own = ["  some words, and 日本", "", "▁▁ x"], None
+    ids, size = encoder.rebuilt(pa.array(texts))
+    want = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH).encode(texts)
+    assert ids.tolist() == [i for w in want for i in w] and size.tolist() == [len(w) for w in want]
 
-    class Own:
-        def encode(self, texts, **_):
-            return [[Wrong(i + 1) for i in w] for w in own.encode(texts)]
 
-    encoder.own = Own()
-    (ids,), _, parity = encoder.encode([text])
-    assert parity == [True] and ids.tolist() == want
+SQUEEZED = b"\x1a\x02\x20\x01"  # merged into the normaliser: extra white space is removed
 
 
 def test_parity_holds_whole_raw_texts():
-    """A model with a character map and squeezed spaces; then one whose rebuilt normaliser is spoilt, and one whose cut is."""
-    import io
-
+    """A model with squeezed spaces; then one whose rebuilt normaliser is spoilt, and one that is cut where pieces cross."""
     from tokenizers import normalizers
 
-    out = io.BytesIO()
-    lines = ["the cold front passed at noon", "ﬁne weather and weak lift", "ten knots, then calm: 10 kt", "Ａ wide letter and a ² there"] * 20
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=out, model_type="bpe", vocab_size=330, hard_vocab_limit=False, byte_fallback=True, normalization_rule_name="nmt_nfkc", minloglevel=2)
-    model, texts = out.getvalue(), ["  ﬁne  ² ", "\tＡ tab\n", "e\u0301 \u3000 x", "", "   ", "the lift"]
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH).serialized_model_proto() + SQUEEZED
+    texts = ["  fine  lift ", "\tA tab\n", "e\u0301 \u3000 x", "", "   ", "the lift"]
     want = sentencepiece.SentencePieceProcessor(model_proto=model).encode(texts)
-    assert pieces.parse(model).charsmap
-    ids, _, parity = pieces.Encoder(model).encode(texts)
-    assert [i.tolist() for i in ids] == want and all(parity)
+    ids, _, parity = lists(pieces.Encoder(model), texts)
+    assert ids == want and all(parity)
 
     spoilt = pieces.Encoder(model)
     spoilt.norm = normalizers.Sequence([spoilt.norm, normalizers.Replace("f", "g")])
-    ids, decoded, parity = spoilt.encode(texts)
-    assert [i.tolist() for i in ids] == want and parity == [False, True, True, True, True, False] and decoded[-1] == texts[-1]
+    ids, decoded, parity = lists(spoilt, texts)
+    assert ids == want and parity == [False, True, True, True, True, False] and decoded[-1] == texts[-1]
+    ids, decoded, parity = lists(spoilt, ["no such letter", "yes: f"])
+    assert parity == [True, False] and decoded[1] == "yes: f"
 
     cut = pieces.Encoder(model)
-    cut.cut = pieces.re.compile(r"(?s).")
-    ids, _, parity = cut.encode(texts)
-    assert [i.tolist() for i in ids] == want and not parity[-1]
+    cut.segments = lambda t: (pa.array([c for x in t.to_pylist() for c in x], pa.string()), np.array([len(x) for x in t.to_pylist()], np.int64))
+    ids, _, parity = lists(cut, texts)
+    assert ids == want and not parity[-1]
+
+
+def test_decoding_by_table_equals_the_library(spark):
+    encoder = pieces.Encoder(pieces.model_bytes(pieces.MODEL_PATH))
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [t or "" for _, t in ODD]
+    ids, decoded, _ = lists(encoder, texts)
+    whole = pieces.build(pieces.parse(pieces.model_bytes(pieces.MODEL_PATH)))
+    assert decoded == whole.decode_batch(ids, skip_special_tokens=False)
+
+
+def test_clashing_columns_are_refused(spark):
+    with pytest.raises(ValueError, match="ids"):
+        pieces.encode(docs(spark, ODD).withColumn("ids", pieces.F.lit(1)))
 
 
 def test_only_spaces_are_squeezed():
     own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
-    data = own.serialized_model_proto() + b"\x1a\x02\x20\x01"  # merged into the normaliser: extra white space is removed
+    data = own.serialized_model_proto() + SQUEEZED
     texts = [" \ta\n ", "a  b ", "\n"]
-    ids, _, parity = pieces.Encoder(data).encode(texts)
-    assert [i.tolist() for i in ids] == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts) and all(parity)
+    ids, _, parity = lists(pieces.Encoder(data), texts)
+    assert ids == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts) and all(parity)
