@@ -4,33 +4,65 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a local session gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # once the table is written, nothing reads the shuffles behind it again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage, survives lost executors. For what the result is read from."""
+    return _written(df)[0]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A function like `stored` whose tables are deleted in the end: for what is used up before the result is read."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        paths.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def no_clash(df: DataFrame, *names: str) -> None:

@@ -1,22 +1,25 @@
-"""LM scoring: a Katz backoff model of words.
+"""LM scoring: a Katz backoff model of words, of any order from two on (two by default).
 
-P(w | h) = d(c(h w)) * c(h w) / c(h) where the pair was seen in training, and a(h) * P(w) where it was not; P(w) in turn is
-discounted, and what it leaves is the probability of the unknown word. Discounts are Good-Turing's for counts up to
-`TOP`, from the corpus' own counts of counts. a(h) is exact: what the seen pairs leave, over what their words leave of the
-unigram distribution, so every history's probabilities sum to one. A history whose pairs are all too frequent to be
-discounted counts one more event, which is its leftover.
+P(w | h) = d(c(h w)) * c(h w) / c(h) where the n-gram was seen in training, and a(h) * P(w | h') where it was not, h' being h without
+its first word; a history never seen passes on to h' alone. P(w) in turn is discounted, and what it leaves is the probability of
+the unknown word. Discounts of each order are Good-Turing's for counts up to `TOP`, from the order's own counts of counts; where
+these are too few for all of the factors to lie between 0 and 1, the largest count that works takes the place of `TOP`, and if none
+does, one absolute discount. a(h) is exact: what the seen n-grams leave, over what their words leave of the lower order, so every
+history's probabilities sum to one. A history whose n-grams are all too frequent to be discounted counts one more event, which
+is its leftover; so does the unigram distribution.
 
-Tables: the words with their counts, and the pairs with their counts, the latter partitioned by history into buckets of about
-`BUCKET` tokens; a history with more than a quarter of a bucket is dealt over several by its next word. A task packs
-what it has for a bucket into one row of compressed columns, equal pairs summed. Scoring sends each slice's pairs to their
-buckets, looks them up there recursively (pair, else backoff weight and word) and brings sums per document back to the slice.
+Texts become slices of about `SLICE` bytes, each written once with its own small list of words. Tables, one for each order, are dealt into
+buckets: words by their hash, n-grams by their history and, where the history is frequent, by the next word too. A message from a slice
+to a bucket is one row of packed columns with equal n-grams summed, and a bucket's messages are folded as they stream by:
+a task holds one slice, or one bucket's distinct n-grams (about `BUCKET` tokens), whatever the size of the corpus. Word counts go back to the slices the
+same way, so no list of all words exists on the driver or in a worker. Scoring sends each slice's n-grams to the buckets of
+the highest order; what is not found there goes on, with the weight, to the next lower order's; sums per text go back to the slice.
 
-Word ids are looked up in a broadcast table only up to `MOST_WORDS` words (16 bytes each). Beyond, `score_by_joins` gives the
-same scores by joins on the words and pairs. Words are told apart by 64-bit hashes.
+Words and histories of two or more words are told apart by 64-bit hashes.
 
 Nulls: a null text is the empty text: its one token is the end. A null id counts as the empty text in the split. Repeated rows
-are trained on and scored once each. Without training rows every token is unknown and has probability 1. An empty table gives
-an empty result. Other columns are not read.
+are trained on and scored once each. A very long text is a slice of its own. Without training rows every token is unknown and has
+probability 1. An empty table gives an empty result. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,11 +36,16 @@ from pyspark.sql import functions as F
 from . import common, words
 
 TOP = 5
-BUCKET = 6_000_000
-MOST_WORDS = 12_000_000
-SLICE = 16 << 20
-#: Hashes of what is no word: no word holds white space.
-END, START = (int(words.hashes(pa.array([s]))[0].view(np.int64)) for s in ("\n", "\t"))
+#: Tokens of a bucket.
+BUCKET = 1_000_000
+SLICE = 4 << 20
+#: Entries that a fold holds before it sums them up.
+FOLD = 1_000_000
+#: The hash of the end: no word holds white space.
+END = int(words.hashes(pa.array(["\n"]))[0])
+#: Word ids: words of the training texts come after these.
+UNKNOWN, START, FIRST = 0, 1, 2
+TIMES, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5BD1E995)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -52,314 +60,543 @@ def discounts(n: list[int]) -> list[float]:
     return [1 - flat / r for r in range(1, TOP + 1)]
 
 
-def counts_of_counts(counts: DataFrame) -> list[int]:
-    found = {r["c"]: r["n"] for r in counts.where(F.col("c") <= TOP + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    return [0] + [found.get(r, 0) for r in range(1, TOP + 2)]
+# Packed columns: unsigned numbers with their bytes regrouped by significance, and compressed.
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, their bytes regrouped by significance and compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes())
+    x = np.ascontiguousarray(x, dtype="<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    width = b[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
 
 
-@dataclass
-class Vocabulary:
-    """Words by rank (most frequent first): the start is word `size`, the unknown word `size` + 1."""
+def _differences(x: np.ndarray) -> np.ndarray:
+    """Of neighbours, modulo 2**64: small where x is sorted."""
+    return np.diff(x, prepend=np.uint64(0))
 
-    hashes: np.ndarray  # sorted
-    rank: np.ndarray  # of each sorted hash
-    counts: np.ndarray  # by rank
-    d: list[float]
-    starts: int
 
-    @property
-    def size(self) -> int:
-        return len(self.counts)
+class _Rows:
+    """Rows of a mapInArrow function, given out a batch at a time."""
 
-    @property
-    def total(self) -> int:
-        return int(self.counts.sum())
+    def __init__(self, schema: dict[str, pa.DataType]):
+        self.schema, self.size = schema, 0
+        self.columns: dict[str, list] = {c: [] for c in schema}
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not self.size:
-            return np.ones(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), self.size - 1)
-        return np.where(self.hashes[at] == h, self.rank[at].astype(np.int64), self.size + 1)
+    def add(self, **row) -> None:
+        for c, held in self.columns.items():
+            held.append(row.get(c))
+            self.size += 16 + (len(row[c]) if isinstance(row.get(c), bytes) else 0)
 
-    def probabilities(self) -> np.ndarray:
-        """P of each word by rank, then 0 for the start, then the unknown word's."""
-        c = self.counts.astype(float)
-        factor = np.array([0.0, *self.d, 1.0])[np.minimum(self.counts, TOP + 1)]
-        p = factor * c / max(1, self.total)
-        left = max(1 - p.sum(), 1e-12) if self.size else 1.0
-        return np.concatenate([p, [0.0, left]])
+    def full(self) -> bool:
+        return self.size > 4 << 20
 
-    def history_counts(self) -> np.ndarray:
-        return np.concatenate([self.counts.astype(np.int64), [self.starts, 0]])
+    def take(self) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(v, self.schema[c]) for c, v in self.columns.items()], list(self.schema))
+        self.columns, self.size = {c: [] for c in self.schema}, 0
+        return batch
 
 
-def bucket_of(a: np.ndarray, b: np.ndarray, ca: np.ndarray, buckets: int, total: int) -> np.ndarray:
-    """The bucket of pairs (a, b): by history, and by next word too where the history is frequent. ca: counts of the histories."""
-    salts = np.maximum(1, -(-4 * buckets * ca // max(1, total)))
-    own = words.mix64(a.astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)
-    salt = words.mix64(b.astype(np.uint64) ^ np.uint64(0x5BD1E995)) % salts.astype(np.uint64)
-    return ((own + salt) % np.uint64(buckets)).astype(np.int64)
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
-def is_frequent(ca: np.ndarray, buckets: int, total: int) -> np.ndarray:
-    return 4 * buckets * ca > total
+def _ddl(schema: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in schema.items())
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, ends included, and the number of tokens of each text."""
-    codes, n, distinct = words.word_codes(texts)
-    h = np.concatenate([words.hashes(distinct).view(np.int64), [END]])
-    ends = np.cumsum(n + 1) - 1
-    out = np.full(len(codes) + len(n), len(h) - 1, np.int64)
-    inner = np.ones(len(out), bool)
-    inner[ends] = False
-    out[inner] = codes
-    return h[out], n + 1
+def _mapped(df: DataFrame, schema: dict[str, str], each) -> DataFrame:
+    """each(row, add) for every row of df, a dict; add(column=value, ...) gives a row out."""
 
+    def run(batches):
+        rows = _Rows({c: _ARROW[t] for c, t in schema.items()})
+        for b in batches:
+            for i in range(b.num_rows):
+                each({c: b.column(c)[i].as_py() for c in b.schema.names}, rows.add)
+                if rows.full():
+                    yield rows.take()
+        yield rows.take()
 
-def _pairs(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(history id, word id, place of the text) of every token, and the tokens of each text."""
-    h, n = _tokens(texts)
-    distinct, back = np.unique(h, return_inverse=True)
-    w = v.ids(distinct)[back]
-    before = np.concatenate([[v.size], w[:-1]])
-    before[np.cumsum(n)[:-1]] = v.size
-    return before, w, np.repeat(np.arange(len(n)), n), n
+    return df.mapInArrow(run, _ddl(schema))
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """h, c of every token of the training texts."""
+def _deal(add, bucket: np.ndarray, columns: dict[str, np.ndarray], first: str, **constant) -> None:
+    """One row for each bucket with its part of the columns; `first` is the one they are sorted by."""
+    order = np.argsort(bucket, kind="stable")
+    found, at = np.unique(bucket[order], return_index=True)
+    for own, i, j in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+        part = order[i:j]
+        add(bucket=own, **constant, **{c: _pack(_differences(x[part]) if c == first else x[part]) for c, x in columns.items()})
 
-    def run(batches):
-        for b in words.slices(batches, at_most=SLICE):
-            h, n = np.unique(_tokens(b.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return train.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c"))
+def _read(row: dict, first: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    return {c: np.cumsum(_unpack(row[c]), dtype=np.uint64) if c == first else _unpack(row[c]) for c in names}
 
 
-@dataclass
-class Katz:
-    unigrams: DataFrame  # h, c
-    bigrams: DataFrame  # bucket, a, b, c: packed columns
-    vocabulary: object  # broadcast Vocabulary
-    d: list[float]
-    buckets: int
-    hot: dict[int, tuple[float, float]]  # sums of histories that are dealt over several buckets
+def _summed(columns: dict[str, np.ndarray], keys: tuple[str, ...], number: str) -> dict[str, np.ndarray]:
+    """One entry for each key, in order, with its numbers summed; other columns follow from the key."""
+    order = np.lexsort([columns[k] for k in reversed(keys)])
+    columns = {c: x[order] for c, x in columns.items()}
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= columns[k][1:] != columns[k][:-1]
+    first = np.flatnonzero(new)
+    return {c: np.add.reduceat(x, first) if c == number else x[first] for c, x in columns.items()} if len(order) else columns
 
 
-def train(docs: DataFrame) -> Katz | None:
-    """docs: column text. None if the words are too many to broadcast."""
-    spark = docs.sparkSession
-    unigrams = common.stored(word_counts(docs))
-    size = unigrams.count()
-    if size > MOST_WORDS:
-        return None
-    t = unigrams.toArrow()  # MOST_WORDS rows at most
-    h, c = t.column("h").to_numpy(), t.column("c").to_numpy()
-    by_hash, by_count = np.argsort(h), np.lexsort((h, -c))
-    rank = np.empty(len(h), np.int32)
-    rank[by_count] = np.arange(len(h), dtype=np.int32)
-    starts = int(c[h == END].sum())
-    v = Vocabulary(h[by_hash], rank[by_hash], c[by_count], discounts(counts_of_counts(unigrams)), starts)
-    total = v.total
-    buckets = max(common.partitions(spark), -(-total // BUCKET))
-    shared = spark.sparkContext.broadcast(v)
-
-    def count_pairs(batches):
-        v = shared.value
-        ca = v.history_counts()
-        for part in words.slices(batches, at_most=SLICE):
-            a, b, _, _ = _pairs(part.column("text"), v)
-            key, n = np.unique(a << 32 | b, return_counts=True)
-            a, b = key >> 32, key & 0xFFFFFFFF
-            yield _deal(bucket_of(a, b, ca[a], buckets, total), {"a": a, "b": b, "c": n})
-
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([_unpack(x) << 32 | _unpack(y) for x, y in zip(g["a"], g["b"], strict=True)])
-        c = np.concatenate([_unpack(x) for x in g["c"]])
-        order = np.argsort(key, kind="stable")
-        key, c = key[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, c = key[first], np.add.reduceat(c, first)
-        n = np.bincount(np.minimum(c, TOP + 2), minlength=TOP + 3)[: TOP + 2]
-        return pd.DataFrame({"bucket": [g["bucket"].iloc[0]], "a": [_pack(key >> 32)], "b": [_pack(key & 0xFFFFFFFF)], "c": [_pack(c)], "n": [n.tolist()]})
-
-    packed = docs.select("text").mapInArrow(count_pairs, "bucket int, a binary, b binary, c binary")
-    bigrams = common.stored(packed.groupBy("bucket").applyInPandas(merge, "bucket int, a binary, b binary, c binary, n array<bigint>"))
-    n = bigrams.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
-    by_count = {r["r"]: r["n"] for r in n}
-    d = discounts([0] + [by_count.get(r, 0) for r in range(1, TOP + 2)])
-
-    def sums(batches):
-        v = shared.value
-        p, ca = v.probabilities(), v.history_counts()
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, s, q = _history_sums(_unpack(row["a"]), _unpack(row["b"]), _unpack(row["c"]), d, p)
-                hot = is_frequent(ca[a], buckets, total)
-                yield pa.RecordBatch.from_arrays([pa.array(a[hot]), pa.array(s[hot]), pa.array(q[hot])], ["a", "s", "q"])
-
-    # histories with more than a quarter of a bucket's tokens: at most four times as many as buckets
-    hot = bigrams.select("a", "b", "c").mapInArrow(sums, "a bigint, s double, q double").groupBy("a").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
-    return Katz(unigrams, bigrams.select("bucket", "a", "b", "c"), shared, d, buckets, {r["a"]: (r["s"], r["q"]) for r in hot})
-
-
-def _deal(bucket: np.ndarray, columns: dict[str, np.ndarray], **constant) -> pa.RecordBatch:
-    """One row for each bucket with its part of the columns, packed."""
-    order = np.argsort(bucket, kind="stable")
-    found, at = np.unique(bucket[order], return_index=True)
-    cuts = [*at.tolist(), len(order)]
-    packed = {k: [_pack(x[order[i:j]]) for i, j in zip(cuts, cuts[1:], strict=False)] for k, x in columns.items()}
-    arrays = [pa.array(found, pa.int32()), *(pa.array([v] * len(found), pa.int64()) for v in constant.values()), *(pa.array(x, pa.binary()) for x in packed.values())]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", *constant, *packed])
+def _by_bucket(df: DataFrame, *then: str) -> DataFrame:
+    return df.repartition(common.partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", *then)
 
 
-def _history_sums(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: list[float], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per history: the sum of discounted counts, and the unigram probability of its seen words. a is sorted."""
-    if not len(a):
-        return a, np.zeros(0), np.zeros(0)
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    kept = np.array([0.0, *d, 1.0])[np.minimum(c, TOP + 1)] * c
-    return a[first], np.add.reduceat(kept, first), np.add.reduceat(p[b], first)
+def _fold(messages: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], schema: dict[str, str], done) -> DataFrame:
+    """Sums column c of each bucket's messages by key as they stream by; done(bucket, columns, add) gives out the sums."""
 
+    def run(batches):
+        rows = _Rows({c: _ARROW[t] for c, t in schema.items()})
+        held: list[dict] = []
+        size, last = 0, None
+
+        def whole():
+            return _summed({c: np.concatenate([h[c] for h in held]) for c in names}, keys, "c")
+
+        for b in batches:
+            for i in range(b.num_rows):
+                bucket = b.column("bucket")[i].as_py()
+                if held and bucket != last:
+                    done(last, whole(), rows.add)
+                    held, size = [], 0
+                last = bucket
+                held.append(_read({c: b.column(c)[i].as_py() for c in names}, keys[0], names))
+                size += len(held[-1]["c"])
+                if size > max(FOLD, 2 * len(held[0]["c"])):
+                    held = [whole()]
+                    size = len(held[0]["c"])
+                if rows.full():
+                    yield rows.take()
+        if held:
+            done(last, whole(), rows.add)
+        yield rows.take()
+
+    return _by_bucket(messages).mapInArrow(run, _ddl(schema))
+
+
+def _serve(table: DataFrame, asked: DataFrame, schema: dict[str, str], load, answer) -> DataFrame:
+    """load(rows of the table) once for each bucket, then answer(what was loaded, row, add) for each row asked, as they stream by."""
+    both = table.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
-def backoff(s, q, ca):
-    """(weight a(h), events of h): from the discounted counts s, the words' unigram mass q and the count ca of h."""
-    undiscounted = ca - s < 1e-9 * np.maximum(ca, 1)
-    events = ca + undiscounted
-    left = np.where(undiscounted, 1.0 / np.maximum(events, 1), 1 - s / np.maximum(events, 1))
-    return left / np.maximum(1 - q, 1e-12), events
+    def run(batches):
+        rows = _Rows({c: _ARROW[t] for c, t in schema.items()})
+        own: list[dict] = []
+        last, loaded = None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                if row["bucket"] != last:
+                    last, own, loaded = row["bucket"], [], None
+                if row["kind"] == 0:
+                    own.append(row)
+                    continue
+                if loaded is None:
+                    loaded, own = load(own), []
+                answer(loaded, row, rows.add)
+                if rows.full():
+                    yield rows.take()
+        yield rows.take()
+
+    return _by_bucket(both, "kind").mapInArrow(run, _ddl(schema))
+
+
+# Slices.
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted hashes of the distinct tokens, the place among them of every token, ends included, and the tokens of each text."""
+    codes, n, distinct = words.word_codes(texts)
+    hashes, place = np.unique(np.concatenate([words.hashes(distinct), np.array([END], np.uint64)]), return_inverse=True)
+    inner = np.ones(len(codes) + len(n), bool)
+    inner[np.cumsum(n + 1) - 1] = False
+    out = np.full(len(inner), len(place) - 1, np.int64)
+    out[inner] = codes
+    return hashes, place[out], n + 1
 
 
-def score(docs: DataFrame, model: Katz) -> DataFrame:
-    """docs: doc_id, held_out, text. One row each: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    shared, d, buckets, hot = model.vocabulary, model.d, model.buckets, model.hot
+def slices_of(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, held_out, text. One row a slice: its words and their training counts, the words of every token by place."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed_schema = f"bucket int, slice bigint, a binary, b binary, t binary, doc_id array<{kind}>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>"
 
-    def send(batches):
+    def run(batches):
         from pyspark import TaskContext
 
-        v = shared.value
-        total, ca = v.total, v.history_counts()
-        base = np.log10((np.concatenate([v.counts, [0, 0]]) + 1.0) / (total + v.size + 1))
         for k, part in enumerate(words.slices(batches, at_most=SLICE)):
-            own = TaskContext.get().partitionId() << 32 | k
-            a, b, t, n = _pairs(part.column("text"), v)
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            order = np.lexsort((t, b, a))
-            dealt = _deal(bucket_of(a[order], b[order], ca[a[order]], buckets, total), {"a": a[order], "b": b[order], "t": t[order]}, slice=own)
-            none = [pa.nulls(len(dealt), f) for f in (pa.list_(part.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))]
-            names = ["bucket", "slice", "a", "b", "t", "doc_id", "held_out", "n_tokens", "n_known", "base"]
-            yield pa.RecordBatch.from_arrays([*dealt.columns, *none], names)
-            facts = [[part.column("doc_id").to_pylist()], [part.column("held_out").to_pylist()], [n.tolist()], [np.add.reduceat((b < v.size).astype(np.int64), starts).tolist()], [np.add.reduceat(base[b], starts).tolist()]]
-            yield pa.RecordBatch.from_arrays([pa.array([own % buckets], pa.int32()), pa.array([own], pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(3)), *(pa.array(x, c.type) for x, c in zip(facts, none, strict=True))], names)
-
-    def look_up(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        v = shared.value
-        p, ca = v.probabilities(), v.history_counts()
-        a, b, c = (np.concatenate([_unpack(x) for x in table[k]]) if len(table) else np.zeros(0, np.int64) for k in "abc")
-        key = a << 32 | b
-        order = np.argsort(key)
-        key, a, b, c = key[order], a[order], b[order], c[order]
-        h, s, q = _history_sums(a, b, c, d, p)
-        for i, x in enumerate(h.tolist()):
-            if x in hot:
-                s[i], q[i] = hot[x]
-        if hot:  # a frequent history may have no pair in this very bucket
-            extra = np.array(sorted(set(hot) - set(h.tolist())), np.int64)
-            h, s, q = np.concatenate([h, extra]), np.concatenate([s, [hot[x][0] for x in extra]]), np.concatenate([q, [hot[x][1] for x in extra]])
-            order = np.argsort(h)
-            h, s, q = h[order], s[order], q[order]
-        alpha, events = backoff(s, q, ca[h])
-        # a history never seen in training passes on to the word alone
-        h = np.concatenate([h, [1 << 40]])
-        log_alpha, log_events = np.log10(np.concatenate([np.maximum(alpha, 1e-300), [1.0]])), np.log10(np.concatenate([np.maximum(events, 1), [1.0]]))
-        log_p = np.log10(np.maximum(p, 1e-300))
-        kept = np.log10(np.maximum(np.array([0.0, *d, 1.0])[np.minimum(c, TOP + 1)] * c, 1e-300))
-        key, kept = np.concatenate([key, [1 << 62]]), np.concatenate([kept, [0.0]])
-
-        out = []
-        for row in asked.itertuples(index=False):
-            if row.a is None:
-                out.append({"slice": row.slice, "t": None, "part": None, "doc_id": row.doc_id, "held_out": row.held_out, "n_tokens": row.n_tokens, "n_known": row.n_known, "base": row.base})
-                continue
-            x, y, t = _unpack(row.a), _unpack(row.b), _unpack(row.t)
-            of_h = np.searchsorted(h, x)
-            of_h = np.where(h[of_h] == x, of_h, len(h) - 1)
-            at = np.searchsorted(key, x << 32 | y)
-            log = np.where(key[at] == (x << 32 | y), kept[at] - log_events[of_h], log_alpha[of_h] + log_p[y])
-            texts, back = np.unique(t, return_inverse=True)
-            out.append({"slice": row.slice, "t": _pack(texts), "part": np.bincount(back, log).tobytes(), "doc_id": None, "held_out": None, "n_tokens": None, "n_known": None, "base": None})
-        return pd.DataFrame(out, columns=["slice", "t", "part", "doc_id", "held_out", "n_tokens", "n_known", "base"])
-
-    def gather(g: pd.DataFrame) -> pd.DataFrame:
-        facts = g[g["t"].isna()].iloc[0]
-        total = np.zeros(len(facts["n_tokens"]))
-        for row in g[g["t"].notna()].itertuples(index=False):
-            total[_unpack(row.t)] += np.frombuffer(row.part, np.float64)
-        return pd.DataFrame({"doc_id": pd.array(list(facts["doc_id"]), "Int64") if kind == "bigint" else list(facts["doc_id"]), "held_out": list(facts["held_out"]), "n_tokens": facts["n_tokens"], "n_known": facts["n_known"], "train_tokens": shared.value.total, "base_score": facts["base"], "score": total})
-
-    sent = docs.select("doc_id", "held_out", "text").mapInArrow(send, packed_schema)
-    mid = f"slice bigint, t binary, part binary, doc_id array<{kind}>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>"
-    parts = sent.groupBy("bucket").cogroup(model.bigrams.groupBy("bucket")).applyInPandas(look_up, mid)
-    return parts.groupBy("slice").applyInPandas(gather, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-def score_by_joins(docs: DataFrame) -> DataFrame:
-    """What `train` and `score` give together, for vocabularies of any size: docs with doc_id, held_out, text."""
-    base = docs.select("doc_id", "held_out", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+            hashes, place, n = _coded(part.column("text"))
+            learnt = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), n)
+            trained = np.bincount(place[learnt], minlength=len(hashes))
+            one = pa.array([0, part.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(one, part.column(c)) for c in ("doc_id", "held_out")]
+            packed = [pa.array([_pack(x)], pa.binary()) for x in (n, place, _differences(hashes), trained)]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()), *lists, *packed], ["slice", "doc_id", "held_out", "n", "place", "h", "c"])
 
-    def tokens(batches):
-        from pyspark import TaskContext
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"slice bigint, doc_id array<{kind}>, held_out array<boolean>, n binary, place binary, h binary, c binary")
+
+
+def _words_of(slices: DataFrame, buckets: int) -> DataFrame:
+    def each(row, add):
+        x = _read(row, "h", ("h", "c"))
+        _deal(add, (x["h"] % np.uint64(buckets)).astype(np.int64), x, "h", slice=row["slice"])
+
+    return _mapped(slices.select("slice", "h", "c"), {"bucket": "int", "slice": "bigint", "h": "binary", "c": "binary"}, each)
+
+
+def _counts_of_counts(c: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(c, TOP + 2).astype(np.int64), minlength=TOP + 3)[: TOP + 2].tolist()
+
+
+def word_table(slices: DataFrame, buckets: int) -> DataFrame:
+    """Words of the training texts by bucket: h, c (counts) and id, the more frequent the smaller; tokens, and counts of counts."""
+
+    def done(bucket, x, add):
+        x = {c: v[x["c"] > 0] for c, v in x.items()}
+        rank = np.empty(len(x["c"]), np.uint64)
+        rank[np.argsort(-x["c"].astype(np.int64), kind="stable")] = np.arange(len(rank), dtype=np.uint64)
+        add(bucket=bucket, h=_pack(_differences(x["h"])), c=_pack(x["c"]), id=_pack(rank * np.uint64(buckets) + np.uint64(bucket + FIRST)), n=_counts_of_counts(x["c"]), words=len(rank), tokens=int(x["c"].sum()))
+
+    schema = {"bucket": "int", "h": "binary", "c": "binary", "id": "binary", "n": "array<bigint>", "words": "bigint", "tokens": "bigint"}
+    return _fold(_words_of(slices, buckets), ("h",), ("h", "c"), schema, done)
+
+
+def _known(table: DataFrame, slices: DataFrame, buckets: int) -> DataFrame:
+    """Of each slice's words, bucket by bucket: id (UNKNOWN, if of no training text) and count."""
 
-        k = 0
-        for part in words.slices(batches):
-            h, n = _tokens(part.column("text"))
-            before = np.concatenate([[START], h[:-1]])
-            before[np.cumsum(n)[:-1]] = START
-            row = np.repeat(np.arange(len(n)), n)
-            own = (TaskContext.get().partitionId() << 40) + k + row
-            k += len(n)
-            take = lambda c: part.column(c).take(pa.array(row))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(own), take("doc_id"), take("held_out"), pa.array(before), pa.array(h)], ["row", "doc_id", "held_out", "a", "b"])
-
-    t = common.stored(base.mapInArrow(tokens, f"row bigint, doc_id {kind}, held_out boolean, a bigint, b bigint"))
-    learnt = t.where(~F.col("held_out"))
-    uni = common.stored(learnt.groupBy(F.col("b").alias("h")).agg(F.count("*").alias("c")))
-    bi = common.stored(learnt.groupBy("a", "b").agg(F.count("*").alias("c")))
-    total, size = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    d1, d2 = discounts(counts_of_counts(uni)), discounts(counts_of_counts(bi))
-
-    def discounted(c, d):
-        return F.element_at(F.array(*[F.lit(float(x)) for x in (*d, 1.0)]), F.least(c, F.lit(TOP + 1)).cast("int")) * c
-
-    prob = uni.select("h", F.col("c").alias("cw"), (discounted(F.col("c"), d1) / max(1, total)).alias("p"))
-    unknown = max(1 - (prob.agg(F.sum("p")).head()[0] or 0.0), 1e-12) if size else 1.0
-    seen = bi.join(prob, bi["b"] == prob["h"]).select("a", "b", discounted(F.col("c"), d2).alias("kept"), "c", "p")
-    hist = seen.groupBy("a").agg(F.sum("kept").alias("s"), F.sum("p").alias("q"), F.sum("c").alias("ca"))
-    none = F.col("ca") - F.col("s") < 1e-9 * F.col("ca")
-    hist = hist.withColumn("events", F.col("ca") + none.cast("int"))
-    hist = hist.withColumn("alpha", F.when(none, 1 / F.col("events")).otherwise(1 - F.col("s") / F.col("events")) / F.greatest(1 - F.col("q"), F.lit(1e-12)))
-    both = t.join(prob, t["b"] == prob["h"], "left").drop("h").join(seen.select("a", "b", "kept"), ["a", "b"], "left").join(hist.select("a", "events", "alpha"), "a", "left")
-    log = F.when(F.col("kept").isNotNull(), F.log10(F.col("kept") / F.col("events"))).otherwise(F.log10(F.coalesce("alpha", F.lit(1.0))) + F.log10(F.coalesce("p", F.lit(unknown))))
-    known = F.coalesce("cw", F.lit(0))
-    return both.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.count("*").alias("n_tokens"), F.count_if(known > 0).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.sum(F.log10((known + 1) / F.lit(float(total + size + 1)))).alias("base_score"), F.sum(log).alias("score")).drop("row")
+    def load(rows):
+        found = [(np.cumsum(_unpack(r["h"]), dtype=np.uint64), _unpack(r["id"]), _unpack(r["c"])) for r in rows]
+        return found[0] if found else (np.zeros(0, np.uint64),) * 3
+
+    def answer(table, row, add):
+        h, ids, c = table
+        asked = np.cumsum(_unpack(row["h"]), dtype=np.uint64)
+        at = np.minimum(np.searchsorted(h, asked), max(0, len(h) - 1))
+        seen = h[at] == asked if len(h) else np.zeros(len(asked), bool)
+        own = [np.where(seen, x[at] if len(h) else 0, 0) for x in (ids, c)]
+        add(bucket=row["bucket"], slice=row["slice"], id=_pack(own[0]), c=_pack(own[1]))
+
+    return _serve(table.select("bucket", "h", "id", "c"), _words_of(slices, buckets).select("bucket", "slice", "h"), {"bucket": "int", "slice": "bigint", "id": "binary", "c": "binary"}, load, answer)
+
+
+def _joined(slices: DataFrame, known: DataFrame, buckets: int, tokens: int, size: int) -> DataFrame:
+    """The slices with ids and counts of their words, and each text's tokens, known tokens and base score."""
+    kind = slices.schema["doc_id"].dataType.elementType.simpleString()
+
+    def run(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = own.iloc[0]
+        hashes, n, place = np.cumsum(_unpack(row["h"]), dtype=np.uint64), _unpack(row["n"]).astype(np.int64), _unpack(row["place"]).astype(np.int64)
+        order = np.argsort((hashes % np.uint64(buckets)).astype(np.int64), kind="stable")
+        ids, c = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
+        answers = answers.sort_values("bucket")
+        ids[order], c[order] = (np.concatenate([_unpack(x) for x in answers[k]]) for k in ("id", "c"))
+        starts = np.cumsum(n) - n
+        base = np.add.reduceat(np.log10((c + 1.0) / (tokens + size + 1))[place], starts)
+        known = np.add.reduceat((c > 0)[place].astype(np.int64), starts)
+        texts = int(c[np.searchsorted(hashes, np.uint64(END))])
+        return pd.DataFrame({"slice": [row["slice"]], "doc_id": [row["doc_id"]], "held_out": [row["held_out"]], "n_tokens": [n], "n_known": [known], "base": [base], "place": [row["place"]], "id": [_pack(ids)], "c": [_pack(c)], "texts": [texts]})
+
+    schema = f"slice bigint, doc_id array<{kind}>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, place binary, id binary, c binary, texts bigint"
+    return slices.groupBy("slice").cogroup(known.groupBy("slice")).applyInPandas(run, schema)
+
+
+# N-grams.
+
+
+def _bucket_of(a: np.ndarray, b: np.ndarray, salts: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words.mix64(a + np.uint64(1)) % np.uint64(buckets) + words.mix64(b ^ SALT) % salts) % np.uint64(buckets)).astype(np.int64)
+
+
+def _grams(row: dict, order: int, buckets: int, tokens: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of every token of a slice: b (the word), low (its count), and for each order m its history a{m} and over how many buckets that is dealt, k{m}; the place of its text."""
+    ids, counts, place = (_unpack(row[c]) for c in ("id", "c", "place"))
+    b, low = ids[place.astype(np.int64)], counts[place.astype(np.int64)]
+    n = np.asarray(row["n_tokens"], np.int64)
+    t = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(b)) - (np.cumsum(n) - n)[t]
+    out = {"b": b, "low": low}
+    a = least = None
+    for m in range(2, order + 1):
+        before, of_before = np.full(len(b), np.uint64(START)), np.full(len(b), np.uint64(row["texts"]))
+        inner = np.flatnonzero(at >= m - 1)
+        before[inner], of_before[inner] = b[inner - m + 1], low[inner - m + 1]
+        a = before if a is None else words.mix64(a * TIMES + before + np.uint64(1))
+        least = of_before if least is None else np.minimum(least, of_before)
+        # a history is at most as frequent as its rarest word: dealt over several buckets if it may fill a quarter of one
+        out[f"a{m}"], out[f"k{m}"] = a, np.maximum(1, np.ceil(least * (4.0 * buckets / max(1, tokens)))).astype(np.uint64)
+    return out, t
+
+
+def _columns(m: int) -> tuple[str, ...]:
+    """What a message of order m holds of a token: of the lower orders too, for those that are not found."""
+    return (*(f"{x}{i}" for i in range(m, 1, -1) for x in "ak"), "b", "low")
+
+
+def _table_columns(m: int) -> tuple[str, ...]:
+    return (f"a{m}", f"k{m}", "b", "c", *(("low",) if m == 2 else (f"a{m - 1}", f"k{m - 1}")))
+
+
+def gram_counts(coded: DataFrame, m: int, buckets: int, tokens: int) -> DataFrame:
+    """The n-grams of order m of the training texts with their counts c, by bucket; counts of counts."""
+    names = _table_columns(m)
+
+    def each(row, add):
+        x, t = _grams(row, m, buckets, tokens)
+        learnt = ~np.asarray(row["held_out"], bool)[t]
+        if not learnt.any():
+            return
+        x = {c: v[learnt] for c, v in x.items()} | {"c": np.ones(int(learnt.sum()), np.uint64)}
+        x = _summed({c: x[c] for c in names}, (f"a{m}", "b"), "c")
+        _deal(add, _bucket_of(x[f"a{m}"], x["b"], x[f"k{m}"], buckets), x, f"a{m}")
+
+    def done(bucket, x, add):
+        add(bucket=bucket, n=_counts_of_counts(x["c"]), **{c: _pack(_differences(v) if c == f"a{m}" else v) for c, v in x.items()})
+
+    packed = {"bucket": "int", **dict.fromkeys(names, "binary")}
+    sent = _mapped(coded.select("slice", "held_out", "n_tokens", "place", "id", "c", "texts"), packed, each)
+    return _fold(sent, (f"a{m}", "b"), names, packed | {"n": "array<bigint>"}, done)
+
+
+@dataclass
+class Order:
+    """A table of n-grams: `grams` by bucket, and `sums` of histories that are dealt over several buckets, a row for each of those."""
+
+    m: int
+    d: list[float]
+    grams: DataFrame
+    sums: DataFrame | None = None
+
+
+@dataclass
+class Katz:
+    unigrams: DataFrame
+    coded: DataFrame  # the slices
+    buckets: int
+    every: int  # tokens of all documents
+    tokens: int  # of the training documents
+    words: int
+    d: list[float]
+    n: list[int]
+    orders: dict[int, Order]
+
+    def word_probability(self):
+        """P(w) from the count of w, 0 for the unknown word: a function that tasks can carry."""
+        lost = [(1 - x) * r * n for r, (x, n) in enumerate(zip(self.d, self.n[1:], strict=False), 1)]
+        left, events = sum(lost), self.tokens
+        if not left:  # nothing is discounted: one more event
+            left, events = 1, events + 1
+        factor = np.array([0.0, *self.d, 1.0])
+
+        def p(c: np.ndarray) -> np.ndarray:
+            return np.where(c > 0, factor[np.minimum(c, TOP + 1).astype(np.int64)] * c, float(left)) / events
+
+        return p
+
+
+def _kept(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array([0.0, *d, 1.0])[np.minimum(c, TOP + 1).astype(np.int64)] * c
+
+
+def _histories(a: np.ndarray) -> np.ndarray:
+    """Where each history of a sorted column starts."""
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    return np.flatnonzero(new)
+
+
+def _sums(row: dict, m: int, d: list[float], p) -> tuple[np.ndarray, ...]:
+    """Of a bucket's table: its columns, and per history a, k, discounted counts s, lower-order mass q of the seen words, count ca."""
+    x = _read(row, f"a{m}", _table_columns(m))
+    first = _histories(x[f"a{m}"])
+    q = np.frombuffer(row["q"], np.float64) if m > 2 else np.add.reduceat(p(x["low"]), first)
+    return x, x[f"a{m}"][first], x[f"k{m}"][first], np.add.reduceat(_kept(x["c"], d), first), q, np.add.reduceat(x["c"], first)
+
+
+def _hot_sums(grams: DataFrame, m: int, d: list[float], p, buckets: int) -> DataFrame:
+    def each(row, add):
+        _, a, k, s, q, ca = _sums(row, m, d, p)
+        for i in np.flatnonzero(k > 1).tolist():
+            add(a=int(a[i].view(np.int64)), own=int(words.mix64(a[i : i + 1] + np.uint64(1))[0] % np.uint64(buckets)), k=int(k[i]), s=float(s[i]), q=float(q[i]), ca=float(ca[i]))
+
+    part = _mapped(grams, {"a": "bigint", "own": "bigint", "k": "bigint", "s": "double", "q": "double", "ca": "double"}, each)
+    whole = part.groupBy("a", "own", "k").agg(*(F.sum(c).alias(c) for c in ("s", "q", "ca")))
+    # a history stands in each of its buckets once, even where there are fewer buckets than salts
+    placed = whole.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.least("k", F.lit(buckets)) - 1)))
+    dealt = placed.select("a", "s", "q", "ca", ((F.col("own") + F.col("salt")) % buckets).cast("int").alias("bucket"))
+    return dealt.groupBy("bucket").agg(*(F.collect_list(c).alias(f"hot_{c}") for c in ("a", "s", "q", "ca")))  # few: together they fill a bucket
+
+
+def _loader(m: int, d: list[float], p):
+    """Reads what `_serve` gives of a bucket into arrays to look n-grams up in."""
+
+    def load(rows):
+        a, s, q, ca = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0)
+        g, c = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for row in rows:
+            if row["hot_a"] is None:
+                x, own, k, *sums = _sums(row, m, d, p)
+                cold = k == 1
+                a, s, q, ca = (np.concatenate([u, v[cold]]) for u, v in zip((a, s, q, ca), (own, *sums), strict=True))
+                g, c = words.mix64(x[f"a{m}"] * TIMES + x["b"]), x["c"]
+            else:
+                a = np.concatenate([a, np.array(row["hot_a"], np.int64).view(np.uint64)])
+                s, q, ca = (np.concatenate([u, np.array(row[f"hot_{v}"], float)]) for u, v in zip((s, q, ca), ("s", "q", "ca"), strict=True))
+        order = np.argsort(g)
+        g, kept = g[order], np.log10(_kept(c[order], d))
+        order = np.argsort(a)
+        a, s, q, ca = a[order], s[order], q[order], ca[order]
+        full = ca - s < 1e-9 * ca  # nothing is discounted: one more event
+        events = ca + full
+        weight = np.where(full, 1 / np.maximum(events, 1), 1 - s / np.maximum(events, 1)) / np.maximum(1 - q, 1e-12)
+        return g, kept, a, np.log10(weight), np.log10(events)
+
+    return load
+
+
+def _look_up(table, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seen, log10 P where seen, log10 of the backoff weight where not)."""
+    g, kept, histories, weight, events = table
+    if not len(histories):
+        return np.zeros(len(a), bool), np.zeros(len(a)), np.zeros(len(a))
+    of = np.minimum(np.searchsorted(histories, a), len(histories) - 1)
+    met = histories[of] == a
+    weight, events = np.where(met, weight[of], 0.0), np.where(met, events[of], 0.0)
+    if not len(g):
+        return np.zeros(len(a), bool), np.zeros(len(a)), weight
+    asked = words.mix64(a * TIMES + b)
+    at = np.minimum(np.searchsorted(g, asked), len(g) - 1)
+    seen = g[at] == asked
+    return seen, np.where(seen, kept[at] - events, 0.0), weight
+
+
+def _with_mass(grams: DataFrame, lower: Order, p, buckets: int) -> DataFrame:
+    """A table of order three or more with q: for each history the lower order's probabilities of its seen words, all of them seen there too."""
+    m = lower.m + 1
+    a, k = f"a{m - 1}", f"k{m - 1}"
+
+    def each(row, add):
+        x = _read(row, f"a{m}", _table_columns(m))
+        first = _histories(x[f"a{m}"])
+        t = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff([*first, len(x["b"])]))
+        order = np.lexsort((x["b"], x[a]))
+        part = {c: v[order] for c, v in {a: x[a], "b": x["b"], "t": t}.items()}
+        _deal(add, _bucket_of(part[a], part["b"], x[k][order], buckets), part, a, back=row["bucket"])
+
+    def answer(table, row, add):
+        x = _read(row, a, (a, "b", "t"))
+        _, log, _ = _look_up(table, x[a], x["b"])
+        t, back = np.unique(x["t"], return_inverse=True)
+        add(bucket=row["back"], t=_pack(t), part=np.bincount(back, 10.0**log).tobytes())
+
+    asked = _mapped(grams, {"bucket": "int", "back": "int", a: "binary", "b": "binary", "t": "binary"}, each)
+    answers = _serve(_table(lower), asked.withColumnRenamed(a, "asked_a").withColumnRenamed("b", "asked_b"), {"bucket": "int", "t": "binary", "part": "binary"}, _loader(lower.m, lower.d, p), lambda table, row, add: answer(table, row | {a: row["asked_a"], "b": row["asked_b"]}, add))
+
+    def run(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        q = np.zeros(len(_histories(np.cumsum(_unpack(own[f"a{m}"].iloc[0]), dtype=np.uint64))))
+        for row in sums.itertuples(index=False):
+            q[_unpack(row.t).astype(np.int64)] += np.frombuffer(row.part, np.float64)
+        return own.assign(q=[q.tobytes()])
+
+    return grams.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in grams.schema)}, q binary")
+
+
+def _table(order: Order) -> DataFrame:
+    return order.grams.unionByName(order.sums, allowMissingColumns=True)
+
+
+def build(docs: DataFrame, order: int = 2) -> Katz:
+    """docs: doc_id, held_out, text. Trains on the rows that are not held out."""
+    if order < 2:
+        raise ValueError("the order is two or more")
+    spark = docs.sparkSession
+    with common.scratch(spark) as written:
+        slices = written(slices_of(docs))
+        sizes = _mapped(slices.select("n", "h"), {"tokens": "bigint", "words": "bigint"}, lambda row, add: add(tokens=int(_unpack(row["n"]).sum()), words=len(_unpack(row["h"]))))
+        tokens, places = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).head()
+        parts = common.partitions(spark)
+        of_words = max(parts, -(-places // BUCKET))
+        table = common.stored(word_table(slices, of_words))
+        n = [0] * (TOP + 2)
+        for r in table.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect():
+            n[r["r"]] = r["n"]
+        learnt, size = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).head()
+        known = written(_known(table, slices, of_words))
+        coded = common.stored(_joined(slices, known, of_words, learnt, size))
+    model = Katz(table, coded, max(parts, -(-tokens // BUCKET)), tokens, learnt, size, discounts(n), n, {})
+    p = model.word_probability()
+    for m in range(2, order + 1):
+        grams = common.stored(gram_counts(coded, m, model.buckets, tokens))
+        n = [0] * (TOP + 2)
+        for r in grams.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect():
+            n[r["r"]] = r["n"]
+        if m > 2:
+            grams = common.stored(_with_mass(grams, model.orders[m - 1], p, model.buckets))
+        d = discounts(n)
+        model.orders[m] = Order(m, d, grams, common.stored(_hot_sums(grams, m, d, p, model.buckets)))
+    return model
+
+
+def score(model: Katz) -> DataFrame:
+    """One row for each row of the documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    order, buckets, every, tokens, p = max(model.orders), model.buckets, model.every, model.tokens, model.word_probability()
+    def each(row, add):
+        x, t = _grams(row, order, buckets, every)
+        x = {c: x[c] for c in _columns(order)} | {"t": t.astype(np.uint64), "c": np.ones(len(t), np.uint64)}
+        x = _summed(x, (f"a{order}", "b", "t"), "c")
+        _deal(add, _bucket_of(x[f"a{order}"], x["b"], x[f"k{order}"], buckets), x, f"a{order}", slice=row["slice"])
+
+    asked = _mapped(model.coded.select("slice", "n_tokens", "place", "id", "c", "texts"), {"bucket": "int", "slice": "bigint", **dict.fromkeys((*_columns(order), "t", "c"), "binary")}, each)
+    parts = None
+    for m in range(order, 1, -1):
+        names = (*_columns(m), "t", "c")
+        renamed = asked.select("bucket", "slice", *(F.col(c).alias(f"asked_{c}") for c in names))
+
+        def answer(table, row, add, m=m, names=names):
+            x = _read({c: row[f"asked_{c}"] for c in names}, f"a{m}", names)
+            seen, log, weight = _look_up(table, x[f"a{m}"], x["b"])
+            value = np.where(seen, log, weight + (np.log10(p(x["low"])) if m == 2 else 0.0)) * x["c"]
+            t, back = np.unique(x["t"], return_inverse=True)
+            add(slice=row["slice"], t=_pack(t), part=np.bincount(back, value).tobytes())
+            if m > 2 and not seen.all():
+                on = {c: x[c][~seen] for c in (*_columns(m - 1), "t", "c")}
+                by = np.lexsort((on["b"], on[f"a{m - 1}"]))
+                on = {c: v[by] for c, v in on.items()}
+                _deal(add, _bucket_of(on[f"a{m - 1}"], on["b"], on[f"k{m - 1}"], buckets), {f"on_{c}": v for c, v in on.items()}, f"on_a{m - 1}", slice=row["slice"])
+
+        schema = {"slice": "bigint", "t": "binary", "part": "binary"}
+        if m > 2:
+            schema |= {"bucket": "int", **{f"on_{c}": "binary" for c in (*_columns(m - 1), "t", "c")}}
+        given = _serve(_table(model.orders[m]), renamed, schema, _loader(m, model.orders[m].d, p), answer)
+        if m > 2:
+            given = common.stored(given)
+            asked = given.where("bucket is not null").select("bucket", "slice", *(F.col(f"on_{c}").alias(c) for c in (*_columns(m - 1), "t", "c")))
+        own = given.where("part is not null").select("slice", "t", "part")
+        parts = own if parts is None else parts.unionByName(own)
+
+    coded = model.coded.select("slice", "doc_id", "held_out", "n_tokens", "n_known", "base")
+    kind = coded.schema["doc_id"].dataType.elementType.simpleString()
+
+    def gather(facts: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        f = facts.iloc[0]
+        total = np.zeros(len(f["n_tokens"]))
+        for row in sums.itertuples(index=False):
+            total[_unpack(row.t).astype(np.int64)] += np.frombuffer(row.part, np.float64)
+        ids = list(f["doc_id"])
+        ids = pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64") if kind in ("bigint", "int") else ids
+        return pd.DataFrame({"doc_id": ids, "held_out": list(f["held_out"]), "n_tokens": f["n_tokens"], "n_known": f["n_known"], "train_tokens": tokens, "base_score": f["base"], "score": total})
+
+    return coded.groupBy("slice").cogroup(parts.groupBy("slice")).applyInPandas(gather, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", (common.crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    model = train(docs.where(~F.col("held_out")))
-    return score_by_joins(docs) if model is None else score(docs, model)
+    return score(build(docs))
