@@ -1,6 +1,6 @@
 """Comparison of several members' findings at one site, day by day, and of one model's runs in time.
 
-Inputs carry site, member and day. Benched members (the model's terrain hides the launch) do not vote.
+Inputs carry site, member and day. Benched members (the model's terrain hides the launch) do not vote, and do not abstain either.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from ridgelift.functions import wind
 from ridgelift.functions.numbers import nudge_round
 
 from .findings import DEFAULTS, Thresholds
+from .sequences import micros
 
 DAY = ["site", "day"]
 
@@ -26,21 +27,43 @@ def spread(value: Column) -> Column:
     return F.when(F.count(value) >= 2, F.max(value) - F.min(value))
 
 
-def window_agreement(covered: DataFrame, windows: DataFrame, quiet: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+def benched(mismatches: DataFrame) -> DataFrame:
+    """Of terrain mismatches (site, member, ever_reaches_launch, delta_m): the members whose lift never reaches the launch."""
+    return mismatches.where(~F.col("ever_reaches_launch")).select("site", "member", F.lit("terrainMismatch").alias("reason"), "delta_m")
+
+
+def member_ledger(members: DataFrame, benches: DataFrame) -> DataFrame:
+    """members: site, member, reference_time, step_h, n_hours, model_elevation_m, launch_m. Adds run_age_h (against the site's newest run), elevation_delta_m, benched and why."""
+    newest = members.groupBy("site").agg(F.max("reference_time").alias("_newest"))
+    age = (micros("_newest") - micros("reference_time")) / 3.6e9
+    b = benches.select("site", "member", F.col("reason").alias("benched"), F.col("delta_m").alias("benched_delta_m"))
+    x = members.join(newest, "site").join(b, ["site", "member"], "left")
+    return x.select("site", "member", "reference_time", age.alias("run_age_h"), "step_h", "n_hours", "model_elevation_m", "launch_m", nudge_round(F.col("model_elevation_m") - F.col("launch_m"), 1).alias("elevation_delta_m"), "benched", "benched_delta_m")
+
+
+def window_agreement(covered: DataFrame, windows: DataFrame, quiet: DataFrame, t: Thresholds = DEFAULTS, benches: DataFrame | None = None) -> DataFrame:
     """Votes per site and day.
 
-    covered: site, member, day (one row each). windows: site, member, day touched, peak_wstar_mps, one row per window and day. quiet: site,
-    member, day, truncated, peak_wstar_mps. A member that does not cover a day some member covers abstains.
+    covered: site, member, day (one row each). windows: site, member, day touched, peak_wstar_mps, peak_above_launch_m, one row per window and day.
+    quiet: site, member, day, truncated, peak_wstar_mps, peak_depth_m. A member that does not cover a day some member covers abstains. Members in
+    `benches` (site, member) have no voice, though the days that only they cover are still days.
     """
+    days = covered.select(*DAY).distinct()
+    if benches is not None:
+        off = benches.select("site", "member").distinct()
+        covered, windows, quiet = (x.join(off, ["site", "member"], "left_anti") for x in (covered, windows, quiet))
     members = covered.groupBy("site").agg(F.count_distinct("member").alias("members"))
     present = covered.groupBy(*DAY).agg(F.count_distinct("member").alias("present"))
     w = windows.groupBy(*DAY).agg(F.count_distinct("member").alias("window_members"))
-    q = quiet.groupBy(*DAY).agg(F.count_if(~F.col("truncated")).alias("quiet"), F.count_if("truncated").alias("truncated"))
-    flips = windows.select(*DAY, "peak_wstar_mps").unionByName(quiet.where(~F.col("truncated")).select(*DAY, "peak_wstar_mps")).groupBy(*DAY).agg(nearest_to(F.col("peak_wstar_mps"), t.wstar_min_mps).alias("wstar_flip_at_mps"))
-    x = present.join(w, DAY, "left").join(q, DAY, "left").join(flips, DAY, "left").join(members, "site")
+    sure = ~F.col("truncated")
+    q = quiet.groupBy(*DAY).agg(F.count_if(sure).alias("quiet"), F.count_if("truncated").alias("truncated"))
+    candidates = windows.select(*DAY, "peak_wstar_mps", F.col("peak_above_launch_m").alias("depth")).unionByName(quiet.where(sure).select(*DAY, "peak_wstar_mps", F.col("peak_depth_m").alias("depth")))
+    flips = candidates.groupBy(*DAY).agg(nearest_to(F.col("peak_wstar_mps"), t.wstar_min_mps).alias("wstar_flip_at_mps"), nearest_to(F.col("depth"), t.depth_min_m).alias("depth_flip_at_m"))
+    x = days.join(present, DAY, "left").join(w, DAY, "left").join(q, DAY, "left").join(flips, DAY, "left").join(members, "site")
     n = lambda c: F.coalesce(c, F.lit(0))
     voters = n("window_members") + n("quiet")
-    return x.select(*DAY, n("window_members").alias("window_members"), n("quiet").alias("quiet_members"), (n("truncated") + F.col("members") - F.col("present")).alias("abstained"), voters.alias("voters"), F.when(voters >= 2, (n("window_members") == 0) | (n("quiet") == 0)).alias("unanimous"), "wstar_flip_at_mps")
+    out = x.select(*DAY, n("window_members").alias("window_members"), n("quiet").alias("quiet_members"), (n("truncated") + F.col("members") - n("present")).alias("abstained"), voters.alias("voters"), F.when(voters >= 2, (n("window_members") == 0) | (n("quiet") == 0)).alias("unanimous"), "wstar_flip_at_mps", "depth_flip_at_m")
+    return out.where("voters > 0 or abstained > 0")
 
 
 def height_spread(peaks: DataFrame) -> DataFrame:

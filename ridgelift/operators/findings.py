@@ -57,6 +57,10 @@ def prepared(hours: DataFrame) -> DataFrame:
     return x.withColumn("after_h", F.coalesce("_after", "_before", one)).withColumn("before_h", F.coalesce("_before", "_after", one)).drop("_after", "_before")
 
 
+def lead_hours(reference: Column, at: Column) -> Column:
+    return nudge_round((micros(at) - micros(reference)) / 3.6e9, 1)
+
+
 def clears(t: Thresholds) -> Column:
     top, w = F.col("usable_lift_top_m"), F.col("thermal_velocity_mps")
     return F.coalesce((w >= t.wstar_min_mps) & (top - F.col("launch_m") >= t.depth_min_m), F.lit(False))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,16 +67,29 @@ def read_archive(spark, path: str, schema: str, since: str | None = None) -> Dat
     return df if since is None else df.where((F.col("month") >= since[:7]) & (F.col("reference_time") >= F.lit(since).cast("timestamp")))
 
 
-def publish(runs: DataFrame, path: str, digits: dict[str, int] | None = None) -> None:
-    """Writes runs that the manifest does not list yet; the manifest comes last and makes them visible."""
-    spark = runs.sparkSession
-    manifest = f"{path}/manifest"
+def _listed(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        known = spark.read.parquet(manifest).select("model", "reference_time").distinct()
-        fresh = runs.join(known, ["model", "reference_time"], "left_anti")
-    except Exception as error:  # the first publication has no manifest
-        if "PATH_NOT_FOUND" not in str(error):
+        return spark.read.parquet(f"{path}/manifest").select("model", "reference_time").distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # the first publication has no manifest
             raise
-        fresh = runs
-    finite_or_fail(rounded(fresh, digits or {})).write.mode("append").partitionBy("model").parquet(f"{path}/runs")
-    fresh.groupBy("model", "reference_time").agg(F.count("*").alias("rows")).withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(manifest)
+        return None
+
+
+def publish(runs: DataFrame, path: str, digits: dict[str, int] | None = None) -> None:
+    """Writes runs that the manifest does not list yet; the manifest comes last and makes them visible.
+
+    Each run is a partition that a retry overwrites, so a publication that failed half-way leaves nothing double. Read with `published`.
+    """
+    known = _listed(runs.sparkSession, path)
+    fresh = runs if known is None else runs.join(known, ["model", "reference_time"], "left_anti")
+    stamped = finite_or_fail(rounded(fresh, digits or {})).withColumn("run", F.date_format("reference_time", "yyyyMMdd'T'HHmmss"))
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "run").parquet(f"{path}/runs")
+    fresh.groupBy("model", "reference_time").agg(F.count("*").alias("rows")).withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/manifest")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The runs that the manifest lists: those of a publication that has not ended stay invisible."""
+    known = _listed(spark, path)
+    runs = spark.read.option("basePath", f"{path}/runs").parquet(f"{path}/runs").drop("run")
+    return runs.limit(0) if known is None else runs.join(known, ["model", "reference_time"], "left_semi")

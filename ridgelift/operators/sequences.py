@@ -30,15 +30,30 @@ def first_wins_max(value: Column, order: Column, payload: Column, smallest: bool
 
 
 def nearest_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, right_seq: str, tolerance_s: int) -> DataFrame:
-    """left with the right row nearest in time within the tolerance, both ways; the earlier row in the right's order wins ties.
+    """left with the right row nearest in time within the tolerance, both ways; the row with the smaller right_seq wins ties.
 
-    Both sides are bucketed by the tolerance: a row can only meet rows of its own and the two neighbouring buckets, so the join is
-    an equality join on (key, bucket) and never a nested loop. left needs a unique column `_left`.
+    No pairs are formed. Time is cut into buckets as long as the tolerance; each bucket sorts its left and right rows together, with the last right
+    row of the bucket before and the first of the bucket after, and a left row takes the nearest on either side. So rows grow with the input, and a
+    busy key is as many groups as it has buckets.
     """
-    bucket = lambda ts: F.floor(micros(ts) / (tolerance_s * 1_000_000))
-    r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns}).withColumn("_bucket", F.explode(F.array(*[bucket(f"r_{right_ts}") + d for d in (-1, 0, 1)])))
-    far = F.abs(micros(left_ts) - micros(f"r_{right_ts}"))
-    near = left.withColumn("_lb", bucket(left_ts))
-    joined = near.join(r, (near[key] == r[f"r_{key}"]) & (near["_lb"] == r["_bucket"])).where(far <= tolerance_s * 1_000_000)
-    best = joined.groupBy("_left").agg(F.min_by(F.struct(*[c for c in r.columns if c != "_bucket"], (far / 6e7).alias("offset_minutes")), F.struct(far, f"r_{right_seq}")).alias("_best"))
-    return left.join(best, "_left", "left").select(*left.columns, "_best.*")
+    width = tolerance_s * 1_000_000
+    r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
+    row = F.struct(*[F.col(c) for c in r.columns])
+    at = micros(f"r_{right_ts}")
+    r = r.where(F.col(f"r_{right_ts}").isNotNull()).groupBy(F.col(f"r_{key}").alias("_key"), at.alias("_at")).agg(F.min_by(row, f"r_{right_seq}").alias("_r")).withColumn("_bucket", F.floor(F.col("_at") / width))
+    own = F.struct("_at", "_r")
+    ends = r.groupBy("_key", "_bucket").agg(F.max_by(own, "_at").alias("last"), F.min_by(own, "_at").alias("first"))
+    beside = ends.select("_key", F.explode(F.array(F.struct((F.col("_bucket") + 1).alias("b"), F.col("last").alias("x")), F.struct((F.col("_bucket") - 1).alias("b"), F.col("first").alias("x")))).alias("e"))
+    rights = r.unionByName(beside.select("_key", F.col("e.b").alias("_bucket"), F.col("e.x._at").alias("_at"), F.col("e.x._r").alias("_r")))
+    lefts = left.select(F.col(key).alias("_key"), micros(left_ts).alias("_at"), F.floor(micros(left_ts) / width).alias("_bucket"), F.struct(*left.columns).alias("_l"))
+    both = rights.unionByName(lefts, allowMissingColumns=True)
+    by, until_here = Window.partitionBy("_key", "_bucket"), (Window.unboundedPreceding, Window.currentRow)
+    right_row = F.when(F.col("_l").isNull(), F.struct("_at", "_r"))
+    before = F.last(right_row, ignorenulls=True).over(by.orderBy("_at", F.col("_l").isNotNull()).rowsBetween(*until_here))
+    after = F.last(right_row, ignorenulls=True).over(by.orderBy(F.col("_at").desc(), F.col("_l").isNotNull()).rowsBetween(*until_here))
+    found = both.select("_l", "_at", before.alias("_b"), after.alias("_a")).where("_l is not null")
+    far = lambda c: F.abs(F.col("_at") - F.col(f"{c}._at"))
+    near = [F.when(far(c) <= width, F.struct(far(c).alias("far"), F.col(f"{c}._r.r_{right_seq}").alias("seq"), F.col(f"{c}._r").alias("r"))) for c in ("_b", "_a")]
+    best = F.array_min(F.filter(F.array(*[F.struct(n["far"].alias("far"), n["seq"].alias("seq"), F.lit(i).alias("i")) for i, n in enumerate(near)]), lambda x: x["far"].isNotNull()))
+    out = found.withColumn("_best", best).withColumn("_r", F.when(F.col("_best.i") == 0, F.col("_b._r")).when(F.col("_best.i") == 1, F.col("_a._r")))
+    return out.select("_l.*", "_r.*", (F.col("_best.far") / 6e7).alias("offset_minutes"))

@@ -28,7 +28,6 @@ def _at() -> Column:
     return F.col("observed_at")
 
 
-
 def local_minute(at: Column, offset_minutes: int) -> Column:
     return F.pmod(F.floor(micros(at) / 6e7) + offset_minutes, F.lit(1440))
 
@@ -197,8 +196,19 @@ def latest_value(h: DataFrame, sensor: str, lookback_minutes: int) -> DataFrame:
 
 
 def compare_window(h: DataFrame, hours: int, days_back: int) -> DataFrame:
-    """Points in the last hours, and in the same hours some days before."""
-    last = h.groupBy("station_id").agg(F.max("observed_at").alias("_last"))
-    ago = lambda n: F.col("_last") - F.expr(f"interval {n} hours")
-    then = days_back * 24
-    return h.join(last, "station_id").groupBy("station_id").agg(F.count_if(_at() >= ago(hours)).alias("now_n"), F.count_if(_at().between(ago(then + hours), ago(then))).alias("then_n"))
+    """Points shown (the last hours) and points of the same span some days before.
+
+    The span runs from the first shown point to the last, both moved back. It counts only if points reach both of its ends within
+    `GAP_FACTOR` average periods of the whole record; else then_n is null, never a short trace. Three small aggregates by station.
+    """
+    back = days_back * 86_400_000_000
+    facts = h.groupBy("station_id").agg(F.min("observed_at").alias("_first"), F.max("observed_at").alias("_last"), F.count("*").alias("_n"))
+    is_shown = _at() >= F.col("_last") - F.expr(f"interval {hours} hours")
+    shown = h.join(facts, "station_id").groupBy("station_id", "_first", "_last", "_n").agg(F.count_if(is_shown).alias("now_n"), F.min(F.when(is_shown, _at())).alias("_shown"))
+    start, end = micros("_shown") - back, micros("_last") - back
+    inside = micros("observed_at").between(start, end)
+    keys = ["station_id", "_first", "_last", "_n", "_shown", "now_n"]
+    found = h.join(shown, "station_id").groupBy(*keys).agg(F.count_if(inside).alias("_c"), F.min(F.when(inside, micros("observed_at"))).alias("_a"), F.max(F.when(inside, micros("observed_at"))).alias("_b"))
+    slack = F.when(F.col("_n") > 1, (micros("_last") - micros("_first")) / (F.col("_n") - 1) * GAP_FACTOR).otherwise(0.0)
+    reaches = (F.col("_c") > 0) & (F.col("_a") - start <= slack) & (end - F.col("_b") <= slack)
+    return found.select("station_id", "now_n", F.when(reaches, F.col("_c")).alias("then_n"))

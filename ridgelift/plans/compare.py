@@ -21,7 +21,6 @@ def _sited(df):
 
 def _windows(h):
     """One row per window and day it touches."""
-    h = h.persist()  # read three times
     touched = findings.window_hours(h).select("profile_id", "window_id", "day").distinct()
     return _sited(touched.join(findings.thermal_windows(h).withColumnRenamed("day", "own_day"), ["profile_id", "window_id"]))
 
@@ -30,22 +29,31 @@ DAY_OF = "strftime({} at time zone 'UTC' at time zone '" + ZONE + "', '%Y-%m-%d'
 VOTES = f"""{PROFILE}, tw as (select profile_id, window_id, {R2.format('max(w)')} as pw, {R1.format('max(lift_top) - any_value(launch_m)')} as ph, arg_min(day, (-lift_top, i)) as pday, min(valid_at) as sa, max(valid_at) as ea, min(i) = 0 as cs, max(i) as li from wh group by 1, 2),
 td as (select distinct profile_id, window_id, day from wh), mx as (select profile_id, max(i) as last_i from hp group by 1), vw as (select profile_id % 50 as site, profile_id // 50 as member, td.day, tw.*, li = last_i as ce from td join tw using (profile_id, window_id) join mx using (profile_id)),
 qs as (select * from hp where not exists (select 1 from wh where wh.profile_id = hp.profile_id and wh.day = hp.day)),
-qd as (select profile_id % 50 as site, profile_id // 50 as member, day, {R2.format('max(w)')} as pw, not (arg_min(local_hour < before_h, i) and arg_max(local_hour >= 24 - after_h, i)) as truncated from qs group by profile_id, day),
+qd as (select profile_id % 50 as site, profile_id // 50 as member, day, {R2.format('max(w)')} as pw, {R1.format('max(lift_top - launch_m)')} as md, not (arg_min(local_hour < before_h, i) and arg_max(local_hour >= 24 - after_h, i)) as truncated from qs group by profile_id, day),
 cv as (select distinct profile_id % 50 as site, profile_id // 50 as member, day from hp)"""
 
 
+BENCHED = "bn as (select profile_id % 50 as site, profile_id // 50 as member, floor((any_value(profile_elevation_m) - any_value(launch_m)) * 10 + 0.5) / 10 as delta_m from hp group by profile_id having abs(any_value(profile_elevation_m) - any_value(launch_m)) >= 250 and not coalesce(max(lift_top) > any_value(launch_m), false))"
+
+
+def _benched(h):
+    return compare.benched(_sited(findings.terrain_mismatch(h)))
+
+
 @R.add(
     "c03_window_agreement",
-    f"""with {VOTES}, ms as (select site, count(distinct member) as members from cv group by site), pz as (select site, day, count(distinct member) as present from cv group by all),
-wv as (select site, day, count(distinct member) as wm from vw group by all), qv as (select site, day, count(*) filter (not truncated) as nq, count(*) filter (truncated) as nt from qd group by all),
-fl as (select site, day, arg_min(pw, (abs(pw - 0.9), pw)) as flip from (select site, day, pw from vw union all select site, day, pw from qd where not truncated) u where pw is not null group by all)
-select site, day, coalesce(wm, 0) as window_members, coalesce(nq, 0) as quiet_members, coalesce(nt, 0) + members - present as abstained, coalesce(wm, 0) + coalesce(nq, 0) as voters,
- case when coalesce(wm, 0) + coalesce(nq, 0) >= 2 then coalesce(wm, 0) = 0 or coalesce(nq, 0) = 0 end as unanimous, flip as wstar_flip_at_mps from pz join ms using (site) left join wv using (site, day) left join qv using (site, day) left join fl using (site, day)""",
+    f"""with {VOTES}, {BENCHED}, ac as (select * from cv where (site, member) not in (select site, member from bn)), aw as (select * from vw where (site, member) not in (select site, member from bn)), aq as (select * from qd where (site, member) not in (select site, member from bn)),
+ms as (select site, count(distinct member) as members from ac group by site), pz as (select site, day, count(distinct member) as present from ac group by all), ds as (select distinct site, day from cv),
+wv as (select site, day, count(distinct member) as wm from aw group by all), qv as (select site, day, count(*) filter (not truncated) as nq, count(*) filter (truncated) as nt from aq group by all),
+un as (select site, day, pw, ph from aw union all select site, day, pw, md as ph from aq where not truncated), fl as (select site, day, arg_min(pw, (abs(pw - 0.9), pw)) filter (pw is not null) as flip, arg_min(ph, (abs(ph - 300), ph)) filter (ph is not null) as flop from un group by all)
+select site, day, coalesce(wm, 0) as window_members, coalesce(nq, 0) as quiet_members, coalesce(nt, 0) + members - coalesce(present, 0) as abstained, coalesce(wm, 0) + coalesce(nq, 0) as voters,
+ case when coalesce(wm, 0) + coalesce(nq, 0) >= 2 then coalesce(wm, 0) = 0 or coalesce(nq, 0) = 0 end as unanimous, flip as wstar_flip_at_mps, flop as depth_flip_at_m
+from ds join ms using (site) left join pz using (site, day) left join wv using (site, day) left join qv using (site, day) left join fl using (site, day) where coalesce(wm, 0) + coalesce(nq, 0) > 0 or coalesce(nt, 0) + members - coalesce(present, 0) > 0""",
 )
 def c03_window_agreement(spark, d):
-    h = profile_hours(spark, d).persist()
+    h = profile_hours(spark, d)
     covered = _sited(h).select("site", "member", "day").distinct()
-    return compare.window_agreement(covered, _windows(h), _sited(findings.quiet_days(h)))
+    return compare.window_agreement(covered, _windows(h), _sited(findings.quiet_days(h)), benches=_benched(h))
 
 
 @R.add("c06_height_spread", f"with {VOTES}, bs as (select site, day, member, max(ph) as best from vw where pday = day group by all) select site, day, count(*) as members, {R1.format('(max(best) - min(best))')} as spread_m from bs group by all having count(*) >= 2")
@@ -67,14 +75,14 @@ def c04_timing_envelope(spark, d):
 
 @R.add(
     "c02_member_ledger",
-    f"""with {HOURS}, g as (select site_id % 50 as site, model, max(valid_at) as reference_time, any_value(0) as z, min(model_elevation_m) as elevation_m from o group by all)
-select site, model, reference_time, (epoch_us(max(reference_time) over (partition by site)) - epoch_us(reference_time)) / 3.6e9 as run_age_h, floor((elevation_m - 600) * 10 + 0.5) / 10 as elevation_delta_m from g""",
+    f"""with {VOTES}, {BENCHED}, g as (select profile_id % 50 as site, profile_id // 50 as member, max(valid_at) as reference_time, max(after_h) as step_h, count(*) as n_hours, any_value(profile_elevation_m) as model_elevation_m, any_value(launch_m) as launch_m from hp group by profile_id)
+select site, member, reference_time, (epoch_us(max(reference_time) over (partition by site)) - epoch_us(reference_time)) / 3.6e9 as run_age_h, step_h, n_hours, model_elevation_m, launch_m, {R1.format('(model_elevation_m - launch_m)')} as elevation_delta_m,
+ case when bn.site is not null then 'terrainMismatch' end as benched, bn.delta_m as benched_delta_m from g left join bn using (site, member)""",
 )
 def c02_member_ledger(spark, d):
-    g = forecast_hour(spark, d).groupBy((F.col("site_id") % 50).alias("site"), "model").agg(F.max("valid_at").alias("reference_time"), F.min("model_elevation_m").alias("_e"))
-    newest = g.groupBy("site").agg(F.max("reference_time").alias("_newest"))
-    age = (sequences.micros("_newest") - sequences.micros("reference_time")) / 3.6e9
-    return g.join(newest, "site").select("site", "model", "reference_time", age.alias("run_age_h"), findings.nudge_round(F.col("_e") - 600, 1).alias("elevation_delta_m"))
+    h = profile_hours(spark, d)
+    members = _sited(h.groupBy("profile_id").agg(F.max("valid_at").alias("reference_time"), F.max("after_h").alias("step_h"), F.count("*").alias("n_hours"), F.first("profile_elevation_m").alias("model_elevation_m"), F.first("launch_m").alias("launch_m")))
+    return at_utc(compare.member_ledger(members, _benched(h)), "reference_time")
 
 
 LINES = "(select o_custkey % 20 as site, o_orderpriority as model, date_trunc('month', o_orderdate)::timestamp as reference_time, o_orderdate + (o_orderkey % 5)::int * interval 1 hour as generated_at, o_orderkey as line_no, (o_custkey * 13) % 1200 as elevation_m, o_totalprice as height_m from orders)"
@@ -113,10 +121,11 @@ def t02_t03_newest_runs(spark, d):
     return kept.select("site", "model", "reference_time", F.row_number().over(w).alias("rung"), F.round(F.col("height_m") - F.lead("height_m").over(w), 6).alias("change_m"))
 
 
-@R.add("j01_align", f"with {HOURS} select site_id % 20 as site, valid_at from o group by all having count(distinct model) = 5")
+@R.add("j01_align", f"with {HOURS} select valid_at, count(*) as hours from o group by all having count(distinct model) = 5")
 def j01_align(spark, d):
-    h = forecast_hour(spark, d).select((F.col("site_id") % 20).alias("site"), "valid_at", "model").distinct()
-    return h.groupBy("site", "valid_at").agg(F.count("*").alias("n")).where("n = 5").drop("n")
+    """Instants at which every model has an hour."""
+    h = forecast_hour(spark, d).groupBy("valid_at", "model").agg(F.count("*").alias("hours"))
+    return h.groupBy("valid_at").agg(F.count("*").alias("n"), F.sum("hours").alias("hours")).where("n = 5").drop("n")
 
 
 @R.add(
@@ -127,8 +136,7 @@ select a.seq, best[1] as r_seq, round(best[2], 6) as offset_minutes from a left
 )
 def j03_nearest_observation(spark, d):
     h = station_history(spark, d).select("station_id", "seq", "observed_at")
-    left = h.where("seq % 3 = 0").withColumn("_left", F.col("seq"))
-    near = sequences.nearest_join(left, h.where("seq % 3 != 0"), "station_id", "observed_at", "observed_at", "seq", 4 * 3600)
+    near = sequences.nearest_join(h.where("seq % 3 = 0"), h.where("seq % 3 != 0"), "station_id", "observed_at", "observed_at", "seq", 4 * 3600)
     return near.select("seq", "r_seq", F.round("offset_minutes", 6).alias("offset_minutes"))
 
 

@@ -15,9 +15,24 @@ ZONE = "America/Vancouver"
 PROFILES = 250
 
 
+REFERENCE = "1995-01-01 00:00:00"
+
+
+def _surface(k):
+    """What the ground sees of an hour; every so many hours lack one of the measures."""
+    speed = (k * 7 % 150).cast("double") / 10.0
+    return (
+        speed.alias("wind_speed_mps"),
+        F.when(k % 11 != 0, (k * 53 % 360).cast("double")).alias("wind_direction_deg"),
+        F.when(k % 13 != 0, speed * 1.5 + 1).alias("wind_gust_mps"),
+        F.when(k % 17 != 0, F.when(k % 5 == 0, (k * 3 % 40).cast("double") / 10.0).otherwise(0.0)).alias("precipitation_mm_hr"),
+        F.when(k % 19 != 0, (k * 19 % 101).cast("double")).alias("cloud_cover_pct"),
+    )
+
+
 def profile_hours(spark, d):
     at = (F.col("valid_at").cast("timestamp") + F.make_interval(hours=(F.col("hour_id") % 24).cast("int"))).alias("valid_at")
-    h = derived_hours(spark, d).select((F.col("site_id") % PROFILES).alias("profile_id"), "hour_id", at, (200.0 + F.col("site_id") % PROFILES * 13 % 1200).alias("launch_m"), "levels", "cloud_base_m", "boundary_layer_top_m", "thermal_velocity_mps", "usable_lift_top_m", (F.col("hour_id") * 7 % 400).cast("double").alias("cape_jkg"), (-(F.col("hour_id") * 13 % 60)).cast("double").alias("cin_jkg"), (200.0 + F.col("site_id") % PROFILES * 7 % 900).alias("profile_elevation_m"))
+    h = derived_hours(spark, d).select((F.col("site_id") % PROFILES).alias("profile_id"), "hour_id", at, (200.0 + F.col("site_id") % PROFILES * 13 % 1200).alias("launch_m"), "levels", "cloud_base_m", "boundary_layer_top_m", "thermal_velocity_mps", "usable_lift_top_m", (F.col("hour_id") * 7 % 400).cast("double").alias("cape_jkg"), (-(F.col("hour_id") * 13 % 60)).cast("double").alias("cin_jkg"), (200.0 + F.col("site_id") % PROFILES * 7 % 900).alias("profile_elevation_m"), *_surface(F.col("hour_id")), F.lit(REFERENCE).cast("timestamp").alias("reference_time"), "sensible_heat_flux_wm2")
     h = h.withColumn("day", times.local_day(F.col("valid_at"), ZONE)).withColumn("local_hour", times.local_hour(F.col("valid_at"), ZONE))
     return findings.prepared(h)
 
@@ -30,7 +45,9 @@ def at_utc(df, *names):
 
 
 PROFILE = f"""{DERIVED}, ph as (select site_id % {PROFILES} as profile_id, hour_id, valid_at + (hour_id % 24)::int * interval 1 hour as valid_at, (200.0 + (site_id % {PROFILES} * 13) % 1200)::double as launch_m, base as cloud_base_m, bl_top, w, lift_top,
-  ((hour_id * 7) % 400)::double as cape, (-((hour_id * 13) % 60))::double as cin, (200.0 + (site_id % {PROFILES} * 7) % 900)::double as profile_elevation_m from f),
+  ((hour_id * 7) % 400)::double as cape, (-((hour_id * 13) % 60))::double as cin, (200.0 + (site_id % {PROFILES} * 7) % 900)::double as profile_elevation_m,
+  ((hour_id * 7) % 150)::double / 10.0::double as sw, case when hour_id % 11 <> 0 then ((hour_id * 53) % 360)::double end as sd, case when hour_id % 13 <> 0 then ((hour_id * 7) % 150)::double / 10.0::double * 1.5::double + 1 end as gust,
+  case when hour_id % 17 <> 0 then case when hour_id % 5 = 0 then ((hour_id * 3) % 40)::double / 10.0::double else 0.0::double end end as rain, case when hour_id % 19 <> 0 then ((hour_id * 19) % 101)::double end as cloud, sensible_heat_flux_wm2 as flux from f),
 pi_ as (select *, row_number() over o - 1 as i, lag(valid_at) over o as pv, lead(valid_at) over o as nv, strftime(valid_at at time zone 'UTC' at time zone '{ZONE}', '%Y-%m-%d') as day, hour(valid_at at time zone 'UTC' at time zone '{ZONE}') as local_hour from ph window o as (partition by profile_id order by valid_at, hour_id)),
 pg as (select *, greatest(1.0, floor((epoch_us(nv) - epoch_us(valid_at)) / 3.6e9 + 0.5)) as ga, greatest(1.0, floor((epoch_us(valid_at) - epoch_us(pv)) / 3.6e9 + 0.5)) as gb from pi_),
 hp as (select *, case when nv is not null then ga when pv is not null then gb else 1.0 end as after_h, case when pv is not null then gb when nv is not null then ga else 1.0 end as before_h from pg),

@@ -81,7 +81,7 @@ rn as (select *, sum(ch) over (partition by profile_id, day order by i rows unbo
 select profile_id, day, {R2.format('mw')} as wind_mps, {R1.format('p[3]')} as height_m, p[2] as at, persistence_h from pk join ls using (profile_id, day)""",
 )
 def f08_band_wind(spark, d):
-    return at_utc(series.band_wind(profile_hours(spark, d).persist()), "at")
+    return at_utc(series.band_wind(profile_hours(spark, d)), "at")
 
 
 @R.add(

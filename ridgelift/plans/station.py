@@ -198,13 +198,20 @@ def p14_trailing_window(spark, d):
     return station.trailing(station_history(spark, d), 24).select("seq")
 
 
-@R.add("j11_compare_window", f"with {HISTORY}, s as (select *, max(observed_at) over (partition by station_id) as last_at from h) select station_id, count(*) filter (observed_at >= last_at - interval 24 hour) as now_n, count(*) filter (observed_at between last_at - interval 192 hour and last_at - interval 168 hour) as then_n from s group by station_id")
+@R.add(
+    "j11_compare_window",
+    f"""with {HISTORY}, s as (select *, max(observed_at) over (partition by station_id) as last_at from h),
+k as (select station_id, any_value(last_at) as last_at, min(observed_at) as first_at, count(*) as n, min(observed_at) filter (observed_at >= last_at - interval 24 hour) as shown_at, count(*) filter (observed_at >= last_at - interval 24 hour) as now_n from s group by station_id),
+m as (select k.station_id, any_value(now_n) as now_n, count(h.seq) as c, any_value(epoch_us(shown_at)) - 604800000000 as a, any_value(epoch_us(last_at)) - 604800000000 as b, epoch_us(min(observed_at)) as ma, epoch_us(max(observed_at)) as mb, any_value(case when n > 1 then (epoch_us(last_at) - epoch_us(first_at)) / (n - 1)::double * 2.5 else 0 end) as tol
+ from k left join h on h.station_id = k.station_id and epoch_us(h.observed_at) between epoch_us(shown_at) - 604800000000 and epoch_us(last_at) - 604800000000 group by k.station_id)
+select station_id, now_n, case when c > 0 and ma - a <= tol and b - mb <= tol then c end as then_n from m""",
+)
 def j11_compare_window(spark, d):
     return station.compare_window(station_history(spark, d), hours=24, days_back=7)
 
 
-@R.add("m31_m32_m38_words", f"with {HISTORY} select seq, case when wind_direction_deg is not null then (['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[{SECTOR16} + 1] end as compass, round(wind_avg_mps * 3.6, 6) as kmh, round(wind_avg_mps * 3600 / 1852, 6) as knots, greatest(0, floor(wind_avg_mps * 3.6 / 5 + 0.5)::int) * 5 as barb_kmh, greatest(0, floor(wind_avg_mps * 3.6 / 5 + 0.5)::int) // 10 as pennants from h")
-def m31_m32_m38_words(spark, d):
+@R.add("m31_m32_r38_words", f"with {HISTORY} select seq, case when wind_direction_deg is not null then (['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[{SECTOR16} + 1] end as compass, round(wind_avg_mps * 3.6, 6) as kmh, round(wind_avg_mps * 3600 / 1852, 6) as knots, greatest(0, floor(wind_avg_mps * 3.6 / 5 + 0.5)::int) * 5 as barb_kmh, greatest(0, floor(wind_avg_mps * 3.6 / 5 + 0.5)::int) // 10 as pennants from h")
+def m31_m32_r38_words(spark, d):
     from ridgelift.functions import wind
 
     s = F.col("wind_avg_mps")
@@ -214,22 +221,22 @@ def m31_m32_m38_words(spark, d):
 
 CUBE = f"""k as (select *, observed_at - interval 480 minute as local_at from h),
 cells as (select month(local_at) as month, (hour(local_at) * 60 + minute(local_at)) // 360 as slot, case when {BLOW} then {SECTOR16} end as sector, count(*) as n,
- sum(case when {BLOW} then -wind_avg_mps * sin(wind_direction_deg * {RAD}) end) as u_sum, sum(case when {BLOW} then -wind_avg_mps * cos(wind_direction_deg * {RAD}) end) as v_sum, sum(case when {BLOW} then wind_avg_mps end) as speed_sum, max(case when {BLOW} then wind_gust_mps end) as max_gust from k group by all)"""
+ round(sum(case when {BLOW} then -wind_avg_mps * sin(wind_direction_deg * {RAD}) end), 6)::decimal(28, 6) as u_sum, round(sum(case when {BLOW} then -wind_avg_mps * cos(wind_direction_deg * {RAD}) end), 6)::decimal(28, 6) as v_sum, round(sum(case when {BLOW} then wind_avg_mps end), 6)::decimal(28, 6) as speed_sum, max(case when {BLOW} then wind_gust_mps end) as max_gust from k group by all)"""
 
 
-@R.add("a18_a19_climatology_cells", f"with {HISTORY}, {CUBE} select month::int as month, slot::int as slot, sector::int as sector, n, round(u_sum, 6) as u_sum, round(v_sum, 6) as v_sum, round(speed_sum, 6) as speed_sum, round(max_gust, 6) as max_gust from cells")
+@R.add("a18_a19_climatology_cells", f"with {HISTORY}, {CUBE} select month::int as month, slot::int as slot, sector::int as sector, n, u_sum::double as u_sum, v_sum::double as v_sum, speed_sum::double as speed_sum, round(max_gust, 6) as max_gust from cells")
 def a18_a19_climatology_cells(spark, d):
     r = climatology.fold(station_history(spark, d), 16, 360, -480)
-    return r.select("month", "slot", "sector", "n", *[F.round(c, 6).alias(c) for c in ("u_sum", "v_sum", "speed_sum", "max_gust")])
+    return r.select("month", "slot", "sector", "n", *[F.col(c).cast("double").alias(c) for c in ("u_sum", "v_sum", "speed_sum")], F.round("max_gust", 6).alias("max_gust"))
 
 
-@R.add("a20_climatology_rose", f"with {HISTORY}, {CUBE}, t as (select sum(n) as total, sum(n) filter (sector is not null) as blowing from cells where month in (1, 2)), g as (select sector, sum(n) as c, sum(speed_sum) as s, max(max_gust) as x from cells where sector is not null and month in (1, 2) group by sector) select r.sector::int as sector, coalesce(c, 0)::bigint as n, round(case when coalesce(blowing, 0) = 0 then 0 else coalesce(c, 0) / blowing::double end, 6) as frequency, round(s / c, 6) as mean_speed_mps, round(x, 6) as max_gust_mps from range(16) r(sector) left join g using (sector) cross join t")
+@R.add("a20_climatology_rose", f"with {HISTORY}, {CUBE}, t as (select sum(n) as total, sum(n) filter (sector is not null) as blowing from cells where month in (1, 2)), g as (select sector, sum(n) as c, sum(speed_sum) as s, max(max_gust) as x from cells where sector is not null and month in (1, 2) group by sector) select r.sector::int as sector, coalesce(c, 0)::bigint as n, round(case when coalesce(blowing, 0) = 0 then 0 else coalesce(c, 0) / blowing::double end, 6) as frequency, s::double / c as mean_speed_mps, round(x, 6) as max_gust_mps from range(16) r(sector) left join g using (sector) cross join t")
 def a20_climatology_rose(spark, d):
     r = climatology.rose(climatology.fold(station_history(spark, d), 16, 360, -480), 16, months=(1, 2))
-    return r.select("sector", "n", *[F.round(c, 6).alias(c) for c in ("frequency", "mean_speed_mps", "max_gust_mps")])
+    return r.select("sector", "n", F.round("frequency", 6).alias("frequency"), "mean_speed_mps", F.round("max_gust_mps", 6).alias("max_gust_mps"))  # the mean is a quotient of exact sums
 
 
-@R.add("a21_climatology_pattern", f"with {HISTORY}, {CUBE}, m as (select slot, sum(n)::bigint as n, coalesce(sum(u_sum), 0) / sum(n) as u, coalesce(sum(v_sum), 0) / sum(n) as v from cells group by slot) select (r.slot * 360)::int as start_minute, coalesce(n, 0)::bigint as sample_count, round(coalesce(sqrt(u * u + v * v), 0), 6) as speed_mps, case when sqrt(u * u + v * v) >= 0.5 then round({BEARING.format(s='-u', c='-v')}, 4) end as direction_deg from range(4) r(slot) left join m using (slot)")
+@R.add("a21_climatology_pattern", f"with {HISTORY}, {CUBE}, m as (select slot, sum(n)::bigint as n, coalesce(sum(u_sum), 0)::double / sum(n) as u, coalesce(sum(v_sum), 0)::double / sum(n) as v from cells group by slot) select (r.slot * 360)::int as start_minute, coalesce(n, 0)::bigint as sample_count, round(coalesce(sqrt(u * u + v * v), 0), 6) as speed_mps, case when sqrt(u * u + v * v) >= 0.5 then round({BEARING.format(s='-u', c='-v')}, 4) end as direction_deg from range(4) r(slot) left join m using (slot)")
 def a21_climatology_pattern(spark, d):
     r = climatology.pattern(climatology.fold(station_history(spark, d), 16, 360, -480), 360)
     return r.select("start_minute", "sample_count", F.round("speed_mps", 6).alias("speed_mps"), F.round("direction_deg", 4).alias("direction_deg"))
@@ -240,6 +247,23 @@ def a22_climatology_coverage(spark, d):
     return climatology.covered_slots(station_history(spark, d), 360, -480)
 
 
+@R.add(
+    "a22_coverage_ledger",
+    f"""with {HISTORY}, k as (select year(observed_at - interval 480 minute) as y, month(observed_at - interval 480 minute) as month, (hour(observed_at - interval 480 minute) * 60 + minute(observed_at - interval 480 minute)) // 180 as slot from h),
+g as (select y, month, slot, count(*) as n, day(last_day(make_date(y, month, 1))) * 180 / {PERIOD_MINUTES}::double as e from k group by all)
+select month::int as month, slot::int as slot, count(*) as years, sum(n)::bigint as n, sum(e) as expected_count, round(case when count(*) = (select count(distinct y) from g) then sum(n) / sum(e) end, 6) as ratio from g group by month, slot""",
+)
+def a22_coverage_ledger(spark, d):
+    r = climatology.coverage_ledger(station_history(spark, d), 180, -480, PERIOD_MINUTES)
+    return r.withColumn("ratio", F.round("ratio", 6))
+
+
+@R.add("a24_year_cubes", f"with {HISTORY}, {CUBE.replace('select month(local_at)', 'select year(local_at) as year, month(local_at)')} select year::int as year, month::int as month, slot::int as slot, sector::int as sector, n, u_sum::double as u_sum, v_sum::double as v_sum, speed_sum::double as speed_sum, round(max_gust, 6) as max_gust from cells")
+def a24_year_cubes(spark, d):
+    r = climatology.year_cubes(station_history(spark, d), 16, 360, -480)
+    return r.select("year", "month", "slot", "sector", "n", *[F.col(c).cast("double").alias(c) for c in ("u_sum", "v_sum", "speed_sum")], F.round("max_gust", 6).alias("max_gust"))
+
+
 @R.add("a23_climatology_favorable", f"with {HISTORY}, {CUBE} select round(sum(n) filter (sector * 22.5 >= 350 or sector * 22.5 <= 30) / nullif(sum(n) filter (sector is not null), 0)::double, 6) as share from cells")
 def a23_climatology_favorable(spark, d):
     return climatology.favorable_share(climatology.fold(station_history(spark, d), 16, 360, -480), 16, ((350.0, 30.0),)).select(F.round("share", 6).alias("share"))

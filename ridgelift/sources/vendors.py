@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgelift.functions.air import sea_level_pressure
+from ridgelift.functions.numbers import finite
 from ridgelift.functions.wind import CALM_MPS, PLAUSIBLE_MPS
 
 
@@ -28,20 +30,62 @@ def columnar_records(raw: DataFrame) -> DataFrame:
     return x.select("station_id", F.timestamp_seconds("r.t").alias("observed_at"), ok("avg").alias("wind_avg_mps"), ok("gust").alias("wind_gust_mps"), ok("lull").alias("wind_lull_mps"), F.when(F.col("r.avg") >= CALM_MPS, ok("dir")).alias("wind_direction_deg"), ok("temp").alias("temperature_c"), F.coalesce("problem", F.when(bad, "implausible wind")).alias("problem"))
 
 
+#: Codes of a refusal that asks to try again later; any other code is an error of the service.
+TRY_LATER = (-1, 45001)
+_LEAF = "map<string,struct<time:string,value:string>>"
+
+
 def text_leaves(raw: DataFrame) -> DataFrame:
-    """raw: station_id, body of strings: wind speeds in mph, two rain gauges. The piezo gauge counts before the bucket; an error code is a problem."""
-    schema = "code int, time string, data struct<wind_speed:string, wind_gust:string, wind_direction:string, piezo:string, bucket:string>"
-    p = raw.select("station_id", F.from_json("body", schema).alias("p"))
-    num = lambda c: F.col(f"p.data.{c}").try_cast("double")
-    mps = lambda c: num(c) * (1609.344 / 3600)
-    problem = F.when(F.col("p").isNull() | F.col("p.code").isNull(), "unreadable").when(F.col("p.code") != 0, F.concat(F.lit("code "), F.col("p.code").cast("string"))).when(mps("wind_speed").isNull(), "no wind")
-    return p.select("station_id", F.timestamp_seconds(F.col("p.time").try_cast("bigint")).alias("observed_at"), mps("wind_speed").alias("wind_avg_mps"), mps("wind_gust").alias("wind_gust_mps"), F.when(mps("wind_speed") >= CALM_MPS, num("wind_direction")).alias("wind_direction_deg"), F.coalesce(num("piezo"), num("bucket")).alias("rain_rate_mm_hr"), problem.alias("problem"))
+    """raw: station_id, body: {code, msg, data: {section: {name: {time, value}}}} in SI units, numbers as strings; elevation_m, if it has one.
+
+    A section that is absent or empty leaves its measures null. The piezo rain section counts before the bucket's. `problem` is a reason code: a
+    refusal is rate_limited or upstream_error, no wind section means that the device has not reported (upstream_error), and a leaf that is
+    no number or out of its range breaks the contract. A row with a problem has no measures.
+    """
+    section = lambda name: F.from_json(F.get_json_object("body", f"$.data.{name}"), _LEAF)
+    names = ("wind", "outdoor", "pressure", "solar_and_uvi", "rainfall_piezo", "rainfall", "battery")
+    code = F.get_json_object("body", "$.code").try_cast("int")
+    p = raw.withColumn("_code", code).withColumn("_msg", F.get_json_object("body", "$.msg")).withColumns({f"_{n}": section(n) for n in names})
+    p = p.withColumns({f"_{n}": F.when(F.size(f"_{n}") > 0, F.col(f"_{n}")) for n in names}).withColumn("_rain", F.coalesce("_rainfall_piezo", "_rainfall"))
+    leaf = lambda group, name, part="value": F.col(f"_{group}")[name][part].try_cast("double")
+    found: dict[str, Column] = {}
+    bad = F.lit(False)
+    # Sections, leaves and ranges of the payload.
+    for out, group, name, low, high, needed in (
+        ("wind_avg_mps", "wind", "wind_speed", 0.0, PLAUSIBLE_MPS, True),
+        ("wind_direction_deg", "wind", "wind_direction", 0.0, 360.0, True),
+        ("wind_gust_mps", "wind", "wind_gust", 0.0, PLAUSIBLE_MPS, False),
+        ("temperature_c", "outdoor", "temperature", None, None, False),
+        ("dew_point_c", "outdoor", "dew_point", None, None, False),
+        ("relative_humidity_pct", "outdoor", "humidity", 0.0, 100.0, False),
+        ("station_pressure_hpa", "pressure", "absolute", 5e-324, None, False),
+        ("precipitation_rate_mm_hr", "rain", "rain_rate", 0.0, None, False),
+        ("precipitation_today_mm", "rain", "daily", 0.0, None, False),
+        ("solar_radiation_wm2", "solar_and_uvi", "solar", 0.0, None, False),
+        ("uv_index", "solar_and_uvi", "uvi", 0.0, None, False),
+        ("battery_v", "battery", "haptic_array_battery", 5e-324, None, False),
+    ):
+        x = leaf(group, name)
+        ok = finite(x) & (F.lit(True) if low is None else x >= low) & (F.lit(True) if high is None else x <= high)
+        present = F.lit(True) if needed else F.col(f"_{group}").isNotNull() & F.col(f"_{group}")[name].isNotNull()
+        bad = bad | (present & ~F.coalesce(ok, F.lit(False)))
+        found[out] = x
+    at = leaf("wind", "wind_speed", "time")
+    bad = bad | ~F.coalesce(finite(at) & (at >= 0), F.lit(False))
+    reason = F.when(F.col("_code").isNull(), "contract_break").when(F.col("_code").isin(*TRY_LATER), "rate_limited").when(F.col("_code") != 0, "upstream_error").when(F.col("_wind").isNull(), "upstream_error").when(bad, "contract_break")
+    p = p.withColumn("problem", reason).withColumns({f"_out_{k}": v for k, v in found.items()}).withColumn("_at", at)
+    ok = lambda c: F.when(F.col("problem").isNull(), c)
+    calm = F.col("_out_wind_avg_mps") < CALM_MPS
+    measures = {k: ok(F.col(f"_out_{k}")) for k in found} | {"wind_direction_deg": ok(F.when(~calm, F.pmod(F.col("_out_wind_direction_deg"), F.lit(360.0))))}
+    if "elevation_m" in raw.columns:
+        measures["sea_level_pressure_hpa"] = ok(sea_level_pressure(F.col("_out_station_pressure_hpa"), F.col("elevation_m"), F.col("_out_temperature_c")))
+    return p.select("station_id", ok(F.timestamp_seconds("_at")).alias("observed_at"), *[v.alias(k) for k, v in measures.items()], "problem", F.when(F.col("_code") != 0, F.concat_ws(" ", F.col("_msg"), F.format_string("(code %d)", "_code"))).alias("message"))
 
 
 def service_state(state: Column) -> Column:
-    """A modem's state by the beginning of its name."""
-    s = F.lower(state)
-    return F.when(s.startswith("live") | s.startswith("active"), "active").when(s.startswith("paus"), "paused").when(s.startswith("deactiv") | s.startswith("inactive"), "inactive").when(s.isNotNull(), "unknown")
+    """A modem's state by the beginning of its name; unknown without one. States before activation are inactive."""
+    s = state
+    return F.when(s.startswith("LIVE"), "active").when(s.startswith("PAUSED"), "paused").when(s.startswith("DEAD"), "retired").when(s.startswith("INACTIVE") | s.startswith("FACTORY") | s.startswith("TEST"), "inactive").otherwise("unknown")
 
 
 def real_time(text: Column) -> Column:
@@ -49,10 +93,9 @@ def real_time(text: Column) -> Column:
     return F.when(~text.startswith("0000-00-00") & (F.trim(text) != ""), F.try_to_timestamp(text))
 
 
-def failure_reason(error: Column) -> Column:
-    """A reason code for an error's class."""
-    e = F.lower(error)
-    return F.when(e.contains("timeout"), "timeout").when(e.contains("429") | e.contains("rate"), "rate_limited").when(e.contains("contract") | e.contains("parse"), "contract_break").otherwise("upstream_error")
+def failure_reason(kind: Column, carried: Column) -> Column:
+    """A reason code: kind is the class of the error, carried the reason that an UpstreamError was raised with. What is of no known class broke the contract."""
+    return F.when(kind == "UpstreamError", F.coalesce(carried, F.lit("upstream_error"))).when(kind.isin("TimeoutError", "AbortError"), "timeout").when(kind == "TypeError", "upstream_error").otherwise("contract_break")
 
 
 def overlay(feed: DataFrame, current: DataFrame, keep: tuple[str, ...]) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def test_publication_is_idempotent_and_refuses_non_finite_numbers(spark, tmp_pat
     runs = spark.createDataFrame([("a", T0, 1.005, "é😀")], "model string, reference_time timestamp, v double, s string")
     for _ in range(2):
         publish.publish(runs, str(tmp_path / "p"), {"v": 1})
-    (r,) = spark.read.parquet(str(tmp_path / "p/runs")).collect()
+    (r,) = publish.published(spark, str(tmp_path / "p")).collect()
     assert r["v"] == 1.0 and spark.read.parquet(str(tmp_path / "p/manifest")).count() == 1
     with pytest.raises(Exception, match="non-finite number in v"):
         publish.finite_or_fail(runs.withColumn("v", F.lit(float("nan")))).collect()
@@ -164,7 +165,7 @@ def test_sidecar_records(spark):
     assert r[0] == "bytes=0-99"
 
 
-def test_vendor_payloads(spark):
+def test_columnar_payloads(spark):
     good = {"t": [0, 60], "avg": [5.0, 0.2], "gust": [7.0, None], "lull": [3.0, None], "dir": [90.0, 10.0], "temp": [20.0, None]}
     raw = [(1, json.dumps(good)), (2, json.dumps(good | {"avg": [500.0, 1.0]})), (3, json.dumps(good | {"dir": [1.0]})), (4, "{"), (5, None)]
     rows = vendors.columnar_records(spark.createDataFrame(raw, "station_id int, body string")).collect()
@@ -173,10 +174,96 @@ def test_vendor_payloads(spark):
         by.setdefault(r["station_id"], []).append(r)
     assert [(r["wind_avg_mps"], r["wind_direction_deg"]) for r in by[1]] == [(5.0, 90.0), (0.2, None)]
     assert by[2][0]["problem"] == "implausible wind" and by[2][0]["wind_avg_mps"] is None and by[3][0]["problem"] == "uneven columns" and by[4][0]["problem"] == by[5][0]["problem"] == "unreadable"
-    text = [(1, json.dumps({"code": 0, "time": "60", "data": {"wind_speed": "10", "wind_direction": "45", "piezo": None, "bucket": "1.5"}})), (2, json.dumps({"code": 40010}))]
-    a, b = vendors.text_leaves(spark.createDataFrame(text, "station_id int, body string")).orderBy("station_id").collect()
-    assert a["wind_avg_mps"] == pytest.approx(4.4704) and a["rain_rate_mm_hr"] == 1.5 and b["problem"] == "code 40010"
-    assert one(spark, vendors.service_state(F.lit("LIVE-PENDING"))) == "active" and one(spark, vendors.real_time(F.lit("0000-00-00 00:00:00"))) is None
+
+
+def leaves(**sections):
+    return {k: {n: {"time": "60", "unit": "", "value": v} for n, v in s.items()} for k, s in sections.items()}
+
+
+def test_text_leaves(spark):
+    wind = {"wind_speed": "4.5", "wind_direction": "360", "wind_gust": "7.1"}
+    good = leaves(wind=wind, outdoor={"temperature": "20.5", "humidity": "45"}, rainfall_piezo={"rain_rate": "1.5"}, rainfall={"rain_rate": "9.9", "daily": "3"}, pressure={"absolute": "950"}, battery={"haptic_array_battery": "3.1"})
+    bodies = [
+        {"code": 0, "data": good},
+        {"code": 0, "data": leaves(wind=wind | {"wind_speed": "0.2"}, rainfall_piezo={}, rainfall={"rain_rate": "2"})},
+        {"code": 0, "data": good | {"wind": {}}},
+        {"code": -1, "msg": "busy", "data": []},
+        {"code": 45001, "msg": "busy", "data": []},
+        {"code": 40012, "msg": "Illegal Mac/Imei", "data": []},
+        {"code": 0, "data": leaves(wind=wind | {"wind_speed": "500"})},
+        {"code": 0, "data": leaves(wind=wind, outdoor={"humidity": "101"})},
+        {"msg": "no code"},
+    ]
+    raw = [(i, json.dumps(b), 500.0) for i, b in enumerate(bodies)] + [(90, "{", 500.0), (91, None, None)]
+    r = {x["station_id"]: x for x in vendors.text_leaves(spark.createDataFrame(raw, "station_id int, body string, elevation_m double")).collect()}
+    assert [r[i]["problem"] for i in range(9)] == [None, None, "upstream_error", "rate_limited", "rate_limited", "upstream_error", "contract_break", "contract_break", "contract_break"]
+    assert r[90]["problem"] == r[91]["problem"] == "contract_break" and "Illegal Mac/Imei" in r[5]["message"] and "40012" in r[5]["message"]
+    assert (r[0]["wind_avg_mps"], r[0]["wind_direction_deg"], r[0]["precipitation_rate_mm_hr"], r[0]["precipitation_today_mm"], r[0]["battery_v"]) == (4.5, 0.0, 1.5, None, 3.1)
+    assert r[0]["sea_level_pressure_hpa"] > 1000 and r[0]["observed_at"].timestamp() == 60
+    assert r[1]["wind_direction_deg"] is None and r[1]["precipitation_rate_mm_hr"] == 2.0 and r[1]["temperature_c"] is None
+    assert all(r[i]["wind_avg_mps"] is None and r[i]["observed_at"] is None for i in (2, 3, 6, 7, 90))
+
+
+def test_service_states_and_failure_reasons(spark):
+    states = {"LIVE": "active", "LIVE-PENDING": "active", "PAUSED-USER": "paused", "DEAD-PENDING": "retired", "INACTIVE": "inactive", "FACTORY": "inactive", "TEST-HIBERNATE": "inactive", "SOMETHING": "unknown", "": "unknown", None: "unknown"}
+    df = spark.createDataFrame([(s, v) for s, v in states.items()], "s string, want string")
+    assert df.where(vendors.service_state(F.col("s")) != F.col("want")).count() == 0
+    assert one(spark, vendors.real_time(F.lit("0000-00-00 00:00:00"))) is None
+    errors = [("UpstreamError", "rate_limited", "rate_limited"), ("UpstreamError", None, "upstream_error"), ("AbortError", None, "timeout"), ("TimeoutError", None, "timeout"), ("TypeError", None, "upstream_error"), ("ZodError", None, "contract_break"), ("Error", "rate", "contract_break"), (None, None, "contract_break")]
+    df = spark.createDataFrame(errors, "kind string, carried string, want string")
+    assert df.where(vendors.failure_reason(F.col("kind"), F.col("carried")) != F.col("want")).count() == 0
+
+
+def test_a_failed_publication_leaves_nothing_double_and_nothing_visible(spark, tmp_path):
+    path = str(tmp_path / "p")
+    first = spark.createDataFrame([("a", T0, 1.0)], "model string, reference_time timestamp, v double")
+    second = first.withColumn("reference_time", F.col("reference_time") + F.expr("interval 6 hours")).withColumn("v", F.lit(2.0))
+    publish.publish(first, path)
+    # what a failure between the runs and the manifest leaves behind
+    second.withColumn("run", F.date_format("reference_time", "yyyyMMdd'T'HHmmss")).write.mode("append").partitionBy("model", "run").parquet(f"{path}/runs")
+    assert [r["v"] for r in publish.published(spark, path).collect()] == [1.0]
+    for _ in range(2):
+        publish.publish(first.unionByName(second), path)
+        assert sorted(r["v"] for r in publish.published(spark, path).collect()) == [1.0, 2.0]
+
+
+def hourly(spark, hours, extra=()):
+    at = [(1, i, BASE + i * 3600) for i in range(hours)] + [(1, 1000 + i, BASE + s) for i, s in enumerate(extra)]
+    return spark.createDataFrame(at, "station_id int, seq int, s long").withColumn("observed_at", F.timestamp_seconds("s"))
+
+
+BASE = 1_780_000_000
+
+
+def test_compare_window(spark):
+    count = lambda h, *a: station.compare_window(h, *a).head()["then_n"]
+    assert count(hourly(spark, 100), 6, 1) == 7
+    assert count(hourly(spark, 10), 6, 1) is None
+    dense = spark.createDataFrame([(1, i, BASE + i * 60) for i in range(361)] + [(1, 999, BASE + 360 * 60 - 27 * 3600)], "station_id int, seq int, s long").withColumn("observed_at", F.timestamp_seconds("s"))
+    assert count(dense, 6, 1) is None
+    assert count(hourly(spark, 100), 100, 1) is None
+
+
+def test_benched_members_neither_vote_nor_abstain(spark):
+    covered = spark.createDataFrame([(1, m, d) for m, d in ((0, "d1"), (1, "d1"), (1, "d2"), (2, "d1"))], "site int, member int, day string")
+    windows = spark.createDataFrame([(1, 0, "d1", 1.2, 500.0), (1, 1, "d1", 1.0, 350.0)], "site int, member int, day string, peak_wstar_mps double, peak_above_launch_m double")
+    quiet = spark.createDataFrame([(1, 2, "d1", False, 0.5, 100.0)], "site int, member int, day string, truncated boolean, peak_wstar_mps double, peak_depth_m double")
+    rows = {r["day"]: r for r in compare.window_agreement(covered, windows, quiet).collect()}
+    assert (rows["d1"]["voters"], rows["d1"]["unanimous"], rows["d1"]["wstar_flip_at_mps"], rows["d1"]["depth_flip_at_m"], rows["d2"]["abstained"]) == (3, False, 1.0, 350.0, 2)
+    bench = compare.benched(spark.createDataFrame([(1, 2, False, 400.0), (1, 0, True, 400.0)], "site int, member int, ever_reaches_launch boolean, delta_m double"))
+    rows = {r["day"]: r for r in compare.window_agreement(covered, windows, quiet, benches=bench).collect()}
+    assert (rows["d1"]["voters"], rows["d1"]["unanimous"], rows["d1"]["abstained"], rows["d2"]["voters"], rows["d2"]["abstained"]) == (2, True, 0, 0, 1)
+
+
+def test_nearest_join_meets_neighbouring_buckets(spark):
+    rng = np.random.default_rng(3)
+    left = [(int(k), i, BASE + int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 40_000, 200), strict=True))]
+    right = [(int(k), i, BASE + int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 40_000, 60), strict=True))]
+    df = lambda rows: spark.createDataFrame(rows, "k int, seq int, s long").withColumn("at", F.timestamp_seconds("s"))
+    got = {r["seq"]: r["r_seq"] for r in sequences.nearest_join(df(left), df(right), "k", "at", "at", "seq", 900).collect()}
+    for k, i, t in left:
+        near = [(abs(t - s), j) for q, j, s in right if q == k and abs(t - s) <= 900]
+        assert got[i] == (min(near)[1] if near else None)
 
 
 SAMPLES = "station_id long, seq long, observed_at timestamp, wind_avg_mps double"
