@@ -156,6 +156,7 @@ def _by_bucket(df: DataFrame, *then: str) -> DataFrame:
 
 def _fold(messages: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], schema: dict[str, str], done) -> DataFrame:
     """Sums column c of each bucket's messages by key as they stream by; done(bucket, columns, add) gives out the sums."""
+    most = FOLD
 
     def run(batches):
         rows = _Rows({c: _ARROW[t] for c, t in schema.items()})
@@ -174,7 +175,7 @@ def _fold(messages: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], sc
                 last = bucket
                 held.append(_read({c: b.column(c)[i].as_py() for c in names}, keys[0], names))
                 size += len(held[-1]["c"])
-                if size > max(FOLD, 2 * len(held[0]["c"])):
+                if size > max(most, 2 * len(held[0]["c"])):
                     held = [whole()]
                     size = len(held[0]["c"])
                 if rows.full():
@@ -228,12 +229,12 @@ def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def slices_of(docs: DataFrame) -> DataFrame:
     """docs: doc_id, held_out, text. One row a slice: its words and their training counts, the words of every token by place."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, size = docs.schema["doc_id"].dataType.simpleString(), SLICE
 
     def run(batches):
         from pyspark import TaskContext
 
-        for k, part in enumerate(words.slices(batches, at_most=SLICE)):
+        for k, part in enumerate(words.slices(batches, at_most=size)):
             hashes, place, n = _coded(part.column("text"))
             learnt = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), n)
             trained = np.bincount(place[learnt], minlength=len(hashes))

@@ -3,25 +3,26 @@
 Suffixes are dealt into buckets, and one bucket at a time is sorted. A bucket holds the suffixes whose first `length` bytes have
 the same smallest gram hash, so equal strings always share a bucket. A run of neighbouring suffixes of one text in one bucket
 travels as one context, the bytes they span, not as a copy per suffix. Buckets in which the gram occurs once in the
-whole corpus cannot hold a repeat and are left out before any text moves.
+whole corpus cannot hold a repeat and are left out before any text moves. Equal contexts are merged: strings of a context seen twice are all repeated.
 
-Inside a bucket suffixes are ordered by their first and last v bytes, v a divisor of the length. Long ties are resolved by
+Inside a bucket suffixes are sorted by their bytes: first by v of them, v a divisor of the length. Long ties are resolved by
 ranks of a difference cover: sample positions whose residues modulo v cover all differences, ranked beforehand by the length - v
-bytes that follow. For any two tied suffixes the cover names a shift at which both are samples; equal ranks there
-close the gap between the first and the last v bytes. A task's memory is bounded by the block of buckets it sorts.
+bytes that follow. For any two tied suffixes the cover names a shift at which both are samples; the order of their ranks there, then of the
+last v bytes, is the suffixes' order, and equal ranks mean equal bytes. Suffixes whose hash is alone in the block equal no other and are not sorted.
 
-Equal contexts are merged before buckets are gathered: strings of a context seen twice are all repeated. A bucket whose distinct
-contexts exceed `BUCKET` bytes is not sorted: its strings' hashes are counted, each in one of as many tasks as the bucket
-has times `STREAM` bytes, which read the contexts one after the other. Beyond `MOST_TASKS` tasks a bucket's strings
-go through a shuffle by 128-bit digest, each once.
+Memory is bounded by the block of `BLOCK` bytes that is sorted at once. A bucket of more than `SPLIT` bytes of distinct contexts is split by the next smallest gram
+of its strings, again and again up to `LEVELS` grams. What is then still larger holds much the same strings: it is sorted block by block, and of equal strings one goes on to
+the next block, so a task keeps the bucket's distinct strings.
 
 Nulls: a null text is the empty text: 0 bytes. Texts shorter than the length have no such string and lose nothing. Repeated rows
-repeat each other, so all their strings are removed. Null ids are kept apart by their text. An empty table gives an empty result.
+repeat each other, so all their strings are removed. Null ids are kept apart by their text. A very long text is read in steps of `STEP` bytes. An empty table gives an
+empty result. Columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from . import common, words
 
 LENGTH = 400
-BUCKET = 2 << 20
-STREAM = 24 << 20
-MOST_TASKS = 8
+BLOCK = 1 << 20
+SPLIT = 2 << 20
+LEVELS = 4
 STEP = 2 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -122,42 +123,69 @@ def modulus_of(length: int) -> int:
     return next(v for v in range(min(80, length // 2), 0, -1) if length % v == 0)
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the starts (sorted) have a string of `length` bytes that also starts at another of them."""
+def _ranks(data: np.ndarray, at: np.ndarray, v: int) -> np.ndarray:
+    """Places in byte order of the v bytes from each position on; equal bytes share one."""
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, v)[at])
+    rank = np.zeros(len(at), np.int64)
+    for c in range(0, v, 8):  # eight bytes at a time, as one big-endian number
+        part = rows[:, c : c + 8]
+        part = np.pad(part, ((0, 0), (0, 8 - part.shape[1]))) if part.shape[1] < 8 else np.ascontiguousarray(part)
+        word = np.unique(part.view(">u8").ravel().astype(np.uint64), return_inverse=True)[1]
+        rank = np.unique(rank << 32 | word, return_inverse=True)[1]
+    return rank
+
+
+def _within(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which positions lie in one of the ranges, both ends included."""
+    edges = np.bincount(first, minlength=size + 1)[: size + 1] - np.bincount(last + 1, minlength=size + 1)[: size + 1]
+    return np.cumsum(edges)[:size] > 0
+
+
+def classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For each start (sorted) the index of a start with the same `length` bytes: equal strings get the same one."""
+    label = np.arange(len(starts))
+    hashes = rolling(data, length)[starts]
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    twin = np.zeros(len(starts), bool)
+    twin[order[1:][same]] = True
+    twin[order[:-1][same]] = True
+    who = np.flatnonzero(twin)
+    if not len(who):
+        return label
     v = modulus_of(length)
     cover, shift = difference_cover(v)
-    block = rolling(data, v)
-    _, tie = np.unique(words.mix64(block[starts] * np.uint64(MULTIPLIER) + block[starts + length - v]), return_inverse=True)
-    many = np.flatnonzero(np.bincount(tie)[tie] > 1)
-    if not len(many):
-        return np.zeros(len(starts), bool)
-    # ranks of the sample by the length - v bytes that follow, v bytes more each time
+    p = starts[who]
+    head, tail = _ranks(data, p, v), _ranks(data, p + length - v, v)
     inside = np.zeros(v, bool)
     inside[list(cover)] = True
-    sample = np.flatnonzero(inside[np.arange(max(0, len(data) - (length - v) + 1)) % v])
-    rank_of = np.full(len(data), -1)
-    first = np.unique(block[sample], return_inverse=True)[1]
-    rank = first
-    by_place = np.full(len(data) + length, -1)
-    tail = np.flatnonzero(inside[np.arange(len(block)) % v])
-    by_place[tail] = np.searchsorted(np.unique(block[tail]), block[tail])
+    residue = inside[np.arange(len(data)) % v]
+    sampled = np.flatnonzero(residue & _within(len(data), p, p + length - v))
+    by_place = np.full(len(data), -1)
+    by_place[sampled] = _ranks(data, sampled, v)
+    # ranks of the sample by the length - v bytes that follow, v bytes more each time
+    sample = np.flatnonzero(residue & _within(len(data), p, p + v - 1))
+    rank = by_place[sample]
     for j in range(1, length // v - 1):
-        rank = np.unique(rank.astype(np.int64) << 32 | by_place[sample + j * v], return_inverse=True)[1]
+        rank = np.unique(rank << 32 | by_place[sample + j * v], return_inverse=True)[1]
+    rank_of = np.full(len(data), -1)
     rank_of[sample] = rank
 
-    found = np.zeros(len(starts), bool)
-    left = many[np.argsort(tie[many], kind="stable")]
-    while len(left):  # each round compares every suffix of a tie with the tie's first
-        head = np.concatenate([[True], tie[left][1:] != tie[left][:-1]])
-        first_of = left[np.flatnonzero(head)][np.cumsum(head) - 1]
-        p, q = starts[left], starts[first_of]
-        s = shift[p % v, q % v]
-        same = rank_of[p + s] == rank_of[q + s]
-        same[head] = False
-        found[left[same]] = True
-        found[first_of[same]] = True
-        left = left[~same & ~head]
-    return found
+    left = np.argsort(head, kind="stable")
+    group = head[left]
+    while len(left):  # quicksort of all ties at once: each meets its own pivot, what is equal is done
+        begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(begins, len(left)))
+        pivot = np.repeat(left[begins + sizes // 2], sizes)
+        s = shift[p[left] % v, p[pivot] % v]
+        sign = np.sign(rank_of[p[left] + s] - rank_of[p[pivot] + s])
+        sign = np.where(sign == 0, np.sign(tail[left] - tail[pivot]), sign)
+        equal = sign == 0
+        label[who[left[equal]]] = who[pivot[equal]]
+        left, group = left[~equal], (np.repeat(np.arange(len(begins)), sizes) * 2 + (sign > 0))[~equal]
+        order = np.argsort(group, kind="stable")
+        left, group = left[order], group[order]
+    return label
 
 
 def _ranges(which: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -172,112 +200,112 @@ def _ranges(which: np.ndarray, length: int) -> tuple[list[int], list[int]]:
 RANGES = "h bigint, digest binary, starts array<bigint>, ends array<bigint>"
 
 
-def _sort_blocks(length: int):
-    """Sorted by bucket: gathers whole buckets up to a block, sorts them, gives the covered ranges of each context."""
-
-    def solve(rows):
-        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-        begin = np.cumsum([0, *(len(r[2]) for r in rows)])
-        counts = [len(r[2]) - length + 1 for r in rows]
-        starts = np.concatenate([np.arange(b, b + c) for b, c in zip(begin, counts, strict=False)])
-        found = repeated(data, starts, length)
-        out: list[list] = [[], [], [], []]
-        at = 0
-        for (h, digest, _, n), c in zip(rows, counts, strict=True):
-            which = np.ones(c, bool) if n > 1 else found[at : at + c]
-            at += c
-            a, b = _ranges(which, length)
-            if a:
-                for column, x in zip(out, (h, digest, a, b), strict=True):
-                    column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], ["h", "digest", "starts", "ends"])
-
-    def run(batches):
-        rows: list[tuple] = []
-        size = 0
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "digest", "context", "n")), strict=True):
-                if size > BUCKET and row[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[2])
-        if rows:
-            yield solve(rows)
-
-    return run
-
-
 def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
     types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["h", "digest", "starts", "ends"])
 
 
-def _count_hashes(length: int):
-    """Rows sorted by (h, part): counts the strings whose hash belongs to the part, context by context."""
-
-    def solve(held):
-        values = np.concatenate([x[2] for x in held])
-        weight = np.concatenate([np.full(len(x[2]), min(x[4], 2)) for x in held])
-        _, back = np.unique(values, return_inverse=True)
-        again = np.bincount(back, weight)[back] > 1
-        out, at = [], 0
-        for h, digest, hashes, offsets, _, c in held:
-            which = np.zeros(c, bool)
-            which[offsets] = again[at : at + len(hashes)]
-            at += len(hashes)
-            a, b = _ranges(which, length)
-            if a:
-                out.append((h, digest, a, b))
-        return _batch_of(out)
+@dataclass
+class _Context:
+    h: int
+    digest: bytes
+    offset: int  # of the bytes in the whole context
+    data: bytes
+    repeats: bool  # the whole context was seen twice
+    told: np.ndarray | None = None  # strings already given out
+
+
+def _solve(contexts: list[_Context], length: int) -> tuple[list[tuple], list[_Context]]:
+    """Ranges that repeated strings cover, and one copy of each string of the last bucket, to be met by the bucket's next block."""
+    data = np.frombuffer(b"".join(c.data for c in contexts), np.uint8)
+    begin = np.cumsum([0, *(len(c.data) for c in contexts)])
+    counts = [len(c.data) - length + 1 for c in contexts]
+    label = classes(data, np.concatenate([np.arange(b, b + n) for b, n in zip(begin, counts, strict=False)]), length)
+    again = np.bincount(label, minlength=len(label))[label] > 1
+    first = np.zeros(len(label), bool)
+    first[np.unique(label, return_index=True)[1]] = True
+    out, kept, at = [], [], 0
+    for c, n in zip(contexts, counts, strict=True):
+        found, alone = again[at : at + n] | c.repeats, first[at : at + n]
+        at += n
+        told = np.zeros(n, bool) if c.told is None else c.told
+        a, b = _ranges(found & ~told, length)
+        if a:
+            out.append((c.h, c.digest, [c.offset + x for x in a], [c.offset + x for x in b]))
+        if c.h == contexts[-1].h:
+            told = found | told
+            cuts = np.flatnonzero(np.diff(np.concatenate([[0], alone, [0]])))
+            kept += [_Context(c.h, c.digest, c.offset + i, c.data[i : j + length - 1], False, told[i:j]) for i, j in cuts.reshape(-1, 2).tolist()]
+    return out, kept
+
+
+def _sort_blocks(length: int, block: int):
+    """Rows sorted by bucket: sorts whole buckets up to a block at once, and a larger bucket block by block."""
 
     def run(batches):
-        held: list[tuple] = []
-        last = None
-        for b in batches:
-            for h, part, parts, digest, context, n in zip(*(b.column(c).to_pylist() for c in ("h", "part", "parts", "digest", "context", "n")), strict=True):
-                if held and (h, part) != last:
-                    yield solve(held)
-                    held = []
-                last = (h, part)
-                hashes = rolling(np.frombuffer(context, np.uint8), length)
-                own = np.flatnonzero(hashes % np.uint64(parts) == np.uint64(part))
-                held.append((h, digest, hashes[own], own, n, len(hashes)))
+        held: list[_Context] = []
+        size, most = 0, block
+        for batch in batches:
+            for h, digest, data, n in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "context", "n")), strict=True):
+                if size > most:
+                    out, kept = _solve(held, length)
+                    yield _batch_of(out)
+                    held = kept if h == held[-1].h else []
+                    size = sum(len(c.data) for c in held)
+                    most = max(block, 2 * size)
+                held.append(_Context(h, digest, 0, data, n > 1))
+                size += len(data)
         if held:
-            yield solve(held)
+            yield _batch_of(_solve(held, length)[0])
 
     return run
 
 
-def _by_digest(contexts: DataFrame, length: int) -> DataFrame:
-    """Every string of the contexts by its digest, each string a row."""
-
-    def strings(batches):
-        for b in batches:
-            for h, digest, context, n in zip(*(b.column(c).to_pylist() for c in ("h", "digest", "context", "n")), strict=True):
-                c = len(context) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([h] * c, pa.int64()), pa.array([digest] * c, pa.binary()), pa.array(range(c), pa.int64()), pa.array([hashlib.blake2b(context[i : i + length], digest_size=16).digest() for i in range(c)], pa.binary()), pa.array([n] * c, pa.int64())], ["h", "digest", "at", "string", "n"])
+def _cut(length: int, level: int):
+    """Cuts contexts of one bucket into runs of strings that share the next smallest gram too."""
+    gram = gram_of(length)
+    w, most = length - gram + 1, np.uint64(2**64 - 1)
+    names = ["h", "digest", "offset", "child", "child_digest", "context", "n"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
-    def join_up(batches):
-        for b in batches:
+    def run(batches):
+        for batch in batches:
             rows = []
-            for h, digest, at in zip(*(b.column(c).to_pylist() for c in ("h", "digest", "at")), strict=True):
-                which = np.zeros(max(at) + 1, bool)
-                which[at] = True
-                rows.append((h, digest, *_ranges(which, length)))
-            yield _batch_of(rows)
+            for h, digest, data, n in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "context", "n")), strict=True):
+                g = rolling(np.frombuffer(data, np.uint8), gram)
+                for _ in range(level):  # grams that all of its strings share
+                    g = np.where(g == g[:w].min(), most, g)
+                m = sliding_min(g, w)
+                lo = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
+                child = words.mix64(np.array([h], np.int64).view(np.uint64) * np.uint64(MULTIPLIER) + m[lo]).view(np.int64)
+                for a, b, key in zip(lo.tolist(), [*lo[1:].tolist(), len(m)], child.tolist(), strict=True):
+                    part = data[a : b + length - 1]
+                    rows.append((h, digest, a, key, hashlib.blake2b(part, digest_size=16).digest(), part, n))
+                if len(rows) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    every = contexts.mapInArrow(strings, "h bigint, digest binary, at bigint, string binary, n bigint")
-    twice = every.groupBy("string").agg(F.sum("n").alias("seen")).where("seen > 1").select("string")
-    return every.join(twice, "string").groupBy("h", "digest").agg(F.collect_list("at").alias("at")).mapInArrow(join_up, RANGES)
+    return run
 
 
-def _large_buckets(contexts: DataFrame, length: int, tasks: int) -> DataFrame:
-    """contexts: of buckets too large to sort, with `parts`."""
-    streamed = contexts.where(F.col("parts") <= MOST_TASKS).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    streamed = streamed.repartition(tasks, "h", "part").sortWithinPartitions("h", "part").mapInArrow(_count_hashes(length), RANGES)
-    return streamed.unionByName(_by_digest(contexts.where(F.col("parts") > MOST_TASKS), length))
+def _ranges_of(distinct: DataFrame, length: int, keep, level: int = 1) -> DataFrame:
+    """distinct: contexts h, digest, context, n, each once. The ranges that repeated strings cover in each, in one row or more."""
+    parts = common.partitions(distinct.sparkSession)
+    sort = lambda df: df.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length, BLOCK), RANGES)
+    if level >= LEVELS:
+        return sort(distinct)
+    large = keep(distinct.groupBy("h").agg(F.sum(F.length("context")).alias("size")).where(F.col("size") > SPLIT).select("h"))
+    if not large.head(1):
+        return sort(distinct)
+    pieces = keep(distinct.join(large, "h").select("h", "digest", "context", "n").mapInArrow(_cut(length, level), "h bigint, digest binary, offset bigint, child bigint, child_digest binary, context binary, n bigint"))
+    children = keep(pieces.groupBy(F.col("child").alias("h"), F.col("child_digest").alias("digest")).agg(F.first("context").alias("context"), F.sum("n").alias("n")))
+    below = _ranges_of(children, length, keep, level + 1).select(F.col("h").alias("child"), F.col("digest").alias("child_digest"), "starts", "ends")
+    moved = lambda c: F.transform(c, lambda x: x + F.col("offset")).alias(c)
+    back = pieces.select("h", "digest", "offset", "child", "child_digest").join(below, ["child", "child_digest"]).select("h", "digest", moved("starts"), moved("ends"))
+    return sort(distinct.join(large, "h", "left_anti")).unionByName(back)
 
 
 def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -295,7 +323,12 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             flat = [pa.array([x for part in c for x in part]) if i < 2 else pa.array(np.concatenate(c) if c else [], pa.int64()) for i, c in enumerate(out)]
             yield pa.RecordBatch.from_arrays([flat[0].cast(b.schema.field("_id").type), flat[1].cast(pa.int64()), *flat[2:]], ["_id", "_th", "h", "lo", "hi", "occurs"])
 
-    found = common.stored(keyed.mapInArrow(find_runs, f"_id {kind}, _th bigint, h bigint, lo bigint, hi bigint, occurs bigint"))
+    with common.scratch(docs.sparkSession) as keep:
+        return common.stored(_spans(keyed, kind, find_runs, length, keep))
+
+
+def _spans(keyed: DataFrame, kind: str, find_runs, length: int, keep) -> DataFrame:
+    found = keep(keyed.mapInArrow(find_runs, f"_id {kind}, _th bigint, h bigint, lo bigint, hi bigint, occurs bigint"))
     again = found.groupBy("h").agg(F.sum("occurs").alias("n")).where("n > 1").select("h")
     of_text = found.join(again, "h").groupBy("_id", "_th").agg(F.collect_set(F.struct("h", "lo", "hi")).alias("runs"))
 
@@ -322,13 +355,9 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return [b.schema.field("_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     with_text = keyed.join(of_text, common.same_key(keyed, of_text)).select(keyed["_id"], keyed["_th"], common.text_or_empty(F.col("text")).alias("text"), "runs")
-    contexts = common.stored(with_text.mapInArrow(cut_contexts, f"_id {kind}, _th bigint, lo bigint, h bigint, digest binary, context binary"))
-    distinct = common.stored(contexts.groupBy("h", "digest").agg(F.first("context", ignorenulls=True).alias("context"), F.count("*").alias("n")))
-    large = common.stored(distinct.groupBy("h").agg(F.sum(F.length("context")).alias("size")).where(F.col("size") > BUCKET).select("h", F.ceil(F.col("size") / STREAM).cast("int").alias("parts")))
-    parts = common.partitions(docs.sparkSession)
-    ranges = distinct.join(large, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_blocks(length), RANGES)
-    if large.head(1):
-        ranges = ranges.unionByName(_large_buckets(distinct.join(large, "h"), length, parts))
+    contexts = keep(with_text.mapInArrow(cut_contexts, f"_id {kind}, _th bigint, lo bigint, h bigint, digest binary, context binary"))
+    distinct = keep(contexts.groupBy("h", "digest").agg(F.first("context", ignorenulls=True).alias("context"), F.count("*").alias("n")))
+    ranges = _ranges_of(distinct, length, keep)
     placed = contexts.select("_id", "_th", "lo", "h", "digest").join(ranges, ["h", "digest"])
     spans = placed.select("_id", "_th", F.explode(F.arrays_zip("starts", "ends")).alias("r"), "lo")
     return spans.groupBy("_id", "_th").agg(F.collect_set(F.struct((F.col("lo") + F.col("r.starts")).alias("start"), (F.col("lo") + F.col("r.ends")).alias("end"))).alias("spans"))

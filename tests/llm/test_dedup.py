@@ -168,16 +168,37 @@ def test_substrings_against_all_strings(spark, length):
     assert got == cut_by_force(rows, length)
 
 
-@pytest.mark.parametrize(("stream", "most"), [(1 << 20, 8), (200, 1000), (200, 3), (200, 0)])
-def test_substrings_in_large_buckets(spark, monkeypatch, stream, most):
-    monkeypatch.setattr(sd, "BUCKET", 300)
-    monkeypatch.setattr(sd, "STREAM", stream)
-    monkeypatch.setattr(sd, "MOST_TASKS", most)
+@pytest.mark.parametrize(("block", "split", "levels"), [(1 << 20, 300, 4), (200, 300, 2), (200, 1 << 20, 1), (1, 1, 3)])
+def test_substrings_in_large_buckets(spark, monkeypatch, block, split, levels):
+    for name, value in (("BLOCK", block), ("SPLIT", split), ("LEVELS", levels)):
+        monkeypatch.setattr(sd, name, value)
     rows = repeats(5, 40)
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.remove(docs(spark, rows), 40).collect()), key=str)
     assert got == cut_by_force(rows, 40)
 
 
+@pytest.mark.parametrize("length", [12, 40, 60, 400])
+def test_classes_are_equal_strings(length):
+    rng = np.random.default_rng(length)
+    part = rng.integers(0, 3, length * 2, dtype=np.uint8)
+    data = np.concatenate([part, rng.integers(0, 256, length, dtype=np.uint8), part[3:], np.zeros(length * 2, np.uint8), part[: length + 5]])
+    starts = np.arange(len(data) - length + 1)
+    raw = data.tobytes()
+    seen = {}
+    want = [seen.setdefault(raw[i : i + length], i) for i in starts]
+    got = sd.classes(data, starts, length)
+    assert len(set(zip(want, got.tolist(), strict=True))) == len(seen) == len(set(got.tolist()))
+
+
+def test_ranks_are_in_byte_order():
+    data = np.random.default_rng(2).integers(0, 4, 500, dtype=np.uint8)
+    at = np.arange(0, 480)
+    for v in (1, 8, 10, 20):
+        keys = [data[i : i + v].tobytes() for i in at]
+        place = {k: i for i, k in enumerate(sorted(set(keys)))}
+        assert sd._ranks(data, at, v).tolist() == [place[k] for k in keys]
+
+
 def test_substrings_of_the_corpus(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = [(d, n, gone, spans, hashlib.sha256(kept).hexdigest()) for d, n, gone, spans, kept in cut_by_force(rows, 400)]

@@ -89,9 +89,11 @@ def check(got, rows, order=2):
     np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
 
-@pytest.mark.parametrize("bucket", [katz.BUCKET, 200])
-def test_scores_against_a_plain_model(spark, tmp_path, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "slice_bytes", "fold"), [(katz.BUCKET, katz.SLICE, katz.FOLD), (200, 300, 50)])
+def test_scores_against_a_plain_model(spark, tmp_path, monkeypatch, bucket, slice_bytes, fold):
     monkeypatch.setattr(katz, "BUCKET", bucket)
+    monkeypatch.setattr(katz, "SLICE", slice_bytes)
+    monkeypatch.setattr(katz, "FOLD", fold)
     rows = some()
     check(katz.op5_katz(spark, tables(spark, tmp_path, documents=docs(spark, rows))).collect(), rows)
 
