@@ -7,18 +7,20 @@ again soon after each edit, so the Hamming distance of what they wrote follows t
 A fingerprint keeps 64 sampled times of each octave of the walk ([0, 64), [64, 128), [128, 256), ...): four bits of the
 character written at that time, 0 after the text's end. Octaves do not depend on the text's length, so texts of any
 two lengths compare. The likeness of two fingerprints weighs each octave by its length: it estimates the share of
-times at which both walks wrote the same. Near pairs are found by banding: bits sampled from the
-fingerprint of each length class are hashed per band, and all members of a bucket are compared by their likeness.
+times at which both walks wrote the same. Near documents are found by banding: bits sampled from the
+fingerprint of each length class are hashed per band, and members of a bucket are verified by their likeness: `near_groups`.
 
 Nulls: a null text is the empty text; its fingerprint is all zeros, and two of them have likeness 1. Equal texts have
 equal fingerprints. Ties of doc_id, and null ids (last), are ordered by the text. Texts are walked whole, in blocks, so
-memory does not grow with their length. An empty table gives an empty result.
+memory does not grow with their length. Characters beyond the first plane are folded into 16 bits, so a few of them stand for others. Ids are whole numbers;
+others are refused. Columns other than doc_id and text are not read, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .near_dup import _groups
+from .components import components
+from .near_dup import _groups, _pairs_out
 
 SAMPLES = 64
 PERIOD = 1 << 12
@@ -35,6 +38,9 @@ SEED = 20_240_229
 BLOCK = 1 << 16
 #: Members of a bucket that are compared in one task; a block of two salts holds about twice as many.
 MEMBERS = 10_000
+#: Text bytes of a range of ids, which one task walks as they stream by.
+RANGE_BYTES = 64 << 20
+LEAST, BANDS, BITS = 0.9, 8, 24
 
 
 class Walk:
@@ -62,7 +68,8 @@ class Walk:
         self.every_time = np.concatenate(self.times)
 
     def classes(self, text: str) -> np.ndarray:
-        return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 0xFFFF).astype(np.uint16)
+        x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.where(x < 1 << 16, x, (x * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
     def run(self, points: np.ndarray, t: int, values: np.ndarray) -> int:
         """Walks through points from time t on, writes the sampled values, returns the time at the end."""
@@ -117,13 +124,16 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id and text dealt by ranges of doc_id (`_bucket`, descending), each range followed by the first row of the next (`_donor`)."""
     from pyspark.sql import Window
 
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be a whole number")
     rows = docs.select("doc_id", common.text_or_empty(F.col("text")).alias("text"), F.xxhash64(common.text_or_empty(F.col("text"))).alias("_th"))
     share = [(i + 1) / buckets for i in range(buckets - 1)]
-    bounds = docs.agg(F.percentile_approx("doc_id", share, 10_000).alias("b")).head()["b"] or []  # `buckets` numbers at most
+    bounds = docs.agg(F.percentile_approx("doc_id", share, max(10_000, 20 * buckets)).alias("b")).head()["b"] or []  # `buckets` numbers at most
     bounds = sorted(set(bounds), reverse=True)
-    # range 0 has the largest ids; null ids come last, in a range of their own
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b >= F.col("doc_id"))))
-    rows = rows.withColumn("_bucket", place)
+    # range 0 has the largest ids; null ids come last, in ranges of their own by the text's hash
+    known = F.size(F.filter(F.from_json(F.lit(str(bounds)), "array<bigint>"), lambda b: b >= F.col("doc_id")))
+    unknown = F.lit(len(bounds) + 1) + F.floor((F.col("_th") / F.lit(2.0**64) + 0.5) * buckets).cast("int")
+    rows = rows.withColumn("_bucket", F.when(F.col("doc_id").isNull(), unknown).otherwise(known))
     heads = rows.groupBy("_bucket").agg(F.min(F.struct(-F.col("doc_id"), "_th")).alias("h"))
     by_place = Window.orderBy("_bucket")  # one row a range
     around = Window.partitionBy()
@@ -153,8 +163,8 @@ def unpacked(fp: str) -> np.ndarray:
     return np.stack([v >> 4, v & 15], 1).reshape(-1, SAMPLES)
 
 
-def likenesses(x: np.ndarray, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in others (octave, member, sample) of those with a likeness of `least` or more to x (octave, sample), and their likenesses.
+def likenesses(x: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of others (octave, member, sample) have a likeness of `least` or more to x (octave, sample).
 
     From the heaviest octave down, a member is left out once even full agreement in the octaves to come cannot lift it to `least`.
     """
@@ -168,18 +178,18 @@ def likenesses(x: np.ndarray, others: np.ndarray, least: float) -> tuple[np.ndar
         rest = SAMPLES * sum(weight[:k])
         can = same + rest >= (least - 1e-9) * (either + rest)
         at, same, either = at[can], same[can], either[can]
-    found = np.divide(same, either, out=np.ones(len(at)), where=either > 0)
-    return at[found >= least], found[found >= least]
+    near = np.zeros(others.shape[1], bool)
+    near[at[np.divide(same, either, out=np.ones(len(at)), where=either > 0) >= least]] = True
+    return near
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int = 24) -> DataFrame:
-    """Pairs of fingerprints with a likeness of `least` or more: columns fingerprint_a < fingerprint_b, likeness.
+def near_groups(prints: DataFrame, least: float = LEAST, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+    """fingerprint and `near_group`: one row for each distinct, non-null fingerprint of `prints`; groups are linked by pairs with a likeness of `least` or more.
 
-    prints: column fingerprint; equal fingerprints are one class and appear once, null ones not at all. Each of the bands hashes
-    `bits` bits, sampled from the octaves by their length. All members of a bucket are compared with each other by their likeness, so
-    every pair that shares a bucket is found. A bucket with more than `MEMBERS` members is split into blocks of pairs of
-    salts, so that each pair meets in one block. Only banding can miss: a pair just at `least` shares no bucket with a probability of about
-    (1 - least ** (bits / 4)) ** bands, 7e-4 by default, and a nearer pair with less.
+    Each band hashes `bits` bits, sampled from the octaves by their length. Inside a bucket a search through near members, each verified by the likeness, gives a tree of links, one
+    link fewer than members: no pairs are emitted, and members that are near one another end in one group. A bucket with more than `MEMBERS` members is split into blocks
+    of pairs of salts, so that each pair meets in one block. Only banding can miss: a pair just at `least` shares no bucket with a probability of about
+    (1 - least ** (bits / 4)) ** bands, 2e-3 by default, and a nearer pair with less; it is then still linked if others lie between.
     """
     distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
 
@@ -192,58 +202,60 @@ def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, bits: int
                 each = []
                 for back in (0, 1):  # texts whose lengths fall on two sides of a power of two meet in the lower one
                     k = max(1, top - back)
-                    rng = np.random.default_rng(SEED + k)
-                    octave = k - 1 - np.minimum(rng.geometric(0.5, (bands, bits // 4)) - 1, k - 1)
-                    picks = v[octave, rng.integers(0, SAMPLES, (bands, bits // 4))]
+                    octave, sample = _picks(k, bands, bits)
+                    picks = v[octave, sample]
                     each += [hashlib.blake2b(picks[i].tobytes() + bytes([k, i]), digest_size=8).digest() for i in range(bands)]
-                out.append(list(dict.fromkeys(each)))
+                out.append([int.from_bytes(x, "little", signed=True) for x in dict.fromkeys(each)])
             node = [hashlib.blake2b(fp.encode(), digest_size=16).digest() for fp in fps]
-            yield pa.RecordBatch.from_arrays([b.column("fingerprint"), pa.array(node, pa.binary()), pa.array(out, pa.list_(pa.binary()))], ["fingerprint", "node", "keys"])
-
-    every = common.stored(distinct.mapInArrow(keys, "fingerprint string, node binary, keys array<binary>"))
-    keyed = every.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    salts = F.ceil(F.col("n") / MEMBERS).cast("int")
-    salt = F.pmod(F.xxhash64("node"), salts).cast("int")
-    # side 0: alone in the block of its own salt; 1 and 2: the lower and the higher salt of a block of two
-    side = lambda t: F.when(t == salt, 0).when(t > salt, 1).otherwise(2)
-    blocks = F.transform(F.sequence(F.lit(0), salts - 1), lambda t: F.struct((F.least(salt, t).cast("long") * salts + F.greatest(salt, t)).alias("block"), side(t).alias("side")))
-    members = keyed.join(shared, "key").select("key", "node", F.explode(blocks).alias("b")).select("key", "node", "b.block", "b.side")
-    members = members.join(every.select("node", "fingerprint"), "node")
-    members = members.repartition(common.partitions(prints.sparkSession), "key", "block").sortWithinPartitions("key", "block")
-
-    def compare(batches):
-        names, out = ["x", "y", "likeness"], ([], [], [])
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names)
-
-        for t in _groups(batches, ("key", "block")):
-            t = t.sort_by("side")
-            node, fps, higher = t.column("node").to_pylist(), t.column("fingerprint").to_pylist(), np.array(t.column("side").to_pylist()) == 2
-            values = np.zeros((max(len(fp) for fp in fps) // SAMPLES, len(fps), SAMPLES), np.uint8)
-            for i, fp in enumerate(fps):
-                v = unpacked(fp)
-                values[: len(v), i] = v
-            start = int(np.argmax(higher)) if higher.any() else 0
-            for i in range(start or len(fps)):
-                first = start or i + 1
-                at, found = likenesses(values[:, i], values[:, first:], least)
-                for j, like in zip((at + first).tolist(), found.tolist(), strict=True):
-                    for column, v in zip(out, (*sorted((node[i], node[j])), like), strict=True):
-                        column.append(v)
-                if len(out[0]) >= 20_000:
-                    yield batch()
-                    out = ([], [], [])
-        yield batch()
-
-    pairs = members.mapInArrow(compare, "x binary, y binary, likeness double").distinct()
-    one, other = (every.select(F.col("node").alias(n), F.col("fingerprint").alias(f)) for n, f in (("x", "f"), ("y", "g")))
-    return pairs.join(one, "x").join(other, "y").select(F.least("f", "g").alias("fingerprint_a"), F.greatest("f", "g").alias("fingerprint_b"), "likeness")
-
-
-def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+            yield pa.RecordBatch.from_arrays([b.column("fingerprint"), pa.array(node, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["fingerprint", "node", "keys"])
+
+    spark = prints.sparkSession
+    with common.scratch(spark) as keep:
+        every = common.stored(distinct.mapInArrow(keys, "fingerprint string, node binary, keys array<bigint>"))
+        keyed = every.select("node", F.explode("keys").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        salts = F.ceil(F.col("n") / MEMBERS).cast("int")
+        salt = F.pmod(F.xxhash64("node"), salts).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), salts - 1), lambda t: F.least(salt, t).cast("long") * salts + F.greatest(salt, t))
+        members = keep(keyed.join(shared, "key").select("key", "node", F.explode(blocks).alias("block")))
+        members = members.join(every.select("node", "fingerprint"), "node")
+        members = members.repartition(common.partitions(spark), "key", "block").sortWithinPartitions("key", "block")
+
+        def search(batches):
+            def links():
+                for t in _groups(batches, ("key", "block")):
+                    if t.num_rows < 2:
+                        continue
+                    node, fps = t.column("node").to_pylist(), t.column("fingerprint").to_pylist()
+                    values = np.zeros((max(len(fp) for fp in fps) // SAMPLES, len(fps), SAMPLES), np.uint8)
+                    for i, fp in enumerate(fps):
+                        v = unpacked(fp)
+                        values[: len(v), i] = v
+                    left = np.arange(len(fps))
+                    while len(left) > 1:
+                        waiting, left = [left[0]], left[1:]
+                        while waiting and len(left):
+                            p = waiting.pop()
+                            near = likenesses(values[:, p], values[:, left], least)
+                            yield from ((min(node[p], node[i]), max(node[p], node[i])) for i in left[near])
+                            waiting += left[near].tolist()
+                            left = left[~near]
+
+            yield from _pairs_out(links())
+
+        found = common.stored(components(keep(members.mapInArrow(search, "a binary, b binary").distinct())))
+    return every.select("node", "fingerprint").join(found, "node", "left").select("fingerprint", F.hex(F.coalesce("label", "node")).alias("near_group"))
+
+
+@cache
+def _picks(k: int, bands: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED + k)
+    octave = k - 1 - np.minimum(rng.geometric(0.5, (bands, bits // 4)) - 1, k - 1)
+    return octave, rng.integers(0, SAMPLES, (bands, bits // 4))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs (doc_id, text)."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches):
@@ -251,13 +263,24 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = [f.split()[0] for f in schema.split(", ")]
         out: list[list] = [[] for _ in names]
         held = None  # a row waits for the next one's fingerprint
+        kind = None
+
+        def batch():
+            types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
         def finish(next_print):
             row = held
             for column, v in zip(out, (*row, likeness(row[3], row[4]), likeness(row[3], next_print)), strict=True):
                 column.append(v)
 
-        for doc_id, text, next_id, following in with_next(batches):
+        def typed(batches):
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field("doc_id").type
+                yield b
+
+        for doc_id, text, next_id, following in with_next(typed(batches)):
             n = len(text)
             keep = n - n // 3
             donor = following[: n // 3]
@@ -266,13 +289,20 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                 finish(own if held_next == (doc_id, text) else walk.fingerprint(held_next[1]))
             held, held_next = (doc_id, n, hashlib.sha256((text[:keep] + donor).encode("utf-8", "replace")).hexdigest(), own, edited), (next_id, following)
             if len(out[0]) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+                yield batch()
                 out = [[] for _ in names]
         if held is not None:
             finish(walk.fingerprint(held_next[1]))
         if out[0]:
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            yield batch()
 
-    buckets = common.partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
+    buckets = max(common.partitions(docs.sparkSession), -(-size // RANGE_BYTES))
     return in_order(docs, buckets).mapInArrow(run, schema)
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and near_group: documents of one group are linked by fingerprints of a likeness of `LEAST` or more."""
+    every = common.stored(fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    groups = near_groups(every)
+    return every.join(groups, "fingerprint")

@@ -59,44 +59,70 @@ def test_likeness_falls_with_edits():
     assert last < 0.6 and ef.likeness(base, walk.fingerprint(text[:2000] + "!" + text[2000:])) > 0.7
 
 
-def test_near_pairs(spark):
+def groups_of(df, **how):
+    return {r["fingerprint"]: r["near_group"] for r in ef.near_groups(df, **how).collect()}
+
+
+def test_near_groups(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
     walk = ef.Walk()
     base = [" ".join(rng.choice(words, 300)) for _ in range(30)]
     prints = [walk.fingerprint(t) for t in base] + [walk.fingerprint(t[:-40] + "changed ending") for t in base]
     df = spark.createDataFrame([(p,) for p in [*prints, *prints[:5], None]], "fingerprint string")
-    found = {frozenset((r[0], r[1])) for r in ef.near_pairs(df).collect()}
-    assert found == {frozenset((prints[i], prints[i + 30])) for i in range(30)}
+    got = groups_of(df, least=0.8, bands=24)
+    assert got.keys() == set(prints) and len(set(got.values())) == 30
+    assert all(got[prints[i]] == got[prints[i + 30]] for i in range(30))
 
 
-def test_near_pairs_beside_a_smaller_unlike_print(spark):
+def test_near_groups_beside_a_smaller_unlike_print(spark):
     """{M, A, B}: M is smaller and shares each key of A, but is near neither; only A and B are."""
-    octaves, bands = 8, 24
+    octaves = 8
     rng = np.random.default_rng(2)
     a = rng.integers(2, 15, (octaves, ef.SAMPLES)).astype(np.uint8)
     picked = np.zeros(a.shape, bool)
     for k in (octaves, octaves - 1):
-        r = np.random.default_rng(ef.SEED + k)
-        octave = k - 1 - np.minimum(r.geometric(0.5, (bands, 6)) - 1, k - 1)
-        picked[octave, r.integers(0, ef.SAMPLES, (bands, 6))] = True
+        picked[ef._picks(k, 24, 24)] = True
     b = np.where(rng.random(a.shape) < 0.05, 15, a).astype(np.uint8)
     m = np.where(picked, a, 1).astype(np.uint8)
     m, a, b = ("".join(f"{v:x}" for v in x.ravel()) for x in (m, a, b))
     assert m < a < b and ef.likeness(m, a) < 0.8 and ef.likeness(m, b) < 0.8 <= ef.likeness(a, b)
-    df = spark.createDataFrame([(m,), (a,), (b,)], "fingerprint string")
-    assert [tuple(r) for r in ef.near_pairs(df).collect()] == [(a, b, ef.likeness(a, b))]
+    got = groups_of(spark.createDataFrame([(m,), (a,), (b,)], "fingerprint string"), least=0.8, bands=24)
+    assert got[a] == got[b] != got[m]
 
 
-def test_near_pairs_of_a_split_bucket(spark, monkeypatch):
-    """Short formulaic texts: few buckets, dealt in blocks; every pair is compared once and none is lost."""
+def test_near_groups_of_a_split_bucket(spark, monkeypatch):
+    """Short formulaic texts: few buckets, dealt in blocks; the groups are those of all pairs."""
     monkeypatch.setattr(ef, "MEMBERS", 7)
     rng = np.random.default_rng(8)
     walk = ef.Walk()
     prints = sorted({walk.fingerprint("dear customer, your order number " + "".join(rng.choice(list("01"), 6)) + " has shipped") for _ in range(60)})
-    want = {(p, q): ef.likeness(p, q) for i, p in enumerate(prints) for q in prints[i + 1 :] if ef.likeness(p, q) >= 0.9}
-    got = ef.near_pairs(spark.createDataFrame([(p,) for p in prints], "fingerprint string"), 0.9).collect()
-    assert len(got) == len(want) > 100 and {(r[0], r[1]): r[2] for r in got} == want
+    group = {p: p for p in prints}
+    for i, p in enumerate(prints):
+        for q in prints[i + 1 :]:
+            if ef.likeness(p, q) >= 0.9:
+                old, new = group[q], group[p]
+                group = {x: new if g == old else g for x, g in group.items()}
+    got = groups_of(spark.createDataFrame([(p,) for p in prints], "fingerprint string"))
+    assert len(set(group.values())) < len(prints)
+    assert {frozenset(p for p in prints if got[p] == g) for g in got.values()} == {frozenset(p for p in prints if group[p] == g) for g in group.values()}
+
+
+def test_recall_of_near_groups(spark):
+    """Texts with a growing number of edits: pairs near by likeness end in one group, and unlike texts stay apart."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    walk, prints = ef.Walk(), []
+    for _ in range(60):
+        chars = list(" ".join(rng.choice(words, rng.integers(60, 400))))
+        for edits in (0, 2, 5, 10, 20):
+            for p in rng.integers(0, len(chars), edits):
+                chars[p] = "#"
+            prints.append(walk.fingerprint("".join(chars)))
+    got = groups_of(spark.createDataFrame([(p,) for p in prints], "fingerprint string"))
+    near = [(prints[5 * k + i], prints[5 * k + j]) for k in range(60) for i in range(5) for j in range(i) if ef.likeness(prints[5 * k + i], prints[5 * k + j]) >= ef.LEAST]
+    assert len(near) > 100 and np.mean([got[p] == got[q] for p, q in near]) >= 0.99
+    assert all(len({k for k in range(60) for i in range(5) if got[prints[5 * k + i]] == g}) == 1 for g in got.values())
 
 
 def test_fingerprints_of_nothing(spark, tmp_path):
