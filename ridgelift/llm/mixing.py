@@ -13,7 +13,8 @@ shuffles on the source, and adaptive execution splits a hot one.
 
 Nulls: a null source is a source of its own, last in the order; a null text has size 0; a null id hashes as the empty
 text. Repeated rows (same id and text) share their draw. Sources whose texts hold no word have target 0. An empty table
-gives an empty result. Other columns pass through `mix` untouched.
+gives an empty result. A very long text is counted whole. Other columns, whatever their names, pass through `mix` untouched; `with_copies` refuses columns named like
+those that it adds.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
 
 def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """docs with _size, _source_size, _target and _copies (0 to max_repeats)."""
+    common.no_clash(docs, "_size", "_source_size", "_target", "_copies", "_draw", "_source")
     sized = docs.withColumn("_size", size_of(F.col("text"))).withColumn("_draw", draw(F.col("doc_id"), F.col("text"), seed))
     targets = source_targets(docs.select("source", size_of(F.col("text")).alias("size")), weights, max_repeats)
     targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
@@ -75,7 +77,9 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    return with_copies(docs, **how).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = with_copies(docs.select("doc_id", "source", "text", row), **how).where("_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
