@@ -1,17 +1,19 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
 Vectors are scaled to length 1. Coarse centroids and the codebooks of their residuals are fitted on the driver over a bounded
-sample (`SAMPLE` vectors, those whose ids have the smallest hashes); every vector is indexed: it goes to its
-nearest centroid's list as `parts` bytes. A query probes the lists nearest to it. In a list, tables of the products of
+sample (those whose ids have the smallest hashes: `SAMPLE` vectors, and `PER_LIST` for each list, at most `MOST_LISTS` lists); every vector is indexed: it goes to its
+nearest centroid's list as `parts` bytes. There are about as many lists as the root of the number of vectors. How many lists a query probes is measured on the sample: as many
+as find a share `TARGET` of the sample's own nearest neighbours, which lie further apart than those of all vectors; and more, until they hold `RERANK` vectors. In a list, tables of the products of
 its parts with all codewords give each vector's approximate cosine by table lookups; the best go on to an
 exact reranking by the cosine of the original vectors in double precision.
 
-A list is dealt into salted blocks of at most about `LIST_ROWS` vectors and `QUERY_ROWS` queries, so a list that holds a third of all vectors is
-many tasks. Counts per list (as many rows as lists) are all that the driver sees of the index.
+Lists are packed into shares of about `SHARE_ROWS` vectors, and a list that is larger is dealt over several by salts, so a list with a third of all vectors is many tasks. A query
+travels once to each share that holds one of its lists, and a share's queries are dealt into blocks of about `QUERY_ROWS`. Counts per list (as many rows as lists) are all
+that the driver sees of the index.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids or vectors of another
 dimension than most of the sample. Equal scores rank by the smaller id, also in the approximate stage. Rows with an id and vector
-that repeat count once. An empty table gives an empty result; other columns are not read.
+that repeat count once. An empty table gives an empty result; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -22,16 +24,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 SAMPLE = 16_384
-LISTS = 64
-PROBES = 40
+PER_LIST = 32
+MOST_LISTS = 4_096
+TARGET = 0.97
 RERANK = 200
-LIST_ROWS = 20_000
+SHARE_ROWS = 20_000
 QUERY_ROWS = 4_000
 
 
@@ -39,6 +43,7 @@ QUERY_ROWS = 4_000
 class Quantiser:
     centroids: np.ndarray  # (lists, dim)
     codebooks: np.ndarray  # (parts, 256, dim / parts)
+    probes: int = 1
 
     @property
     def dim(self) -> int:
@@ -75,17 +80,32 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return base.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0))
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, lists: int = LISTS) -> Quantiser | None:
-    """vectors: as `usable` gives them. None without any."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").to_pylist()
-    if not rows:
+def probes_of(x: np.ndarray, centroids: np.ndarray, target: float, k: int = 5, queries: int = 512) -> int:
+    """The fewest lists that hold a share `target` of the k nearest neighbours, within x, of its first rows. Rows have length 1."""
+    near = x[:queries] @ x.T
+    near[np.arange(len(near)), np.arange(len(near))] = -2
+    best = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)] if len(x) > 1 else np.zeros((1, 1), int)
+    own = (x @ centroids.T - (centroids**2).sum(1) / 2).argmax(1)
+    order = np.argsort(-(x[:queries] @ centroids.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
+    needed = np.sort(np.take_along_axis(place, own[best], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+
+
+def fit(vectors: DataFrame, sample: int = SAMPLE, lists: int | None = None, target: float = TARGET) -> Quantiser | None:
+    """vectors: as `usable` gives them. None without any. lists: by default about the root of their number."""
+    if lists is None:
+        lists = min(MOST_LISTS, max(16, int(vectors.count() ** 0.5)))
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, PER_LIST * lists)).select("v").toArrow().column("v")
+    if not len(rows):
         return None
-    dim = min(Counter(map(len, rows)).items(), key=lambda x: (-x[1], x[0]))[0]
-    x = np.array([r for r in rows if len(r) == dim])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dim = min(Counter(pc.list_value_length(rows).to_pylist()).items(), key=lambda x: (-x[1], x[0]))[0]
+    x = _matrix(rows.filter(pc.equal(pc.list_value_length(rows), dim)).combine_chunks(), dim)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     c = kmeans(x, min(lists, len(x)), 10, 1)
     parts = next(p for p in range(max(1, dim // 4), 0, -1) if dim % p == 0)
-    q = Quantiser(c, np.zeros((parts, 1, dim // parts)))
+    q = Quantiser(c, np.zeros((parts, 1, dim // parts)), probes_of(x, c, target))
     r = (x - c[q.lists_of(x)]).reshape(len(x), parts, -1)
     size = min(256, len(x))
     q.codebooks = np.stack([kmeans(r[:, p], size, 8, 2 + p) for p in range(parts)])
@@ -109,57 +129,78 @@ def build_index(vectors: DataFrame, q: Quantiser) -> DataFrame:
     return vectors.where(F.size("v") == q.dim).mapInArrow(run, "vec_id bigint, list int, code binary")
 
 
-def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, q: Quantiser, k: int = 5, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def shares_of(sizes: dict[int, int], lists: int, most: int) -> tuple[list[int], list[int]]:
+    """Per list its first share and over how many shares it is dealt: small lists fill a share together, a larger one has shares of its own."""
+    first, over, share, held = [0] * lists, [1] * lists, 0, 0
+    for at in range(lists):
+        n = sizes.get(at, 0)
+        if n > most:
+            share += held > 0
+            first[at], over[at] = share, -(-n // most)
+            share, held = share + over[at], 0
+            continue
+        if held + n > most and held:
+            share, held = share + 1, 0
+        first[at] = share
+        held += n
+    return first, over
+
+
+def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, q: Quantiser, k: int = 5, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest. queries: as `usable` gives them."""
-    probes = min(probes, len(q.centroids))
+    probes = min(probes or q.probes, len(q.centroids))
+    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    first, over = shares_of(sizes, len(q.centroids), SHARE_ROWS)
+    of_list = [np.arange(a, a + n) for a, n in zip(first, over, strict=True)]
+    filled = np.array([sizes.get(i, 0) for i in range(len(q.centroids))])
 
-    def probe(batches):
+    def ask(batches):
         for b in batches:
             x = _matrix(b.column("v"), q.dim)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            near = np.argsort(-(x @ q.centroids.T), axis=1, kind="stable")[:, :probes]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("vec_id").to_numpy(), probes)), pa.array(near.ravel(), pa.int32()), pa.array(np.repeat(x, probes, 0).tolist(), pa.list_(pa.float64()))], ["query_id", "list", "q"])
-
-    asked = queries.where(F.size("v") == q.dim).mapInArrow(probe, "query_id bigint, list int, q array<double>")
-    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    asked_sizes = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    salts = F.lit(1)
-    query_salts = F.lit(1)
-    for at, n in sizes.items():
-        if n > LIST_ROWS:
-            salts = F.when(F.col("list") == at, -(-n // LIST_ROWS)).otherwise(salts)
-    for at, n in asked_sizes.items():
-        if n > QUERY_ROWS:
-            query_salts = F.when(F.col("list") == at, -(-n // QUERY_ROWS)).otherwise(query_salts)
-    left = index.withColumn("s", F.pmod(F.xxhash64("vec_id"), salts).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), query_salts.cast("int") - 1)))
-    right = asked.withColumn("t", F.pmod(F.xxhash64("query_id"), query_salts).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)))
+            order = np.argsort(-(x @ q.centroids.T), axis=1, kind="stable")
+            asked_lists = np.maximum(probes, 1 + (np.cumsum(filled[order], 1) <= rerank).sum(1)).clip(max=order.shape[1])
+            near = [row[:p] for row, p in zip(order, asked_lists, strict=True)]
+            wanted = [np.unique(np.concatenate([of_list[i] for i in row])) for row in near]
+            n = np.array([len(w) for w in wanted], np.int64)
+            row = pa.array(np.repeat(np.arange(len(x)), n))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *asked_lists]), pa.int32()), pa.array(np.concatenate([*near, np.zeros(0, int)]), pa.int32()))
+            unit = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), q.dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(row), pa.array(np.concatenate([*wanted, np.zeros(0, np.int64)]).astype(np.int32)), lists.take(row), unit.take(row)], ["query_id", "share", "lists", "q"])
+
+    asked = queries.where(F.size("v") == q.dim).mapInArrow(ask, "query_id bigint, share int, lists array<int>, q array<double>")
+    placed = lambda values: F.element_at(F.from_json(F.lit(str(values)), "array<int>"), F.col("list") + 1)
+    left = index.withColumn("share", (placed(first) + F.pmod(F.xxhash64("vec_id"), placed(over))).cast("int"))
+    busy = asked.groupBy("share").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+    left = left.join(busy, "share").select("share", "vec_id", "list", "code", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = asked.join(busy, "share").select("share", "query_id", "lists", "q", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"))
 
     def lookup(vecs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(vecs) and len(asks):
-            vecs = vecs.sort_values("vec_id")
-            ids = vecs["vec_id"].to_numpy()
-            codes = np.frombuffer(b"".join(vecs["code"]), np.uint8).reshape(len(ids), -1)
-            base = q.centroids[int(vecs["list"].iloc[0])]
-            for at in range(0, len(asks), 64):
-                part = asks.iloc[at : at + 64]
-                x = np.stack(part["q"])
-                t = q.tables(x)
-                score = np.repeat((x @ base)[:, None], len(ids), 1)
-                for p in range(codes.shape[1]):
-                    score += t[:, p, codes[:, p]]
-                for i, query in enumerate(part["query_id"]):
-                    s = score[i]
-                    if len(s) > rerank:
-                        least = np.partition(s, -rerank)[-rerank]
-                        over = np.flatnonzero(s > least)
-                        best = np.concatenate([over, np.flatnonzero(s == least)[: rerank - len(over)]])  # ids ascend: ties keep the smallest
-                    else:
-                        best = np.arange(len(s))
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "near": s[best]}))
+            vecs = vecs.sort_values(["list", "vec_id"])
+            ids, of = vecs["vec_id"].to_numpy(), vecs["list"].to_numpy()
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(vecs["code"]), np.uint8).reshape(len(ids), -1).T)
+            for query, lists, unit in zip(asks["query_id"], asks["lists"], asks["q"], strict=True):
+                lists = np.sort(np.asarray(lists))
+                at = np.searchsorted(lists, of)
+                own = np.flatnonzero(lists[np.minimum(at, len(lists) - 1)] == of)
+                if not len(own):
+                    continue
+                score = (q.centroids @ unit)[of[own]]
+                table = q.tables(np.asarray(unit)[None])[0]
+                for p, code in enumerate(codes):
+                    score += table[p][code[own]]
+                if len(score) > rerank:
+                    least = np.partition(score, -rerank)[-rerank]
+                    more, ties = np.flatnonzero(score > least), np.flatnonzero(score == least)
+                    best = np.concatenate([more, ties[np.argsort(ids[own[ties]])][: rerank - len(more)]])  # ties keep the smallest ids
+                else:
+                    best = np.arange(len(score))
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[own[best]], "near": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
 
-    found = left.groupBy("list", "s", "t").cogroup(right.groupBy("list", "s", "t")).applyInPandas(lookup, "query_id bigint, vec_id bigint, near double").where("query_id != vec_id")
+    found = left.groupBy("share", "block").cogroup(right.groupBy("share", "block")).applyInPandas(lookup, "query_id bigint, vec_id bigint, near double").where("query_id != vec_id")
     by_near = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
     found = found.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= rerank).select("query_id", "vec_id")
 

@@ -39,7 +39,7 @@ def test_recall_and_scores(spark):
 
 
 def test_ties_and_useless_vectors(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(nearest, "LIST_ROWS", 40)
+    monkeypatch.setattr(nearest, "SHARE_ROWS", 40)
     monkeypatch.setattr(nearest, "QUERY_ROWS", 3)
     rng = np.random.default_rng(1)
     hot = rng.normal(size=8)
@@ -53,6 +53,17 @@ def test_ties_and_useless_vectors(spark, tmp_path, monkeypatch):
     assert got[150] == {1: 0, 2: 3, 3: 6, 4: 9, 5: 12} and got[0] == {1: 3, 2: 6, 3: 9, 4: 12, 5: 15}
 
 
+def test_lists_are_packed_into_shares():
+    first, over = nearest.shares_of({0: 5, 1: 4, 2: 30, 3: 1, 4: 9, 5: 2}, 7, 10)
+    assert over == [1, 1, 3, 1, 1, 1, 1] and first == [0, 0, 1, 4, 4, 5, 5]
+
+
+def test_clashing_columns_of_vectors(spark, tmp_path):
+    rows = [(i, [float(i), 1.0, 2.0], i, "x") for i in range(120)]
+    d = tables(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, q string"))
+    assert nearest.op4_nearest(spark, d).count() == 15
+
+
 def test_few_or_no_vectors(spark, tmp_path):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest.op4_nearest(spark, tables(spark, tmp_path / "a", embeddings=few)).collect()] == [(0, 1, 7, 0.0)]
