@@ -8,15 +8,15 @@ lie `SIGMAS` standard deviations below the threshold. What is left is confirmed
 
 Inside a bucket no task emits all pairs: a search through the members with near sketches gives a tree of candidate links, one link
 fewer than members. Trees join into families, which can only be larger than the true groups. Each family's full sets are
-gathered once, and a search through them by exact similarity gives the groups: nothing is emitted but a label per member. A bucket
-with more than `BLOCK` members is split into blocks of pairs of salts, so that each pair meets in one block. A family with more than
-`FAMILY` members or more than `FAMILY_HASHES` hashes in their sets is not gathered: its candidate links are confirmed pair by pair, then members of one bucket in
-different groups are compared, and the new links confirmed in turn.
+gathered, and a search through them by exact similarity gives the groups: nothing is emitted but a label per member. A bucket
+with more than `BLOCK` members is split into blocks of pairs of salts, so that each pair meets in one block. So is a family, by its members
+and by the hashes in their sets (`FAMILY`, `FAMILY_HASHES` for each salt); the labels found in its blocks are links, and join into the family's groups.
+Shingles are told apart by 64-bit hashes, in the confirmation too.
 
 Nulls: a null text, an empty one and one without words have the empty set and are linked with nothing: a component of their own,
 kept. Null ids: such a row joins components by its text, and the component's id is its smallest non-null id, or null if
 there is none; kept compares null-safely. Repeated rows fall in the same class: rows with the component's id are all kept. An empty
-table gives an empty result. Other columns pass through `keep_one` untouched.
+table gives an empty result. A very long text is one set, however large. Other columns, whatever their names, pass through `keep_one` untouched.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ BITS = 1024
 TEXT_AT_ONCE = 1 << 20
 BLOCK = 20_000
 FAMILY = 10_000
-#: Shingle hashes of a family that are gathered at once: 8 bytes each, and about 70 with the copies that resolve them.
-FAMILY_HASHES = 5_000_000
+#: Shingle hashes of a salt of a family: 8 bytes each, and about 70 with the copies that resolve them; two salts meet in a block.
+FAMILY_HASHES = 1_500_000
 SEED = 1_618_033
 
 
@@ -165,10 +165,10 @@ def _trees(most: int):
 
 
 def _groups_of_families(percent: int):
-    """Of each family's full sets, the label (smallest node) of each member's group, by exact similarity."""
+    """Of the full sets of each family's block, the label (smallest node) of each member's group, by exact similarity; `whole` if the family has no other block."""
 
     def run(batches):
-        for t in _groups(batches, ("family",)):
+        for t in _groups(batches, ("family", "block")):
             t = t.sort_by("node")
             node = t.column("node").to_pylist()
             sets = [np.frombuffer(m, np.uint64) for m in t.column("members").to_pylist()]
@@ -194,25 +194,8 @@ def _groups_of_families(percent: int):
                     mark[own[p]] = 0
                     fresh = 100 * both >= percent * (size[left] + size[p] - both)
                     waiting += left[fresh].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(label, pa.binary())], ["node", "label"])
-
-    return run
-
-
-def _across(most: int):
-    def run(batches):
-        def pairs():
-            for t in _groups(batches, ("key", "block")):
-                node, s = t.column("node").to_pylist(), _bits(t)
-                label = np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-                if label.max() == 0:
-                    continue
-                for at in range(0, len(s), 256):
-                    near = np.bitwise_count(s[at : at + 256, None] ^ s[None]).sum(2) <= most
-                    near &= label[at : at + 256, None] < label[None]
-                    yield from ((node[at + i], node[j]) for i, j in np.argwhere(near))
-
-        yield from _pairs_out(pairs())
+            whole = pa.array([t.column("salts")[0].as_py() == 1] * len(node), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(label, pa.binary()), whole], ["node", "label", "whole"])
 
     return run
 
@@ -233,48 +216,16 @@ def full_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme
     return texts.mapInArrow(sets, f"{fields}, members binary")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    full = common.stored(full_sets(asked, reps, docs, scheme).dropDuplicates(["node"]))
-
-    def check(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= scheme.percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    one = full.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    other = full.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return common.stored(pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"))
-
-
 def _distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by family and node, repeated nodes (of repeated rows) left out."""
+    """Rows sorted by family, block and node, repeated nodes (of repeated rows) left out."""
     last = None
     for b in batches:
-        nodes = b.column("node").to_pylist()
+        nodes = list(zip(b.column("block").to_pylist(), b.column("node").to_pylist(), strict=True))
         keep = [x != y for x, y in zip(nodes, [last, *nodes[:-1]], strict=True)] if nodes else []
         last = nodes[-1] if nodes else last
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-def _of_large(nodes: DataFrame, links: DataFrame, members: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme, by_bucket) -> DataFrame:
-    """node, label of families too large to gather, by confirmed pairs."""
-    nodes = common.stored(nodes.select("node"))
-    pairs = common.stored(links.join(nodes.withColumnRenamed("node", "a"), "a"))
-    sure = confirmed(pairs, reps, docs, scheme)
-    found = components(sure)
-    labelled = members.join(nodes, "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    more = by_bucket(labelled.join(mixed, "key")).mapInArrow(_across(scheme.most_bits), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = common.stored(more.join(pairs, ["a", "b"], "left_anti"))
-    return components(sure.unionByName(confirmed(more, reps, docs, scheme))) if more.head(1) else found
-
-
 def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """One row per row of docs: _id, _th, n_shingles, component (smallest non-null id reachable), label (of the component; null for the empty set)."""
     scheme = Scheme(percent, shingle)
@@ -296,12 +247,17 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     links = common.stored(by_bucket(members).mapInArrow(_trees(scheme.most_bits), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     families = components(links).withColumnRenamed("label", "family")
     sizes = families.join(reps.select("node", "n_shingles"), "node").groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
-    large = common.stored(sizes.where((F.col("n") > FAMILY) | (F.col("hashes") > FAMILY_HASHES)).select("family"))
-    of_small = full_sets(families.join(large, "family", "left_anti"), reps, docs, scheme)
-    of_small = of_small.repartition(common.partitions(docs.sparkSession), "family").sortWithinPartitions("family", "node")
-    found = of_small.mapInArrow(_distinct_nodes, of_small.schema).mapInArrow(_groups_of_families(percent), "node binary, label binary")
-    if large.head(1):
-        found = found.unionByName(_of_large(families.join(large, "family"), links, members, reps, docs, scheme, by_bucket))
+    sizes = sizes.select("family", F.ceil(F.greatest(F.col("n") / FAMILY, F.col("hashes") / FAMILY_HASHES)).cast("int").alias("salts"))
+    own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.least(own, t).cast("long") * F.col("salts") + F.greatest(own, t))
+    dealt = families.join(sizes, "family").select("node", "family", "salts", F.explode(pairs).alias("block"))
+    of_family = full_sets(dealt, reps, docs, scheme)
+    of_family = of_family.repartition(common.partitions(docs.sparkSession), "family", "block").sortWithinPartitions("family", "block", "node")
+    resolved = common.stored(of_family.mapInArrow(_distinct_nodes, of_family.schema).mapInArrow(_groups_of_families(percent), "node binary, label binary, whole boolean"))
+    found = resolved.where("whole").select("node", "label")
+    joins = resolved.where("not whole and node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    if joins.head(1):
+        found = found.unionByName(components(joins))
 
     label = common.stored(reps.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
     smallest = label.groupBy("label").agg(F.min("least").alias("component"))
@@ -313,11 +269,12 @@ def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """docs with one row of each group, the one with the component's id; rows with the empty set all stay."""
     every = classes(docs, percent, shingle).where(F.col("label").isNull() | F.col("_id").eqNullSafe(F.col("component")))
     one = every.where("label is not null").groupBy("label").agg(F.min(F.struct("_id", "_th")).alias("r")).select("r._id", "r._th", "label")
-    chosen = one.unionByName(every.where("label is null").select("_id", "_th", "label").distinct()).select("_id", F.col("_th").alias("_chosen_th"), F.col("label").alias("_label"))
-    keyed = docs.withColumn("_row_th", F.xxhash64(common.text_or_empty(F.col("text"))))
-    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_row_th"] == chosen["_chosen_th"]))
-    repeated = kept.where("_label is not null").dropDuplicates(["_label"])  # only rows with equal id and text are left to choose from
-    return repeated.unionByName(kept.where("_label is null")).select(*docs.columns)
+    chosen = one.unionByName(every.where("label is null").select("_id", "_th", "label").distinct())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("row_id"), F.xxhash64(common.text_or_empty(F.col("text"))).alias("row_th"))
+    kept = keyed.join(chosen, F.col("row_id").eqNullSafe(F.col("_id")) & (F.col("row_th") == F.col("_th")))
+    repeated = kept.where("label is not null").dropDuplicates(["label"])  # only rows with equal id and text are left to choose from
+    return repeated.unionByName(kept.where("label is null")).select("row.*")
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,30 +74,44 @@ def test_near_dups_in_split_buckets(spark, monkeypatch):
     assert sorted((str(r["_id"]), str(r["component"])) for r in got) == sorted((str(d), str(c)) for (d, _), c in zip(rows, near_by_force(rows, 85, 3), strict=True))
 
 
-def test_near_dups_in_large_families(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "FAMILY", 2)
+@pytest.mark.parametrize(("members", "hashes"), [(2, 1_500_000), (10_000, 400), (1, 1)])
+def test_near_dups_in_families_of_many_blocks(spark, monkeypatch, members, hashes):
+    monkeypatch.setattr(near_dup, "FAMILY", members)
+    monkeypatch.setattr(near_dup, "FAMILY_HASHES", hashes)
     rows = some_documents(7)
     got = near_dup.classes(docs(spark, rows), 85, 3).collect()
     assert sorted((str(r["_id"]), str(r["component"])) for r in got) == sorted((str(d), str(c)) for (d, _), c in zip(rows, near_by_force(rows, 85, 3), strict=True))
 
 
-def test_families_are_bounded_by_their_hashes(spark, monkeypatch):
-    """A few long documents go pair by pair, though their number is small."""
-    monkeypatch.setattr(near_dup, "FAMILY_HASHES", 2_000, raising=False)
-    asked, of_large = [], near_dup._of_large
-
-    def spy(nodes, *rest):
-        asked.extend(r["node"] for r in nodes.select("node").collect())
-        return of_large(nodes, *rest)
-
-    monkeypatch.setattr(near_dup, "_of_large", spy)
-    long = [f"w{i}" for i in range(900)]
-    rows = [(i, " ".join([*long[: 890 - i], f"end{i}"])) for i in range(3)] + [(7, "a few words here now"), (8, "a few words here now"), (9, " ".join(f"v{i}" for i in range(50)))]
+def test_very_long_texts_are_one_set(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "FAMILY_HASHES", 2_000)
+    long = [f"w{i}" for i in range(90_000)]
+    rows = [(i, " ".join([*long[: 89_990 - i], f"end{i}"])) for i in range(3)] + [(7, "a few words here now"), (8, "a few words here now"), (9, " ".join(f"v{i}" for i in range(50)))]
     got = near_dup.classes(docs(spark, rows), 85, 3).collect()
-    assert len(asked) == 3
     assert sorted((r["_id"], r["component"]) for r in got) == [(0, 0), (1, 0), (2, 0), (7, 7), (8, 7), (9, 9)]
 
 
+CLASHES = ("_row_th", "_id", "_th", "label", "row", "row_id", "component", "_size", "_draw", "_source", "_copies", "_copy", "ids", "_t", "_w", "_s", "spans", "kept", "h")
+
+
+def test_clashing_columns_pass_untouched(spark):
+    from ridgelift.llm import mixing, quality, secret_scan
+
+    df = docs(spark, [(1, "some words of a text " * 4, "a"), (2, "some words of a text " * 4, "b"), (3, None, None)])
+    for i, c in enumerate(CLASHES):
+        df = df.withColumn(c, near_dup.F.lit(i) + near_dup.F.col("doc_id"))
+    model = quality.Model((), 5.0)
+    for out in (near_dup.keep_one(df), mixing.mix(df), quality.keep_good(df, model), secret_scan.redact(df)):
+        rows = out.collect()
+        assert out.columns == df.columns and rows
+        assert all(r[c] == i + r["doc_id"] for r in rows for i, c in enumerate(CLASHES))
+    with pytest.raises(ValueError, match="_size"):
+        mixing.with_copies(df)
+    plain = df.select("doc_id", "text")
+    for own in (sd.remove, lambda d: near_dup.classes(d, 85, 3)):
+        assert sorted(map(str, own(df).collect())) == sorted(map(str, own(plain).collect()))
+
+
 def test_keep_one_of_each_group(spark):
     rows = some_documents()
     df = docs(spark, rows).withColumnRenamed("source", "label")
