@@ -10,8 +10,8 @@ labels of the sample are broadcast; their number is that bound.
 
 Nulls: a null text is the empty text. A document without any word is scored like every other, from its statistics (all
 0). Null ids are scored too; null labels are not learnt from. Without usable labels of both classes every score is the
-share of label 1 (1.0 if there are none). Repeated rows get equal scores. Empty tables give an empty result. The score depends on
-the text alone.
+share of label 1 (1.0 if there are none). Repeated rows get equal scores; of rows with one labelled id one is learnt from, of repeated labels every different one. Empty tables
+give an empty result. A very long text is scored whole. The score depends on the text alone; other columns, whatever their names, pass through `keep_good` untouched.
 """
 
 from __future__ import annotations
@@ -167,7 +167,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out_mod
     )
     ids = chosen.select(F.col("doc_id").alias("_label_id"), "_y")
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_label_id"))  # at most `sample` rows are broadcast
-    rows = with_statistics(picked, ["doc_id", "_y"]).select("doc_id", "_y", "_s.*").orderBy(F.xxhash64("doc_id"), "doc_id", "_y", "n_words").limit(2 * sample).collect()
+    # of rows with one id the first by their statistics is learnt from, so no more rows than labels leave the executors
+    one = with_statistics(picked, ["doc_id", "_y"]).groupBy("doc_id", "_y").agg(F.min("_s").alias("_s"))
+    rows = one.select("doc_id", "_y", "_s.*").orderBy(F.xxhash64("doc_id"), "doc_id", "_y").collect()
     x = np.array([[r[k] for k in STATISTICS] for r in rows], float).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r["_y"] for r in rows], float))
 
