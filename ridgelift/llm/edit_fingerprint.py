@@ -302,7 +302,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, and near_group: documents of one group are linked by fingerprints of a likeness of `LEAST` or more."""
-    every = common.stored(fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
-    groups = near_groups(every)
-    return every.join(groups, "fingerprint")
+    return fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
