@@ -52,3 +52,38 @@ def poll_thresholds(poll_s: Column) -> tuple[Column, Column]:
 def run_freshness(age_h: Column, interval_h: float, lag_h: float, current: float, stale: float) -> Column:
     age = F.greatest(F.lit(0), age_h)
     return F.when(age <= current * interval_h + lag_h, "current").when(age <= stale * interval_h + lag_h, "delayed").otherwise("stale")
+
+
+def _offset_s(at_s: Column, zone: str | Column) -> Column:
+    """Seconds that a zone is ahead of UTC at an instant (seconds since 1970)."""
+    return F.unix_timestamp(F.from_utc_timestamp(F.timestamp_seconds(at_s), zone)) - at_s
+
+
+def naive_instant(text: Column, zone: str | Column, after_s: Column | None = None, near_s: Column | None = None) -> Column:
+    """Seconds since 1970 of a wall clock time without a zone (yyyy-MM-dd'T'HH:mm:ss); null if it is none.
+
+    Of the two instants of an overlap the first later than after_s (else the last), or the one nearest near_s, or the first. A time in a gap is the instant of the change itself.
+    """
+    day = 86_400
+    wall = F.unix_timestamp(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), text), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    offsets = F.array_distinct(F.array(*[_offset_s(wall + d, zone) for d in (-day, 0, day)]))
+    found = F.array_sort(F.filter(F.transform(offsets, lambda o: wall - o), lambda c: _offset_s(c, zone) == wall - c))
+    first = F.element_at(found, 1)
+    if after_s is not None:
+        later = F.filter(found, lambda c: c > after_s)
+        pick = F.when(after_s.isNull(), first).when(F.size(later) > 0, F.get(later, F.lit(0))).otherwise(F.element_at(found, -1))
+    elif near_s is not None:
+        pick = F.array_min(F.transform(found, lambda c: F.struct(F.abs(c - near_s).alias("far"), c.alias("c"))))["c"]
+    else:
+        pick = first
+    low, high = wall - F.array_max(offsets), wall - F.array_min(offsets)
+    same = lambda c, s: _offset_s(c, zone) == _offset_s(s, zone)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = s["low"] + F.floor((s["high"] - s["low"]) / 2)
+        below = same(middle, low)
+        done = s["high"] - s["low"] <= 1
+        return F.when(done, s).otherwise(F.struct(F.when(below, middle).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high")))
+
+    change = F.aggregate(F.sequence(F.lit(1), F.lit(18)), F.struct(low.alias("low"), high.alias("high")), halve, lambda s: s["high"])
+    return F.when(F.size(found) > 0, pick).otherwise(F.when(wall.isNotNull(), change))

@@ -195,6 +195,31 @@ def latest_value(h: DataFrame, sensor: str, lookback_minutes: int) -> DataFrame:
     return h.join(last, "station_id").groupBy("station_id").agg(F.max_by(F.when(fresh, F.col(sensor)), F.when(fresh, F.struct("observed_at", "seq"))).alias(sensor))
 
 
+def nearest_point(h: DataFrame, cursors: DataFrame) -> DataFrame:
+    """cursors: station_id, at: one instant a station. The point nearest to it, the first of ties."""
+    far = F.abs(micros("observed_at") - micros("at"))
+    return h.join(cursors.select("station_id", "at"), "station_id").groupBy("station_id").agg(F.min_by(F.struct("seq", "observed_at"), F.struct(far, "observed_at", "seq")).alias("p")).select("station_id", "p.*")
+
+
+def all_calm(h: DataFrame) -> DataFrame:
+    """Whether every point of a station is calm, by its gust or, without one, its mean."""
+    return h.groupBy("station_id").agg(F.bool_and(F.coalesce("wind_gust_mps", "wind_avg_mps") < wind.CALM_MPS).alias("calm"))
+
+
+def graded_segments(h: DataFrame, bounds: tuple[float, ...]) -> DataFrame:
+    """Segments between neighbouring points with the speed band of their mean."""
+    w = Window.partitionBy(*KEYS).orderBy(*ORDER)
+    before = F.lag(_speed()).over(w)
+    x = h.select("station_id", "seq", "observed_at", F.lag("observed_at").over(w).alias("from_at"), wind.band((before + _speed()) / 2, bounds).alias("band"))
+    return x.where("from_at is not null")
+
+
+def value_scale(h: DataFrame, value: str, padding: float) -> DataFrame:
+    """Lowest and highest value of a station with padding; 0 stands for both if there is none."""
+    low, high = F.coalesce(F.min(value), F.lit(0.0)), F.coalesce(F.max(value), F.lit(0.0))
+    return h.groupBy("station_id").agg((low - padding).alias("low"), (high + padding).alias("high"))
+
+
 def compare_window(h: DataFrame, hours: int, days_back: int) -> DataFrame:
     """Points shown (the last hours) and points of the same span some days before.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare, findings, forecast, kinds, live, series, station
+from . import compare, findings, forecast, kinds, live, more, series, station
 
-MODULES = (station, forecast, findings, kinds, compare, live, series)
+MODULES = (station, forecast, findings, kinds, more, compare, live, series)
 
 
 def queries() -> dict:

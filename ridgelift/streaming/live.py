@@ -76,3 +76,26 @@ def append_batch(path: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def snapshots(frames: DataFrame) -> DataFrame:
+    """Batch: what a reader holds after each station's frames (station_id, seq, kind, status, served_at, reading, summaries): init, samples, reading, summaries, ping, unavailable.
+
+    An init gives the station; readings and summaries after it change a station that is ok, and are passed over before it or if it is not. Pings change nothing, and after an
+    `unavailable` frame the last station stays, with an error.
+    """
+    init = frames.where("kind = 'init'").groupBy("station_id").agg(F.max_by(F.struct("seq", "status", "reading", "summaries"), "seq").alias("i"))
+    x = frames.where("kind != 'ping'").join(init, "station_id", "left")
+    later = (F.col("seq") > F.col("i.seq")) & (F.col("i.status") == "ok")
+    last = lambda kind, value: F.max_by(F.when((F.col("kind") == kind) & later, F.struct(F.col(value).alias("v"))), F.when((F.col("kind") == kind) & later, F.col("seq")))
+    served = F.col("kind").isin("init", "reading", "summaries")
+    g = x.groupBy("station_id").agg(
+        F.first("i").alias("i"),
+        last("reading", "reading").alias("r"),
+        last("summaries", "summaries").alias("s"),
+        F.max_by(F.when(served, F.col("served_at")), F.when(served, F.col("seq"))).alias("served_at"),
+        F.max_by("kind", "seq").alias("_last"),
+        F.count_if(F.col("kind") != "unavailable").alias("_n"),
+    )
+    new = lambda c, old: F.when(F.col(c).isNotNull(), F.col(f"{c}.v")).otherwise(F.col(f"i.{old}"))
+    return g.select("station_id", F.col("i.status").alias("station_status"), new("r", "reading").alias("reading"), new("s", "summaries").alias("summaries"), "served_at", F.when(F.col("_n") > 0, "open").otherwise("connecting").alias("status"), F.when(F.col("_last") == "unavailable", "network").alias("error"))
