@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare, findings, forecast, kinds, live, more, series, station
+from . import compare, findings, forecast, kinds, live, more, series, station, texts
 
-MODULES = (station, forecast, findings, kinds, more, compare, live, series)
+MODULES = (station, forecast, findings, kinds, more, compare, live, series, texts)
 
 
 def queries() -> dict:

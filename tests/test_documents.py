@@ -113,3 +113,13 @@ def test_nights(spark):
     assert [s for s, _, _ in got] == [1, 1] and all(5 < (b - a).total_seconds() / 3600 < 9 for _, a, b in got)
     (low,) = nights.last_night_low(h, places, F.lit("2026-07-01 22:00:00").cast("timestamp")).collect()
     assert (low["station_id"], low["low_c"], low["from_at"]) == (1, 12.0, got[0][1])
+
+
+def test_event_streams(spark):
+    from ridgelift.operators import texts
+
+    body = ": hello\nevent: init\ndata: {\"a\":1}\ndata: more\n\ndata:x\r\nid: 7\r\n\r\nevent: lost\n\nevent:\ndata\n\ndata: not ended"
+    rows = [tuple(r) for r in texts.stream_events(spark.createDataFrame([("p", body)], "path string, body string")).select("event", "data", "too_long").collect()]
+    assert rows == [("init", '{"a":1}\nmore', False), ("message", "x", False), ("message", "", False)]
+    (r,) = texts.stream_events(spark.createDataFrame([("p", "data: " + "y" * 100 + "\n\n")], "path string, body string"), 50).collect()
+    assert r["too_long"] and r["data"] is None
