@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgelift.functions import geometry
-from ridgelift.operators import documents, hours, nights, raster, station
-from ridgelift.sources.projections import HISTORY, LEVELS, forecast_level, station_history, table
+from ridgelift.operators import derive, documents, hours, nights, parcel, raster, station
+from ridgelift.sources.projections import HISTORY, LEVELS, forecast_hour, forecast_level, station_history, table
 from ridgelift.streaming import live
 
 from .findings import PROFILE, ZONE, at_utc, profile_hours
@@ -208,6 +208,13 @@ def station_places(spark, d):
     return station_history(spark, d).select("station_id").distinct().select("station_id", F.when(F.col("station_id") % 9 != 0, 45.0 + F.col("station_id") % 20).alias("latitude"), (-130.0 + F.col("station_id") % 30).alias("longitude"))
 
 
+@R.add("m24_m25_parcel_ascents")
+def m24_m25_parcel_ascents(spark, d):
+    h = derive.with_levels(forecast_hour(spark, d), forecast_level(spark, d))
+    x = parcel.ascents(h).select("hour_id", "lcl_m", F.explode("levels").alias("l"))
+    return x.select("hour_id", _r("lcl_m", "lcl_m", 4), "l.height_m", _r("l.parcel_c", "parcel_c"), _r("l.thermal_index_c", "thermal_index_c"))
+
+
 @R.add("w24_nights")
 def w24_nights(spark, d):
     return nights.nights(station_history(spark, d).withColumn("observed_at", F.col("observed_at").cast("timestamp")), station_places(spark, d))
