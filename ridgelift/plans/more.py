@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgelift.functions import geometry
-from ridgelift.operators import derive, documents, hours, nights, parcel, raster, station
-from ridgelift.sources.projections import HISTORY, LEVELS, forecast_hour, forecast_level, station_history, table
+from ridgelift.operators import derive, documents, hours, nights, parcel, raster, station, vertical
+from ridgelift.sources.projections import HISTORY, LEVELS, MEMBERS, forecast_hour, forecast_level, member_value, station_history, table
 from ridgelift.streaming import live
 
 from .findings import PROFILE, ZONE, at_utc, profile_hours
@@ -208,6 +208,34 @@ def station_places(spark, d):
     return station_history(spark, d).select("station_id").distinct().select("station_id", F.when(F.col("station_id") % 9 != 0, 45.0 + F.col("station_id") % 20).alias("latitude"), (-130.0 + F.col("station_id") % 30).alias("longitude"))
 
 
+@R.add(
+    "m46_vertical_nodes",
+    f"""with {PROFILE}, cl as (select hour_id, 0 as i, model_elevation_m as z, temperature_c as t, dew_point_depression_c as d, ((hour_id * 7) % 150)::double / 10.0::double as s, case when hour_id % 11 <> 0 then ((hour_id * 53) % 360)::double end as w from o where hour_id in (select hour_id from a)
+  union all select a.hour_id, a.i, a.z, a.lt, a.ld, l.wind_speed_mps, l.wind_direction_deg from a join l on l.hour_id = a.hour_id and l.height_m = a.z),
+cn as (select *, lead(z) over n as z2, lead(t) over n as t2, lead(s) over n as s2, lead(w) over n as w2, lag(z) over n as z0, lag(t) over n as t0 from cl window n as (partition by hour_id order by i)),
+nd as (select hour_id, 'lapse' as kind, z as altitude_m, case when z2 is not null then (t2 - t) / (z2 - z) * 1000 else (t - t0) / (z - z0) * 1000 end * 0.3048 as value from cn union all select hour_id, 'depression', z, d from cn
+  union all select hour_id, 'humidity', z, least(100.0, 100 * exp(17.625 * (t - d) / (243.04 + (t - d)) - 17.625 * t / (243.04 + t))) from cn
+  union all select hour_id, 'shear', (z + z2) / 2, sqrt(pow(-s2 * sin(w2 * {RAD}) + s * sin(w * {RAD}), 2) + pow(-s2 * cos(w2 * {RAD}) + s * cos(w * {RAD}), 2)) / (z2 - z) * 1000 from cn where z2 is not null)
+select hour_id, kind, round(altitude_m, 6) as altitude_m, round(value, 7) as value from nd""",
+)
+def m46_vertical_nodes(spark, d):
+    k = F.col("hour_id")
+    h = derive.with_levels(forecast_hour(spark, d), forecast_level(spark, d))
+    h = h.withColumn("wind_speed_mps", (k * 7 % 150).cast("double") / 10.0).withColumn("wind_direction_deg", F.when(k % 11 != 0, (k * 53 % 360).cast("double")))
+    return vertical.nodes(h).select("hour_id", "kind", _r("altitude_m", "altitude_m"), _r("value", "value", 7))
+
+
+@R.add(
+    "j18_wind_pairs",
+    f"""with {MEMBERS}, w as (select hour_id % 40 as site, hour_id // 40 * 32 + member // 2 as member, member % 2 as c, v from m), p as (select site, member, max(v) filter (c = 0) as u, max(v) filter (c = 1) as v from w group by all)
+select site, member, round(sqrt(u * u + v * v), 6) as speed_mps, round((atan2(-u, -v) / ({RAD}) % 360 + 360) % 360, 4) % 360 as direction_deg from p where u is not null and v is not null""",
+)
+def j18_wind_pairs(spark, d):
+    m = member_value(spark, d)
+    w = m.select((F.col("hour_id") % 40).alias("site"), (F.floor(F.col("hour_id") / 40) * 32 + F.floor(F.col("member") / 2)).alias("member"), F.when(F.col("member") % 2 == 0, "u").otherwise("v").alias("component"), F.col("v").alias("value"))
+    return vertical.wind_pairs(w, ["site"]).select("site", "member", _r("speed_mps", "speed_mps"), F.pmod(F.round("direction_deg", 4), F.lit(360.0)).alias("direction_deg"))
+
+
 @R.add("m24_m25_parcel_ascents")
 def m24_m25_parcel_ascents(spark, d):
     h = derive.with_levels(forecast_hour(spark, d), forecast_level(spark, d))

@@ -123,3 +123,16 @@ def test_event_streams(spark):
     assert rows == [("init", '{"a":1}\nmore', False), ("message", "x", False), ("message", "", False)]
     (r,) = texts.stream_events(spark.createDataFrame([("p", "data: " + "y" * 100 + "\n\n")], "path string, body string"), 50).collect()
     assert r["too_long"] and r["data"] is None
+
+
+def test_members_and_values_that_must_be_there(spark):
+    from ridgelift.operators import vertical
+
+    rows = [(1, 0, "u", 3.0), (1, 0, "v", 4.0), (1, 1, "u", 1.0), (2, 0, "u", 0.0), (2, 0, "v", 0.0)]
+    df = spark.createDataFrame(rows, "site int, member int, component string, value double")
+    assert sorted((r["site"], r["member"], r["speed_mps"], r["direction_deg"]) for r in vertical.wind_pairs(df, ["site"]).collect())[1] == (2, 0, 0.0, 0.0)
+    assert vertical.wind_pairs(df, ["site"], members=1).count() == 2
+    with pytest.raises(Exception, match="1 of 2 members"):
+        vertical.wind_pairs(df, ["site"], members=2).collect()
+    with pytest.raises(Exception, match="temperature is missing"):
+        spark.createDataFrame([(1.0,), (None,)], "t double").select(vertical.required(F.col("t"), "temperature")).collect()
