@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Nulls: a null text is judged, compared, mixed and encoded as the empty text and stays null until it is encoded; a null id or source is a value like
+others. Ties: of a group of near duplicates the row with the smallest id stays (of equal ids and texts, any one). Repeated rows are near duplicates of each other; those
+without words are no one's, and all stay. Very long texts are treated whole. An empty table stays empty. Columns besides those of documents pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
