@@ -43,7 +43,7 @@ TEXT_AT_ONCE = 1 << 20
 BLOCK = 20_000
 FAMILY = 10_000
 #: Shingle hashes of a salt of a family: 8 bytes each, and about 70 with the copies that resolve them; two salts meet in a block.
-FAMILY_HASHES = 1_500_000
+FAMILY_HASHES = 750_000
 SEED = 1_618_033
 
 
