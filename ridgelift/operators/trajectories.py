@@ -87,6 +87,6 @@ def direction_spread(directions: DataFrame, t: Thresholds = DEFAULTS) -> DataFra
     known = directions.where("surface_deg is not null")
     g = known.groupBy(*RUN).agg((F.sum(wind.u_of(s, d) * n) / F.sum(n)).alias("u"), (F.sum(wind.v_of(s, d) * n) / F.sum(n)).alias("v"))
     speed = wind.speed_of(F.col("u"), F.col("v"))
-    entries = g.where(speed >= t.direction_floor_mps).select(F.struct(*DAY).alias("k"), F.col("member").alias("ord"), nudge_round(F.round(wind.direction_of(F.col("u"), F.col("v")), 6)).alias("deg"))
+    entries = g.where(F.round(speed, 9) >= t.direction_floor_mps).select(F.struct(*DAY).alias("k"), F.col("member").alias("ord"), nudge_round(F.round(wind.direction_of(F.col("u"), F.col("v")), 6)).alias("deg"))
     members = entries.groupBy("k").agg(F.count("*").alias("members"))
     return widest_separation(entries, "k").join(members, "k").select("k.site", "k.day", "members", "separation_deg", F.col("first").alias("first_member"), F.col("second").alias("second_member"))

@@ -111,7 +111,7 @@ def wind_directions(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
     def mean(u: str, v: str, speed: str, direction: str) -> list[Column]:
         m = wind.speed_of(F.col(u), F.col(v))
-        return [nudge_round(m, 2).alias(speed), F.when(m >= floor, nudge_round(F.round(wind.direction_of(F.col(u), F.col(v)), 6))).alias(direction)]
+        return [nudge_round(m, 2).alias(speed), F.when(F.round(m, 9) >= floor, nudge_round(F.round(wind.direction_of(F.col(u), F.col(v)), 6))).alias(direction)]
 
     told = [c for n, k in (("start", "a"), ("peak", "p"), ("end", "b")) for c in (nudge_round(F.col(f"{k}.s"), 2).alias(f"{n}_mps"), nudge_round(way(k)).alias(f"{n}_deg"))]
     return g.join(band, keys, "left").select(*keys, "day", *told, F.col("p.valid_at").alias("peak_at"), nudge_round(turn).alias("net_veer_deg"), *mean("u", "v", "surface_mps", "surface_deg"), "samples", *mean("bu", "bv", "band_mps", "band_deg"), "band_samples")

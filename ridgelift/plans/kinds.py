@@ -141,8 +141,8 @@ gd as (select profile_id, window_id, any_value(wday) as day, arg_min((sw, sd), i
 bd_ as (select wh.profile_id, wh.window_id, avg({_U.format(s='l.wind_speed_mps', d='l.wind_direction_deg')}) as bu, avg({_V.format(s='l.wind_speed_mps', d='l.wind_direction_deg')}) as bv, count(*) as band_samples from wh join l using (hour_id) join o using (hour_id) where l.height_m > o.model_elevation_m + 20 and l.height_m between wh.launch_m and wh.lift_top group by all),
 wy as (select *, case when a[1] >= 1 then a[2] end as ad, case when p[1] >= 1 then p[2] end as pd, case when b[1] >= 1 then b[2] end as bd from gd where a[1] is not null and p[1] is not null and b[1] is not null and samples > 0),
 wd_ as (select wy.profile_id, wy.window_id::bigint as window_id, day, {R2.format('a[1]')} as start_mps, {R0.format('ad')} as start_deg, {R2.format('p[1]')} as peak_mps, {R0.format('pd')} as peak_deg, {R2.format('b[1]')} as end_mps, {R0.format('bd')} as end_deg, p[3] as peak_at,
- floor(-((((ad - bd + 180) % 360 + 360) % 360) - 180) + 0.5) as net_veer_deg, {R2.format('sqrt(u * u + v * v)')} as surface_mps, case when sqrt(u * u + v * v) >= 1 then {_DEG.format(u='u', v='v')} end as surface_deg, samples,
- {R2.format('sqrt(bu * bu + bv * bv)')} as band_mps, case when sqrt(bu * bu + bv * bv) >= 1 then {_DEG.format(u='bu', v='bv')} end as band_deg, band_samples from wy left join bd_ using (profile_id, window_id))"""
+ floor(-((((ad - bd + 180) % 360 + 360) % 360) - 180) + 0.5) as net_veer_deg, {R2.format('sqrt(u * u + v * v)')} as surface_mps, case when round(sqrt(u * u + v * v), 9) >= 1 then {_DEG.format(u='u', v='v')} end as surface_deg, samples,
+ {R2.format('sqrt(bu * bu + bv * bv)')} as band_mps, case when round(sqrt(bu * bu + bv * bv), 9) >= 1 then {_DEG.format(u='bu', v='bv')} end as band_deg, band_samples from wy left join bd_ using (profile_id, window_id))"""
 
 
 @R.add("f10_wind_direction", f"with {DIRECTIONS} select * from wd_")
@@ -265,7 +265,7 @@ def c07_wind_divergence(spark, d):
 @R.add(
     "c08_direction_spread",
     f"""with {DIRECTIONS}, g as (select profile_id % 50 as site, day, profile_id // 50 as member, sum({_U.format(s='surface_mps', d='surface_deg')} * samples) / sum(samples) as u, sum({_V.format(s='surface_mps', d='surface_deg')} * samples) / sum(samples) as v from wd_ where surface_deg is not null group by all),
-en as (select site, day, member, {_DEG.format(u='u', v='v')} as deg from g where sqrt(u * u + v * v) >= 1), cn as (select site, day, count(*) as members from en group by all),
+en as (select site, day, member, {_DEG.format(u='u', v='v')} as deg from g where round(sqrt(u * u + v * v), 9) >= 1), cn as (select site, day, count(*) as members from en group by all),
 pr_ as (select a.site, a.day, a.member as first_member, b.member as second_member, 180 - abs(abs(a.deg - b.deg) - 180) as sep from en a join en b on a.site = b.site and a.day = b.day and a.member < b.member)
 select site, day, any_value(members) as members, max(sep) as separation_deg, arg_min(first_member, (-sep, first_member, second_member)) as first_member, arg_min(second_member, (-sep, first_member, second_member)) as second_member from pr_ join cn using (site, day) group by site, day""",
 )

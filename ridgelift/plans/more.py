@@ -216,13 +216,13 @@ cn as (select *, lead(z) over n as z2, lead(t) over n as t2, lead(s) over n as s
 nd as (select hour_id, 'lapse' as kind, z as altitude_m, case when z2 is not null then (t2 - t) / (z2 - z) * 1000 else (t - t0) / (z - z0) * 1000 end * 0.3048 as value from cn union all select hour_id, 'depression', z, d from cn
   union all select hour_id, 'humidity', z, least(100.0, 100 * exp(17.625 * (t - d) / (243.04 + (t - d)) - 17.625 * t / (243.04 + t))) from cn
   union all select hour_id, 'shear', (z + z2) / 2, sqrt(pow(-s2 * sin(w2 * {RAD}) + s * sin(w * {RAD}), 2) + pow(-s2 * cos(w2 * {RAD}) + s * cos(w * {RAD}), 2)) / (z2 - z) * 1000 from cn where z2 is not null)
-select hour_id, kind, round(altitude_m, 6) as altitude_m, round(value, 7) as value from nd""",
+select hour_id, kind, round(altitude_m, 6) as altitude_m, case when kind in ('lapse', 'depression') then value else round(value, 7) end as value from nd""",
 )
 def m46_vertical_nodes(spark, d):
     k = F.col("hour_id")
     h = derive.with_levels(forecast_hour(spark, d), forecast_level(spark, d))
     h = h.withColumn("wind_speed_mps", (k * 7 % 150).cast("double") / 10.0).withColumn("wind_direction_deg", F.when(k % 11 != 0, (k * 53 % 360).cast("double")))
-    return vertical.nodes(h).select("hour_id", "kind", _r("altitude_m", "altitude_m"), _r("value", "value", 7))
+    return vertical.nodes(h).select("hour_id", "kind", _r("altitude_m", "altitude_m"), F.when(F.col("kind").isin("lapse", "depression"), F.col("value")).otherwise(F.round("value", 7)).alias("value"))
 
 
 @R.add(
