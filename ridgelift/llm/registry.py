@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_fingerprint, katz, license_scan, mixing, near_dup, nearest, pieces, quality, secret_scan, substring_dedup
+from . import edit_fingerprint, fill_middle, katz, license_scan, mixing, near_dup, nearest, packing, pieces, quality, ranked_search, secret_scan, substring_dedup
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_near_dup": near_dup.op9_near_dup,
         "op10_quality": quality.op10_quality,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
+        "op12_packing": packing.op12_packing,
+        "op13_fill_middle": fill_middle.op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op9_near_dup": near_dup.OP9_SQL}
+    return {
+        "op3_mixing": mixing.OP3_SQL,
+        "op9_near_dup": near_dup.OP9_SQL,
+        "op11_ranked_search": ranked_search.OP11_SQL,
+        "op13_fill_middle": fill_middle.OP13_SQL,
+    }
