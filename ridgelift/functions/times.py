@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import calendar
+import functools
+import json
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: First and last year whose wall clock times are known, and seconds of a day.
+YEARS = (1900, 2199)
+DAY_S = 86_400
+
 
 def local_day(at: Column, zone: str | Column) -> Column:
     return F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd")
@@ -54,36 +62,44 @@ def run_freshness(age_h: Column, interval_h: float, lag_h: float, current: float
     return F.when(age <= current * interval_h + lag_h, "current").when(age <= stale * interval_h + lag_h, "delayed").otherwise("stale")
 
 
-def _offset_s(at_s: Column, zone: str | Column) -> Column:
-    """Seconds that a zone is ahead of UTC at an instant (seconds since 1970)."""
-    return F.unix_timestamp(F.from_utc_timestamp(F.timestamp_seconds(at_s), zone)) - at_s
-
-
-def naive_instant(text: Column, zone: str | Column, after_s: Column | None = None, near_s: Column | None = None) -> Column:
-    """Seconds since 1970 of a wall clock time without a zone (yyyy-MM-dd'T'HH:mm:ss); null if it is none.
-
-    Of the two instants of an overlap the first later than after_s (else the last), or the one nearest near_s, or the first. A time in a gap is the instant of the change itself.
+@functools.lru_cache
+def _zone_table(zone: str) -> str:
+    """JSON: for each year from `YEARS` on, the changes of a zone's offset that its days can meet (at_s, before, after), the offset that it begins with first."""
+    java = SparkSession.active()._jvm.java.time
+    rules = java.ZoneId.of(zone).getRules()
+    year_s = [calendar.timegm((y, 1, 1, 0, 0, 0)) for y in range(YEARS[0], YEARS[1] + 2)]
+    at = java.Instant.ofEpochSecond(year_s[0] - 2 * DAY_S)
+    changes = []
+    while (change := rules.nextTransition(at)) is not None and change.toEpochSecond() < year_s[-1] + 2 * DAY_S:
+        changes.append((change.toEpochSecond(), change.getOffsetBefore().getTotalSeconds(), change.getOffsetAfter().getTotalSeconds()))
+        at = change.getInstant()
+    table = []
+    for low, high in zip(year_s[:-1], year_s[1:], strict=True):
+        start = low - 2 * DAY_S
+        offset = rules.getOffset(java.Instant.ofEpochSecond(start)).getTotalSeconds()
+        table.append([(start, offset, offset), *(c for c in changes if start < c[0] < high + 2 * DAY_S)])
+    return json.dumps([[{"at_s": a, "before": b, "after": c} for a, b, c in year] for year in table])
+
+
+def naive_instant(text: Column, zone: str, after_s: Column | None = None, near_s: Column | None = None) -> Column:
+    """Seconds since 1970 of a wall clock time without a zone (yyyy-MM-dd'T'HH:mm:ss); null if it is none, or of a year outside `YEARS`.
+
+    The last change of the zone's offset that the wall clock has reached decides: behind a gap or an overlap the offset after it holds. A time in a gap is the instant of the change. Of the two
+    instants in an overlap it is the first later than after_s (else the second), or the one nearest near_s, or the first.
     """
-    day = 86_400
-    wall = F.unix_timestamp(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), text), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
-    offsets = F.array_distinct(F.array(*[_offset_s(wall + d, zone) for d in (-day, 0, day)]))
-    found = F.array_sort(F.filter(F.transform(offsets, lambda o: wall - o), lambda c: _offset_s(c, zone) == wall - c))
-    first = F.element_at(found, 1)
+    at = F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), text), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    wall = F.unix_timestamp(at)
+    year = F.year(at) - YEARS[0]
+    table = F.from_json(F.lit(_zone_table(zone)), "array<array<struct<at_s:bigint,before:int,after:int>>>")
+    met = F.filter(F.get(table, F.when(year >= 0, year)), lambda c: c["at_s"] + F.least(c["before"], c["after"]) <= wall)
+    change = F.try_element_at(met, F.lit(-1))
+    first, second = wall - change["before"], wall - change["after"]
+    twice = (change["after"] < change["before"]) & (wall < change["at_s"] + change["before"])
+    gap = (change["after"] > change["before"]) & (wall < change["at_s"] + change["after"])
     if after_s is not None:
-        later = F.filter(found, lambda c: c > after_s)
-        pick = F.when(after_s.isNull(), first).when(F.size(later) > 0, F.get(later, F.lit(0))).otherwise(F.element_at(found, -1))
+        use_first = after_s.isNull() | (first > after_s)
     elif near_s is not None:
-        pick = F.array_min(F.transform(found, lambda c: F.struct(F.abs(c - near_s).alias("far"), c.alias("c"))))["c"]
+        use_first = near_s.isNull() | (F.abs(first - near_s) <= F.abs(second - near_s))
     else:
-        pick = first
-    low, high = wall - F.array_max(offsets), wall - F.array_min(offsets)
-    same = lambda c, s: _offset_s(c, zone) == _offset_s(s, zone)
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = s["low"] + F.floor((s["high"] - s["low"]) / 2)
-        below = same(middle, low)
-        done = s["high"] - s["low"] <= 1
-        return F.when(done, s).otherwise(F.struct(F.when(below, middle).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high")))
-
-    change = F.aggregate(F.sequence(F.lit(1), F.lit(18)), F.struct(low.alias("low"), high.alias("high")), halve, lambda s: s["high"])
-    return F.when(F.size(found) > 0, pick).otherwise(F.when(wall.isNotNull(), change))
+        use_first = F.lit(True)
+    return F.when(gap, change["at_s"]).when(twice & use_first, first).otherwise(second)

@@ -51,14 +51,6 @@ def hour_skew(observed: Column, now: Column) -> Column:
     return F.abs(F.abs(micros(observed) - micros(now)) / 1e6 - HOUR_SKEW_S) <= SKEW_TOLERANCE_S
 
 
-def season_phase(at: Column) -> Column:
-    """Share of the year since the last 21 December, from 0 to 1."""
-    this = F.make_timestamp(F.year(at), F.lit(12), F.lit(21), F.lit(0), F.lit(0), F.lit(0))
-    last = F.make_timestamp(F.year(at) - 1, F.lit(12), F.lit(21), F.lit(0), F.lit(0), F.lit(0))
-    since = F.when(at >= this, micros(at) - micros(this)).otherwise(micros(at) - micros(last))
-    return F.pmod(since / (365.25 * 86_400e6), F.lit(1.0))
-
-
 def history_hours(text: Column, ceiling: float, step: float = 0.25) -> Column:
     """Hours of history as asked for, in steps; the ceiling if nothing is asked, null if it is no number in (0, ceiling]."""
     x = text.try_cast("double")
@@ -79,11 +71,22 @@ def station_key(text: Column, host: str) -> Column:
 
 
 def decoded_xml(text: Column) -> Column:
-    """Text with the five named entities and ASCII numbers in place; the ampersand last, so that nothing is decoded twice."""
-    out = text
-    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("#x27", "'"), ("#38", "&"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{entity};"), F.lit(char))
-    return out
+    """Text with its character references in place: the five named ones and any number, decimal or hexadecimal. Each is read once, so what decoding yields is not decoded again; numbers of no character stay."""
+    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+    def decoded(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));$", 1)
+        decimal = F.regexp_extract(piece, "^&#0*([0-9]{1,7});$", 1)
+        code = F.conv(F.when(digits != "", digits), 16, 10).cast("long")
+        code = F.coalesce(code, F.when(decimal != "", decimal).cast("long"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        out = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for entity, char in named.items():
+            out = F.when(piece == entity, char).otherwise(out)
+        return F.coalesce(out, piece)
+
+    pieces = F.regexp_extract_all(text, F.lit("(?s)&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|lt|gt|quot|apos|amp);|[^&]+|&"), F.lit(0))
+    return F.array_join(F.transform(pieces, decoded), "")
 
 
 def listed_keys(raw: DataFrame, suffix: str) -> DataFrame:

@@ -19,23 +19,25 @@ _C = "(['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW'
 @R.add(
     "d09_d10_words",
     f"""with {HISTORY} select seq, case when wind_gust_mps is null then '—' else floor(wind_gust_mps * 3.6::double + 0.5)::bigint::varchar end as gust_kmh, case when wind_avg_mps < 0.5 then 'calm' when wind_direction_deg is null then '—' else {_C} || ' ' || floor(wind_direction_deg + 0.5)::bigint::varchar end as direction,
- case when a < 60 then 'just now' when a < 3600 then floor(a / 60)::bigint::varchar || ' min ago' else floor(a / 3600)::bigint::varchar || ' h ago' end as age, abs(abs(a) - 3600) <= 300 as hour_skew, round(((epoch_us(observed_at) - epoch_us(timestamp '2023-12-21')) / (365.25 * 86400e6)) % 1, 9) as season
+ case when a < 60 then 'just now' when a < 3600 then floor(a / 60)::bigint::varchar || ' min ago' else floor(a / 3600)::bigint::varchar || ' h ago' end as age, abs(abs(a) - 3600) <= 300 as hour_skew
 from (select *, (epoch_us(timestamp '2024-02-10 00:00:00') - epoch_us(observed_at)) / 1e6 as a from h) t""",
 )
 def d09_d10_words(spark, d):
     h, now = station_history(spark, d), F.lit("2024-02-10 00:00:00").cast("timestamp")
     age = F.unix_micros(now) / 1e6 - F.unix_micros(F.col("observed_at").cast("timestamp")) / 1e6
-    return h.select("seq", texts.speed_text(F.col("wind_gust_mps"), wind.KMH_PER_MPS).alias("gust_kmh"), texts.direction_text(F.col("wind_avg_mps"), F.col("wind_direction_deg")).alias("direction"), texts.age_text(age).alias("age"), texts.hour_skew(F.col("observed_at"), now).alias("hour_skew"), F.round(texts.season_phase(F.col("observed_at").cast("timestamp")), 9).alias("season"))
+    return h.select("seq", texts.speed_text(F.col("wind_gust_mps"), wind.KMH_PER_MPS).alias("gust_kmh"), texts.direction_text(F.col("wind_avg_mps"), F.col("wind_direction_deg")).alias("direction"), texts.age_text(age).alias("age"), texts.hour_skew(F.col("observed_at"), now).alias("hour_skew"))
 
 
 @R.add(
     "d14_listed_keys",
-    """with b as (select c_nationkey as path, c_custkey, '<Contents><Key>d/' || c_custkey::varchar || case when c_custkey % 3 = 0 then '.txt' else '&amp;x&lt;.nc' end || '</Key><Size>1</Size></Contents>' as item from customer)
-select path, 'd/' || c_custkey::varchar || '&x<.nc' as key from b where c_custkey % 3 <> 0""",
+    """with b as (select c_nationkey as path, c_custkey, case c_custkey % 4 when 0 then '.txt' when 1 then '&x<.nc' when 2 then '<=' || chr((33 + c_custkey % 90)::int) || chr((955 + c_custkey % 9)::int) || '.nc' else '&lt;' || chr(128169) || '.nc' end as tail from customer)
+select path, 'd/' || c_custkey::varchar || tail as key from b where c_custkey % 4 <> 0""",
 )
 def d14_listed_keys(spark, d):
     k = F.col("c_custkey")
-    item = F.concat(F.lit("<Contents><Key>d/"), k.cast("string"), F.when(k % 3 == 0, ".txt").otherwise("&amp;x&lt;.nc"), F.lit("</Key><Size>1</Size></Contents>"))
+    numbers = F.concat(F.lit("&#60;&#x3D;&#"), (33 + k % 90).cast("string"), F.lit(";&#x0"), F.hex(955 + k % 9), F.lit(";.nc"))
+    tail = F.when(k % 4 == 0, ".txt").when(k % 4 == 1, "&amp;x&lt;.nc").when(k % 4 == 2, numbers).otherwise("&amp;lt;&#128169;.nc")
+    item = F.concat(F.lit("<Contents><Key>d/"), k.cast("string"), tail, F.lit("</Key><Size>1</Size></Contents>"))
     body = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("path")).agg(F.array_join(F.collect_list(item), "\n").alias("body"))
     return texts.listed_keys(body, ".nc").select("path", "key")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgelift.functions import times
-from ridgelift.operators import documents, hours, nights
+from ridgelift.operators import documents, hours, nights, texts
 from ridgelift.sources import vendors
 
 UTC = dt.timezone.utc
@@ -40,6 +40,27 @@ def test_wall_clock_times(spark):
     assert back.where("got != s").count() == 0
 
 
+def test_odd_changes_of_clocks(spark):
+    cases = [
+        ("Pacific/Apia", "2011-12-30T12:00:00", "2011-12-30T10:00:00"),  # a whole day that never comes
+        ("Pacific/Apia", "2011-12-31T00:00:00", "2011-12-30T10:00:00"),
+        ("Australia/Lord_Howe", "2026-04-05T01:45:00", "2026-04-04T14:45:00"),  # half an hour comes twice
+        ("Australia/Lord_Howe", "2026-10-04T02:15:00", "2026-10-03T15:30:00"),
+        ("UTC", "2026-03-08T02:30:00", "2026-03-08T02:30:00"),
+        ("Europe/Vienna", "2000-01-01T00:00:00", "1999-12-31T23:00:00"),
+    ]
+    for zone, text, want in cases:
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.select(times.naive_instant(F.col("t"), zone)).head()[0] == seconds(want)
+    assert spark.createDataFrame([("2500-01-01T00:00:00",)], "t string").select(times.naive_instant(F.col("t"), ZONE)).head()[0] is None
+
+
+def test_character_references(spark):
+    cases = {"&#60;&#x3C;&#X3c;&#0060;": "<<<<", "&amp;lt; &amp;#60;": "&lt; &#60;", "&#128169;&#x1F4A9;é": "💩💩é", "&#xD800;&#0;&#1114112;&nope;&": "&#xD800;&#0;&#1114112;&nope;&", "": "", "a\n&apos;": "a\n'"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r[0]: r[1] for r in df.select("t", texts.decoded_xml(F.col("t"))).collect()} == cases
+
+
 def table_body(fields=None, times_=("2026-11-01T00:30:00", "2026-11-01T01:30:00", "2026-11-01T01:30:00"), **over):
     fields = fields or [{"name": n, "process": p, "type": "xsd:float", "units": u} for n, p, u in vendors.HISTORY_FIELDS]
     vals = [[10.0, 361.0 - 1, 36.0, 18.0, 7.2], [9.0, 90.0, 36.0, 1.0, 0.0], [8.0, 90.0, 36.0, 18.0, 0.0]]
