@@ -12,7 +12,8 @@ travels once to each share that holds one of its lists, and a share's queries ar
 that the driver sees of the index.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids or vectors of another
-dimension than most of the sample. Equal scores rank by the smaller id, also in the approximate stage. Rows with an id and vector
+dimension than most of the sample. Vectors are first scaled by a power of two to components of at most 2, which changes no cosine but keeps the squares of very small or large
+numbers in range. Equal scores rank by the smaller id, also in the approximate stage. Rows with an id and vector
 that repeat count once. An empty table gives an empty result; other columns are not read, so their names cannot clash.
 """
 
@@ -77,7 +78,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    return base.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0))
+    base = base.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0))
+    power = F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x)))))  # of two, in two steps: each can be written as a double
+    half = F.floor(power / 2)
+    return base.select("vec_id", F.transform("v", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power)).alias("v"))
 
 
 def probes_of(x: np.ndarray, centroids: np.ndarray, target: float, k: int = 5, queries: int = 512) -> int:

@@ -53,6 +53,23 @@ def test_ties_and_useless_vectors(spark, tmp_path, monkeypatch):
     assert got[150] == {1: 0, 2: 3, 3: 6, 4: 9, 5: 12} and got[0] == {1: 3, 2: 6, 3: 9, 4: 12, 5: 15}
 
 
+@pytest.mark.parametrize("scales", [[1e-200], [1e200], [1.0] * 299 + [1e-200], [1e-200, 1.0, 1e200, 5e-324, 1.7e308, -3.0]])
+def test_very_small_and_large_numbers(spark, tmp_path, scales):
+    rng = np.random.default_rng(9)
+    unit = rng.uniform(0.5, 1.0, (300, 16)) * rng.choice([-1.0, 1.0], (300, 16))
+    x = unit * np.array([scales[i % len(scales)] for i in range(300)])[:, None]
+    d = tables(spark, tmp_path, embeddings=spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    power = np.exp2(np.floor(np.log2(np.abs(x).max(1)) / 2))[:, None]
+    want = by_force(np.arange(300), x / power / power)  # cosines do not change
+    got = {}
+    for r in nearest.op4_nearest(spark, d).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert got.keys() == want.keys() and all(sorted(v) == [1, 2, 3, 4, 5] for v in got.values())
+    exact = lambda i, j: sum(a * b for a, b in zip(*(x[[i, j]] / power[[i, j]] / power[[i, j]]), strict=True)) / np.prod([np.sqrt((v * v).sum()) for v in x[[i, j]] / power[[i, j]] / power[[i, j]]])
+    assert all(s == pytest.approx(exact(i, j), abs=1e-12) for i, found in got.items() for j, s in found.values())
+    assert np.mean([len({v for v, _ in got[i].values()} & {v for v, _ in want[i]}) / 5 for i in want]) >= 0.9
+
+
 def test_lists_are_packed_into_shares():
     first, over = nearest.shares_of({0: 5, 1: 4, 2: 30, 3: 1, 4: 9, 5: 2}, 7, 10)
     assert over == [1, 1, 3, 1, 1, 1, 1] and first == [0, 0, 1, 4, 4, 5, 5]
