@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ BLOCK = 1 << 16
 MEMBERS = 10_000
 #: Text bytes of a range of ids, which one task walks as they stream by.
 RANGE_BYTES = 64 << 20
+#: Ranges that are cut in one go; and up to which the table of their first rows is broadcast, some 40 bytes a range.
+COARSE, BROADCAST_RANGES = 1_000, 20_000
 LEAST, BANDS, BITS = 0.9, 8, 24
 
 
@@ -120,6 +123,42 @@ def likeness(a: str, b: str) -> float:
     return float(same / either) if either else 1.0
 
 
+def range_bounds(docs: DataFrame, ranges: int) -> list[int]:
+    """Ids that cut the rows into about `ranges` equal parts, from the largest down; an id that fills several parts comes as often. Beyond `COARSE` parts each coarse one is cut by a task of its own."""
+    quantiles = lambda n: F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)], max(10_000, 20 * n))
+    coarse = min(ranges, COARSE)
+    if ranges < 2:
+        return []
+    known = docs.where("doc_id is not null").select("doc_id")
+    bounds = sorted(known.agg(quantiles(coarse).alias("b")).head()["b"] or [], reverse=True)
+    if ranges > coarse and bounds:
+        fine = -(-ranges // coarse)
+        parts = known.groupBy(_ranges(bounds)(F.col("doc_id"), F.xxhash64("doc_id")).alias("part")).agg(quantiles(fine).alias("b"))
+        bounds = sorted(bounds + [x for r in parts.collect() for x in r["b"]], reverse=True)  # a number for each `RANGE_BYTES` of text
+    return [int(x) for x in bounds]
+
+
+def _ranges(bounds: list[int]):
+    """A column of (id, hash of the text): the range of a row, 0 for the largest ids. An id that comes m > 1 times in the bounds has m ranges of its own, by the hash, after those of the larger ids."""
+    values, times = np.unique(np.array(bounds, np.int64), return_counts=True)  # ascending
+    own = np.where(times > 1, times, 0)[::-1]
+    first = np.concatenate([[0], np.cumsum(own + 1)])
+    ascending = values.copy()
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        x = ids.to_numpy(np.int64)
+        at = len(ascending) - np.searchsorted(ascending, x, side="left")  # bounds that are not below x
+        last = np.maximum(at - 1, 0)
+        equal = (at > 0) & (ascending[len(ascending) - 1 - last] == x) & (own[last] > 0) if len(ascending) else np.zeros(len(x), bool)
+        if not equal.any():
+            return pd.Series(first[at].astype(np.int32))
+        unit = np.minimum((hashes.to_numpy(np.int64) / 2.0**64 + 0.5) * own[last], own[last] - 1).astype(np.int64)
+        return pd.Series(np.where(equal, first[last] + 1 + unit, first[at]).astype(np.int32))
+
+    return place
+
+
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id and text dealt by ranges of doc_id (`_bucket`, descending), each range followed by the first row of the next (`_donor`)."""
     from pyspark.sql import Window
@@ -127,19 +166,18 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError("doc_id must be a whole number")
     rows = docs.select("doc_id", common.text_or_empty(F.col("text")).alias("text"), F.xxhash64(common.text_or_empty(F.col("text"))).alias("_th"))
-    share = [(i + 1) / buckets for i in range(buckets - 1)]
-    bounds = docs.agg(F.percentile_approx("doc_id", share, max(10_000, 20 * buckets)).alias("b")).head()["b"] or []  # `buckets` numbers at most
-    bounds = sorted(set(bounds), reverse=True)
-    # range 0 has the largest ids; null ids come last, in ranges of their own by the text's hash
-    known = F.size(F.filter(F.from_json(F.lit(str(bounds)), "array<bigint>"), lambda b: b >= F.col("doc_id")))
-    unknown = F.lit(len(bounds) + 1) + F.floor((F.col("_th") / F.lit(2.0**64) + 0.5) * buckets).cast("int")
-    rows = rows.withColumn("_bucket", F.when(F.col("doc_id").isNull(), unknown).otherwise(known))
-    heads = rows.groupBy("_bucket").agg(F.min(F.struct(-F.col("doc_id"), "_th")).alias("h"))
+    bounds = range_bounds(docs, buckets)
+    # null ids come last, in ranges of their own by the text's hash
+    known = _ranges(bounds)(F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint"), F.col("_th"))
+    unknown = F.lit(2 * len(bounds) + 2) + F.floor((F.col("_th") / F.lit(2.0**64) + 0.5) * buckets).cast("int")
+    rows = rows.withColumn("_bucket", known).withColumn("_bucket", F.when(F.col("doc_id").isNull(), unknown).otherwise(F.col("_bucket")))
+    heads = rows.groupBy("_bucket").agg(F.min(F.struct(-F.col("doc_id").cast("decimal(20,0)"), "_th")).alias("h"))
     by_place = Window.orderBy("_bucket")  # one row a range
     around = Window.partitionBy()
     heads = heads.withColumn("to", F.coalesce(F.lag("_bucket").over(by_place), F.max("_bucket").over(around)))
-    heads = heads.select(F.col("_bucket").alias("_b"), F.col("h._th").alias("_hth"), (-F.col("h.col1")).alias("_hid"), "to")
-    heads = F.broadcast(heads)  # one row a range: `buckets` + 1 at most
+    heads = heads.select(F.col("_bucket").alias("_b"), F.col("h._th").alias("_hth"), (-F.col("h.col1")).cast("bigint").alias("_hid"), "to")
+    if buckets <= BROADCAST_RANGES:
+        heads = F.broadcast(heads)  # a row a range: three at most for each of `buckets`
     donors = rows.join(heads, (F.col("_bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth")))
     donors = donors.select("doc_id", "text", "_th", F.col("to").alias("_bucket"), F.lit(True).alias("_donor"))
     return rows.withColumn("_donor", F.lit(False)).unionByName(donors).repartition(buckets, "_bucket").sortWithinPartitions("_bucket", F.col("_donor"), F.col("doc_id").desc_nulls_last(), "_th", "text")

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from ridgelift.llm import edit_fingerprint as ef
 from ridgelift.llm import quality
@@ -154,3 +155,23 @@ def test_quality_of_odd_tables(spark):
     one_class = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.keep_good(df.withColumn("score", df.doc_id), quality.learn(df, one_class)).columns == [*df.columns, "score"]
     assert quality.score(spark.createDataFrame([], DOCS), model, ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize(("ranges", "coarse"), [(1, 1000), (7, 1000), (40, 5), (300, 1000)])
+def test_ranges_are_in_order_and_even(spark, monkeypatch, ranges, coarse):
+    """Ranges follow each other by descending id, then hash; a hot id is dealt over several, and each range ends with the next one's first row."""
+    monkeypatch.setattr(ef, "COARSE", coarse)
+    rng = np.random.default_rng(8)
+    ids = [int(i) for i in rng.integers(-(2**62), 2**62, 900)] + [5] * 700 + [2**63 - 1, -(2**63)] + [None] * 60
+    df = docs(spark, [(i, f"text {k} of {i}") for k, i in enumerate(ids)])
+    got = ef.in_order(df, ranges).collect()
+    rows = sorted((r for r in got if not r["_donor"]), key=lambda r: (r["_bucket"], r["doc_id"] is None, -(r["doc_id"] or 0), r["_th"]))
+    assert sorted(r["text"] for r in rows) == sorted(f"text {k} of {i}" for k, i in enumerate(ids))
+    order = [(r["doc_id"] is None, -(r["doc_id"] or 0), r["_th"]) for r in rows]
+    assert order == sorted(order)
+    used = sorted({r["_bucket"] for r in rows})
+    first = {b: next(r for r in rows if r["_bucket"] == b) for b in used}
+    donors = {r["_bucket"]: r["text"] for r in got if r["_donor"]}
+    assert donors == {b: first[c]["text"] for b, c in zip(used, used[1:] + used[:1], strict=True)}
+    if ranges >= 40:
+        assert max(sum(r["_bucket"] == b for r in rows) for b in used) < 0.15 * len(rows) and len({r["_bucket"] for r in rows if r["doc_id"] == 5}) > 5
