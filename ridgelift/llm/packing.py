@@ -6,8 +6,8 @@ into the first sequence with room: a tournament tree over the free tokens of all
 that remain are filled by cutting pieces of the last sequences, and the one sequence that is then still open is cut into powers of two,
 which need no padding. So no sequence is padded, and about one document a sequence is cut.
 
-Encoding: a text is cut at white space and where ASCII letters, digits and signs meet, wherever the tokenizer cuts it too; each distinct part of a task is encoded
-once. That holds for the pre-tokenizer named in `CUTTABLE`; with any other, and for texts that hold a special token, the library encodes whole texts.
+Encoding: a text is cut at white space and where ASCII letters, digits and signs meet, wherever the tokenizer cuts it too; each distinct part is encoded
+once by a Python worker. That holds for the pre-tokenizer named in `CUTTABLE`; with any other, and for texts that hold a special token, the library encodes whole texts.
 
 The driver reads the tokenizer's file from the path given, a parameter, and ships its bytes (refused above `MOST_BYTES`).
 
@@ -23,7 +23,7 @@ import json
 import os
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +40,9 @@ SIZE = 2048
 END = 1
 GROUP_TOKENS = 1 << 20
 SEED = "pack-1"
-TEXT_AT_ONCE = 2 << 20
-#: Distinct parts of texts that a task keeps before it starts its table again, and that are encoded as one text.
-MOST_PARTS = 400_000
+TEXT_AT_ONCE = 4 << 20
+#: Distinct parts of texts that a worker keeps before it starts its table again, and that are encoded as one text.
+MOST_PARTS = 800_000
 TOGETHER = 1_000
 #: Pieces' ids that a group hands out at once.
 OUT_AT_ONCE = 4 << 20
@@ -53,14 +53,14 @@ NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SIGN, LETTER, DIGIT, SPACE, WIDE, QUOTE = range(6)
 
 
-def _kinds() -> np.ndarray:
+def _kinds() -> bytes:
     kind = np.full(256, SIGN, np.uint8)
     kind[ord("a") : ord("z") + 1] = LETTER
     kind[ord("0") : ord("9") + 1] = DIGIT
     kind[[9, 10, 11, 12, 13, 32]] = SPACE
     kind[128:] = WIDE
     kind[ord("'")] = QUOTE
-    return kind
+    return kind.tobytes()
 
 
 def _cuts() -> np.ndarray:
@@ -68,7 +68,7 @@ def _cuts() -> np.ndarray:
     cut = ~np.eye(6, dtype=bool)
     cut[WIDE, :] = cut[:, WIDE] = False
     cut[SIGN, QUOTE] = cut[QUOTE, SIGN] = cut[QUOTE, LETTER] = False
-    cut[DIGIT, DIGIT] = cut[SPACE, :] = cut[:, SPACE] = True
+    cut[DIGIT, DIGIT] = cut[SPACE, :] = cut[:, SPACE] = True  # a run of white space is one part, left out
     return cut
 
 
@@ -76,7 +76,7 @@ KINDS, CUTS = _kinds(), _cuts()
 
 
 class WordIds:
-    """Encodes texts by their distinct parts; lives for one task. encode: all ids in a row, and the number of ids of each text."""
+    """Encodes texts by their distinct parts, which it keeps; `word_ids` has one for all tasks of a Python worker. encode: all ids in a row, and the number of ids of each text."""
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks beside this one use the other cores
@@ -134,28 +134,31 @@ class WordIds:
             return np.zeros(0, self.dtype), np.zeros(len(ends), np.int64)
         if len(self.place) > MOST_PARTS:
             self.clear()
-        kind = KINDS[np.frombuffer(texts.buffers()[2], np.uint8)[: ends[-1]]]
-        begins = np.ones(len(kind) + 1, bool)
-        begins[1:-1] = CUTS[kind[:-1], kind[1:]]
-        begins[ends[ends < len(kind)]] = True
-        starts = np.flatnonzero(begins[:-1])
+        kind = np.frombuffer(texts.buffers()[2][: ends[-1]].to_pybytes().translate(KINDS), np.uint8)
+        change = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) + 1
+        begins = np.zeros(len(kind), bool)
+        begins[change[CUTS[kind[change - 1], kind[change]]]] = True
+        begins[0] = begins[ends[ends < len(kind)]] = True
+        starts = np.flatnonzero(begins)
         parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(kind)).astype(np.int32)), texts.buffers()[2])
         full = kind[starts] != SPACE
         starts, parts = starts[full], parts.filter(pa.array(full)).dictionary_encode()
         distinct = parts.dictionary.to_pylist()
-        fresh = [p for p in distinct if p not in self.place]
-        if fresh:
+        place = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = [distinct[i] for i in new.tolist()]
             self.learn(fresh)
-        code = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[parts.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
+            place[new] = np.fromiter(map(self.place.__getitem__, fresh), np.int64, len(fresh))
+        code = place[parts.indices.to_numpy(zero_copy_only=False)]
         n = self.size[code]
         upto = np.cumsum(n)
         ids = self.ids[np.repeat(self.at[code] - upto + n, n) + np.arange(n.sum())]
         return ids, np.diff(np.concatenate([[0], upto])[np.concatenate([[0], np.searchsorted(starts, ends)])])
 
 
-@functools.lru_cache(maxsize=2)
 def _tokenizer(data: bytes):
-    """The tokenizer, its file, and which ids end a word: one for all tasks of a Python worker."""
+    """The tokenizer, its file, and which ids end a word."""
     from tokenizers import Tokenizer
 
     said = json.loads(data)
@@ -166,6 +169,11 @@ def _tokenizer(data: bytes):
     return t, said, endings
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(data: bytes) -> WordIds:
+    return WordIds(data)
+
+
 def tokenizer_bytes(path: str) -> bytes:
     with open(path, "rb") as f:  # on the driver; executors get the bytes
         data = f.read(MOST_BYTES + 1)
@@ -179,7 +187,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER_PATH, end: int = END) -> DataF
     data = tokenizer_bytes(path)
 
     def run(batches):
-        words_of = WordIds(data)
+        words_of = word_ids(data)
         seen: Counter = Counter()
         for b in words.slices(batches, at_most=TEXT_AT_ONCE):
             ids, size = words_of.encode(b.column("text"))
