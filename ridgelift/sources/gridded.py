@@ -7,26 +7,18 @@ Sites and their grid indices are small and travel with the task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EARTH_M = 6_371_229.0
-FIELDS = "path string, field int, reference_time timestamp, discipline int, category int, parameter int, forecast_hours int, surface int, level double, member int, grid_points int, site_id string, distance_m double, value double"
-
-
-def _unsigned(b: bytes) -> int:
-    return int.from_bytes(b, "big")
-
+from . import grids
+from .grids import _signed, _unsigned
 
-def _signed(b: bytes) -> int:
-    """Sign and magnitude."""
-    n, top = int.from_bytes(b, "big"), 1 << (8 * len(b) - 1)
-    return -(n - top) if n & top else n
+FIELDS = "path string, field int, reference_time timestamp, discipline int, category int, parameter int, forecast_hours int, surface int, level double, member int, grid_points int, site_id string, distance_m double, value double"
 
 
 def messages(data: bytes) -> Iterator[bytes]:
@@ -109,18 +101,16 @@ def sample(f: Field, indices: list[int]) -> list[float | None]:
     e, d, bits = _signed(f.packing[15:17]), _signed(f.packing[17:19]), f.packing[19]
     two, ten = scale_factor(2, e), scale_factor(10, -d)
     if f.bitmap is not None:  # a point's place among the present ones: bits set before it
-        before = [0]
-        for b in f.bitmap:
-            before.append(before[-1] + b.bit_count())
+        present = np.unpackbits(np.frombuffer(f.bitmap, np.uint8, max(indices, default=0) // 8 + 1))
+        before = np.cumsum(present) - present
     out: list[float | None] = []
     for i in indices:
         place = i
         if f.bitmap is not None:
-            byte, bit = divmod(i, 8)
-            if not f.bitmap[byte] >> (7 - bit) & 1:
+            if not present[i]:
                 out.append(None)
                 continue
-            place = before[byte] + (f.bitmap[byte] >> (8 - bit)).bit_count()
+            place = int(before[i])
         if bits == 0:
             out.append(r * ten)
             continue
@@ -131,33 +121,10 @@ def sample(f: Field, indices: list[int]) -> list[float | None]:
     return out
 
 
-def distance_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    a, b, c = math.radians(lat1), math.radians(lat2), math.radians(lon2 - lon1)
-    return EARTH_M * math.acos(max(-1.0, min(1.0, math.sin(a) * math.sin(b) + math.cos(a) * math.cos(b) * math.cos(c))))
-
-
 def nearest_points(grid: bytes, sites: list[tuple[str, float, float]]) -> list[tuple[int, float]]:
-    """Index and distance of the grid point nearest each site, on a regular latitude-longitude grid: four candidates a site."""
-    if _unsigned(grid[12:14]) != 0:
-        raise ValueError(f"grid template {_unsigned(grid[12:14])}")
-    ni, nj = _unsigned(grid[30:34]), _unsigned(grid[34:38])
-    la1, lo1 = _signed(grid[46:50]) / 1e6, _signed(grid[50:54]) / 1e6
-    di, dj, mode = _unsigned(grid[63:67]) / 1e6, _unsigned(grid[67:71]) / 1e6, grid[71]
-    di, dj = (-di if mode & 128 else di), (dj if mode & 64 else -dj)
-    out = []
-    for _, lat, lon in sites:
-        x, y = ((lon - lo1 + 180) % 360 - 180) / di, (lat - la1) / dj
-        if x < -0.5 and abs(di) * ni >= 360 - abs(di):
-            x += 360 / abs(di)
-        best = None
-        for i in {math.floor(x), math.ceil(x)}:
-            for j in {math.floor(y), math.ceil(y)}:
-                i_, j_ = (i % ni if abs(di) * ni >= 360 - abs(di) / 2 else min(ni - 1, max(0, i))), min(nj - 1, max(0, j))
-                place = i_ * nj + j_ if mode & 32 else j_ * ni + i_
-                here = (distance_m(lat, lon, la1 + j_ * dj, lo1 + i_ * di), place)
-                best = here if best is None or here < best else best
-        out.append((best[1], best[0]))
-    return out
+    """Index and distance of the grid point nearest each site."""
+    index, far = grids.nearest(grids.grid_of(grid), np.array([s[1] for s in sites], float), np.array([s[2] for s in sites], float))
+    return list(zip(index.tolist(), far.tolist(), strict=True))
 
 
 def sample_files(spark, path: str, sites: list[tuple[str, float, float]]) -> DataFrame:
