@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare, findings, forecast, kinds, live, more, series, station, texts
+from . import compare, findings, forecast, kinds, live, more, places, series, station, texts
 
-MODULES = (station, forecast, findings, kinds, more, compare, live, series, texts)
+MODULES = (station, forecast, findings, kinds, more, compare, live, series, texts, places)
 
 
 def queries() -> dict:

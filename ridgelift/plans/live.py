@@ -64,14 +64,14 @@ g as (select station_id, max(seq) as seq, case when count(*) filter (k between 1
  arg_max(v, seq) filter (since and k between 3 and 5) as v, arg_max(seq % 35, seq) filter (since and k between 3 and 5) as t, arg_max(1 + seq % 2, seq) filter (since and k in (4, 5)) as points from x group by station_id),
 s as (select station_id, seq, 2 as o, ts as t_at, v as mps from f where k in (1, 2, 5) union all select station_id, seq, 1, ts - interval 3 second, v / 2 from f where k in (1, 2, 5)),
 p as (select station_id, t_at, arg_max(mps, (seq, o)) as mps from s group by all), m as (select *, max(t_at) over (partition by station_id) as last_at from p), w as (select station_id, count(*) as n, max(t_at) as newest_at, avg(mps) as mean from m where t_at >= last_at - interval 48 hour group by all)
-select station_id, seq, status, error, served_at, round(v, 6) as wind_avg_mps, round(900 * power(1 + 0.0065 * 500 / (t + 273.15), 5.257), 4) is not null as reduced, t::double as temperature_c, points::int as summary_points, coalesce(n, 0)::int as samples, newest_at, round(mean, 6) as mean_mps from g left join w using (station_id)""",
+select station_id, seq, status, error, served_at, round(v, 6) as wind_avg_mps, round(900 * power(1 + 0.0065 * 500 / (t + 273.15), 5.257), 4) is not null as reduced, t::double as temperature_c, points::int as summary_points, coalesce(n, 0)::int as samples, newest_at, round(mean, 9) as mean_mps from g left join w using (station_id)""",
 )
 def st01_st05_live_frames(spark, d):
     s = live.frame_snapshots(live_frames.frames(live_events(spark, d)), 48 * 3600)
     mean = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x["wind_mps"]) / F.nullif(F.size("samples"), F.lit(0))
     return s.select(
         "station_id", "seq", "status", "error", F.col("served_at").cast("timestamp_ntz").alias("served_at"), F.round("reading.wind_avg_mps", 6).alias("wind_avg_mps"), F.col("reading.sea_level_pressure_hpa").isNotNull().alias("reduced"),
-        F.col("reading.temperature_c").alias("temperature_c"), F.size(F.try_element_at("summaries", F.lit(1))["points"]).alias("summary_points"), F.size("samples").alias("samples"), F.try_element_at("samples", F.lit(-1))["observed_at"].cast("timestamp_ntz").alias("newest_at"), F.round(mean, 6).alias("mean_mps"),
+        F.col("reading.temperature_c").alias("temperature_c"), F.size(F.try_element_at("summaries", F.lit(1))["points"]).alias("summary_points"), F.size("samples").alias("samples"), F.try_element_at("samples", F.lit(-1))["observed_at"].cast("timestamp_ntz").alias("newest_at"), F.round(mean, 9).alias("mean_mps"),
     )
 
 
