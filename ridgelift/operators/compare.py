@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgelift.functions import wind
+from ridgelift.functions import times, wind
 from ridgelift.functions.numbers import nudge_round
 
 from .findings import DEFAULTS, Thresholds
-from .sequences import micros
+from .sequences import islands, micros
 
 DAY = ["site", "day"]
 
@@ -138,3 +138,39 @@ def identity_drift(runs: DataFrame, keys: list[str], fields: tuple[str, ...]) ->
     changes = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_was_{f}").cast("double").alias("was"), F.col(f).cast("double").alias("now")) for f in fields])
     out = x.where(~F.col("_first")).select(*keys, "reference_time", F.explode(changes).alias("c")).select(*keys, "reference_time", "c.*")
     return out.where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def lit_spans(windows: DataFrame, zone: str) -> DataFrame:
+    """windows: site, member, day touched, start_at, end_at, step_h. Per site, member and day the stretches of time that windows light: each window lasts a step beyond its last hour, is clipped to the local day, and joins what it touches, overlaps or bridges.
+
+    A running maximum of the ends tells where a stretch begins, so a window nested in an earlier, longer one does not end it. Windows of a member and day are few.
+    """
+    midnight = lambda day: times.local_instant(day, 0, zone)
+    low, high = midnight(F.to_date("day")), midnight(F.date_add(F.to_date("day"), 1))
+    end = F.timestamp_micros(micros("end_at") + (F.greatest(F.col("step_h"), F.lit(1.0)) * 3_600_000_000).cast("long"))
+    x = windows.select(*DAY, "member", F.greatest(F.col("start_at").cast("timestamp"), low).alias("s"), F.least(end, high).alias("e")).where("s < e")
+    before = Window.partitionBy(*DAY, "member").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    new = ~F.coalesce(F.col("s") <= F.max("e").over(before), F.lit(False))
+    return islands(x.withColumn("_new", new), [*DAY, "member"], ["s", "e"], F.col("_new"), "_k").groupBy(*DAY, "member", "_k").agg(F.min("s").alias("from_at"), F.max("e").alias("to_at")).drop("_k")
+
+
+def board(covered: DataFrame, windows: DataFrame, quiet: DataFrame, benches: DataFrame, zone: str) -> DataFrame:
+    """A row for each member of a site and day that any of its members covers.
+
+    covered: site, member, day. windows: site, member, day touched, own_day, start_at, end_at, step_h, peak_lift_top_m, peak_at. quiet: site, member, day, truncated, failed. benches: site, member.
+    The vote: a benched member is benched whatever it forecasts; else a window that touches the day, else a quiet day, unless that day is cut short (abstained, truncatedDay), else the
+    member does not reach the day (abstained, outOfHorizon). The top is that of windows of the day itself: a window that comes from another day (via) may have its peak there.
+    """
+    key = [*DAY, "member"]
+    rows = covered.select(*DAY).distinct().join(covered.select("site", "member").distinct(), "site")
+    spans = lit_spans(windows, zone).groupBy(*key).agg(F.count("*").alias("spans"), (F.sum(micros("to_at") - micros("from_at")) / 3.6e9).alias("lit_h"), F.min("from_at").alias("first_at"), F.max("to_at").alias("last_at"))
+    own = F.col("own_day") == F.col("day")
+    tops = windows.groupBy(*key).agg(
+        F.count("*").alias("windows"),
+        F.max_by(F.struct("peak_lift_top_m", "peak_at"), F.when(own, F.struct("peak_lift_top_m", -micros("start_at")))).alias("_top"),  # the first of equal peaks
+        F.min(F.when(~own, F.col("own_day"))).alias("via"),
+    )
+    x = rows.join(spans, key, "left").join(tops, key, "left").join(quiet.select(*key, "truncated", "failed"), key, "left").join(benches.select("site", "member", F.lit(True).alias("_off")).distinct(), ["site", "member"], "left")
+    vote = F.when(F.col("_off"), "benched").when(F.col("windows") > 0, "window").when(~F.col("truncated"), "quiet").otherwise("abstained")
+    why = F.when(F.col("truncated"), "truncatedDay").otherwise("outOfHorizon")
+    return x.withColumn("vote", vote).select(*key, "vote", F.when(F.col("vote") == "abstained", why).alias("abstained"), F.when(F.col("vote") == "quiet", F.col("failed")).alias("failed"), F.coalesce("spans", F.lit(0)).alias("spans"), "lit_h", "first_at", "last_at", "_top.peak_lift_top_m", "_top.peak_at", "via")

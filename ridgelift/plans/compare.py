@@ -8,7 +8,7 @@ from ridgelift.functions import times
 from ridgelift.operators import compare, findings, sequences, station
 from ridgelift.sources.projections import HISTORY, HOURS, forecast_hour, station_history, table
 
-from .findings import PROFILE, R1, R2, ZONE, at_utc, profile_hours
+from .findings import PROFILE, R1, R2, ZONE, at_utc, shared_hours
 from .registry import Registry
 
 R = Registry()
@@ -51,14 +51,14 @@ select site, day, coalesce(wm, 0) as window_members, coalesce(nq, 0) as quiet_me
 from ds join ms using (site) left join pz using (site, day) left join wv using (site, day) left join qv using (site, day) left join fl using (site, day) where coalesce(wm, 0) + coalesce(nq, 0) > 0 or coalesce(nt, 0) + members - coalesce(present, 0) > 0""",
 )
 def c03_window_agreement(spark, d):
-    h = profile_hours(spark, d)
+    h = shared_hours(spark, d)
     covered = _sited(h).select("site", "member", "day").distinct()
     return compare.window_agreement(covered, _windows(h), _sited(findings.quiet_days(h)), benches=_benched(h))
 
 
 @R.add("c06_height_spread", f"with {VOTES}, bs as (select site, day, member, max(ph) as best from vw where pday = day group by all) select site, day, count(*) as members, {R1.format('(max(best) - min(best))')} as spread_m from bs group by all having count(*) >= 2")
 def c06_height_spread(spark, d):
-    w = _windows(profile_hours(spark, d))
+    w = _windows(shared_hours(spark, d))
     return compare.height_spread(w.where(times.local_day(F.col("peak_at"), ZONE) == F.col("day")).withColumn("height_m", F.col("peak_above_launch_m")))
 
 
@@ -69,7 +69,7 @@ tm as (select site, day, case when not s[2] and {DAY_OF.format('s[1]')} = day th
 select site, day, case when count(sh) >= 2 then {R1.format('(max(sh) - min(sh))')} end as start_spread_h, case when count(eh) >= 2 then {R1.format('(max(eh) - min(eh))')} end as end_spread_h from tm group by all""",
 )
 def c04_timing_envelope(spark, d):
-    w = _windows(profile_hours(spark, d))
+    w = _windows(shared_hours(spark, d))
     return compare.timing(w.withColumn("start_day", times.local_day(F.col("start_at"), ZONE)).withColumn("end_day", times.local_day(F.col("end_at"), ZONE)))
 
 
@@ -80,7 +80,7 @@ select site, member, reference_time, (epoch_us(max(reference_time) over (partiti
  case when bn.site is not null then 'terrainMismatch' end as benched, bn.delta_m as benched_delta_m from g left join bn using (site, member)""",
 )
 def c02_member_ledger(spark, d):
-    h = profile_hours(spark, d)
+    h = shared_hours(spark, d)
     members = _sited(h.groupBy("profile_id").agg(F.max("valid_at").alias("reference_time"), F.max("after_h").alias("step_h"), F.count("*").alias("n_hours"), F.first("profile_elevation_m").alias("model_elevation_m"), F.first("launch_m").alias("launch_m")))
     return at_utc(compare.member_ledger(members, _benched(h)), "reference_time")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ridgelift.functions import times
@@ -37,6 +38,12 @@ def profile_hours(spark, d):
     return findings.prepared(h)
 
 
+def shared_hours(spark, d, levels: bool = False):
+    """The hours of profiles for a query that reads them several times: evaluated once, kept by the executors (in memory, else on their disks), and made again where one is lost."""
+    h = profile_hours(spark, d)
+    return (h if levels else h.drop("levels")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def at_utc(df, *names):
     """Instants as zone-free timestamps, as SQL gives them."""
     for n in names:

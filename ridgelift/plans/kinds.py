@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgelift.functions import times
-from ridgelift.operators import day_findings, ensemble, ensemble_findings, findings, trajectories, wind_findings
+from ridgelift.operators import compare, day_findings, ensemble, ensemble_findings, findings, trajectories, wind_findings
 from ridgelift.operators.ensemble import POINTS
 from ridgelift.sources.projections import MEMBERS, member_value
 
-from .compare import VOTES, _sited, _windows
-from .findings import PROFILE, R1, R2, REFERENCE, ZONE, at_utc, profile_hours
+from .compare import BENCHED, VOTES, _benched, _sited, _windows
+from .findings import PROFILE, R1, R2, REFERENCE, ZONE, at_utc, profile_hours, shared_hours
 from .registry import Registry
 
 R = Registry()
@@ -120,7 +120,7 @@ sm as (select pk.profile_id, pk.day, {R2.format('pk.g[1]')} as gust_mps, {R2.for
 
 @R.add("f08_wind_summary", f"with {SUMMARY} select * from sm")
 def f08_wind_summary(spark, d):
-    return at_utc(wind_findings.wind_summaries(profile_hours(spark, d)), "gust_at", "band_at", "window_gust_at", "window_band_at")
+    return at_utc(wind_findings.wind_summaries(shared_hours(spark, d, levels=True)), "gust_at", "band_at", "window_gust_at", "window_band_at")
 
 
 @R.add(
@@ -218,11 +218,29 @@ select site, day, member, {REF} as reference_time, {LEADS} as lead_h, case when
  case when not is_w then case when is_q and truncated then 'truncatedDay' when not is_q then 'outOfHorizon' end end as abstained, case when is_w then ww when is_q and not truncated then qw end as wstar_flip_at_mps, case when is_w then wd when is_q and not truncated then qdp end as depth_flip_at_m from xv""",
 )
 def c10_c15_existence_trajectory(spark, d):
-    h = profile_hours(spark, d)
+    h = shared_hours(spark, d)
     covered = _sited(h).select("site", "member", "day").distinct()
     return at_utc(trajectories.existence(covered, _windows(h), _sited(findings.quiet_days(h)), _runs(h), ZONE), "reference_time")
 
 
+@R.add(
+    "c16_compare_board",
+    f"""with {RUNS}, {BENCHED}, ds as (select distinct site, day from cv), me as (select distinct site, member from cv), md as (select *, day::timestamp at time zone '{ZONE}' at time zone 'UTC' as d0, (day::date + 1)::timestamp at time zone '{ZONE}' at time zone 'UTC' as d1 from vd),
+sp as (select site, member, day, greatest(sa, d0) as s, least(ea + (greatest(1, step_h) * 60)::int * interval 1 minute, d1) as e from md), mg as (select *, case when s <= max(e) over (partition by site, member, day order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as brk from sp where s < e),
+il as (select *, sum(brk) over (partition by site, member, day order by s, e rows unbounded preceding) as k from mg), un as (select site, member, day, k, min(s) as s, max(e) as e from il group by all), ag as (select site, member, day, count(*) as spans, sum(epoch_us(e) - epoch_us(s)) / 3.6e9 as lit_h, min(s) as first_at, max(e) as last_at from un group by all),
+lt as (select profile_id % 50 as site, profile_id // 50 as member, window_id, floor(max(lift_top) * 10 + 0.5) / 10 as top from wh group by all),
+wt as (select site, member, day, max(top) filter (own_day = day) as peak_lift_top_m, min(own_day) filter (own_day <> day) as via from vd join lt using (site, member, window_id) group by all)
+select site, day, member, case when bn.site is not null then 'benched' when wt.site is not null then 'window' when not truncated then 'quiet' else 'abstained' end as vote, case when bn.site is null and wt.site is null and coalesce(truncated, true) then case when truncated then 'truncatedDay' else 'outOfHorizon' end end as abstained,
+ case when bn.site is null and wt.site is null and not truncated then failed end as failed, coalesce(spans, 0) as spans, round(lit_h, 6) as lit_h, first_at, last_at, peak_lift_top_m, via
+from ds join me using (site) left join ag using (site, member, day) left join wt using (site, member, day) left join qd using (site, member, day) left join qf using (site, member, day) left join bn using (site, member)""",
+)
+def c16_compare_board(spark, d):
+    h = shared_hours(spark, d)
+    windows = _windows(h)
+    b = compare.board(_sited(h).select("site", "member", "day").distinct(), windows, _sited(findings.quiet_days(h)), _benched(h), ZONE)
+    return at_utc(b.drop("peak_at").withColumn("lit_h", F.round("lit_h", 6)), "first_at", "last_at")
+
+
 @R.add(
     "c11_timing_trajectory",
     f"""with {RUNS}, pm as (select site, day, member, arg_min((sa, cs, step_h), sa) as s, arg_max((ea, ce, step_h), ea) as e from vd group by all),
@@ -232,7 +250,7 @@ ed as (select site, day, edge, case when count(*) >= 2 then floor((max(epoch_us(
 select site, day, member, edge, edge_at as "at", step_h, spread_h, step_h_max, {REF} as reference_time, {LEADS} as lead_h from ek join ed using (site, day, edge)""",
 )
 def c11_timing_trajectory(spark, d):
-    h = profile_hours(spark, d)
+    h = shared_hours(spark, d)
     return at_utc(trajectories.edges(_windows(h), _runs(h), ZONE), "at", "reference_time")
 
 
@@ -243,7 +261,7 @@ rr as (select site, day, member, peak_wstar_mps, peak_above_launch_m, duration_h
 select *, {REF} as reference_time, {LEADS} as lead_h from rr""",
 )
 def c12_magnitude_trajectory(spark, d):
-    h = profile_hours(spark, d)
+    h = shared_hours(spark, d)
     return at_utc(trajectories.magnitude(_windows(h), _sited(findings.quiet_days(h)), _runs(h), ZONE), "reference_time")
 
 
@@ -256,7 +274,7 @@ gg as (select site, day, count(bw) as band_members, case when count(bw) >= 2 the
 zz as (select * from gg where band_members >= 2 or hour_max_members >= 2 or instant_members >= 2) select * from zz""",
 )
 def c07_wind_divergence(spark, d):
-    h = profile_hours(spark, d)
+    h = shared_hours(spark, d, levels=True)
     members = _sited(findings.window_hours(h)).select("site", "member", "day").distinct()
     kind = F.when(F.col("member") % 2 == 0, "hourMax").when(F.col("member") == 1, "instant")
     return trajectories.wind_divergence(members, _sited(wind_findings.wind_summaries(h)).withColumn("gust_kind", kind))
@@ -270,5 +288,5 @@ pr_ as (select a.site, a.day, a.member as first_member, b.member as second_membe
 select site, day, any_value(members) as members, max(sep) as separation_deg, arg_min(first_member, (-sep, first_member, second_member)) as first_member, arg_min(second_member, (-sep, first_member, second_member)) as second_member from pr_ join cn using (site, day) group by site, day""",
 )
 def c08_direction_spread(spark, d):
-    w = wind_findings.wind_directions(profile_hours(spark, d))
+    w = wind_findings.wind_directions(shared_hours(spark, d, levels=True))
     return trajectories.direction_spread(_sited(w))

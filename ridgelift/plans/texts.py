@@ -9,7 +9,7 @@ from ridgelift.operators import findings, series, texts
 from ridgelift.sources.projections import HISTORY, LEVELS, forecast_level, station_history, table
 
 from . import findings as finding_plans
-from .findings import profile_hours
+from .findings import shared_hours
 from .registry import Registry
 
 R = Registry()
@@ -91,7 +91,7 @@ _FOUND = {"thermalWindow": "f01_thermal_window", "quietDay": "f03_quiet_day", "l
 
 @R.add("u01_every_finding", " union all ".join(f"select '{k}' as kind, {texts.KINDS.index(k)} as kind_order, count(*) as n from ({finding_plans.R.sql[q]}) as {q}" for k, q in _FOUND.items()))
 def u01_every_finding(spark, d):
-    h = profile_hours(spark, d)
+    h = shared_hours(spark, d, levels=True)
     frames = {"thermalWindow": findings.thermal_windows(h), "quietDay": findings.quiet_days(h), "liftCeiling": findings.lift_ceilings(h), "capTiming": findings.cap_timing(h), "bandShear": findings.band_shear(h), "dataCaveats": findings.data_caveats(h, ("usable_lift_top_m", "boundary_layer_top_m"))}
     return texts.every_finding(frames).groupBy("kind", "kind_order").agg(F.count("*").alias("n"))
 
