@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare, findings, forecast, kinds, live, more, paths, places, series, station, texts
+from . import compare, contracts, findings, forecast, kinds, live, more, paths, places, series, station, texts
 
-MODULES = (station, forecast, findings, kinds, more, compare, live, series, texts, places, paths)
+MODULES = (station, forecast, findings, kinds, more, compare, live, series, texts, places, paths, contracts)
 
 
 def queries() -> dict:
