@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,10 +83,16 @@ def publish(runs: DataFrame, path: str, digits: dict[str, int] | None = None) ->
     Each run is a partition that a retry overwrites, so a publication that failed half-way leaves nothing double. Read with `published`.
     """
     known = _listed(runs.sparkSession, path)
-    fresh = runs if known is None else runs.join(known, ["model", "reference_time"], "left_anti")
-    stamped = finite_or_fail(rounded(fresh, digits or {})).withColumn("run", F.date_format("reference_time", "yyyyMMdd'T'HHmmss"))
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "run").parquet(f"{path}/runs")
-    fresh.groupBy("model", "reference_time").agg(F.count("*").alias("rows")).withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/manifest")
+    fresh = (runs if known is None else runs.join(known, ["model", "reference_time"], "left_anti")).persist(StorageLevel.MEMORY_AND_DISK)  # what is written is what is listed
+    try:
+        at = F.col("reference_time").cast("timestamp")
+        part = F.unix_micros(at) % 1_000_000  # runs within one second stay apart
+        name = F.concat(F.date_format(at, "yyyyMMdd'T'HHmmss"), F.when(part == 0, "").otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))))
+        stamped = finite_or_fail(rounded(fresh, digits or {})).withColumn("run", name)
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "run").parquet(f"{path}/runs")
+        fresh.groupBy("model", "reference_time").agg(F.count("*").alias("rows")).withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/manifest")
+    finally:
+        fresh.unpersist()
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
