@@ -26,6 +26,17 @@ def test_rounding(spark):
     assert one(spark, numbers.nudge_round(F.lit(-2.5))) == -2.0
 
 
+def test_exact_rounding_of_many(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in np.concatenate([rng.normal(0, 100, 500), rng.integers(-4000, 4000, 500) / 8, rng.integers(0, 10**6, 300) / 1000 + 0.0005, rng.normal(0, 1e13, 50), [0.0, -0.0, 1e-300, 1.005, 2.5, 0.5, 1e15 + 0.5]])]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+    for digits in (0, 1, 2, 3):
+        got = {r[0]: r[1] for r in df.select("x", numbers.exact_half_even(digits)(F.col("x"))).collect() if r[0] is not None and r[0] == r[0]}
+        assert all(got[v] == float(Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN)) for v in values)
+
+
 def test_scalars(spark):
     assert one(spark, wind.compass(F.lit(None).cast("double"))) is None and one(spark, wind.compass(F.lit(349.0))) == "N"
     assert one(spark, wind.in_arc(F.lit(5.0), 350.0, 30.0)) and not one(spark, wind.in_arc(F.lit(40.0), 350.0, 30.0))
