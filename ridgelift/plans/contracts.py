@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgelift.functions import times
+from ridgelift.functions import times, wire
 from ridgelift.operators import analysis, archive, findings, members
-from ridgelift.sources.projections import HISTORY, MEMBERS, member_value, station_history
+from ridgelift.sources.projections import HISTORY, MEMBERS, member_value, station_history, table
 
 from .compare import _sited
 from .findings import PROFILE, R1, ZONE, profile_hours
@@ -63,3 +63,27 @@ def d08_r32_local_days(spark, d):
 def compared(spark, d):
     """Votes and board from one evaluation: what `analyse_then_compare` gives for the pooled members."""
     return analysis.analyse_then_compare(profile_hours(spark, d).drop("levels"), _sited, ZONE)
+
+
+@R.add(
+    "d17_weak_tags",
+    """with t as (select o_orderkey as k, '{"key":' || o_orderkey::varchar || ',"note":"' || o_orderpriority || ' é ' || (o_orderkey % 7)::varchar || '"}' as j from orders), c as (select k, list_transform(string_split(j, ''), lambda x: unicode(x)::bigint) as u from t)
+select k, 'W/"' || lower(lpad(to_hex(list_reduce([2166136261::bigint] || u, lambda h, x: (xor(h, x) * 16777619) % 4294967296)), 8, '0')) || lower(lpad(to_hex(list_reduce([19088743::bigint] || u, lambda h, x: (xor(h, x) * 16777619) % 4294967296)), 8, '0')) || '"' as tag from c""",
+)
+def d17_weak_tags(spark, d):
+    k = F.col("o_orderkey")
+    j = F.concat(F.lit('{"key":'), k.cast("string"), F.lit(',"note":"'), F.col("o_orderpriority"), F.lit(" é "), (k % 7).cast("string"), F.lit('"}'))
+    return table(spark, d, "orders").select(k.alias("k"), wire.weak_tag(j).alias("tag"))
+
+
+@R.add(
+    "r03_r14_r16_schedules",
+    """with t as (select o_orderkey as k, o_orderkey % 241 as h, o_orderkey % 3 as m from orders) select k, h <= 168 or h % 6 = 0 as dense, case when h <= 168 or h % 6 = 0 then 9 else 4 end as levels, case m when 0 then 'instantRate' else 'windowMeanRate' end as precipitation, case when k % 2 = 0 then 'hourMax' end as gust, k % 5 <> 0 as deterministic, k % 10 = 5 as dropout from t""",
+)
+def r03_r14_r16_schedules(spark, d):
+    k = F.col("o_orderkey")
+    hour, name = k % 241, lambda on: F.when(on, "VAR")
+    said = wire.semantics(name(k % 3 == 1), name(k % 3 == 2), name(k % 2 == 0))
+    run = F.when(k % 5 == 0, F.when(k % 10 == 5, 0).otherwise(21))
+    levels = wire.scheduled_levels(hour, (1000, 950, 925, 900, 850, 800, 700, 600, 500))
+    return table(spark, d, "orders").select(k.alias("k"), wire.dense_hour(hour).alias("dense"), F.size(levels).alias("levels"), said["precipitation"].alias("precipitation"), said["gust"].alias("gust"), wire.is_deterministic(run).alias("deterministic"), wire.is_dropout(F.struct(run.alias("members"))).alias("dropout"))

@@ -6,6 +6,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
+from ridgelift.functions import wire
 from ridgelift.operators import analysis, archive, members
 
 ZONE = "America/Vancouver"
@@ -118,3 +119,27 @@ def test_days(spark):
     rows = df.select("d", start, end, archive.day_step(F.col("d"), 1), *archive.trailing_window(F.lit("2026-01-01 12:00:00").cast("timestamp"), 6)).collect()
     assert rows[0][1:4] == (dt.datetime(2026, 3, 8, 8), dt.datetime(2026, 3, 9, 8), "2026-03-09") and rows[1][1:4] == (None, None, None) and rows[2][1] is None and rows[3][3] == "2027-01-01"
     assert rows[0][4] == dt.datetime(2026, 1, 1, 6)
+
+
+def test_tags_and_rows_without_a_reading(spark):
+    def plain(text):
+        lanes = []
+        units = text.encode("utf-16-be")
+        for h in (0x811C9DC5, 0x01234567):
+            for i in range(0, len(units), 2):
+                h = (h ^ int.from_bytes(units[i : i + 2], "big")) * 0x01000193 & 0xFFFFFFFF
+            lanes.append(f"{h:08x}")
+        return f'W/"{"".join(lanes)}"'
+
+    texts = ["", '{"a":1}', "λ💩é", "x" * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    tags = {r[0]: r[1] for r in df.select("t", wire.weak_tag(F.col("t"))).collect()}
+    assert tags == {t: plain(t) for t in texts}
+    tag = tags[""]
+    asked = {None: False, "*": True, tag: True, tag[2:]: True, f'"x", {tag}': True, '"x"': False, "": False}
+    rows = spark.createDataFrame([(a,) for a in asked], "a string").select("a", wire.tag_matches(F.col("a"), F.lit(tag))).collect()
+    assert {r[0]: r[1] for r in rows} == asked
+    row = spark.range(1).select(wire.no_conditions(uv_index=F.lit(3)).alias("c"), wire.unavailable(F.struct(F.lit("s").alias("id")), F.lit("timeout"), "struct<wind:double>").alias("u")).head()
+    assert row["c"]["uv_index"] == 3.0 and sum(v is not None for v in row["c"]) == 1 and (row["u"]["meta"]["id"], row["u"]["status"], row["u"]["reason"], row["u"]["reading"]) == ("s", "unavailable", "timeout", None)
+    with pytest.raises(ValueError, match="no such conditions"):
+        wire.no_conditions(humour=F.lit(1))
