@@ -17,7 +17,7 @@ the highest order; what is not found there goes on, with the weight, to the next
 
 Words and histories of two or more words are told apart by 64-bit hashes.
 
-Nulls: a null text is the empty text: its one token is the end. A null id counts as the empty text in the split. Repeated rows
+Nulls: a null text is the empty text: its one token is the end. Ties: words and n-grams of equal counts have equal discounts, so no order among them matters. A null id counts as the empty text in the split. Repeated rows
 are trained on and scored once each. A very long text is a slice of its own. Without training rows every token is unknown and has
 probability 1. An empty table gives an empty result. Other columns are not read, so their names cannot clash.
 """

@@ -12,7 +12,8 @@ Words outside the templates cannot add to an overlap, so sets are kept over the
 overlap, and with it the result, is the same. Everything runs as DataFrame operations. The only broadcast
 table holds one row per word of a template's prefix: its size is fixed by the templates.
 
-Nulls: a null text is the empty text, with no words and no labels. Repeated rows each get the same result.
+Nulls: a null text is the empty text, with no words and no labels; a null id stays null, and such rows are told apart by their texts. Words of equal frequency are ordered by their
+spelling. Repeated rows each get the same result.
 Input columns other than the id and the text are not read, so clashing names do no harm. An empty table gives
 an empty result. Texts of any length are cut into blocks of bounded size.
 """

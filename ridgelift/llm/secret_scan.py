@@ -6,7 +6,8 @@ texts of its batch (trigram -> posting list of texts, lower-cased ASCII), evalua
 and uniting postings, and runs the expression only over the texts that remain. A rule without mandatory
 trigrams scans every text. Index, lookup and verification stay in one task, so nothing is shuffled and no hot key exists.
 
-Nulls: a null text is the empty text, without secrets. Repeated rows get equal results. An empty table gives an empty
+Nulls: a null text is the empty text, without secrets; a null id stays null. Spans that start together are told in the order of the rules. Columns besides id and text are not read, so
+their names cannot clash. Repeated rows get equal results. An empty table gives an empty
 result. Texts are scanned whole, whatever their length. Offsets count code points, ends exclusive.
 """
 

@@ -175,3 +175,38 @@ def test_ranges_are_in_order_and_even(spark, monkeypatch, ranges, coarse):
     assert donors == {b: first[c]["text"] for b, c in zip(used, used[1:] + used[:1], strict=True)}
     if ranges >= 40:
         assert max(sum(r["_bucket"] == b for r in rows) for b in used) < 0.15 * len(rows) and len({r["_bucket"] for r in rows if r["doc_id"] == 5}) > 5
+
+
+def test_weights_meet_the_conditions_of_the_lasso():
+    """At the optimum the gradient of a rule's standardised weight is the penalty against its sign, that of the bias is nothing; and unseen rows are told apart."""
+    rng = np.random.default_rng(11)
+
+    def rows(n):
+        x = rng.normal(size=(n, len(quality.STATISTICS)))
+        logit = 2.5 * (x[:, 0] > 0.3) * (x[:, 1] <= 0.5) - 2.0 * (x[:, 2] > 1) - 0.5
+        return x, (rng.random(n) < 1 / (1 + np.exp(-logit))).astype(float)
+
+    (x, y), (new_x, new_y) = rows(4000), rows(4000)
+    penalty = 0.002
+    model = quality.fit(x, y, penalty=penalty)
+    place = {n: j for j, n in enumerate(quality.STATISTICS)}
+
+    def holds(x, rule):
+        return np.all([(x[:, place[n]] <= b) == m for n, m, b in rule.conditions], axis=0).astype(float)
+
+    def probability(x):
+        return 1 / (1 + np.exp(-(model.bias + sum(r.weight * holds(x, r) for r in model.rules))))
+
+    error = probability(x) - y
+    assert abs(error.mean()) < 1e-3 and len(model.rules) > 5
+    for r in model.rules:
+        a = holds(x, r)
+        scale = max(a.std(), 0.02)
+        if abs(r.weight * scale) > 0.02:
+            assert ((a - a.mean()) / scale) @ error / len(y) == pytest.approx(-penalty * np.sign(r.weight), abs=penalty / 4)
+    order = np.argsort(np.argsort(probability(new_x), kind="stable"))
+    ones = new_y == 1
+    auc = (order[ones].sum() - ones.sum() * (ones.sum() - 1) / 2) / (ones.sum() * (~ones).sum())
+    ideal = 1 / (1 + np.exp(-(2.5 * (new_x[:, 0] > 0.3) * (new_x[:, 1] <= 0.5) - 2.0 * (new_x[:, 2] > 1) - 0.5)))
+    best = np.argsort(np.argsort(ideal, kind="stable"))
+    assert auc > (best[ones].sum() - ones.sum() * (ones.sum() - 1) / 2) / (ones.sum() * (~ones).sum()) - 0.03

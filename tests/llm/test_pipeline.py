@@ -1,11 +1,12 @@
 import re
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ridgelift.llm import mixing, pieces, quality, secret_scan
 
-from .helpers import docs
+from .helpers import docs, tables
 from .test_dedup import near_by_force
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,27 @@ def test_stages_of_nothing_and_of_nulls(spark):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, SF)
             df.collect()
+
+
+def test_run_over_awkward_documents(spark, tmp_path):
+    """Clashing and other columns, a very long text, repeated rows with equal ids, nulls and ties, through all stages."""
+    long_text = " ".join(f"word{i % 7000}" for i in range(20_000))
+    base = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(base)] + [(50, long_text, "s0"), (60, base[0], "s1"), (60, base[0], "s1"), (None, base[1], None), (70, None, "s2"), (70, "", "s2")]
+    frame = docs(spark, rows)
+    for name in ("ids", "n_ids", "parity", "decoded", "score", "label", "component", "row", "_id", "size", "draw"):
+        frame = frame.withColumn(name, F.lit(name))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    path = tables(spark, tmp_path, documents=frame, labels=labels)
+    got = corpus_pipeline.run(spark, path)
+    assert got.columns == ["doc_id", "source", "ids", "n_ids", "round_trip", "parity"]
+    out = got.collect()
+    assert all(r["n_ids"] == len(r["ids"]) and r["round_trip"] and r["parity"] for r in out)
+    stage = frame
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        stage = step(spark, stage, path)
+        assert stage.columns == frame.columns
+        if name == "near_dedup":
+            kept = [r["text"] for r in stage.collect()]
+            assert len([t for t in kept if t == base[0]]) <= 1
+    assert len(out) == stage.count()
