@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgelift.functions import times, wire
 from ridgelift.operators import analysis, archive, findings, members
+from ridgelift.sources import file_names
 from ridgelift.sources.projections import HISTORY, MEMBERS, member_value, station_history, table
 
 from .compare import _sited
@@ -87,3 +88,24 @@ def r03_r14_r16_schedules(spark, d):
     run = F.when(k % 5 == 0, F.when(k % 10 == 5, 0).otherwise(21))
     levels = wire.scheduled_levels(hour, (1000, 950, 925, 900, 850, 800, 700, 600, 500))
     return table(spark, d, "orders").select(k.alias("k"), wire.dense_hour(hour).alias("dense"), F.size(levels).alias("levels"), said["precipitation"].alias("precipitation"), said["gust"].alias("gust"), wire.is_deterministic(run).alias("deterministic"), wire.is_dropout(F.struct(run.alias("members"))).alias("dropout"))
+
+
+@R.add(
+    "d11_file_names",
+    """with t as (select o_orderkey as k, o_orderdate::timestamp + (o_orderkey % 4 * 6)::int * interval 1 hour as r, o_orderkey % 121 as h, o_orderkey % 3 as m from orders),
+n as (select *, case m when 0 then strftime(r, '%Y%m%dT%HZ_MSC_GDPS_AirTemp_AGL-2m_LatLon0.15_PT') || lpad(h::varchar, 3, '0') || 'H.grib2' when 1 then strftime(r, 'hrrr.%Y%m%d/conus/hrrr.t%Hz.wrfprsf') || case when h < 10 then '0' || h::varchar else h::varchar end || '.grib2' else strftime(r, 'rrfs.%Y%m%d/%H/rrfs.t%Hz.prslev.3km.f') || lpad(h::varchar, 3, '0') || '.conus.grib2' end as name from t)
+select k, name, r as reference_time, h::int as hour, case m when 0 then 'AirTemp_AGL-2m' when 2 then 'prslev' end as variable from n""",
+)
+def d11_file_names(spark, d):
+    k = F.col("o_orderkey")
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + k % 4 * 6 * 3600)
+    hour = k % 121
+    names = (
+        F.when(k % 3 == 0, file_names.file_name("grid", at, hour, prefix=F.lit("MSC_GDPS"), variable=F.lit("AirTemp_AGL-2m"), grid=F.lit("LatLon0.15")))
+        .when(k % 3 == 1, file_names.file_name("hrrr", at, hour))
+        .otherwise(file_names.file_name("rrfs", at, hour, variable=F.lit("prslev")))
+    )
+    t = table(spark, d, "orders").select(k.alias("k"), names.alias("name"))
+    read = [file_names.read_name(x, F.col("name")) for x in ("grid", "hrrr", "rrfs")]
+    said = lambda f: F.coalesce(*[r[f] for r in read])
+    return t.select("k", "name", said("reference_time").cast("timestamp_ntz").alias("reference_time"), said("hour").alias("hour"), F.coalesce(read[0]["variable"], read[2]["variable"]).alias("variable"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgelift.functions import wire
 from ridgelift.operators import analysis, archive, members
+from ridgelift.sources import file_names
 
 ZONE = "America/Vancouver"
 SAMPLES = "field string, site_id string, member int, grid_key long, along_grid boolean, value double"
@@ -143,3 +144,15 @@ def test_tags_and_rows_without_a_reading(spark):
     assert row["c"]["uv_index"] == 3.0 and sum(v is not None for v in row["c"]) == 1 and (row["u"]["meta"]["id"], row["u"]["status"], row["u"]["reason"], row["u"]["reading"]) == ("s", "unavailable", "timeout", None)
     with pytest.raises(ValueError, match="no such conditions"):
         wire.no_conditions(humour=F.lit(1))
+
+
+def test_names_of_other_kinds(spark):
+    good = "rrfs.20260701/12/rrfs.t12z.prslev.3km.f006.conus.grib2"
+    names = [good, good.replace("t12z", "t18z"), good.replace("20260701", "20260732"), good + ".idx", "x" + good, "hrrr.20260701/conus/hrrr.t12z.wrfprsf06.grib2", None]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", file_names.read_name("rrfs", F.col("n")).alias("r")).orderBy("i").collect()
+    assert tuple(rows[0]["r"]) == (dt.datetime(2026, 7, 1, 12), 6, "prslev") and all(r["r"] is None for r in rows[1:])
+    at = F.lit("2026-07-01 00:00:00").cast("timestamp")
+    row = spark.range(1).select(file_names.file_name("members", at, F.lit(384), variable=F.lit("TMP_TGL_2m")).alias("m"), file_names.file_name("west", at, F.lit(7), variable=F.lit("TMP")).alias("w")).head()
+    assert row["m"] == "CMC_geps-raw_TMP_TGL_2m_latlon0p5x0p5_2026070100_P384_allmbrs.grib2" and row["w"] == "CMC_hrdps_west_TMP_rotated_latlon0.009x0.009_20260701T00Z_P007-00.grib2"
+    with pytest.raises(ValueError, match="needs variable"):
+        file_names.file_name("nam", at, F.lit(1))
