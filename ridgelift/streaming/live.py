@@ -68,8 +68,8 @@ def merged_samples(seconds: int, *parts: tuple) -> tuple[np.ndarray, np.ndarray,
     return at[place], mps[place], deg[place]
 
 
-def rolling_updates(samples: DataFrame, seconds: int = WINDOW_SECONDS, idle_seconds: int | None = FORGET_SECONDS) -> DataFrame:
-    """Stream: after each trigger a station's window (count, mean, newest). State: its instants and values, no older than the window. After idle_seconds (processing time) the state of a silent station ends; None keeps it."""
+def rolling_updates(samples: DataFrame, seconds: int = WINDOW_SECONDS, idle_seconds: int | None = None) -> DataFrame:
+    """Stream: after each trigger a station's window (count, mean, newest). State: its instants and values, no older than the window. With idle_seconds, a silent station's state ends after them (processing time; such a stream never runs dry, but with `NO_IDLE_BATCHES`); without, it is kept."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
