@@ -81,7 +81,8 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     base = base.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0))
     power = F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x)))))  # of two, in two steps: each can be written as a double
     half = F.floor(power / 2)
-    return base.select("vec_id", F.transform("v", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power)).alias("v"))
+    scale = F.array(F.struct(F.pow(F.lit(2.0), -half).alias("a"), F.pow(F.lit(2.0), half - power).alias("b")))  # bound once a vector, not once a component
+    return base.select("vec_id", F.get(F.transform(scale, lambda s: F.transform("v", lambda x: x * s["a"] * s["b"])), F.lit(0)).alias("v"))
 
 
 def probes_of(x: np.ndarray, centroids: np.ndarray, target: float, k: int = 5, queries: int = 512) -> int:
