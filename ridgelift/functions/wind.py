@@ -24,12 +24,17 @@ def signed(deg: Column, half: float = 180.0) -> Column:
     return F.pmod(deg + half, F.lit(2 * half)) - half
 
 
+def radians(deg: Column) -> Column:
+    """Multiplied first, divided then, as the SQL twins do: a mean wind at its floor, or at a tie of its rounding, depends on the last bit."""
+    return deg * math.pi / 180.0
+
+
 def u_of(speed: Column, deg: Column) -> Column:
-    return -speed * F.sin(deg * RAD)
+    return -speed * F.sin(radians(deg))
 
 
 def v_of(speed: Column, deg: Column) -> Column:
-    return -speed * F.cos(deg * RAD)
+    return -speed * F.cos(radians(deg))
 
 
 def speed_of(u: Column, v: Column) -> Column:
