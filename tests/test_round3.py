@@ -19,3 +19,23 @@ def test_a_mean_wind_at_its_floor(spark):
     hours = spark.range(360).select(F.col("id").alias("profile_id"), F.lit(0).alias("window_id"), F.lit(0.0).alias("launch_m"), F.lit(900.0).alias("usable_lift_top_m"), F.array(F.struct(F.lit(500.0).alias("height_m"), F.lit(1.0).alias("wind_speed_mps"), F.col("id").cast("double").alias("wind_direction_deg"))).alias("levels"))
     got = {r["profile_id"]: r["direction_deg"] for r in series.window_band_direction(hours).collect()}
     assert {d for d in got if got[d] != want[d]} <= {183, 297}  # whose sines differ between the two engines' libraries
+
+
+def windows_of_a_day(spark):
+    at = lambda h: dt.datetime(2026, 7, 1, h)
+    rows = [(1, 0, "2026-07-01", i, at(19 if i < 20 else 20), at(19 if i < 20 else 20), i == 0, i == 39, float(i + 1), "2026-07-01", "2026-07-01") for i in range(40)]
+    random.Random(3).shuffle(rows)
+    kind = "site long, member long, day string, window_id long, start_at timestamp, end_at timestamp, clipped_start boolean, clipped_end boolean, step_h double, start_day string, end_day string"
+    return spark.createDataFrame(rows, kind).repartition(5)
+
+
+def test_equal_edges_of_a_day(spark):
+    """Twenty windows start at once and twenty end at once. The first of all and the last of all are clipped, so the day has neither edge."""
+    w = windows_of_a_day(spark)
+    runs = spark.createDataFrame([(1, 0, dt.datetime(2026, 6, 30))], "site long, member long, reference_time timestamp")
+    assert trajectories.edges(w, runs, ZONE).count() == 0
+    inner = w.where("window_id > 0 and window_id < 39")
+    assert {r["edge"]: r["step_h"] for r in trajectories.edges(inner, runs, ZONE).collect()} == {"start": 2.0, "end": 39.0}
+    two = w.unionByName(inner.withColumn("member", F.lit(1).cast("long"))).unionByName(inner.withColumn("member", F.lit(2).cast("long")).withColumn("start_at", F.col("start_at") + F.expr("interval 1 hour")))
+    (r,) = compare.timing(two).collect()
+    assert (r["start_spread_h"], r["end_spread_h"]) == (1.0, 0.0)
