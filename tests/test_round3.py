@@ -39,3 +39,12 @@ def test_equal_edges_of_a_day(spark):
     two = w.unionByName(inner.withColumn("member", F.lit(1).cast("long"))).unionByName(inner.withColumn("member", F.lit(2).cast("long")).withColumn("start_at", F.col("start_at") + F.expr("interval 1 hour")))
     (r,) = compare.timing(two).collect()
     assert (r["start_spread_h"], r["end_spread_h"]) == (1.0, 0.0)
+
+
+def test_words_tell_the_season(spark):
+    """The share of the year since 21 December is part of the words again, in the query and in its SQL."""
+    with duckdb.connect() as c:
+        c.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
+        want = {r[0]: r[1] for r in c.execute(f"select seq, season from ({catalogue.oracle_sql()['d09_d10_words']}) x").fetchall()}
+    got = {r["seq"]: r["season"] for r in catalogue.queries()["d09_d10_words"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and min(got.values()) > 0
