@@ -48,3 +48,10 @@ def test_words_tell_the_season(spark):
         want = {r[0]: r[1] for r in c.execute(f"select seq, season from ({catalogue.oracle_sql()['d09_d10_words']}) x").fetchall()}
     got = {r["seq"]: r["season"] for r in catalogue.queries()["d09_d10_words"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want and min(got.values()) > 0
+
+
+def test_equal_spans_are_lit_once(spark):
+    row = (1, 1, "2026-07-01", "2026-07-01", dt.datetime(2026, 7, 1, 19), dt.datetime(2026, 7, 1, 19), 1.0)
+    kind = "site long, member long, day string, own_day string, start_at timestamp, end_at timestamp, step_h double"
+    (r,) = compare.lit_spans(spark.createDataFrame([row] * 30, kind).repartition(7), ZONE).collect()
+    assert (r["from_at"], r["to_at"]) == (dt.datetime(2026, 7, 1, 19), dt.datetime(2026, 7, 1, 20))
