@@ -4,8 +4,10 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+from ridgelift.llm import nearest
 from ridgelift.operators import compare, series, trajectories
 from ridgelift.plans import catalogue
 
@@ -55,3 +57,29 @@ def test_equal_spans_are_lit_once(spark):
     kind = "site long, member long, day string, own_day string, start_at timestamp, end_at timestamp, step_h double"
     (r,) = compare.lit_spans(spark.createDataFrame([row] * 30, kind).repartition(7), ZONE).collect()
     assert (r["from_at"], r["to_at"]) == (dt.datetime(2026, 7, 1, 19), dt.datetime(2026, 7, 1, 20))
+
+
+def test_nearest_of_any_rows(spark, tmp_path):
+    """Clusters tighter than codewords tell apart, queries unlike the rest, and a few rows among many copies: the five nearest are those of all pairs."""
+    rng = np.random.default_rng(5)
+    n, dim = 3000, 16
+    ids = np.arange(n)
+    tight = rng.normal(size=(4, dim))[rng.integers(0, 4, n)] + rng.normal(size=(n, dim)) * 1e-3
+    apart = tight.copy()
+    apart[ids % 50 == 0] = rng.normal(size=((ids % 50 == 0).sum(), dim))
+    copies = rng.normal(size=(n, dim))
+    copies[rng.random(n) < 0.9] = copies[7]
+    for name, x in (("tight", tight), ("apart", apart), ("copies", copies)):
+        d = tmp_path / name
+        d.mkdir()
+        spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").write.parquet(str(d / "embeddings.parquet"))
+        got = {}
+        for r in nearest.op4_nearest(spark, str(d)).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        caught = 0
+        for i in ids[ids % 50 == 0]:
+            s = np.round(unit @ unit[i], 13)
+            s[i] = -2
+            caught += len(set(got[i].values()) & set(np.lexsort((ids, -s))[:5].tolist()))
+        assert caught == 5 * (ids % 50 == 0).sum(), name
