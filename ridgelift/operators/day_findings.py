@@ -79,10 +79,9 @@ def convective_days(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 def quiet_day_context(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """`quiet_days` with lead_h and the day's cloud, rain, gust and heat flux. Daytime cloud is the mean of local hours 10 to 16."""
-    q = quiet_days(h, t)
     i, rain = F.col("hour_index"), F.col("precipitation_mm_hr")
     wet = rain > t.precip_min_mm_hr
-    g = h.groupBy(*DAY).agg(
+    also = (
         first_wins_max(F.col("thermal_velocity_mps"), i, F.struct("cloud_cover_pct")).alias("_peak"),
         nudge_round(F.round(F.avg(F.when(F.col("local_hour").between(10, 16), F.col("cloud_cover_pct"))), 6), 1).alias("daytime_cloud_pct"),
         nudge_round(F.max(F.when(wet, rain)), 2).alias("peak_precip_mm_hr"),
@@ -94,8 +93,8 @@ def quiet_day_context(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
         first_wins_max(F.col("wind_gust_mps"), i, F.col("valid_at")).alias("max_gust_at"),
         nudge_round(F.max("sensible_heat_flux_wm2"), 1).alias("peak_heat_flux_wm2"),
         first_wins_max(F.col("sensible_heat_flux_wm2"), i, F.col("valid_at")).alias("peak_heat_flux_at"),
-        F.min("valid_at").alias("_first"),
+        F.min("valid_at").alias("_start"),
         F.first("reference_time").alias("_ref"),
     )
-    lead = lead_hours(F.col("_ref"), F.coalesce("peak_wstar_at", "peak_depth_at", "_first"))
-    return q.join(g, DAY).withColumn("lead_h", lead).withColumn("cloud_at_peak_pct", nudge_round(F.col("_peak.cloud_cover_pct"), 1)).drop("_peak", "_first", "_ref")
+    lead = lead_hours(F.col("_ref"), F.coalesce("peak_wstar_at", "peak_depth_at", "_start"))
+    return quiet_days(h, t, also).withColumn("lead_h", lead).withColumn("cloud_at_peak_pct", nudge_round(F.col("_peak.cloud_cover_pct"), 1)).drop("_peak", "_start", "_ref")

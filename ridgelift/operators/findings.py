@@ -99,12 +99,11 @@ def thermal_windows(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return agg.join(ends, "profile_id").withColumn("clipped_start", F.col("_a") == 0).withColumn("clipped_end", F.col("_b") == F.col("_last")).drop("_a", "_b", "_last")
 
 
-def quiet_days(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Covered local days that no window touches."""
-    touched = window_hours(h, t).select("profile_id", "day").distinct()
-    depth = F.col("usable_lift_top_m") - F.col("launch_m")
+def quiet_days(h: DataFrame, t: Thresholds = DEFAULTS, also: tuple[Column, ...] = ()) -> DataFrame:
+    """Covered local days that no window touches, with further aggregates of the day's hours. Every hour that clears the floors is in a window and no other hour is, so a day is
+    touched if one of its hours clears them: one aggregate, and the hours are read once."""
     i = F.col("hour_index")
-    x = h.join(touched, ["profile_id", "day"], "left_anti").withColumn("_depth", depth)
+    x = h.withColumn("_depth", F.col("usable_lift_top_m") - F.col("launch_m"))
     w, d = F.max("thermal_velocity_mps"), F.max("_depth")
     agg = x.groupBy("profile_id", "day").agg(
         nudge_round(w, 2).alias("peak_wstar_mps"),
@@ -116,10 +115,12 @@ def quiet_days(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
         F.sum("after_h").alias("covered_h"),
         F.min_by(F.struct("local_hour", "before_h"), "hour_index").alias("_first"),
         F.max_by(F.struct("local_hour", "after_h"), "hour_index").alias("_end"),
-    )
+        F.bool_or(clears(t)).alias("_touched"),
+        *also,
+    ).where("not _touched")
     failed = F.concat_ws(",", F.when(F.col("_fw"), "wstar"), F.when(F.col("_fd"), "depth"), F.when(~F.col("_fw") & ~F.col("_fd"), "coincidence"))
     whole = (F.col("_first.local_hour") < F.col("_first.before_h")) & (F.col("_end.local_hour") >= 24 - F.col("_end.after_h"))
-    return agg.withColumn("failed", failed).withColumn("truncated", ~whole).drop("_fw", "_fd", "_first", "_end")
+    return agg.withColumn("failed", failed).withColumn("truncated", ~whole).drop("_fw", "_fd", "_first", "_end", "_touched")
 
 
 def lift_ceilings(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:

@@ -83,3 +83,8 @@ def test_nearest_of_any_rows(spark, tmp_path):
             s[i] = -2
             caught += len(set(got[i].values()) & set(np.lexsort((ids, -s))[:5].tolist()))
         assert caught == 5 * (ids % 50 == 0).sum(), name
+
+
+def test_quiet_days_read_the_hours_once(spark):
+    plan = catalogue.queries()["f03_quiet_day_context"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2  # orders and lineitem
