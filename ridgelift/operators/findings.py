@@ -79,10 +79,11 @@ def window_hours(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return islands(ok.withColumn("_new", ~F.coalesce(bridged, F.lit(True))), KEY, ["hour_index"], F.col("_new"), "window_id").drop("_ok", "_span", "_silent", "_new")
 
 
-def thermal_windows(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    ends = h.groupBy("profile_id").agg(F.max("hour_index").alias("_last"))
+def thermal_windows(h: DataFrame, t: Thresholds = DEFAULTS, also: tuple[Column, ...] = ()) -> DataFrame:
+    """One row a window, with further aggregates of its hours. The hours are read once."""
     i = F.col("hour_index")
-    agg = window_hours(h, t).groupBy("profile_id", "window_id").agg(
+    last = F.lead("hour_index").over(Window.partitionBy(*KEY).orderBy("hour_index")).isNull()
+    return window_hours(h.withColumn("_last", last), t).groupBy("profile_id", "window_id").agg(
         F.min_by("day", "hour_index").alias("day"),
         F.min("valid_at").alias("start_at"),
         F.max("valid_at").alias("end_at"),
@@ -93,10 +94,10 @@ def thermal_windows(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
         first_wins_max(F.col("usable_lift_top_m"), i, F.col("valid_at")).alias("peak_at"),
         nudge_round(F.max(F.col("usable_lift_top_m")) - F.first("launch_m"), 1).alias("peak_above_launch_m"),
         nudge_round(F.max("thermal_velocity_mps"), 2).alias("peak_wstar_mps"),
-        F.min("hour_index").alias("_a"),
-        F.max("hour_index").alias("_b"),
+        (F.min("hour_index") == 0).alias("clipped_start"),
+        F.bool_or("_last").alias("clipped_end"),
+        *also,
     )
-    return agg.join(ends, "profile_id").withColumn("clipped_start", F.col("_a") == 0).withColumn("clipped_end", F.col("_b") == F.col("_last")).drop("_a", "_b", "_last")
 
 
 def quiet_days(h: DataFrame, t: Thresholds = DEFAULTS, also: tuple[Column, ...] = ()) -> DataFrame:

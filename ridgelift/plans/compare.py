@@ -8,7 +8,7 @@ from ridgelift.functions import times
 from ridgelift.operators import compare, findings, sequences, station
 from ridgelift.sources.projections import HISTORY, HOURS, forecast_hour, station_history, table
 
-from .findings import PROFILE, R1, R2, ZONE, at_utc, shared_hours
+from .findings import PROFILE, R1, R2, ZONE, at_utc, profile_hours, shared_hours
 from .registry import Registry
 
 R = Registry()
@@ -21,8 +21,8 @@ def _sited(df):
 
 def _windows(h):
     """One row per window and day it touches."""
-    touched = findings.window_hours(h).select("profile_id", "window_id", "day").distinct()
-    return _sited(touched.join(findings.thermal_windows(h).withColumnRenamed("day", "own_day"), ["profile_id", "window_id"]))
+    w = findings.thermal_windows(h, also=(F.collect_set("day").alias("touched"),)).withColumnRenamed("day", "own_day")
+    return _sited(w.withColumn("day", F.explode("touched")).drop("touched"))
 
 
 DAY_OF = "strftime({} at time zone 'UTC' at time zone '" + ZONE + "', '%Y-%m-%d')"
@@ -51,7 +51,7 @@ select site, day, coalesce(wm, 0) as window_members, coalesce(nq, 0) as quiet_me
 from ds join ms using (site) left join pz using (site, day) left join wv using (site, day) left join qv using (site, day) left join fl using (site, day) where coalesce(wm, 0) + coalesce(nq, 0) > 0 or coalesce(nt, 0) + members - coalesce(present, 0) > 0""",
 )
 def c03_window_agreement(spark, d):
-    h = shared_hours(spark, d)
+    h = shared_hours(spark, d, only=("profile_id", "hour_index", "valid_at", "day", "local_hour", "before_h", "after_h", "launch_m", "profile_elevation_m", "thermal_velocity_mps", "usable_lift_top_m"))
     covered = _sited(h).select("site", "member", "day").distinct()
     return compare.window_agreement(covered, _windows(h), _sited(findings.quiet_days(h)), benches=_benched(h))
 
@@ -69,7 +69,7 @@ tm as (select site, day, case when not s[2] and {DAY_OF.format('s[1]')} = day th
 select site, day, case when count(sh) >= 2 then {R1.format('(max(sh) - min(sh))')} end as start_spread_h, case when count(eh) >= 2 then {R1.format('(max(eh) - min(eh))')} end as end_spread_h from tm group by all""",
 )
 def c04_timing_envelope(spark, d):
-    w = _windows(shared_hours(spark, d))
+    w = _windows(profile_hours(spark, d))
     return compare.timing(w.withColumn("start_day", times.local_day(F.col("start_at"), ZONE)).withColumn("end_day", times.local_day(F.col("end_at"), ZONE)))
 
 

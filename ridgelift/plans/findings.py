@@ -31,16 +31,20 @@ def _surface(k):
     )
 
 
-def profile_hours(spark, d):
+def profile_hours(spark, d, ready=None):
+    """ready: what to derive from an hour alone before hours are put in order, so that levels that only it needs are not sent along."""
     at = (F.col("valid_at").cast("timestamp") + F.make_interval(hours=(F.col("hour_id") % 24).cast("int"))).alias("valid_at")
     h = derived_hours(spark, d).select((F.col("site_id") % PROFILES).alias("profile_id"), "hour_id", at, (200.0 + F.col("site_id") % PROFILES * 13 % 1200).alias("launch_m"), "levels", "cloud_base_m", "boundary_layer_top_m", "thermal_velocity_mps", "usable_lift_top_m", (F.col("hour_id") * 7 % 400).cast("double").alias("cape_jkg"), (-(F.col("hour_id") * 13 % 60)).cast("double").alias("cin_jkg"), (200.0 + F.col("site_id") % PROFILES * 7 % 900).alias("profile_elevation_m"), *_surface(F.col("hour_id")), F.lit(REFERENCE).cast("timestamp").alias("reference_time"), "sensible_heat_flux_wm2")
     h = h.withColumn("day", times.local_day(F.col("valid_at"), ZONE)).withColumn("local_hour", times.local_hour(F.col("valid_at"), ZONE))
-    return findings.prepared(h)
+    return findings.prepared(h if ready is None else ready(h))
 
 
-def shared_hours(spark, d, levels: bool = False):
-    """The hours of profiles for a query that reads them several times: evaluated once, kept by the executors (in memory, else on their disks), and made again where one is lost."""
+def shared_hours(spark, d, levels: bool = False, only: tuple[str, ...] = ()):
+    """The hours of profiles for a query that reads them several times: evaluated once, kept by the executors (in memory, else on their disks), and made again where one is lost.
+    Columns that are not among `only` are neither kept nor sent."""
     h = profile_hours(spark, d)
+    if only:
+        return h.select(*only).persist(StorageLevel.MEMORY_AND_DISK)
     return (h if levels else h.drop("levels")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
