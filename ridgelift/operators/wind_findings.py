@@ -26,6 +26,11 @@ def band_max(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return b.withColumn("band", F.when(F.col("_b").isNotNull(), F.struct((-F.col("_b.s")).alias("wind_mps"), "_b.height_m", "_b.pressure_hpa", "_b.direction_deg"))).drop("_b")
 
 
+def banded(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """h with `band` in place of the levels, which it may be computed from before hours are put in order."""
+    return band_max(h, t).drop("levels")
+
+
 def _own_day(hours_of_windows: DataFrame) -> DataFrame:
     return hours_of_windows.withColumn("day", F.first("day").over(Window.partitionBy("profile_id", "window_id").orderBy("hour_index")))
 
@@ -68,50 +73,60 @@ def wind_summaries(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def wind_exceedances(h: DataFrame, surface_mps: float | None = None, gust_mps: float | None = None, band_mps: float | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Runs of neighbouring window hours at or above the caller's ceilings, one row a run; without ceilings none.
+    """Runs of neighbouring window hours at or above the caller's ceilings, one row a run; without ceilings none. Hours may come as `banded` gives them.
 
     gust_mps is the ceiling for the kind of gust that the profile declares: pick it by that kind, or leave it out.
     """
-    x = _own_day(band_max(window_hours(h, t), t))
+    x = window_hours(h, t)
+    x = _own_day(x if "band" in x.columns else band_max(x, t))
     asked = [(n, c, v) for n, c, v in (("surfaceWind", surface_mps, "wind_speed_mps"), ("gust", gust_mps, "wind_gust_mps"), ("bandWind", band_mps, "band.wind_mps")) if c is not None]
     kinds = F.array(*[F.struct(F.lit(n).alias("quantity"), F.lit(float(c)).alias("threshold_mps"), F.col(v).alias("v")) for n, c, v in asked]) if asked else F.array().cast("array<struct<quantity:string,threshold_mps:double,v:double>>")
-    steps = x.groupBy(*DAY).agg(F.max("after_h").alias("step_h"))
-    x = x.select(*DAY, "hour_index", "valid_at", "after_h", F.explode(kinds).alias("k")).select("*", "k.*").where("v >= threshold_mps")
+    x = x.withColumn("step_h", F.max("after_h").over(Window.partitionBy(*DAY)))
+    x = x.select(*DAY, "hour_index", "valid_at", "after_h", "step_h", F.explode(kinds).alias("k")).select("*", "k.*").where("v >= threshold_mps")
     keys = [*DAY, "quantity", "threshold_mps"]
     apart = F.col("hour_index") != F.lag("hour_index").over(Window.partitionBy(*keys).orderBy("hour_index")) + 1
     runs = islands(x.withColumn("_new", apart), keys, ["hour_index"], F.col("_new"), "run_id")
-    per = runs.groupBy(*keys, "run_id").agg(F.min("valid_at").alias("start_at"), F.max("valid_at").alias("end_at"), F.sum("after_h").alias("hours"), nudge_round(F.max("v"), 2).alias("peak_mps"), first_wins_max(F.col("v"), F.col("hour_index"), F.col("valid_at")).alias("peak_at"))
-    return per.join(steps, DAY)
+    return runs.groupBy(*keys, "run_id").agg(F.min("valid_at").alias("start_at"), F.max("valid_at").alias("end_at"), F.sum("after_h").alias("hours"), nudge_round(F.max("v"), 2).alias("peak_mps"), first_wins_max(F.col("v"), F.col("hour_index"), F.col("valid_at")).alias("peak_at"), F.first("step_h").alias("step_h"))
 
 
-def wind_directions(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Per window the surface wind at its start, at its highest lift top and at its end, the net veer in (-180, 180], and the vector means of the surface and of the levels
-    between launch and lift top. Weak winds have no direction; a window without a speed at one of the three hours, or without any full surface sample, is left out."""
-    floor, i = t.direction_floor_mps, F.col("hour_index")
-    x = _own_day(window_hours(h, t))
+def _mean(u: str, v: str, speed: str, direction: str, t: Thresholds) -> list[Column]:
+    m = wind.speed_of(F.col(u), F.col(v))
+    return [nudge_round(m, 2).alias(speed), F.when(F.round(m, 9) >= t.direction_floor_mps, nudge_round(F.round(wind.direction_of(F.col(u), F.col(v)), 6))).alias(direction)]
+
+
+def _surface_of_windows(x: DataFrame) -> DataFrame:
     s, d = F.col("wind_speed_mps"), F.col("wind_direction_deg")
     sample = F.struct(s.alias("s"), d.alias("d"), "valid_at")
     both = s.isNotNull() & d.isNotNull()
-    keys = ["profile_id", "window_id"]
-    g = x.groupBy(*keys).agg(
+    g = x.groupBy("profile_id", "window_id").agg(
         F.first("day").alias("day"),
         F.min_by(sample, "hour_index").alias("a"),
-        first_wins_max(F.col("usable_lift_top_m"), i, sample).alias("p"),
+        first_wins_max(F.col("usable_lift_top_m"), F.col("hour_index"), sample).alias("p"),
         F.max_by(sample, "hour_index").alias("b"),
         F.avg(F.when(both, wind.u_of(s, d))).alias("u"),
         F.avg(F.when(both, wind.v_of(s, d))).alias("v"),
         F.count_if(both).alias("samples"),
     )
-    g = g.where("a.s is not null and p.s is not null and b.s is not null and samples > 0")
+    return g.where("a.s is not null and p.s is not null and b.s is not null and samples > 0")
+
+
+def surface_directions(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """profile_id, window_id, day, surface_mps, surface_deg and samples of `wind_directions`, for which hours need no levels."""
+    g = _surface_of_windows(_own_day(window_hours(h, t)))
+    return g.select("profile_id", "window_id", "day", *_mean("u", "v", "surface_mps", "surface_deg", t), "samples")
+
+
+def wind_directions(h: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """Per window the surface wind at its start, at its highest lift top and at its end, the net veer in (-180, 180], and the vector means of the surface and of the levels
+    between launch and lift top. Weak winds have no direction; a window without a speed at one of the three hours, or without any full surface sample, is left out."""
+    floor = t.direction_floor_mps
+    x = _own_day(window_hours(h, t))
+    keys = ["profile_id", "window_id"]
+    g = _surface_of_windows(x)
     inside = F.filter("levels", lambda v: (v["height_m"] >= F.col("launch_m")) & (v["height_m"] <= F.col("usable_lift_top_m")) & v["wind_speed_mps"].isNotNull() & v["wind_direction_deg"].isNotNull())
     ls, ld = F.col("l.wind_speed_mps"), F.col("l.wind_direction_deg")
     band = x.where("usable_lift_top_m is not null").select(*keys, F.explode(inside).alias("l")).groupBy(*keys).agg(F.avg(wind.u_of(ls, ld)).alias("bu"), F.avg(wind.v_of(ls, ld)).alias("bv"), F.count("*").alias("band_samples"))
     way = lambda c: F.when((F.col(f"{c}.s") >= floor) & F.col(f"{c}.d").isNotNull(), F.col(f"{c}.d"))
     turn = -wind.signed(way("a") - way("b"))  # in (-180, 180]
-
-    def mean(u: str, v: str, speed: str, direction: str) -> list[Column]:
-        m = wind.speed_of(F.col(u), F.col(v))
-        return [nudge_round(m, 2).alias(speed), F.when(F.round(m, 9) >= floor, nudge_round(F.round(wind.direction_of(F.col(u), F.col(v)), 6))).alias(direction)]
-
     told = [c for n, k in (("start", "a"), ("peak", "p"), ("end", "b")) for c in (nudge_round(F.col(f"{k}.s"), 2).alias(f"{n}_mps"), nudge_round(way(k)).alias(f"{n}_deg"))]
-    return g.join(band, keys, "left").select(*keys, "day", *told, F.col("p.valid_at").alias("peak_at"), nudge_round(turn).alias("net_veer_deg"), *mean("u", "v", "surface_mps", "surface_deg"), "samples", *mean("bu", "bv", "band_mps", "band_deg"), "band_samples")
+    return g.join(band, keys, "left").select(*keys, "day", *told, F.col("p.valid_at").alias("peak_at"), nudge_round(turn).alias("net_veer_deg"), *_mean("u", "v", "surface_mps", "surface_deg", t), "samples", *_mean("bu", "bv", "band_mps", "band_deg", t), "band_samples")

@@ -88,3 +88,12 @@ def test_nearest_of_any_rows(spark, tmp_path):
 def test_quiet_days_read_the_hours_once(spark):
     plan = catalogue.queries()["f03_quiet_day_context"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2  # orders and lineitem
+
+
+def test_windows_read_the_hours_once(spark):
+    """Levels are sent to their hour, and not from there to their profile."""
+    for name in ("c04_timing_envelope", "f01_thermal_window", "f09_wind_exceedance"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2, name  # orders and lineitem
+        by_profile = plan.split("Exchange hashpartitioning(profile_id")[-1].split("+- Project [")[1].split("]")[0]
+        assert "levels#" not in by_profile, name
