@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,10 +93,114 @@ def flattened(documents: DataFrame, depth: int = 8) -> DataFrame:
     return out
 
 
+class _Number(str):
+    """A number as it is written; the doubles decide whether two are equal."""
+
+    __slots__ = ()
+
+
+def _number(text: str) -> _Number:
+    if len(text) > 1000:  # as the JSON parser of `flattened`
+        raise ValueError("a number too long")
+    return _Number(text)
+
+
+def _clean(text: str) -> str:
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+def _object(pairs: list) -> dict:
+    out = {_clean(k): v for k, v in pairs}
+    if len(out) < len(pairs):
+        raise ValueError("a key twice")
+    return out
+
+
+def _refuse(text: str):
+    raise ValueError(text)
+
+
+_READER = json.JSONDecoder(object_pairs_hook=_object, parse_int=_number, parse_float=_number, parse_constant=_refuse)
+_NOTHING = object()
+
+
+def _nested(nodes: list) -> list:
+    return [x for x in nodes if isinstance(x, (dict, list))]
+
+
+def _read(text: str | None):
+    """The document; none if it cannot be read, or has more than a thousand levels, as in `flattened`."""
+    try:
+        x = _READER.raw_decode(text.lstrip(" \t\n\r"))[0] if text else None
+    except (ValueError, RecursionError):
+        return None
+    if text and text.count("{") + text.count("[") > 1000:
+        level = _nested([x])
+        for _ in range(1000):
+            level = _nested([v for y in level for v in (y.values() if isinstance(y, dict) else y)])
+        return None if level else x
+    return x
+
+
+def _written(x) -> str:
+    if isinstance(x, dict):
+        return "{" + ",".join([f"{json.dumps(k)}:{_written(v)}" for k, v in x.items()]) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join([_written(v) for v in x]) + "]"
+    return x if type(x) is _Number else json.dumps(x)
+
+
+def _told(x, whole: bool) -> tuple | None:
+    """Kind, text and number."""
+    if x is _NOTHING:
+        return None
+    if isinstance(x, (dict, list)):
+        return ("json", _written(x), None) if whole else ("object", OBJECT, None)
+    if type(x) is _Number:
+        return ("number", None, float(x) if "e" in x.lower() else float(x) + 0.0)
+    return ("string", _clean(x), None) if isinstance(x, str) else ("void", "null", None) if x is None else ("boolean", "true" if x else "false", None)
+
+
+def _apart(a, b, depth: int, path: tuple = ()) -> tuple[list[tuple], bool]:
+    """Places in order where two documents may differ, up to the first that surely does, and whether there is such a one. Not sure are those at the depth's end, whose JSON is compared as `flattened` tells it."""
+    a, b = (x if isinstance(x, dict) else {str(i): v for i, v in enumerate(x)} if isinstance(x, list) else {} for x in (a, b))
+    found: list[tuple] = []
+    for key in sorted({*a, *b}):
+        x, y, here = a.get(key, _NOTHING), b.get(key, _NOTHING), (*path, key)
+        both = isinstance(x, (dict, list)) and isinstance(y, (dict, list))
+        if both and depth > 1:
+            more, sure = _apart(x, y, depth - 1, here)
+            found += more
+        else:
+            left, right = _told(x, depth == 1), _told(y, depth == 1)
+            sure = not both and repr(left) != repr(right)  # by repr -0.0 is not 0.0
+            if both or sure:
+                found.append((".".join(here), left, right))
+        if sure:
+            return found, True
+    return found, False
+
+
 def first_differences(pairs: DataFrame, depth: int = 8) -> DataFrame:
-    """pairs: id (unique), a, b (JSON). For each pair that differs the first path, keys in order at every level, and what stands there (`undefined` where there is nothing). Equal numbers are equal however they are written."""
-    a, b = (flattened(pairs.select("id", F.col(c).alias("json")), depth).select("id", "path", F.struct("kind", "text").alias(c)) for c in ("a", "b"))
-    both = a.join(b, ["id", "path"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
-    first = both.groupBy("id").agg(F.min_by(F.struct("path", "a", "b"), "path").alias("d"))
-    told = lambda c: F.coalesce(F.col(f"d.{c}.text"), F.lit("undefined")).alias(c)
-    return first.select("id", F.array_join("d.path", ".").alias("path"), told("a"), told("b"))
+    """pairs: id (unique), a, b (JSON). For each pair that differs the first path, keys in order at every level, and what stands there (`undefined` where there is nothing). Equal numbers are equal however they are written.
+
+    Both documents are in one row and are walked together, so nothing is shuffled and no node of `flattened` becomes a row. Numbers and what stands below the depth are spelled by Spark.
+    """
+    kind = pairs.schema["id"].dataType
+    node = pa.struct([("kind", pa.string()), ("text", pa.string()), ("number", pa.float64())])
+    told = pa.struct([("path", pa.string()), ("a", node), ("b", node)])
+
+    def walk(batches):
+        sys.setrecursionlimit(20_000)
+        for batch in batches:
+            found = [_apart(_read(a), _read(b), depth)[0] for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            values = pa.array([[dict(zip(("path", "a", "b"), (p, *({"kind": x[0], "text": x[1], "number": x[2]} if x else None for x in (a, b))), strict=True)) for p, a, b in f] for f in found], pa.list_(told))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), values], ["id", "found"])
+
+    spelled = lambda x: F.when(x.isNotNull(), F.struct(x["kind"].alias("kind"), F.when(x["kind"] == "number", x["number"].cast("string")).when(x["kind"] == "json", F.to_json(F.try_parse_json(x["text"]))).otherwise(x["text"]).alias("text")))
+    one = "struct<kind:string,text:string,number:double>"
+    found = pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("id", "a", "b").mapInArrow(walk, f"id {kind.simpleString()}, found array<struct<path:string,a:{one},b:{one}>>")
+    apart = F.filter(F.transform("found", lambda x: F.struct(x["path"].alias("path"), spelled(x["a"]).alias("a"), spelled(x["b"]).alias("b"))), lambda x: ~x["a"].eqNullSafe(x["b"]))
+    first = found.select("id", F.explode(F.slice(apart, 1, 1)).alias("d"))
+    shown = lambda c: F.coalesce(F.col(f"d.{c}.text"), F.lit("undefined")).alias(c)
+    return first.select("id", "d.path", shown("a"), shown("b"))

@@ -1,8 +1,10 @@
 """Metric paths and first differences: every form of path, and what is refused."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridgelift.operators import paths
 
@@ -71,3 +73,37 @@ def test_differences(spark):
     deep = [(1, '{"a":{"b":{"c":1}}}', '{"a":{"b":{"c":2}}}'), (2, None, '{"x":1}'), (3, "{", "{}")]
     rows = paths.first_differences(spark.createDataFrame(deep, "id long, a string, b string"), depth=2).collect()
     assert {r["id"]: (r["path"], r["a"], r["b"]) for r in rows} == {1: ("a.b", '{"c":1}', '{"c":2}'), 2: ("x", "undefined", "1.0")}
+
+
+def joined(pairs, depth):
+    """First differences of the two documents' nodes, as rows joined by path."""
+    a, b = (paths.flattened(pairs.select("id", F.col(c).alias("json")), depth).select("id", "path", F.struct("kind", "text").alias(c)) for c in ("a", "b"))
+    both = a.join(b, ["id", "path"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    first = both.groupBy("id").agg(F.min_by(F.struct("path", "a", "b"), "path").alias("d"))
+    return first.select("id", F.array_join("d.path", ".").alias("path"), *[F.coalesce(F.col(f"d.{c}.text"), F.lit("undefined")).alias(c) for c in ("a", "b")])
+
+
+def test_differences_are_those_of_joined_nodes(spark):
+    """Odd JSON included; and one row a pair is walked, without a shuffle of its nodes."""
+    rng = random.Random(9)
+    scalars = ["1", "1.0", "10e-1", "-0", "-0.0", "-0e0", "0", "1e999", "12345678901234567890123", "0.1", "1e-7", "1.50", "1.5", "9" * 1001, "NaN", "01", "1.", '"1"', '"\\u00e9"', '"é"', '"\\ud800"', '"?"', "true", "null", '"[object]"', "{}", "[]"]
+
+    def text(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(scalars if rng.random() < 0.5 else scalars[:3] + scalars[-2:])
+        n = rng.randrange(4)
+        if rng.random() < 0.4:
+            return "[" + ",".join(text(depth - 1) for _ in range(n)) + "]"
+        keys = [rng.choice(["a", "b", "0", "1", "10", "2", "a.b", "é", "\U0001f600", "\uffff"]) for _ in range(n)]
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=rng.random() < 0.5)}:{text(depth - 1)}" for k in keys) + "}"
+
+    whole = [text(4) for _ in range(500)]
+    altered = [w if rng.random() < 0.1 else w.replace(rng.choice(["1", "a", "{}", "0"]), rng.choice(["2", "b", "[]", "1.0"]), 1) if rng.random() < 0.8 else text(4) for w in whole]
+    odd = ["", " ", "{} x", '{"a":1} {', '{"a":1,"a":2}', "{'a':1}", '{"a":1,}', '\t{"a":1}', '\u00a0{"a":1}', '{"a":"\t"}', '{"a":1}', "[1,2", '"a"', "null", None, "[" * 1001 + "]" * 1001, "[" * 900 + "]" * 900, '{"a":+1}', '{"a":.5}', '{"a":Infinity}', "/**/{}", '{"a":"\\x"}', '{"a":"\\u12"}']
+    rows = list(zip(whole, altered, strict=True)) + [(x, y) for x in odd for y in ('{"a":1.0}', "{}", "[[]]", None)]
+    pairs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, a string, b string")
+    for depth in (1, 2, 8):
+        want, found = ({r["id"]: tuple(r)[1:] for r in d.collect()} for d in (joined(pairs, depth), paths.first_differences(pairs, depth)))
+        assert {i: (rows[i], found.get(i), want.get(i)) for i in found.keys() | want.keys() if found.get(i) != want.get(i)} == {}, depth
+    assert len(want) > 150
+    assert "Exchange" not in paths.first_differences(pairs)._jdf.queryExecution().executedPlan().toString()
