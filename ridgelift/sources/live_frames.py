@@ -82,7 +82,7 @@ def frames(events: DataFrame) -> DataFrame:
     e = events.where(F.col("event").isin("message", "ping")).withColumn("ping", F.col("event") == "ping")
     e = e.withColumn("m", F.from_json("data", _schema("double"))).withColumn("s", F.from_json("data", _schema("string")))
     readable = F.get_json_object("data", "$").startswith("{")
-    e = e.withColumn("type", F.when(F.col("ping"), "ping").when(~_yes(readable), "unreadable").otherwise(F.col("m.type"))).where(F.col("type").isin("ping", "unreadable", "INIT", "WIND_SAMPLES", "LAST_DIGEST"))
+    e = e.withColumn("type", F.when(F.col("ping"), "ping").when(~_yes(readable), "unreadable").otherwise(F.col("m.type")))
     e = e.withColumn("d", _digest("m")).withColumn("ds", _digest("s"))
 
     last = F.try_element_at("d.last_10mn_by_1mn", F.lit(-1))
@@ -138,6 +138,7 @@ def frames(events: DataFrame) -> DataFrame:
     e = e.withColumn("problem", wrong).withColumn("reading", reading.cast(f"struct<{READING.replace(' ', ':').replace(',:', ',')}>")).withColumn("samples", samples.cast(SAMPLES)).withColumn("summaries", summaries.cast(SUMMARIES)).withColumn("place", place)
     kind = F.when(F.col("problem").isNotNull(), "broken").when(init, "init").when(F.col("type") == "WIND_SAMPLES", "samples").when(F.col("type") == "LAST_DIGEST", "reading").otherwise("ping")
     two = (kind == "reading") & F.col("summaries").isNotNull()
-    e = e.withColumn("k", F.explode(F.when(two, F.array(F.struct(F.lit(0).alias("part"), F.lit("reading").alias("kind")), F.struct(F.lit(1).alias("part"), F.lit("summaries").alias("kind")))).otherwise(F.array(F.struct(F.lit(0).alias("part"), kind.alias("kind"))))))
+    framed = F.col("type").isin("ping", "unreadable", "INIT", "WIND_SAMPLES", "LAST_DIGEST")  # told with the frames: a filter of its own would be pushed down and read every message once more
+    e = e.withColumn("k", F.explode(F.when(framed, F.when(two, F.array(F.struct(F.lit(0).alias("part"), F.lit("reading").alias("kind")), F.struct(F.lit(1).alias("part"), F.lit("summaries").alias("kind")))).otherwise(F.array(F.struct(F.lit(0).alias("part"), kind.alias("kind")))))))
     only = lambda kinds, c: F.when(F.col("k.kind").isin(*kinds), F.col(c)).alias(c)
     return e.select("station_id", "seq", "k.part", "k.kind", "served_at", only(("init", "reading"), "reading"), only(("init", "samples"), "samples"), only(("init", "summaries"), "summaries"), only(("init",), "place"), "problem")

@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from ridgelift.plans import catalogue
 from ridgelift.plans.live import live_events
 from ridgelift.sources import live_frames
 from ridgelift.streaming import live
@@ -82,6 +83,22 @@ def test_broken_frames(spark, body, problem):
     assert (r["kind"], r["problem"], r["reading"], r["samples"]) == ("broken", problem, None, None)
 
 
+def test_the_batch_reads_its_frames_twice(spark):
+    """Once for what is carried, once for the samples; each reads a message once with either schema, and no join looks for the init first."""
+    plan = catalogue.queries()["st01_st05_live_frames"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("from_json(") <= 4 + 6  # the rest reads the few stations' own texts
+
+
+def test_what_is_older_than_the_init_is_not_carried(spark):
+    """And without an init nothing is, however many readings there are."""
+    other = {"type": "LAST_DIGEST", **digest(wind_avg_2D=9.0), "last_10mn_by_1mn": [{"wind_avg_1D": 8.0, "wind_dir": 90}]}
+    init = {"type": "INIT", "digest": digest(), "samples": [{"ts": at(0), "sp": 1.0, "dir": 10}]}
+    rows = [event(1, other), event(5, init), event(7, {"type": "LAST_DIGEST", **digest(wind_avg_2D=4.0)}), event(1, other, station=2), event(2, "{", station=2)]
+    got = {r["station_id"]: r for r in live.frame_snapshots(frames_of(spark, rows), 600).collect()}
+    assert got[1]["reading"]["wind_avg_mps"] == 4.0 and got[1]["summaries"] is None and [s["wind_mps"] for s in got[1]["samples"]] == [1.0]
+    assert (got[2]["reading"], got[2]["summaries"], got[2]["samples"], got[2]["status"], got[2]["error"]) == (None, None, [], "open", "network")
+
+
 def rows_of(df):
     return {r["station_id"]: (r["seq"], r["status"], r["error"], r["served_at"], r["reading"], r["summaries"], r["place"], r["samples"]) for r in df.collect()}
 
