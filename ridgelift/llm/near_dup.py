@@ -164,11 +164,21 @@ def _trees(most: int):
     return run
 
 
+def _distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by family, block and node, repeated nodes (of repeated rows) left out."""
+    last = None
+    for b in batches:
+        nodes = list(zip(b.column("block").to_pylist(), b.column("node").to_pylist(), strict=True))
+        keep = [x != y for x, y in zip(nodes, [last, *nodes[:-1]], strict=True)] if nodes else []
+        last = nodes[-1] if nodes else last
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def _groups_of_families(percent: int):
     """Of the full sets of each family's block, the label (smallest node) of each member's group, by exact similarity; `whole` if the family has no other block."""
 
     def run(batches):
-        for t in _groups(batches, ("family", "block")):
+        for t in _groups(_distinct_nodes(batches), ("family", "block")):
             t = t.sort_by("node")
             node = t.column("node").to_pylist()
             sets = [np.frombuffer(m, np.uint64) for m in t.column("members").to_pylist()]
@@ -216,16 +226,6 @@ def full_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme
     return texts.mapInArrow(sets, f"{fields}, members binary")
 
 
-def _distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by family, block and node, repeated nodes (of repeated rows) left out."""
-    last = None
-    for b in batches:
-        nodes = list(zip(b.column("block").to_pylist(), b.column("node").to_pylist(), strict=True))
-        keep = [x != y for x, y in zip(nodes, [last, *nodes[:-1]], strict=True)] if nodes else []
-        last = nodes[-1] if nodes else last
-        yield b.filter(pa.array(keep, pa.bool_()))
-
-
 def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """One row per row of docs: _id, _th, n_shingles, component (smallest non-null id reachable), label (of the component; null for the empty set)."""
     scheme = Scheme(percent, shingle)
@@ -253,7 +253,8 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     dealt = families.join(sizes, "family").select("node", "family", "salts", F.explode(pairs).alias("block"))
     of_family = full_sets(dealt, reps, docs, scheme)
     of_family = of_family.repartition(common.partitions(docs.sparkSession), "family", "block").sortWithinPartitions("family", "block", "node")
-    resolved = common.stored(of_family.mapInArrow(_distinct_nodes, of_family.schema).mapInArrow(_groups_of_families(percent), "node binary, label binary, whole boolean"))
+    # one function a stage: each further one is one more Python worker beside every task, and workers stay
+    resolved = common.stored(of_family.mapInArrow(_groups_of_families(percent), "node binary, label binary, whole boolean"))
     found = resolved.where("whole").select("node", "label")
     joins = resolved.where("not whole and node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     if joins.head(1):

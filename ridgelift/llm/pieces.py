@@ -167,6 +167,7 @@ class Encoder:
         self.is_byte = np.array([k == BYTE for _, _, k in m.pieces])
         self.spelt = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces], pa.binary())
         self.clear()
+        words.give_back()  # what building the tokenizer took
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
@@ -282,6 +283,8 @@ def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
             ids, size, decoded, parity = encoder.encode(b.column("text"))
             array = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, array, decoded, pa.array(parity, pa.bool_())], [*b.schema.names, "ids", "decoded", "parity"])
+        del encoder
+        words.give_back()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     fields[place] = "`text` string"
@@ -325,6 +328,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ],
                 ["doc_id", "n_ids", "ids_sha256", "n_byte_ids", "round_trip", "parity"],
             )
+        del encoder
+        words.give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_sha256 string, n_byte_ids bigint, round_trip boolean, parity boolean")

@@ -124,6 +124,27 @@ def test_keep_one_of_each_group(spark):
     assert kept.where("text is null or trim(text) in ('', '\t')").count() == 4
 
 
+def test_a_stage_has_one_python_worker_a_task(spark, monkeypatch):
+    plans, stored = [], near_dup.common.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().sparkPlan())
+        return stored(df)
+
+    def most(node):
+        """Python functions in the stage of this node, and the most in any stage below."""
+        below = [most(node.children().apply(i)) for i in range(node.children().size())]
+        own, other = max((b[0] for b in below), default=0), max((b[1] for b in below), default=0)
+        if "Exchange" in node.nodeName():
+            return 0, max(own, other)
+        return own + (node.nodeName() == "MapInArrow"), other
+
+    monkeypatch.setattr(near_dup.common, "stored", seen)
+    rows = [(i, f"{'one two three four five six seven eight nine ten ' * 3} w{i % 3}") for i in range(6)]
+    assert {r["component"] for r in near_dup.classes(docs(spark, rows), 50, 3).collect()} == {0}
+    assert max(max(most(p)) for p in plans) == 1
+
+
 def test_near_dup_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")

@@ -194,3 +194,22 @@ def test_only_spaces_are_squeezed():
     texts = [" \ta\n ", "a  b ", "\n"]
     ids, _, parity = lists(pieces.Encoder(data), texts)
     assert ids == sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts) and all(parity)
+
+
+def test_a_worker_gives_back_what_a_task_took(spark):
+    seen = []
+
+    class Frame:
+        schema = docs(spark, [(1, "a")]).select("doc_id", "text").schema
+        columns = ("doc_id", "text")
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})
+            return list(run(iter([batch])))
+
+    given, pieces.words.give_back = pieces.words.give_back, lambda: seen.append(1)
+    try:
+        assert pieces.encode(Frame())[0].column("parity").to_pylist() == [True]
+    finally:
+        pieces.words.give_back = given
+    assert len(seen) == 2  # after the tokenizer is built, and in the end
