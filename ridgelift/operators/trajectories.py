@@ -38,13 +38,14 @@ def existence(covered: DataFrame, windows: DataFrame, quiet: DataFrame, runs: Da
     return x.select(*RUN, "reference_time", lead_to_day(F.col("day"), F.col("reference_time"), zone).alias("lead_h"), vote.alias("vote"), F.when(is_quiet, F.col("failed")).alias("failed"), reason.alias("abstained"), pick("_ww", "_qw").alias("wstar_flip_at_mps"), pick("_wd", "_qd").alias("depth_flip_at_m"))
 
 
-def edges(windows: DataFrame, runs: DataFrame, zone: str) -> DataFrame:
+def edges(windows: DataFrame, runs: DataFrame, zone: str, first_of_equal_ends: bool = False) -> DataFrame:
     """Unclipped first starts and last ends that fall on the day, one row a run, day and edge, with the spread of the day's edges in hours.
 
-    windows: start_at, end_at, clipped_start, clipped_end, step_h, window_id too. Of equal first starts the earliest window counts, of equal last ends the latest.
+    windows: start_at, end_at, clipped_start, clipped_end, step_h, window_id too. Of equal first starts the earliest window counts, of equal last ends the latest, or the earliest with first_of_equal_ends.
     """
     s, e = F.struct("start_at", "clipped_start", "step_h"), F.struct("end_at", "clipped_end", "step_h")
-    per = windows.groupBy(*RUN).agg(F.min_by(s, F.struct("start_at", "window_id")).alias("s"), F.max_by(e, F.struct("end_at", "window_id")).alias("e"))
+    late = -F.col("window_id") if first_of_equal_ends else F.col("window_id")
+    per = windows.groupBy(*RUN).agg(F.min_by(s, F.struct("start_at", "window_id")).alias("s"), F.max_by(e, F.struct("end_at", late)).alias("e"))
     both = F.array(
         F.struct(F.lit("start").alias("edge"), F.col("s.start_at").alias("at"), F.col("s.clipped_start").alias("clipped"), F.col("s.step_h").alias("step_h")),
         F.struct(F.lit("end").alias("edge"), F.col("e.end_at").alias("at"), F.col("e.clipped_end").alias("clipped"), F.col("e.step_h").alias("step_h")),

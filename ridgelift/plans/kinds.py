@@ -252,7 +252,7 @@ select site, day, member, edge, edge_at as "at", step_h, spread_h, step_h_max, {
 )
 def c11_timing_trajectory(spark, d):
     h = shared_hours(spark, d)
-    return at_utc(trajectories.edges(_windows(h), _runs(h), ZONE), "at", "reference_time")
+    return at_utc(trajectories.edges(_windows(h), _runs(h), ZONE, first_of_equal_ends=True), "at", "reference_time")
 
 
 @R.add(

@@ -18,7 +18,7 @@ def tied(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["c04_timing_envelope"])
+@pytest.mark.parametrize("name", ["c04_timing_envelope", "c11_timing_trajectory"])
 def test_first_of_equal_edges(spark, tied, name):
     df = catalogue.queries()[name](spark, tied)
     got = df.collect()
